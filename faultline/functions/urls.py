@@ -72,7 +72,8 @@ def _any_contains(c: Column, needles) -> Column:
 
 def is_wanted_link(url, base_url, hosts=None, excluded=None, kinds=None,
                    security_kind: str | None = SECURITY_KIND,
-                   security_advert: str | None = SECURITY_ADVERT_URL) -> Column:
+                   security_advert: str | None = SECURITY_ADVERT_URL,
+                   require_kind: bool = True) -> Column:
     """host test, exclusion test, kind test (or the security kind except
     one advert URL), and the page's own URL must not be a substring."""
     u = _col(url)
@@ -80,8 +81,8 @@ def is_wanted_link(url, base_url, hosts=None, excluded=None, kinds=None,
     excluded = LINK_EXCLUDED if excluded is None else excluded
     kinds = LINK_KINDS if kinds is None else kinds
     host_ok = _any_contains(u, hosts) & ~_any_contains(u, excluded)
-    kind_ok = _any_contains(u, kinds)
-    if security_kind:
+    kind_ok = _any_contains(u, kinds) if require_kind else F.lit(True)
+    if require_kind and security_kind:
         sec = u.contains(security_kind)
         if security_advert:
             sec = sec & (u != security_advert)

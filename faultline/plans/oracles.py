@@ -202,3 +202,152 @@ SELECT category, round(hstat, 6) AS h, CAST(df AS INTEGER) AS df,
              WHEN df = 2 THEN exp(-hstat / 2) END, 6) AS p_value, n
 FROM hh""")
     return o
+
+
+# ---------------------------------------------------------------------------
+# Corpus queries: the cleaning chain stated in DuckDB SQL from the same values.
+
+def _clean_sql(text_expr: str) -> str:
+    from faultline.functions.text import (LEMMA_EXCEPTIONS, PUNCTUATION, STOP_WORDS, SYMBOL_PATTERN,
+                                          TOKEN_PATTERN, ASCII_ONLY_PATTERN)
+    stops = "[" + ", ".join(q(w) for w in STOP_WORDS) + "]"
+    exc = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in LEMMA_EXCEPTIONS.items())
+    rules = ("CASE WHEN length(t) > 3 AND regexp_matches(t, 'ies$') THEN regexp_replace(t, 'ies$', 'y') "
+             "WHEN length(t) > 3 AND regexp_matches(t, '(ch|sh|x|z|ss)es$') THEN regexp_replace(t, 'es$', '') "
+             "WHEN length(t) > 3 AND regexp_matches(t, 'men$') THEN regexp_replace(t, 'men$', 'man') "
+             "WHEN length(t) > 3 AND regexp_matches(t, '[^sui]s$') THEN regexp_replace(t, 's$', '') "
+             "ELSE t END")
+    lemma = f"coalesce(CASE t {exc} END, {rules})"
+    keep = (f"NOT contains({q(PUNCTUATION)}, t) AND regexp_matches(t, {q(ASCII_ONLY_PATTERN)}) "
+            f"AND NOT list_contains({stops}, t) AND NOT regexp_matches(t, {q(SYMBOL_PATTERN)})")
+    return (f"list_transform(list_filter(regexp_extract_all(lower({text_expr}), {q(TOKEN_PATTERN)}), "
+            f"lambda t: {keep}), lambda t: {lemma})")
+
+
+def corpus_oracles() -> dict[str, str]:
+    from faultline.functions.html import ENTITIES, TAG_PATTERN
+    from faultline.functions.text import ISSUE_TITLE_PREFIX, SEGMENT_SEPARATOR
+    from faultline.functions.urls import HREF_PATTERN
+    from faultline.plans import corpus as C
+    o: dict[str, str] = {}
+    o["clean_tokens"] = (f"SELECT doc_id, array_to_string(toks, ' ') AS tokens, len(toks) AS n_tokens "
+                         f"FROM (SELECT doc_id, {_clean_sql('text')} AS toks FROM documents) t")
+    o["token_counts"] = (f"SELECT token, count(*) AS n FROM (SELECT unnest({_clean_sql('text')}) AS token "
+                         f"FROM documents) t GROUP BY token")
+    wanted = " OR ".join(f"list_contains(toks, {q(w)})" for w in C.TITLE_WANTED)
+    excluded = "[" + ", ".join(q(w) for w in C.TITLE_EXCLUDED) + "]"
+    o["fix_title_filter"] = f"""
+SELECT doc_id, line_no, title FROM (
+  SELECT doc_id, line_no, title, {_clean_sql('title')} AS toks FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS title,
+           unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no
+    FROM documents) l) t
+WHERE ({wanted}) AND NOT list_has_any(toks, {excluded})"""
+    seg = (f"CASE WHEN toks IS NULL THEN NULL "
+           f"WHEN role = 'system' THEN CASE WHEN len(toks) > 0 THEN array_to_string(toks, ' ') END "
+           f"WHEN role = 'user' THEN {q(ISSUE_TITLE_PREFIX)} || array_to_string(toks, ' ') "
+           f"ELSE array_to_string(toks, ' ') END")
+    o["conversation_text"] = f"""
+SELECT conv_id, string_agg(seg, {q(SEGMENT_SEPARATOR)} ORDER BY turn) AS text FROM (
+  SELECT conv_id, turn, {seg} AS seg FROM (
+    SELECT conv_id, turn, role, {_clean_sql('text')} AS toks FROM conversations) c) s
+WHERE seg IS NOT NULL GROUP BY conv_id"""
+    o["conversation_size"] = """
+SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role <> 'system') AS total_discussions,
+  count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant
+FROM conversations GROUP BY conv_id"""
+    o["nested_record"] = f"""
+SELECT conv_id, to_json({{'total_discussions': CAST(len(ds) AS INTEGER),
+                         'discussions': CASE WHEN len(ds) > 0 THEN ds END}}) AS record_json FROM (
+  SELECT conv_id, list({{'discussion_number': CAST(turn + 1 AS INTEGER),
+    'comments': [{{'type': CASE WHEN first THEN 'description' END, 'content': toks,
+                   'author': CASE WHEN first THEN role END}}]}} ORDER BY turn) AS ds
+  FROM (SELECT conv_id, turn, role, turn = min(turn) OVER (PARTITION BY conv_id) AS first,
+               {_clean_sql('text')} AS toks FROM conversations) c
+  GROUP BY conv_id) r"""
+    bot = " OR ".join(f"(contains(para, {q(a)}) AND contains(para, {q(b)}))" for a, b in C.BOT_PHRASE_PAIRS)
+    o["bot_filter"] = f"""
+SELECT conv_id, turn, 1 AS discussion_number FROM conversations WHERE turn = 0
+UNION ALL
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS INTEGER)
+FROM (SELECT conv_id, turn, split_part(text, chr(10), 1) AS para FROM conversations WHERE turn > 0) c
+WHERE NOT coalesce({bot}, false)"""
+    o["role_filter"] = """
+SELECT c.conv_id, c.turn, coalesce(c.role, 'Unknown') AS author
+FROM conversations c LEFT JOIN (SELECT conv_id, role AS issue_author FROM conversations WHERE turn = 0) o
+  USING (conv_id)
+WHERE c.turn > 0 AND c.role IS DISTINCT FROM 'system' AND trim(c.text) <> ''
+  AND coalesce(c.role, 'Unknown') IS DISTINCT FROM o.issue_author"""
+    o["before_after_pairs"] = """
+SELECT i.conv_id, i.turn, b.text AS before, a.text AS after
+FROM (SELECT conv_id, turn FROM conversations WHERE turn >= 1) i
+LEFT JOIN conversations b ON b.conv_id = i.conv_id AND b.turn + 1 = i.turn
+LEFT JOIN conversations a ON a.conv_id = i.conv_id AND a.turn = i.turn"""
+    o["event_props_json"] = ("SELECT event_id, CASE WHEN json_valid(props) THEN "
+                             "TRY_CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events")
+    o["time_window_limit"] = f"""
+SELECT event_id, user_id, ts, rn FROM (
+  SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ASC) AS rn
+  FROM events WHERE ts BETWEEN TIMESTAMP '{C.WINDOW_SINCE}' AND TIMESTAMP '{C.WINDOW_UNTIL}') e
+WHERE rn <= {C.LISTING_CAP}"""
+    origin = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+)', 1)"
+    resolved = (f"list_transform(list_transform(regexp_extract_all(html, {q(HREF_PATTERN)}, 1), "
+                f"lambda h: replace(h, chr(10), '')), lambda h: CASE WHEN h LIKE '/%' AND h NOT LIKE '//%' "
+                f"THEN {origin} || h ELSE h END)")
+    hosts = " OR ".join(f"contains(u, {q(h)})" for h in C.PAGE_LINK_HOSTS)
+    keep = f"({hosts}) AND NOT contains(u, 'tree/HEAD/') AND NOT coalesce(contains(u, url), false)"
+    links = f"list_sort(list_distinct(list_filter({resolved}, lambda u: {keep})))"
+    page_links = f"SELECT page_id, url, {links} AS links FROM pages"
+    o["page_links"] = (f"SELECT page_id, len(links) AS n_links, array_to_string(links, ' ') AS links "
+                       f"FROM ({page_links}) p")
+
+    def unesc(x):
+        for ent, ch in ENTITIES:
+            x = f"replace({x}, {q(ent)}, {q(ch)})"
+        return x
+
+    def strip(x):
+        no_tags = f"regexp_replace({x}, {q(TAG_PATTERN)}, ' ', 'g')"
+        return f"trim(regexp_replace({unesc(no_tags)}, '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g'))"
+
+    title = unesc("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
+    sep = C.TITLE_SEPARATOR
+    o["page_title"] = (f"SELECT page_id, CASE WHEN strpos(t, {q(sep)}) > 0 THEN trim(split_part(t, {q(sep)}, 1)) "
+                       f"ELSE '' END AS title FROM (SELECT page_id, {title} AS t FROM pages) p")
+    article = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+    paras = (f"list_filter(list_transform(regexp_split_to_array({article}, '<p[^>]*>')[2:], "
+             f"lambda p: {strip('split_part(p, ' + q('</p>') + ', 1)')}), lambda t: t <> '')")
+    nav = ("list_sort(list_distinct(list_transform(regexp_extract_all(html, '<a[^>]*>([^<]*)</a>', 1), "
+           f"lambda t: trim({unesc('t')}))))")
+    o["page_main_text"] = f"""
+SELECT page_id,
+  {strip("regexp_extract(html, '(?s)<div[^>]*class=" + '"ad"' + "[^>]*>(.*?)</div>', 1)")} AS ad_text,
+  {strip("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS heading,
+  array_to_string(paras, chr(10)) AS body, len(paras) AS n_paragraphs,
+  array_to_string({nav}, '|') AS nav_labels
+FROM (SELECT page_id, html, {paras} AS paras FROM pages) p"""
+    hrefs = f"list_transform(regexp_extract_all(html, {q(HREF_PATTERN)}, 1), lambda h: replace(h, chr(10), ''))"
+    o["page_quarantine"] = f"""
+SELECT * FROM (
+  SELECT page_id, url, n_paragraphs, n_links, html_chars,
+    CASE WHEN n_paragraphs < {C.MIN_PARAGRAPHS} THEN 'no_paragraphs'
+         WHEN n_links < {C.MIN_LINKS} THEN 'few_links' END AS reason
+  FROM (SELECT page_id, url, len({paras}) AS n_paragraphs, len(list_distinct({hrefs})) AS n_links,
+               length(html) AS html_chars FROM pages) x) y
+WHERE reason IS NOT NULL"""
+    o["two_hop_links"] = f"""
+WITH p AS ({page_links}),
+e AS (SELECT url AS src, unnest(links) AS dst FROM p),
+h2 AS (SELECT e1.src, e2.dst FROM e e1 JOIN p ON p.url = e1.dst JOIN e e2 ON e2.src = p.url WHERE e2.dst <> e1.src),
+b AS (SELECT src, dst, min(hop) AS hop FROM (SELECT src, dst, 1 AS hop FROM e UNION ALL SELECT src, dst, 2 FROM h2) u
+      GROUP BY src, dst)
+SELECT p.page_id, b.dst, b.hop FROM b JOIN p ON p.url = b.src"""
+    path = "'^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+"
+    o["url_parts"] = f"""
+SELECT page_id, CASE WHEN o <> '' AND r <> '' THEN o END AS owner, CASE WHEN o <> '' AND r <> '' THEN r END AS repo,
+  nullif(regexp_extract(url, {q(C.PAGE_URL_PATTERN)}, 1), '') AS host,
+  nullif(regexp_extract(url, {q(C.PAGE_URL_PATTERN)}, 2), '') AS lang,
+  nullif(regexp_extract(url, {q(C.PAGE_URL_PATTERN)}, 3), '') AS num
+FROM (SELECT page_id, url, regexp_extract(trim(url), {path}/([^/?#]+)', 1) AS o,
+             regexp_extract(trim(url), {path}/[^/?#]+/([^/?#]+)', 1) AS r FROM pages) x"""
+    return o

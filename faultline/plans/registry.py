@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.plans import analysis
+from faultline.plans import analysis, corpus
 
 ANALYSIS = [
     "project_matrix", "type_counts", "label_recode", "matrix_long", "matrix_summary", "type_share",
@@ -17,14 +17,29 @@ ANALYSIS = [
 ]
 
 
+CORPUS = {
+    "clean_tokens": corpus.clean_tokens_q, "token_counts": corpus.token_counts,
+    "fix_title_filter": corpus.fix_title_filter, "conversation_text": corpus.conversation_text,
+    "conversation_size": corpus.conversation_size, "nested_record": corpus.nested_record,
+    "bot_filter": corpus.bot_filter, "role_filter": corpus.role_filter,
+    "before_after_pairs": corpus.before_after_pairs, "event_props_json": corpus.event_props_json,
+    "time_window_limit": corpus.time_window_limit, "page_links": corpus.page_links,
+    "page_title": corpus.page_title, "page_main_text": corpus.page_main_text,
+    "page_quarantine": corpus.page_quarantine, "two_hop_links": corpus.two_hop_links,
+    "url_parts": corpus.url_parts,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for name in ANALYSIS:
         out[name] = getattr(analysis, name)
+    out.update(CORPUS)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from faultline.plans.oracles import analysis_oracles
+    from faultline.plans.oracles import analysis_oracles, corpus_oracles
     out = dict(analysis_oracles())
+    out.update(corpus_oracles())
     return out
