@@ -351,3 +351,57 @@ SELECT page_id, CASE WHEN o <> '' AND r <> '' THEN o END AS owner, CASE WHEN o <
 FROM (SELECT page_id, url, regexp_extract(trim(url), {path}/([^/?#]+)', 1) AS o,
              regexp_extract(trim(url), {path}/[^/?#]+/([^/?#]+)', 1) AS r FROM pages) x"""
     return o
+
+
+def labelling_oracles() -> dict[str, str]:
+    from faultline.plans import labelling as L
+    from faultline.functions.text import SEGMENT_SEPARATOR
+    o: dict[str, str] = {}
+    gold = "SELECT doc_id, 'quality_' || CAST(min(quality) AS VARCHAR) AS gold FROM labels GROUP BY doc_id"
+    pred = (f"SELECT doc_id, CASE WHEN n_chars >= {L.PRED_MIN_CHARS} THEN 'quality_1' ELSE 'quality_0' END "
+            f"AS predicted FROM documents")
+    ver = (f"SELECT p.doc_id, p.predicted, g.gold, p.predicted = g.gold AS is_correct "
+           f"FROM ({pred}) p JOIN ({gold}) g USING (doc_id)")
+    o["verify_predictions"] = ver
+    o["confusion_counts"] = (f"SELECT gold, predicted, count(*) AS n, first(is_correct) AS is_correct "
+                             f"FROM ({ver}) v GROUP BY gold, predicted")
+    o["category_summary"] = (f"SELECT predicted, count(*) AS n, min(doc_id) AS first_index, "
+                             f"max(doc_id) AS last_index FROM ({pred}) p GROUP BY predicted")
+    o["coverage_summary"] = f"""
+SELECT count(*) AS total_tasks, count(*) FILTER (WHERE g.doc_id IS NOT NULL) AS tasks_with_labels,
+  count(*) FILTER (WHERE g.doc_id IS NULL) AS tasks_without_labels, count(DISTINCT predicted) AS total_categories
+FROM ({pred}) p LEFT JOIN (SELECT DISTINCT doc_id FROM labels) g USING (doc_id)"""
+    repos = "[" + ", ".join(q(r) for r in L.REPOS) + "]"
+    o["category_by_repo"] = f"""
+WITH p AS ({pred}),
+lk AS (SELECT doc_id, min(source) AS repo FROM documents GROUP BY doc_id),
+c AS (SELECT predicted, repo, count(*) AS n FROM p JOIN lk USING (doc_id) WHERE list_contains({repos}, repo)
+      GROUP BY predicted, repo),
+grid AS (SELECT predicted, unnest({repos}) AS repo FROM (SELECT DISTINCT predicted FROM p) d)
+SELECT grid.predicted, grid.repo, coalesce(c.n, 0) AS n FROM grid LEFT JOIN c USING (predicted, repo)"""
+    o["label_set_ops"] = """
+SELECT doc_id, 'both' AS membership FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) a
+UNION ALL SELECT doc_id, 'documents_only' FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) b
+UNION ALL SELECT doc_id, 'labels_only' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents) c"""
+    msg = _clean_sql("split_part(text, chr(10), 1)")
+    rest = _clean_sql("CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END")
+    task = f"""SELECT doc_id, CASE WHEN len(segs) > 0 THEN array_to_string(segs, {q(SEGMENT_SEPARATOR)}) END AS text
+FROM (SELECT doc_id, list_filter([array_to_string({msg}, ' '), array_to_string({rest}, ' ')], lambda s: s <> '') AS segs
+      FROM documents) d"""
+    o["train_set"] = (f"SELECT t.doc_id, t.text, g.gold AS label FROM ({task}) t JOIN ({gold}) g USING (doc_id) "
+                      f"WHERE t.text IS NOT NULL")
+    o["predict_set"] = (f"SELECT doc_id, text FROM ({task}) t WHERE text IS NOT NULL "
+                        f"AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+    o["contrastive_pairs"] = """
+WITH pos AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id % 64, vec_id) - 1 AS pos
+             FROM embeddings),
+cls AS (SELECT label, n, row_number() OVER (ORDER BY label) - 1 AS ord, count(*) OVER () AS n_classes
+        FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) s),
+a AS (SELECT p.vec_id AS a_id, p.label AS a_label, p.pos, c.n, c.ord, c.n_classes, unnest([1, 2]) AS j
+      FROM pos p JOIN cls c USING (label)),
+t AS (SELECT a_id, j, 1 AS target, a_label AS b_label, (pos + j) % n AS b_pos FROM a WHERE n > 1
+      UNION ALL
+      SELECT a.a_id, a.j, 0, c.label, a.pos % c.n FROM a JOIN cls c ON c.ord = (a.ord + a.j) % a.n_classes
+      WHERE a.n_classes > 1 AND a.j % a.n_classes <> 0)
+SELECT t.a_id, p.vec_id AS b_id, t.target, t.j FROM t JOIN pos p ON p.label = t.b_label AND p.pos = t.b_pos"""
+    return o

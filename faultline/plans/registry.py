@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.plans import analysis, corpus
+from faultline.plans import analysis, corpus, labelling
 
 ANALYSIS = [
     "project_matrix", "type_counts", "label_recode", "matrix_long", "matrix_summary", "type_share",
@@ -30,16 +30,26 @@ CORPUS = {
 }
 
 
+LABELLING = [
+    "verify_predictions", "confusion_counts", "category_summary", "coverage_summary",
+    "category_by_repo", "label_set_ops", "train_set", "predict_set", "contrastive_pairs",
+    "classify_embeddings",
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for name in ANALYSIS:
         out[name] = getattr(analysis, name)
     out.update(CORPUS)
+    for name in LABELLING:
+        out[name] = getattr(labelling, name)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from faultline.plans.oracles import analysis_oracles, corpus_oracles
+    from faultline.plans.oracles import analysis_oracles, corpus_oracles, labelling_oracles
     out = dict(analysis_oracles())
     out.update(corpus_oracles())
+    out.update(labelling_oracles())
     return out
