@@ -109,9 +109,10 @@ def keep_ascii(tokens) -> Column:
 
 
 def drop_stop_words(tokens, stop_words=None) -> Column:
-    """T5: drop stop words, keeping order and duplicates of the rest."""
-    stops = _lit_array(stop_words if stop_words is not None else STOP_WORDS)
-    return F.filter(_col(tokens), lambda t: ~F.array_contains(stops, t))
+    """T5: drop stop words, keeping order and duplicates of the rest.
+    ``isin`` over many literals becomes a hash-set lookup (InSet)."""
+    stops = stop_words if stop_words is not None else STOP_WORDS
+    return F.filter(_col(tokens), lambda t: ~t.isin(*stops))
 
 
 def drop_symbols(tokens) -> Column:
@@ -120,21 +121,25 @@ def drop_symbols(tokens) -> Column:
 
 
 def lemma(token: Column, exceptions: dict | None = None) -> Column:
-    """T7 for one token: exception table, then noun suffix rules."""
+    """T7 for one token: exception table, then noun suffix rules (suffix
+    tests and substrings, no regular expressions in the hot path)."""
     exceptions = LEMMA_EXCEPTIONS if exceptions is None else exceptions
     n = F.length(token)
-    # Each rule is one anchored pattern, so the SQL oracle can state the same.
+    long = n > 3
+    es_plural = (token.endswith("ches") | token.endswith("shes") | token.endswith("xes")
+                 | token.endswith("zes") | token.endswith("sses"))
+    plain_s = token.endswith("s") & ~token.endswith("ss") & ~token.endswith("us") & ~token.endswith("is")
     rules = (
-        F.when((n > 3) & token.rlike("ies$"), F.regexp_replace(token, "ies$", "y"))
-        .when((n > 3) & token.rlike("(ch|sh|x|z|ss)es$"), F.regexp_replace(token, "es$", ""))
-        .when((n > 3) & token.rlike("men$"), F.regexp_replace(token, "men$", "man"))
-        .when((n > 3) & token.rlike("[^sui]s$"), F.regexp_replace(token, "s$", ""))
+        F.when(long & token.endswith("ies"), F.concat(F.substring(token, 1, n - 3), F.lit("y")))
+        .when(long & es_plural, F.substring(token, 1, n - 2))
+        .when(long & token.endswith("men"), F.concat(F.substring(token, 1, n - 3), F.lit("man")))
+        .when(long & plain_s, F.substring(token, 1, n - 1))
         .otherwise(token)
     )
     if not exceptions:
         return rules
     table = F.create_map(*[x for kv in exceptions.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return F.coalesce(F.try_element_at(table, token), rules)
+    return F.when(token.isin(*exceptions.keys()), F.try_element_at(table, token)).otherwise(rules)
 
 
 def lemmatize(tokens, exceptions: dict | None = None) -> Column:
@@ -148,11 +153,12 @@ def clean_tokens(text, stop_words=None, symbols: bool = True, lemmas: bool = Tru
     NULL text gives NULL; an empty text gives an empty array.
     """
     toks = tokenize(text)
+    stops = stop_words if stop_words is not None else STOP_WORDS
     toks = F.filter(
         toks,
         lambda t: (F.instr(F.lit(PUNCTUATION), t) == 0)
         & t.rlike(ASCII_ONLY_PATTERN)
-        & ~F.array_contains(_lit_array(stop_words if stop_words is not None else STOP_WORDS), t),
+        & ~t.isin(*stops),
     )
     if symbols:
         toks = drop_symbols(toks)

@@ -16,7 +16,7 @@ from faultline.functions import urls as U
 from faultline.functions.text import (ISSUE_TITLE_PREFIX, clean_tokens, first_line, is_fix_title)
 from faultline.operators import records as R
 from faultline.operators.links import two_hop
-from faultline.sources.tables import table
+from faultline.sources.tables import pinned, spread, table
 
 # Wanted and excluded title words for the fix filter on the stand-in corpus.
 TITLE_WANTED = ["license"]
@@ -37,15 +37,15 @@ MIN_LINKS = 6
 
 def clean_tokens_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1-T8 over whole documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    toks = clean_tokens("text")
-    return docs.select("doc_id", F.array_join(toks, " ").alias("tokens"),
-                       F.size(toks).alias("n_tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    toks = docs.select("doc_id", clean_tokens("text").alias("toks"))
+    return toks.select("doc_id", F.array_join("toks", " ").alias("tokens"),
+                       F.size("toks").alias("n_tokens"))
 
 
 def token_counts(spark, sf_dir):
     """T8 + count per token over the whole corpus (partial aggregation first)."""
-    docs = table(spark, sf_dir, "documents").select("text")
+    docs = spread(table(spark, sf_dir, "documents").select("text"))
     return (docs.select(F.explode(clean_tokens("text")).alias("token"))
                 .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
 
@@ -53,18 +53,18 @@ def token_counts(spark, sf_dir):
 def fix_title_filter(spark, sf_dir):
     """Every line of a document is a listing title; a title is kept
     when its cleaned lemmas hold a wanted word and no excluded one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "title"))
     return lines.where(is_fix_title(clean_tokens("title"), TITLE_WANTED, TITLE_EXCLUDED))
 
 
 def _turn_segments(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     toks = clean_tokens("text")
     seg = (F.when(F.col("role") == "system", R.segment(toks, False))
             .when(F.col("role") == "user", R.segment(toks, True, ISSUE_TITLE_PREFIX))
             .otherwise(R.segment(toks, True)))
-    return conv.select("conv_id", "turn", seg.alias("seg"))
+    return conv.select("conv_id", "turn", pinned(seg).alias("seg"))
 
 
 def conversation_text(spark, sf_dir):
@@ -88,7 +88,7 @@ def nested_record(spark, sf_dir):
     """P13 P15 (+P12, K1 rule): one nested record per conversation, as JSON.
     Each turn is a discussion holding one comment; only the first comment
     carries ``type`` and ``author``."""
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     first = F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))
     comment = F.struct(
         F.when(first, F.lit("description")).alias("type"),
@@ -119,7 +119,7 @@ def bot_filter(spark, sf_dir):
 def role_filter(spark, sf_dir):
     """comment turns (not system, not the opening turn) with a
     non-empty body whose author differs from the opening turn's author."""
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     opener = conv.where(F.col("turn") == 0).select("conv_id", F.col("role").alias("issue_author"))
     comments = conv.where((F.col("turn") > 0) & ~F.col("role").eqNullSafe(F.lit("system"))
                           & (F.trim(F.col("text")) != "")) \
@@ -159,7 +159,7 @@ def time_window_limit(spark, sf_dir, since: str = WINDOW_SINCE, until: str = WIN
 
 
 def _page_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     links = F.transform(U.hrefs("html"), lambda h: U.resolve(h, F.col("url")))
     keep = F.filter(links, lambda u: U.is_wanted_link(u, F.col("url"), hosts=PAGE_LINK_HOSTS,
                                                       require_kind=False))
@@ -174,14 +174,14 @@ def page_links(spark, sf_dir):
 
 def page_title(spark, sf_dir):
     """Title part before the first separator, '' when absent."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
     return pages.select("page_id", H.title_before("html", TITLE_SEPARATOR).alias("title"))
 
 
 def page_main_text(spark, sf_dir):
     """First ad block, heading, article paragraphs and nav
     labels of each page (regular-expression forms)."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
     article = H.element_html("html", "article")
     paras = H.paragraphs(article)
     return pages.select(
@@ -196,10 +196,10 @@ def page_main_text(spark, sf_dir):
 def page_quarantine(spark, sf_dir):
     """K9: pages whose extraction failed (too few paragraphs or links), with
     the reason and the raw size; valid pages are the complement."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     n_par = F.size(H.paragraphs(H.element_html("html", "article")))
     n_links = F.size(F.array_distinct(U.hrefs("html")))
-    x = pages.select("page_id", "url", n_par.alias("n_paragraphs"), n_links.alias("n_links"),
+    x = pages.select("page_id", "url", pinned(n_par).alias("n_paragraphs"), pinned(n_links).alias("n_links"),
                      F.length("html").alias("html_chars"))
     reason = (F.when(F.col("n_paragraphs") < MIN_PARAGRAPHS, F.lit("no_paragraphs"))
                .when(F.col("n_links") < MIN_LINKS, F.lit("few_links")))

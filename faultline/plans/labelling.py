@@ -15,7 +15,7 @@ from faultline.functions.text import SEGMENT_SEPARATOR, clean_tokens
 from faultline.operators import classify as M
 from faultline.operators import verify as V
 from faultline.operators.ranks import first_by
-from faultline.sources.tables import table
+from faultline.sources.tables import pinned, spread, table
 
 # Prediction rule on the stand-in tasks: long documents are predicted good.
 PRED_MIN_CHARS = 300
@@ -37,12 +37,15 @@ def _predicted(spark, sf_dir) -> DataFrame:
 def _task_text(spark, sf_dir) -> DataFrame:
     """T10 on a document: message (first line) then description (the rest),
     empty bags skipped; NULL when nothing is left (F7)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     msg = clean_tokens(F.substring_index("text", "\n", 1))
     rest = clean_tokens(F.when(F.instr("text", "\n") > 0,
                                F.expr("substring(text, instr(text, '\\n') + 1)")).otherwise(F.lit("")))
-    segs = F.filter(F.array(F.array_join(msg, " "), F.array_join(rest, " ")), lambda s: s != "")
-    return docs.select("doc_id", F.when(F.size(segs) > 0, F.array_join(segs, SEGMENT_SEPARATOR)).alias("text"))
+    # Two projections: the token bags are computed once, then reused.
+    segs = docs.select("doc_id", pinned(F.filter(F.array(F.array_join(msg, " "), F.array_join(rest, " ")),
+                                                 lambda s: s != "")).alias("segs"))
+    return segs.select("doc_id", F.when(F.size("segs") > 0,
+                                        F.array_join("segs", SEGMENT_SEPARATOR)).alias("text"))
 
 
 def verify_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
