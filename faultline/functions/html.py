@@ -48,7 +48,8 @@ def title_before(html, separator: str = "·") -> Column:
 
 def element_html(html, tag: str, css_class: str | None = None) -> Column:
     """Inner HTML of the first <tag> (with the given class), flat tags only."""
-    attrs = f'[^>]*class="{css_class}"[^>]*' if css_class else "[^>]*"
+    # class attribute holding the class among others, like a CSS class selector
+    attrs = f'[^>]*class="(?:[^"]* )?{css_class}(?: [^"]*)?"[^>]*' if css_class else "[^>]*"
     return F.regexp_extract(_col(html), f"(?s)<{tag}{attrs}>(.*?)</{tag}>", 1)
 
 

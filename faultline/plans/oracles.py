@@ -321,7 +321,7 @@ WHERE rn <= {C.LISTING_CAP}"""
            f"lambda t: trim({unesc('t')}))))")
     o["page_main_text"] = f"""
 SELECT page_id,
-  {strip("regexp_extract(html, '(?s)<div[^>]*class=" + '"ad"' + "[^>]*>(.*?)</div>', 1)")} AS ad_text,
+  {strip("regexp_extract(html, '(?s)<div[^>]*class=" + '"(?:[^"]* )?ad(?: [^"]*)?"' + "[^>]*>(.*?)</div>', 1)")} AS ad_text,
   {strip("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS heading,
   array_to_string(paras, chr(10)) AS body, len(paras) AS n_paragraphs,
   array_to_string({nav}, '|') AS nav_labels
