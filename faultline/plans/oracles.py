@@ -98,6 +98,19 @@ SELECT domain, category, median,
 FROM long"""
 
 
+def _chi2_upper_sql(x: str, df: str, terms: int = 400) -> str:
+    """Chi-square upper tail via the regularized lower gamma series
+    P(a, y) = y^a e^-y / Gamma(a+1) * sum_n y^n Gamma(a+1) / Gamma(a+n+1),
+    a = df/2, y = x/2 (all terms positive)."""
+    a = f"({df} / 2.0)"
+    y = f"({x} / 2.0)"
+    series = (f"list_sum(list_transform(range(0, {terms}), lambda k: "
+              f"exp(k * ln({y}) + lgamma({a} + 1) - lgamma({a} + k + 1))))")
+    lower = f"exp({a} * ln({y}) - {y} - lgamma({a} + 1)) * {series}"
+    return (f"CASE WHEN {x} IS NULL OR {df} IS NULL OR {df} <= 0 THEN NULL "
+            f"WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1.0 - {lower}) END")
+
+
 def analysis_oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     o["project_matrix"] = (
@@ -198,8 +211,7 @@ hh AS (SELECT h.category, h.n, h.k - 1 AS df,
     / nullif(1.0 - ties.tie / (CAST(h.n AS DOUBLE) * h.n * h.n - h.n), 0) AS hstat
   FROM h JOIN ties USING (category))
 SELECT category, round(hstat, 6) AS h, CAST(df AS INTEGER) AS df,
-  round(CASE WHEN df = 4 THEN exp(-hstat / 2) * (1 + hstat / 2)
-             WHEN df = 2 THEN exp(-hstat / 2) END, 6) AS p_value, n
+  round(""" + _chi2_upper_sql("hstat", "df") + """, 6) AS p_value, n
 FROM hh""")
     return o
 
