@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.stats import chi2_upper_col, corr_p_value_udf, nan_to_null
+from faultline.session import materialize
 from faultline.operators.ranks import DEFAULT_RANGE_BUCKETS, histogram, midranks, rank_histogram
 
 
@@ -40,14 +41,18 @@ def _rank_cols(names: list[str]) -> dict[str, str]:
 
 
 def spearman_listwise(wide: DataFrame, unit: str, rows: list[str], cols: list[str] | None = None,
-                      buckets: int = DEFAULT_RANGE_BUCKETS) -> DataFrame:
+                      buckets: int = DEFAULT_RANGE_BUCKETS, reuse: bool = True) -> DataFrame:
     """ST1 (+F9): Spearman over rows complete in every used column.
 
     ``cols`` None -> all unordered pairs of ``rows`` (lower triangle, row
     after column in list order). Returns (row_name, col_name, rho, n).
+    The complete rows feed the histogram and the join back, so with
+    ``reuse`` they are written once to the checkpoint folder.
     """
     names = list(dict.fromkeys(rows + (cols or [])))
-    complete = wide.dropna(how="any", subset=names)
+    complete = wide.select(unit, *[F.col(f"`{c}`") for c in names]).dropna(how="any", subset=names)
+    if reuse:
+        complete = materialize(complete)
     long = to_long(complete, unit, names)
     ranked = midranks(long, ["name"], "value", out="rank", buckets=buckets)
     rc = _rank_cols(names)
@@ -84,14 +89,18 @@ def pair_rows(wide: DataFrame, unit: str, pairs: list[tuple[str, str]]) -> DataF
 
 
 def spearman_pairwise(wide: DataFrame, unit: str, rows: list[str], cols: list[str] | None = None,
-                      buckets: int = DEFAULT_RANGE_BUCKETS) -> DataFrame:
+                      buckets: int = DEFAULT_RANGE_BUCKETS, reuse: bool = True) -> DataFrame:
     """ST3: Spearman with NULLs dropped per pair. Returns
-    (row_name, col_name, rho, n); ``cols`` None -> lower triangle of rows."""
+    (row_name, col_name, rho, n); ``cols`` None -> lower triangle of rows.
+    The pair rows feed two histograms and the join, so with ``reuse`` they
+    are written once to the checkpoint folder."""
     if cols is None:
         pairs = [(rows[i], rows[j]) for i in range(len(rows)) for j in range(i)]
     else:
         pairs = [(r, c) for r in rows for c in cols]
     pr = pair_rows(wide, unit, pairs)
+    if reuse:
+        pr = materialize(pr)
     keys = ["row_name", "col_name"]
     rx = rank_histogram(histogram(pr, keys, "x"), keys, "x", "rx", buckets).drop("_cnt")
     ry = rank_histogram(histogram(pr, keys, "y"), keys, "y", "ry", buckets).drop("_cnt")
@@ -108,12 +117,16 @@ def with_p_values(corr: DataFrame) -> DataFrame:
 
 
 def kruskal_wallis(long: DataFrame, name: str, group: str, value: str,
-                   buckets: int = DEFAULT_RANGE_BUCKETS) -> DataFrame:
+                   buckets: int = DEFAULT_RANGE_BUCKETS, reuse: bool = True) -> DataFrame:
     """ST4: Kruskal-Wallis H per ``name`` across ``group``, tie corrected,
     NULL values dropped; df = groups - 1; p from the chi-square tail.
+    The (name, group, value) histogram is the only input of the rest (and is
+    written once with ``reuse``); rows are never joined back.
 
     Returns (name, h, df, p_value, n)."""
     hist = histogram(long, [name, group], value)                       # (name, group, value, _cnt)
+    if reuse:
+        hist = materialize(hist)
     per_value = hist.groupBy(name, value).agg(F.sum("_cnt").alias("_cnt"))
     ranks = rank_histogram(per_value, [name], value, "rank", buckets)  # (name, value, _cnt, rank)
     ties = ranks.groupBy(name).agg(

@@ -26,6 +26,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("FAULTLINE_DRIVER_MEMORY", "8g"))
     )
     if shuffle_partitions:
@@ -50,3 +51,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df):
+    """Write an intermediate result that several branches of one plan reuse
+    to the shared checkpoint folder and continue from the written copy.
+    The lineage is cut on reliable storage, so a lost executor does not send
+    the whole upstream plan back to the scans."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
