@@ -85,3 +85,19 @@ def edge_width(rho, scale: float = 5.0) -> Column:
 def edge_sign(rho) -> Column:
     """Sign class of an edge."""
     return F.when(_col(rho) > 0, F.lit("positive")).otherwise(F.lit("negative"))
+
+
+def strip_suffix(name, suffix: str) -> Column:
+    """Drop a fixed suffix such as ``_median`` from a name column."""
+    import re
+    return F.regexp_replace(_col(name), re.escape(suffix) + "$", "")
+
+
+def relabel(name, mapping: dict) -> Column:
+    """Rename values by a dictionary, others unchanged."""
+    return F.coalesce(F.try_element_at(map_literal(mapping), _col(name)), _col(name))
+
+
+def rename_columns(df, mapping: dict):
+    """Rename columns by a dictionary (pretty names for a sink)."""
+    return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.functions.labels import edge_sign, edge_width, normalize_key
+from faultline.functions.labels import edge_sign, edge_width, normalize_key, strip_suffix
 from faultline.operators import counts as C
 from faultline.operators import stats as S
 from faultline.operators.ranks import global_positions, midranks as midranks_op
@@ -130,9 +130,12 @@ def domain_medians(spark, sf_dir):
 
 
 def domain_zscores(spark, sf_dir):
-    """W2 (+T17): median profile per domain standardized per category."""
+    """Median profile per domain (columns named ``<type>_median``,
+    suffix stripped after the unpivot) standardized per category."""
     med = S.medians_all_present(merged(spark, sf_dir), "domain", TYPE_ORDER)
-    long = S.to_long(med, "domain", TYPE_ORDER, "category", "median")
+    med = med.select("domain", *[F.col(t).alias(f"{t}_median") for t in TYPE_ORDER])
+    long = S.to_long(med, "domain", [f"{t}_median" for t in TYPE_ORDER], "category", "median")
+    long = long.withColumn("category", strip_suffix("category", "_median"))
     return S.zscores(long, "category", "median").withColumn("z", _r6(F.col("z")))
 
 

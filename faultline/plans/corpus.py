@@ -206,6 +206,15 @@ def page_quarantine(spark, sf_dir):
     return x.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
+def page_block_text(spark, sf_dir):
+    """P7 (nested-tag path): text of the first ``div.ad`` block by a real
+    HTML parser in ``mapInPandas``; the wide html column is dropped inside
+    the task, so only (page_id, text) leaves it."""
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.mapInPandas(H.element_text_batches("div", "ad", "html", "ad_text"),
+                             "page_id long, ad_text string")
+
+
 def two_hop_links(spark, sf_dir):
     """Links of each page plus the links of the pages they point to
     (pages are keyed by URL, so each hop is a many-to-one join)."""

@@ -338,6 +338,9 @@ SELECT page_id,
   array_to_string(paras, chr(10)) AS body, len(paras) AS n_paragraphs,
   array_to_string({nav}, '|') AS nav_labels
 FROM (SELECT page_id, html, {paras} AS paras FROM pages) p"""
+    o["page_block_text"] = (
+        "SELECT page_id, " + strip("regexp_extract(html, '(?s)<div[^>]*class=" + '"(?:[^"]* )?ad(?: [^"]*)?"'
+                                   + "[^>]*>(.*?)</div>', 1)") + " AS ad_text FROM pages")
     hrefs = f"list_transform(regexp_extract_all(html, {q(HREF_PATTERN)}, 1), lambda h: replace(h, chr(10), ''))"
     o["page_quarantine"] = f"""
 SELECT * FROM (

@@ -26,7 +26,7 @@ CORPUS = {
     "time_window_limit": corpus.time_window_limit, "page_links": corpus.page_links,
     "page_title": corpus.page_title, "page_main_text": corpus.page_main_text,
     "page_quarantine": corpus.page_quarantine, "two_hop_links": corpus.two_hop_links,
-    "url_parts": corpus.url_parts,
+    "url_parts": corpus.url_parts, "page_block_text": corpus.page_block_text,
 }
 
 
