@@ -111,6 +111,28 @@ def _chi2_upper_sql(x: str, df: str, terms: int = 400) -> str:
             f"WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1.0 - {lower}) END")
 
 
+def _beta_series_sql(z: str, p: str, qq: str, terms: int = 4000) -> str:
+    """I_z(p, q) by the power series
+    z^p (1-z)^q / (p B(p, q)) * sum_k [Gamma(p+q+k) Gamma(p+1) / (Gamma(p+q) Gamma(p+1+k))] z^k."""
+    front = (f"exp({p} * ln({z}) + {qq} * ln(1 - {z}) + lgamma({p} + {qq}) - lgamma({p}) - lgamma({qq})) / {p}")
+    series = (f"list_sum(list_transform(range(0, {terms}), lambda k: exp(lgamma({p} + {qq} + k) - lgamma({p} + {qq})"
+              f" - lgamma({p} + 1 + k) + lgamma({p} + 1) + k * ln({z}))))")
+    return f"({front} * {series})"
+
+
+def _t_p_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation: I_{1-r^2}((n-2)/2, 1/2), evaluated on
+    the side where the series converges fast (the symmetry
+    I_x(a, b) = 1 - I_{1-x}(b, a))."""
+    a = f"(({n} - 2) / 2.0)"
+    x = f"(1 - {r} * {r})"
+    direct = _beta_series_sql(x, a, "0.5")
+    mirrored = f"(1 - {_beta_series_sql(f'({r} * {r})', '0.5', a)})"
+    return (f"CASE WHEN {r} IS NULL OR {n} < 5 THEN NULL WHEN abs({r}) >= 1 THEN 0.0 "
+            f"WHEN {r} = 0 THEN 1.0 "
+            f"WHEN {x} < ({a} + 1) / ({a} + 2.5) THEN {direct} ELSE {mirrored} END")
+
+
 def analysis_oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     o["project_matrix"] = (
@@ -165,6 +187,10 @@ WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY a.domain, b.domain""")
                      + f"SELECT project, category, n, {_midrank('category', 'n')} AS rank FROM long")
     o["spearman_attrs"] = _spearman_listwise_sql(MERGED, TYPE_ORDER, ATTRS)
     inner = _spearman_listwise_sql(MERGED, TYPE_ORDER, ATTRS)
+    o["spearman_pvalues"] = (f"SELECT row_name, col_name, round(rho_raw, 6) AS rho, n, "
+                             f"round({_t_p_sql('rho_raw', 'n')}, 6) AS p_value FROM ("
+                             + inner.replace("round(" + _corr('a.r', 'b.r') + ", 6) AS rho",
+                                             _corr('a.r', 'b.r') + " AS rho_raw") + ") s")
     o["corr_transposed"] = ("SELECT col_name AS attribute, " + ", ".join(
         f"max(rho) FILTER (WHERE row_name = {q(t)}) AS {t}" for t in TYPE_ORDER)
         + f" FROM ({inner}) s GROUP BY col_name")
