@@ -4,14 +4,16 @@ Everything here returns a ``Column`` built from Spark built-ins and
 higher-order functions, so the whole cleaning chain runs inside the JVM and
 composes into any projection.
 
-Tokenizer (re-aimed T1): lowercase the text, then take maximal runs of
-non-space, non-punctuation characters and maximal runs of ASCII punctuation as
-tokens. Differences from a Treebank tokenizer: contractions split at the
-apostrophe (``don't`` -> ``don`` ``'`` ``t``), quotes stay as they are, and a
-run like ``--`` or ``...`` stays one token.
+Tokenizer (re-aimed T1): lowercase the text, then take maximal word runs
+(non-space, non-punctuation characters, joined by inner ``. / - _`` as in
+``2.0``, ``src/a.ts``, ``well-known``) and maximal runs of ASCII punctuation
+as tokens. Differences from a Treebank tokenizer: contractions split at the
+apostrophe (``don't`` -> ``don`` ``'`` ``t``), quotes stay as they are, a
+run like ``--`` or ``...`` stays one token, and other inner punctuation
+(``a,b``, ``x:y``) splits.
 
 Lemmatizer (re-aimed T7): an exception table, then noun suffix rules applied
-to tokens longer than three characters: ``ies -> y``; ``(ch|sh|x|z|ss)es``
+to alphabetic tokens longer than three characters: ``ies -> y``; ``(ch|sh|x|z|ss)es``
 drops ``es``; ``men -> man``; a final ``s`` is dropped unless it follows
 ``s``, ``u`` or ``i``. Verb forms are left alone (``fixed`` stays).
 """
@@ -80,7 +82,12 @@ LEMMA_EXCEPTIONS = {
 _WS = "\\t\\n\\x0B\\f\\r "
 # ASCII punctuation as ranges: ! to /, : to @, [ to `, { to ~.
 _PUNCT_CLASS = "!-/:-@\\[-`{-~"
-TOKEN_PATTERN = f"[^{_WS}{_PUNCT_CLASS}]+|[{_PUNCT_CLASS}]+"
+# A word run may hold inner . / - _ between word characters (2.0, src/a.ts,
+# well-known, snake_case); other punctuation runs are tokens of their own.
+_WORD = f"[^{_WS}{_PUNCT_CLASS}]+"
+TOKEN_PATTERN = f"{_WORD}(?:[./_-]{_WORD})*|[{_PUNCT_CLASS}]+"
+# Suffix rules apply to alphabetic tokens only; other tokens stay as they are.
+ALPHA_PATTERN = "^[a-z]+$"
 ASCII_ONLY_PATTERN = "^[\\x00-\\x7F]*$"
 SYMBOL_PATTERN = "^[\\p{So}\\p{Sm}\\p{Sk}\\p{Sc}]$"
 
@@ -125,7 +132,7 @@ def lemma(token: Column, exceptions: dict | None = None) -> Column:
     tests and substrings, no regular expressions in the hot path)."""
     exceptions = LEMMA_EXCEPTIONS if exceptions is None else exceptions
     n = F.length(token)
-    long = n > 3
+    long = (n > 3) & token.rlike(ALPHA_PATTERN)
     es_plural = (token.endswith("ches") | token.endswith("shes") | token.endswith("xes")
                  | token.endswith("zes") | token.endswith("sses"))
     plain_s = token.endswith("s") & ~token.endswith("ss") & ~token.endswith("us") & ~token.endswith("is")

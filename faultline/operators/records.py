@@ -102,3 +102,49 @@ def other_author_comments(comments: DataFrame, key: str, author: str, issue_auth
     safe, from the issue author of the same key."""
     c = comments.withColumn(author, F.coalesce(F.col(author), F.lit("Unknown")))
     return c.join(issue_author, key, "left").where(~F.col(author).eqNullSafe(F.col("issue_author")))
+
+
+def assemble_records(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
+    """P15 + J6 + U1 + K1 rule: nested commit records from landed pages.
+
+    ``commit_pages`` is (commit_url, html) of the commits to collect;
+    ``pages`` is (url, html) of every landed page. Hop 1 takes the wanted
+    links of the commit page; pull-request pages add their issue and security
+    links (hop 2). Each linked page is joined by URL (many-to-one), extracted
+    by its kind, quarantined when extraction failed (K9), and the parts are
+    grouped back per commit in URL order. A commit without parts of a kind
+    gets NULL for that list. The wide html column never reaches the grouping
+    shuffles: only extracted structs do."""
+    from faultline.functions import pages as PG
+    from faultline.functions.urls import ISSUE_ONLY_KINDS, hrefs, is_wanted_link, url_groups
+
+    pages = pages.select("url", "html")
+    c = commit_pages.select("commit_url", "html")
+    links1 = c.select("commit_url", F.explode(F.filter(hrefs("html"), lambda u: is_wanted_link(
+        u, F.col("commit_url")))).alias("url")).distinct()
+    pr_pages = links1.where(F.col("url").contains("/pull/")).join(pages, "url", "inner")
+    links2 = pr_pages.select("commit_url", F.explode(F.filter(hrefs("html"), lambda u: is_wanted_link(
+        u, F.col("url"), kinds=ISSUE_ONLY_KINDS))).alias("url"))
+    others = links1.where(~F.col("url").contains("/pull/")).unionByName(links2).distinct()
+    issue_urls = others.where(F.col("url").contains("/issues/"))
+    security_urls = others.where(~F.col("url").contains("/issues/") & F.col("url").contains("/security/"))
+
+    def parts(df: DataFrame, extract, valid, name: str) -> DataFrame:
+        x = df.select("commit_url", "url", extract(F.col("html")).alias("_part"))
+        if valid is not None:
+            x = x.where(valid(F.col("_part")))
+        return (x.groupBy("commit_url")
+                 .agg(F.sort_array(F.collect_list(F.struct(F.col("url").alias("u"),
+                                                           F.col("_part").alias("p")))).alias("_l"))
+                 .select("commit_url", F.transform("_l", lambda e: e["p"]).alias(name)))
+
+    prs = parts(pr_pages, PG.pr_page, PG.pr_page_valid, "pull_requests")
+    issues = parts(issue_urls.join(pages, "url", "inner"), PG.issue_page, PG.issue_page_valid, "issues")
+    security = parts(security_urls.join(pages, "url", "inner"), PG.security_page, None, "security")
+    _, _, sha7 = url_groups("commit_url")
+    commits = (c.select(sha7.alias("commit_index"), "commit_url", PG.commit_page("html").alias("commit"))
+                .where(PG.commit_page_valid(F.col("commit"))))
+    return (commits.join(prs, "commit_url", "left")
+                   .join(issues, "commit_url", "left")
+                   .join(security, "commit_url", "left")
+                   .select("commit_index", "commit_url", "commit", "pull_requests", "issues", "security"))

@@ -250,10 +250,11 @@ def _clean_sql(text_expr: str) -> str:
                                           TOKEN_PATTERN, ASCII_ONLY_PATTERN)
     stops = "[" + ", ".join(q(w) for w in STOP_WORDS) + "]"
     exc = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in LEMMA_EXCEPTIONS.items())
-    rules = ("CASE WHEN length(t) > 3 AND regexp_matches(t, 'ies$') THEN regexp_replace(t, 'ies$', 'y') "
-             "WHEN length(t) > 3 AND regexp_matches(t, '(ch|sh|x|z|ss)es$') THEN regexp_replace(t, 'es$', '') "
-             "WHEN length(t) > 3 AND regexp_matches(t, 'men$') THEN regexp_replace(t, 'men$', 'man') "
-             "WHEN length(t) > 3 AND regexp_matches(t, '[^sui]s$') THEN regexp_replace(t, 's$', '') "
+    g = "length(t) > 3 AND regexp_matches(t, '^[a-z]+$')"
+    rules = (f"CASE WHEN {g} AND regexp_matches(t, 'ies$') THEN regexp_replace(t, 'ies$', 'y') "
+             f"WHEN {g} AND regexp_matches(t, '(ch|sh|x|z|ss)es$') THEN regexp_replace(t, 'es$', '') "
+             f"WHEN {g} AND regexp_matches(t, 'men$') THEN regexp_replace(t, 'men$', 'man') "
+             f"WHEN {g} AND regexp_matches(t, '[^sui]s$') THEN regexp_replace(t, 's$', '') "
              "ELSE t END")
     lemma = f"coalesce(CASE t {exc} END, {rules})"
     keep = (f"NOT contains({q(PUNCTUATION)}, t) AND regexp_matches(t, {q(ASCII_ONLY_PATTERN)}) "

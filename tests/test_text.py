@@ -28,6 +28,11 @@ def test_empty_and_null(spark):
     assert out == [[], None]
 
 
+def test_inner_punctuation_kept_in_words(spark):
+    assert _clean(spark, "Bump to 2.0 in src/a.ts, well-known files.") == ["bump", "2.0", "src/a.ts",
+                                                                           "well-known", "file"]
+
+
 def test_contractions_split(spark):
     assert _clean(spark, "don't won't") == []
 
