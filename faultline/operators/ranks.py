@@ -68,6 +68,28 @@ def midranks(df: DataFrame, keys: list[str], value: str, out: str = "rank",
     return df.join(ranked, keys + [value], "left")
 
 
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
+                 buckets: int = DEFAULT_RANGE_BUCKETS) -> DataFrame:
+    """Exact median per key without buffering a group in one task.
+
+    The value histogram is ranked (``rank_histogram``); each distinct value
+    covers positions [rank - (c-1)/2, rank + (c-1)/2]. The median is the mean
+    of the values at positions floor((n+1)/2) and ceil((n+1)/2). NULLs are
+    ignored; a key with no value is absent."""
+    hist = histogram(df, keys, value)
+    ranked = rank_histogram(hist, keys, value, "_rank", buckets)
+    sizes = hist.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
+    half = (F.col("_cnt") - 1).cast("double") / 2.0
+    lo = F.floor((F.col("_n") + 1) / 2.0)
+    hi = F.ceil((F.col("_n") + 1) / 2.0)
+    start, end = F.col("_rank") - half, F.col("_rank") + half
+    x = ranked.join(sizes, keys, "inner").where(((start <= lo) & (lo <= end)) | ((start <= hi) & (hi <= end)))
+    v = F.col(value).cast("double")
+    return x.groupBy(*keys).agg(
+        ((F.min(F.when((start <= lo) & (lo <= end), v)) + F.min(F.when((start <= hi) & (hi <= end), v)))
+         / 2.0).alias(out))
+
+
 def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos",
               buckets: int = 64, bucket_expr: Column | None = None) -> DataFrame:
     """0-based position per ``keys`` in the order (bucket, *order).

@@ -88,9 +88,13 @@ def empty_to_null(arr: Column) -> Column:
 def number_surviving(df: DataFrame, key: str, order: str, keep: Column, out: str = "discussion_number",
                      start: int = 2) -> DataFrame:
     """F4 + W5: drop rows failing ``keep`` and number the rest per key in
-    ``order`` starting at ``start`` (the description is number 1)."""
+    ``order`` (unique within a key) starting at ``start`` (the description
+    is number 1). Positions come from bucketed ranks of ``order``, so a key
+    with a huge number of rows is not sorted in one task."""
+    from faultline.operators.ranks import midranks
     kept = df.where(keep)
-    return kept.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(order)) + (start - 1))
+    ranked = midranks(kept, [key], order, out="_pos")
+    return ranked.withColumn(out, (F.col("_pos") + (start - 1)).cast("int")).drop("_pos")
 
 
 def bot_mask(first_paragraph: Column, phrase_pairs) -> Column:

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from faultline.functions.stats import chi2_upper_col, corr_p_value_udf, nan_to_null
 from faultline.session import materialize
-from faultline.operators.ranks import DEFAULT_RANGE_BUCKETS, histogram, midranks, rank_histogram
+from faultline.operators.ranks import (DEFAULT_RANGE_BUCKETS, exact_median, histogram, midranks,
+                                      rank_histogram)
 
 
 def to_long(wide: DataFrame, unit, names: list[str], name_col: str = "name",
@@ -149,11 +150,20 @@ def kruskal_wallis(long: DataFrame, name: str, group: str, value: str,
     return out.select(name, "h", "df", "p_value", "n")
 
 
-def medians_all_present(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
-    """A5: exact median per group and column; any NULL in a group -> NULL."""
-    aggs = [F.when(F.count(F.col(f"`{c}`")) == F.count(F.lit(1)), F.median(F.col(f"`{c}`"))).alias(c)
-            for c in cols]
-    return df.groupBy(group).agg(*aggs)
+def medians_all_present(df: DataFrame, group: str, cols: list[str],
+                        buckets: int = DEFAULT_RANGE_BUCKETS) -> DataFrame:
+    """A5: exact median per group and column; any NULL in a group -> NULL.
+
+    Computed on the long form from value histograms (``exact_median``), so a
+    group holding a third of all rows is never buffered in one task; the
+    NULL rule comes from a per-(group, column) count."""
+    long = to_long(df, group, cols, "_name", "_value")
+    med = exact_median(long, [group, "_name"], "_value", "_median", buckets)
+    complete = long.groupBy(group, "_name").agg(
+        (F.count("_value") == F.count(F.lit(1))).alias("_complete"))
+    cell = complete.join(med, [group, "_name"], "left") \
+                   .select(group, "_name", F.when(F.col("_complete"), F.col("_median")).alias("_m"))
+    return cell.groupBy(group).pivot("_name", cols).agg(F.first("_m"))
 
 
 def zscores(long: DataFrame, by: str, value: str, out: str = "z") -> DataFrame:

@@ -114,3 +114,18 @@ def test_medians_zscores_distance(spark):
     d = S.profile_distance(S.zscores(long, "category", "median"), "domain", "category", "z", 2).first()
     # one usable coordinate out of two -> scaled by 2
     assert d.distance == pytest.approx(math.sqrt((2 / math.sqrt(2)) ** 2 * 2))
+
+
+def test_exact_median_matches_pandas(spark):
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for g, n in (("a", 1), ("b", 2), ("c", 7), ("d", 40), ("e", 41)):
+        for i in range(n):
+            rows.append((g, float(rnd.choice([1, 2, 2, 3, 5, 8, 8, 8, 13]))))
+    rows.append(("d", None))
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.median for r in RK.exact_median(df, ["g"], "v", buckets=4).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "v"])
+    for g, m in pdf.groupby("g")["v"].median().items():
+        assert got[g] == pytest.approx(m)
