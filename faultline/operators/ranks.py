@@ -5,9 +5,9 @@ puts all rows of a key into one task. The helpers here avoid that:
 
 * ``midranks`` ranks the *value histogram* (``groupBy(key, value).count()``,
   partially aggregated before the shuffle, so a hot value collapses to one
-  row), splits each key's histogram into value ranges by approximate
-  quantiles, ranks inside each range and adds the row count of the ranges
-  before it. Ties never straddle a range, so average ranks are exact.
+  row), range-partitions it on (key, value) with sampled bounds, ranks inside
+  each range and adds the row counts of the ranges before it. A value is one
+  histogram row, so ties never straddle a range and average ranks are exact.
 * ``positions`` numbers rows 0..n-1 per key in a given order by hashing rows
   into buckets first: offsets come from the small (key, bucket) count table.
 * ``global_positions`` numbers all rows in a total order after a range
@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_RANGE_BUCKETS = 32
+# Number of range partitions for ranking; None -> spark.sql.shuffle.partitions.
+DEFAULT_RANGE_BUCKETS = None
 
 
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -32,29 +33,29 @@ def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def rank_histogram(hist: DataFrame, keys: list[str], value: str, out: str = "rank",
-                   buckets: int = DEFAULT_RANGE_BUCKETS) -> DataFrame:
-    """Mid ranks on a histogram (keys, value, _cnt) -> adds ``out``."""
-    if buckets and buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        bounds = hist.groupBy(*keys).agg(
-            F.percentile_approx(F.col(value).cast("double"), probs, 10000).alias("_bounds"))
-        # One row per key (size bounded by the number of keys), joined on keys.
-        hist = hist.join(bounds, keys, "inner").withColumn(
-            "_bucket",
-            F.size(F.filter("_bounds", lambda b: b < F.col(value).cast("double")))).drop("_bounds")
-    else:
-        hist = hist.withColumn("_bucket", F.lit(0))
-    per_bucket = hist.groupBy(*keys, "_bucket").agg(F.sum("_cnt").alias("_btot"))
-    w_off = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_btot").over(w_off), F.lit(0))) \
-                        .drop("_btot")
-    w_in = Window.partitionBy(*keys, "_bucket").orderBy(value) \
+                   buckets: int | None = DEFAULT_RANGE_BUCKETS) -> DataFrame:
+    """Mid ranks on a histogram (keys, value, _cnt) -> adds ``out``.
+
+    The histogram (one row per distinct value and key) is range-partitioned
+    on (keys, value); bounds come from sampling, so partitions are balanced
+    whatever the skew of keys. Each partition's row count per key gives the
+    offsets; inside a (key, partition) slice a window accumulates counts.
+    No sort ever spans more than one range partition. ``buckets`` is the
+    number of range partitions (default: ``spark.sql.shuffle.partitions``,
+    which is sized to the cluster)."""
+    n = buckets or int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    x = hist.repartitionByRange(n, *[F.col(k) for k in keys], F.col(value)) \
+            .withColumn("_part", F.spark_partition_id())
+    per_part = x.groupBy(*keys, "_part").agg(F.sum("_cnt").alias("_ptot"))
+    w_off = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.withColumn("_off", F.coalesce(F.sum("_ptot").over(w_off), F.lit(0))).drop("_ptot")
+    w_in = Window.partitionBy(*keys, "_part").orderBy(value) \
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (hist.withColumn("_cum", F.sum("_cnt").over(w_in))
-                .join(offsets, keys + ["_bucket"], "inner")
-                .withColumn(out, (F.col("_off") + F.col("_cum") - F.col("_cnt")).cast("double")
-                            + (F.col("_cnt") + F.lit(1)).cast("double") / F.lit(2.0))
-                .drop("_bucket", "_cum", "_off"))
+    return (x.withColumn("_cum", F.sum("_cnt").over(w_in))
+             .join(offsets, keys + ["_part"], "inner")
+             .withColumn(out, (F.col("_off") + F.col("_cum") - F.col("_cnt")).cast("double")
+                         + (F.col("_cnt") + F.lit(1)).cast("double") / F.lit(2.0))
+             .drop("_part", "_cum", "_off"))
 
 
 def midranks(df: DataFrame, keys: list[str], value: str, out: str = "rank",
