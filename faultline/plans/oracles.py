@@ -159,7 +159,7 @@ def analysis_oracles() -> dict[str, str]:
                            "(SELECT nation_key FROM d WHERE n_regionkey < 4)")
     lvl = " ".join(f"WHEN {q(d)} THEN {i + 1}" for i, d in enumerate(DOMAIN_ORDER))
     o["project_order"] = (_with(p=PROJECTS) + f"""
-SELECT project, domain, loc, domain_level,
+SELECT project, domain, loc, CAST(domain_level AS BIGINT) AS domain_level,
   row_number() OVER (ORDER BY domain_level ASC NULLS LAST, domain ASC NULLS LAST, loc DESC NULLS LAST, project ASC) AS position
 FROM (SELECT project, domain, loc, CASE domain {lvl} END AS domain_level FROM p
       WHERE project IN (SELECT project FROM ({BUGS}) b)) x""")
@@ -218,7 +218,7 @@ GROUP BY row_name, col_name""")
         cross = cross.replace(f"'\"{d}\"'", q(d))
     o["spearman_cross"] = cross
     o["fanout_sum"] = f"""
-SELECT d.project, d.dep_category, sum(coalesce(n.n, 0)) AS type_bugs
+SELECT d.project, d.dep_category, CAST(sum(coalesce(n.n, 0)) AS BIGINT) AS type_bugs
 FROM (SELECT o_custkey AS project, o_orderpriority AS dep_category FROM orders) d
 LEFT JOIN (SELECT project, count(*) AS n FROM ({VALID_BUGS}) v WHERE bug_type = {q(FANOUT_TYPE)} GROUP BY project) n
   USING (project)
@@ -237,7 +237,7 @@ hh AS (SELECT h.category, h.n, h.k - 1 AS df,
     / nullif(1.0 - ties.tie / (CAST(h.n AS DOUBLE) * h.n * h.n - h.n), 0) AS hstat
   FROM h JOIN ties USING (category))
 SELECT category, round(hstat, 6) AS h, CAST(df AS INTEGER) AS df,
-  round(""" + _chi2_upper_sql("hstat", "df") + """, 6) AS p_value, n
+  round(""" + _chi2_upper_sql("hstat", "df") + """, 6) AS p_value, CAST(n AS BIGINT) AS n
 FROM hh""")
     return o
 
@@ -269,14 +269,14 @@ def corpus_oracles() -> dict[str, str]:
     from faultline.functions.urls import HREF_PATTERN
     from faultline.plans import corpus as C
     o: dict[str, str] = {}
-    o["clean_tokens"] = (f"SELECT doc_id, array_to_string(toks, ' ') AS tokens, len(toks) AS n_tokens "
+    o["clean_tokens"] = (f"SELECT doc_id, array_to_string(toks, ' ') AS tokens, CAST(len(toks) AS INTEGER) AS n_tokens "
                          f"FROM (SELECT doc_id, {_clean_sql('text')} AS toks FROM documents) t")
     o["token_counts"] = (f"SELECT token, count(*) AS n FROM (SELECT unnest({_clean_sql('text')}) AS token "
                          f"FROM documents) t GROUP BY token")
     wanted = " OR ".join(f"list_contains(toks, {q(w)})" for w in C.TITLE_WANTED)
     excluded = "[" + ", ".join(q(w) for w in C.TITLE_EXCLUDED) + "]"
     o["fix_title_filter"] = f"""
-SELECT doc_id, line_no, title FROM (
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, title FROM (
   SELECT doc_id, line_no, title, {_clean_sql('title')} AS toks FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS title,
            unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no
@@ -296,8 +296,8 @@ SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role <> 'system') AS
   count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant
 FROM conversations GROUP BY conv_id"""
     o["nested_record"] = f"""
-SELECT conv_id, to_json({{'total_discussions': CAST(len(ds) AS INTEGER),
-                         'discussions': CASE WHEN len(ds) > 0 THEN ds END}}) AS record_json FROM (
+SELECT conv_id, CAST(to_json({{'total_discussions': CAST(len(ds) AS INTEGER),
+                         'discussions': CASE WHEN len(ds) > 0 THEN ds END}}) AS VARCHAR) AS record_json FROM (
   SELECT conv_id, list({{'discussion_number': CAST(turn + 1 AS INTEGER),
     'comments': [{{'type': CASE WHEN first THEN 'description' END, 'content': toks,
                    'author': CASE WHEN first THEN role END}}]}} ORDER BY turn) AS ds
@@ -325,7 +325,7 @@ LEFT JOIN conversations a ON a.conv_id = i.conv_id AND a.turn = i.turn"""
     o["event_props_json"] = ("SELECT event_id, CASE WHEN json_valid(props) THEN "
                              "TRY_CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events")
     o["time_window_limit"] = f"""
-SELECT event_id, user_id, ts, rn FROM (
+SELECT event_id, user_id, ts, CAST(rn AS INTEGER) AS rn FROM (
   SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ASC) AS rn
   FROM events WHERE ts BETWEEN TIMESTAMP '{C.WINDOW_SINCE}' AND TIMESTAMP '{C.WINDOW_UNTIL}') e
 WHERE rn <= {C.LISTING_CAP}"""
@@ -337,7 +337,7 @@ WHERE rn <= {C.LISTING_CAP}"""
     keep = f"({hosts}) AND NOT contains(u, 'tree/HEAD/') AND NOT coalesce(contains(u, url), false)"
     links = f"list_sort(list_distinct(list_filter({resolved}, lambda u: {keep})))"
     page_links = f"SELECT page_id, url, {links} AS links FROM pages"
-    o["page_links"] = (f"SELECT page_id, len(links) AS n_links, array_to_string(links, ' ') AS links "
+    o["page_links"] = (f"SELECT page_id, CAST(len(links) AS INTEGER) AS n_links, array_to_string(links, ' ') AS links "
                        f"FROM ({page_links}) p")
 
     def unesc(x):
@@ -362,7 +362,7 @@ WHERE rn <= {C.LISTING_CAP}"""
 SELECT page_id,
   {strip("regexp_extract(html, '(?s)<div[^>]*class=" + '"(?:[^"]* )?ad(?: [^"]*)?"' + "[^>]*>(.*?)</div>', 1)")} AS ad_text,
   {strip("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS heading,
-  array_to_string(paras, chr(10)) AS body, len(paras) AS n_paragraphs,
+  array_to_string(paras, chr(10)) AS body, CAST(len(paras) AS INTEGER) AS n_paragraphs,
   array_to_string({nav}, '|') AS nav_labels
 FROM (SELECT page_id, html, {paras} AS paras FROM pages) p"""
     o["page_block_text"] = (
@@ -374,8 +374,9 @@ SELECT * FROM (
   SELECT page_id, url, n_paragraphs, n_links, html_chars,
     CASE WHEN n_paragraphs < {C.MIN_PARAGRAPHS} THEN 'no_paragraphs'
          WHEN n_links < {C.MIN_LINKS} THEN 'few_links' END AS reason
-  FROM (SELECT page_id, url, len({paras}) AS n_paragraphs, len(list_distinct({hrefs})) AS n_links,
-               length(html) AS html_chars FROM pages) x) y
+  FROM (SELECT page_id, url, CAST(len({paras}) AS INTEGER) AS n_paragraphs,
+               CAST(len(list_distinct({hrefs})) AS INTEGER) AS n_links,
+               CAST(length(html) AS INTEGER) AS html_chars FROM pages) x) y
 WHERE reason IS NOT NULL"""
     o["two_hop_links"] = f"""
 WITH p AS ({page_links}),

@@ -13,6 +13,8 @@ from faultline.sources.tables import TABLES
 from conftest import SF_SMALL
 
 RANDOMIZED = {"classify_embeddings"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
 def _norm(v):
@@ -48,6 +50,10 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
+    otypes = dict(zip(ocols, [str(t) for t in res.description and duck.sql(
+        f"SELECT * FROM ({oracle_sql()[name]}) q LIMIT 0").types]))
+    for col, t in df.dtypes:
+        assert TYPES.get(t, t) == otypes[col], (col, t, otypes[col])
     assert _canon(rows, df.columns) == _canon(res.fetchall(), ocols)
 
 
