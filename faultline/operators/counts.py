@@ -43,7 +43,9 @@ def unpivot_long(wide: DataFrame, ids: list[str], cols: list[str], name: str, va
 
 def column_summary(matrix: DataFrame, cols: list[str], label_col: str, mean_digits: int = 2) -> DataFrame:
     """A4 + U2 + T18: totals row and means row (half-even rounding), each one
-    global aggregation, appended with ``unionByName``."""
+    global aggregation, appended with ``unionByName``. The summary rows are a
+    separate frame with a ``row_kind`` column and are never mixed into the
+    matrix, so no later step has to drop them again (F11)."""
     totals = matrix.agg(*[F.sum(F.col(f"`{c}`")).cast("double").alias(c) for c in cols]) \
                    .withColumn(label_col, F.lit("Total"))
     means = matrix.agg(*[F.bround(F.avg(F.col(f"`{c}`")), mean_digits).alias(c) for c in cols]) \

@@ -79,7 +79,8 @@ def spearman_listwise(wide: DataFrame, unit: str, rows: list[str], cols: list[st
 
 
 def pair_rows(wide: DataFrame, unit: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """One row per (unit, pair) where both values are present."""
+    """J9 (all pairs of columns): one row per (unit, pair) where both values
+    are present, made by a generator over the row (no self-join)."""
     items = [
         F.struct(F.lit(a).alias("row_name"), F.lit(b).alias("col_name"),
                  F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y"))
@@ -176,7 +177,8 @@ def zscores(long: DataFrame, by: str, value: str, out: str = "z") -> DataFrame:
 
 
 def profile_distance(long: DataFrame, item: str, feature: str, value: str, n_features: int) -> DataFrame:
-    """ST5: Euclidean distance between item profiles over shared features.
+    """ST5 + J9 (all pairs of rows): Euclidean distance between item profiles
+    over shared features.
 
     Missing coordinates are skipped and the sum is scaled by
     ``n_features / used`` (the rule R's ``dist`` applies to NA). The input is

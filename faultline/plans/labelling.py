@@ -69,7 +69,8 @@ def coverage_summary(spark, sf_dir):
 
 
 def category_by_repo(spark, sf_dir):
-    """J5 J7 A9 W4."""
+    """The category x repository count table (the printed
+    report of the original is this result)."""
     lookup = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"))
     return V.category_by_repo(_predicted(spark, sf_dir), lookup, "doc_id", "predicted", "repo", REPOS)
 
