@@ -42,15 +42,19 @@ def unpivot_long(wide: DataFrame, ids: list[str], cols: list[str], name: str, va
 
 
 def column_summary(matrix: DataFrame, cols: list[str], label_col: str, mean_digits: int = 2) -> DataFrame:
-    """A4 + U2 + T18: totals row and means row (half-even rounding), each one
-    global aggregation, appended with ``unionByName``. The summary rows are a
-    separate frame with a ``row_kind`` column and are never mixed into the
-    matrix, so no later step has to drop them again (F11)."""
-    totals = matrix.agg(*[F.sum(F.col(f"`{c}`")).cast("double").alias(c) for c in cols]) \
-                   .withColumn(label_col, F.lit("Total"))
-    means = matrix.agg(*[F.bround(F.avg(F.col(f"`{c}`")), mean_digits).alias(c) for c in cols]) \
-                  .withColumn(label_col, F.lit("Mean"))
-    return totals.unionByName(means).select(label_col, *cols)
+    """A4 + U2 + T18: totals row and means row (half-even rounding) from ONE
+    global aggregation (partial in every task), turned into two rows. The
+    summary rows are a separate frame with a ``row_kind`` column and are
+    never mixed into the matrix, so no later step has to drop them (F11)."""
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs.append(F.sum(F.col(f"`{c}`")).cast("double").alias(f"_s{i}"))
+        aggs.append(F.bround(F.avg(F.col(f"`{c}`")), mean_digits).alias(f"_m{i}"))
+    one = matrix.agg(*aggs)
+    rows = F.array(
+        F.struct(F.lit("Total").alias(label_col), *[F.col(f"_s{i}").alias(c) for i, c in enumerate(cols)]),
+        F.struct(F.lit("Mean").alias(label_col), *[F.col(f"_m{i}").alias(c) for i, c in enumerate(cols)]))
+    return one.select(F.inline(rows))
 
 
 def shares(counts: DataFrame, unit: str, n: str = "n", out: str = "share") -> DataFrame:
@@ -60,11 +64,11 @@ def shares(counts: DataFrame, unit: str, n: str = "n", out: str = "share") -> Da
                                                F.sum(n).over(Window.partitionBy(unit))))
 
 
-def order_position(values: list[str]) -> Column:
-    """O2: position in a custom level list (1-based), NULL when unknown."""
-    def pos(c):
-        return F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]), c), F.lit(0))
-    return pos
+def level_position(col, values: list[str]) -> Column:
+    """O2: 1-based position of a value in a custom level list, NULL when the
+    value is not in the list (so ``asc_nulls_last`` puts unknown levels last)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]), c), F.lit(0))
 
 
 def mean_and_strict_total(df: DataFrame, cols: list[str]) -> DataFrame:

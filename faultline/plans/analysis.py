@@ -95,8 +95,7 @@ def project_order(spark, sf_dir):
     then id; the position is computed without a single-task window."""
     p = projects(spark, sf_dir).select("project", "domain", "loc")
     p = p.join(bugs(spark, sf_dir).select("project"), "project", "left_semi")
-    lvl = F.array(*[F.lit(d) for d in DOMAIN_ORDER])
-    p = p.withColumn("domain_level", F.nullif(F.array_position(lvl, F.col("domain")), F.lit(0)))
+    p = p.withColumn("domain_level", C.level_position("domain", DOMAIN_ORDER))
     order = [F.col("domain_level").asc_nulls_last(), F.col("domain").asc_nulls_last(),
              F.col("loc").desc_nulls_last(), F.col("project").asc()]
     return global_positions(p, order, "position")
