@@ -69,15 +69,24 @@ def with_features(df: DataFrame, embedding_col: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(embedding_col)))
 
 
-def text_pipeline(text_col: str = "text", label_col: str = "label", num_features: int = 1 << 18) -> Pipeline:
-    """M3 alternative for raw text: split tokens -> hashed counts -> IDF ->
-    multinomial logistic regression, labels indexed from strings."""
+def text_pipeline(text_col: str = "text", label_col: str = "_label", num_features: int = 1 << 18) -> Pipeline:
+    """M3 alternative for raw text: whitespace tokens -> hashed counts ->
+    IDF -> multinomial logistic regression on an indexed label column."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\s+")
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="features")
-    idx = StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="skip")
-    lr = embedding_classifier("_label")
-    return Pipeline(stages=[tok, tf, idf, idx, lr])
+    return Pipeline(stages=[tok, tf, idf, embedding_classifier(label_col)])
+
+
+def fit_text_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
+                        num_features: int = 1 << 18) -> tuple[PipelineModel, list[str]]:
+    """M3: index the string labels (alphabetical, so runs are repeatable),
+    fit the text pipeline, return the model and its class list (one entry
+    per class; prediction i is class i). Prediction input needs no label."""
+    indexer = StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc",
+                            handleInvalid="skip").fit(train)
+    model = text_pipeline(text_col, "_label", num_features).fit(indexer.transform(train))
+    return model, list(indexer.labels)
 
 
 def predictions(model_output: DataFrame, class_labels=None, digits: int = 3) -> DataFrame:

@@ -107,3 +107,15 @@ def classify_embeddings(spark, sf_dir):
     model = M.embedding_classifier("label").fit(emb)
     out = M.predictions(model.transform(emb))
     return out.select("vec_id", "label", "predicted", "confidence")
+
+
+def classify_tasks(spark, sf_dir):
+    """Fit hashed-token features + IDF + multinomial
+    logistic regression on the labelled task texts, then label the
+    unlabelled tasks with class, confidence and per-class probabilities.
+    The class list comes from the fitted label index (one entry per class)."""
+    model, classes = M.fit_text_classifier(train_set(spark, sf_dir), "text", "label")
+    out = M.predictions(model.transform(predict_set(spark, sf_dir)), class_labels=classes)
+    names = F.array(*[F.lit(c) for c in classes])
+    return out.select("doc_id", F.element_at(names, F.col("predicted") + 1).alias("predicted_label"),
+                      "confidence")

@@ -40,7 +40,7 @@ def duck():
 
 def test_every_query_has_an_oracle_or_is_listed():
     missing = set(queries()) - set(oracle_sql())
-    assert missing <= {"classify_embeddings"}
+    assert missing <= {"classify_embeddings", "classify_tasks"}
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -92,3 +92,23 @@ def test_classifier_outputs(spark):
     assert all(0.0 < r.confidence <= 1.0 for r in out)
     acc = sum(r.label == r.predicted for r in out) / len(out)
     assert acc > 0.2  # well above chance (10 classes)
+
+
+def test_task_classifier_labels_every_unlabelled_task(spark):
+    out = queries()["classify_tasks"](spark, SF_SMALL)
+    rows = out.collect()
+    assert len(rows) == queries()["predict_set"](spark, SF_SMALL).count()
+    assert {r.predicted_label for r in rows} <= {"quality_0", "quality_1"}
+    assert all(0.0 < r.confidence <= 1.0 for r in rows)
+
+
+def test_model_save_and_load(spark, scratch):
+    from faultline.operators import classify as M
+    train = queries()["train_set"](spark, SF_SMALL)
+    model, classes = M.fit_text_classifier(train, "text", "label", num_features=1 << 12)
+    assert classes == sorted(classes)
+    M.save_model(model, f"{scratch}/model")
+    again = M.load_pipeline(f"{scratch}/model")
+    a = [r.prediction for r in model.transform(train).orderBy("doc_id").collect()]
+    b = [r.prediction for r in again.transform(train).orderBy("doc_id").collect()]
+    assert a == b
