@@ -18,6 +18,8 @@ from faultline.operators.ranks import positions
 
 # Training profile defaults (head only): iterations and L2 strength.
 MAX_ITER = 100
+TEXT_MAX_ITER = 50
+TEXT_FEATURES = 1 << 16
 REG_PARAM = 0.01
 PAIR_ITERATIONS = 2
 
@@ -69,20 +71,25 @@ def with_features(df: DataFrame, embedding_col: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(embedding_col)))
 
 
-def text_pipeline(text_col: str = "text", label_col: str = "_label", num_features: int = 1 << 18) -> Pipeline:
+def text_pipeline(text_col: str = "text", label_col: str = "_label", num_features: int = TEXT_FEATURES,
+                  max_iter: int = TEXT_MAX_ITER) -> Pipeline:
     """M3 alternative for raw text: whitespace tokens -> hashed counts ->
     IDF -> multinomial logistic regression on an indexed label column."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\s+")
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="features")
-    return Pipeline(stages=[tok, tf, idf, embedding_classifier(label_col)])
+    return Pipeline(stages=[tok, tf, idf, embedding_classifier(label_col, max_iter=max_iter)])
 
 
 def fit_text_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                        num_features: int = 1 << 18) -> tuple[PipelineModel, list[str]]:
+                        num_features: int = TEXT_FEATURES) -> tuple[PipelineModel, list[str]]:
     """M3: index the string labels (alphabetical, so runs are repeatable),
     fit the text pipeline, return the model and its class list (one entry
-    per class; prediction i is class i). Prediction input needs no label."""
+    per class; prediction i is class i). Prediction input needs no label.
+    The training rows feed three fits (labels, IDF, regression), so they are
+    written once to the checkpoint folder first."""
+    from faultline.session import materialize
+    train = materialize(train.select(text_col, label_col))
     indexer = StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc",
                             handleInvalid="skip").fit(train)
     model = text_pipeline(text_col, "_label", num_features).fit(indexer.transform(train))
