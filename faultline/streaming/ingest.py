@@ -42,3 +42,21 @@ def ingest(spark: SparkSession, src_dir: str, out_dir: str, name: str = "records
          .start(out_dir))
     q.awaitTermination()
     return q
+
+
+def dedup_stream(spark: SparkSession, src_dir: str, glob: str, schema, key: F.Column, out_dir: str,
+                 name: str, select: list[str] | None = None, checkpoint: str | None = None):
+    """Generic X1: a file stream (Parquet) of ``glob`` under ``src_dir``,
+    exact duplicates dropped on a content key (e.g. ``sha2(text, 256)``;
+    a full hash, so distinct rows are never merged), appended to Parquet.
+    State holds one key per distinct row and lives in the checkpoint."""
+    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/dedup-{name}"
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
+              .option("maxFilesPerTrigger", 1000).parquet(src_dir))
+    out = stream.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    if select:
+        out = out.select(*select)
+    q = (out.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out_dir))
+    q.awaitTermination()
+    return q

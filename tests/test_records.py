@@ -84,3 +84,15 @@ def test_record_text_on_label_tasks(spark):
     rec = F.struct("commit", "pull_requests", "issues", "security")
     texts = [r.t for r in df.select(record_text(rec).alias("t")).orderBy("commit_index").collect()]
     assert texts[0] == "fix crash | src/a.ts"
+
+
+def test_document_dedup_stream_equals_batch(spark, scratch):
+    from faultline.streaming.ingest import dedup_stream
+    from conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    out_dir = os.path.join(scratch, "dedup")
+    dedup_stream(spark, SF_SMALL, "documents.parquet", docs.schema, F.sha2("text", 256), out_dir,
+                 "docs", select=["text"], checkpoint=os.path.join(scratch, "ckpt-docs"))
+    streamed = spark.read.parquet(out_dir)
+    assert streamed.count() == docs.select("text").distinct().count()
+    assert streamed.select("text").distinct().count() == streamed.count()
