@@ -143,18 +143,18 @@ def lemma(token: Column, exceptions: dict | None = None) -> Column:
     tests and substrings, no regular expressions in the hot path)."""
     exceptions = LEMMA_EXCEPTIONS if exceptions is None else exceptions
     n = F.length(token)
-    # alphabetic: deleting a-z leaves nothing (cheaper than a regex per token)
-    long = (n > 3) & (F.translate(token, _LOWER, "") == "")
     es_plural = (token.endswith("ches") | token.endswith("shes") | token.endswith("xes")
                  | token.endswith("zes") | token.endswith("sses"))
-    plain_s = token.endswith("s") & ~token.endswith("ss") & ~token.endswith("us") & ~token.endswith("is")
-    rules = (
-        F.when(long & token.endswith("ies"), F.concat(F.substring(token, 1, n - 3), F.lit("y")))
-        .when(long & es_plural, F.substring(token, 1, n - 2))
-        .when(long & token.endswith("men"), F.concat(F.substring(token, 1, n - 3), F.lit("man")))
-        .when(long & plain_s, F.substring(token, 1, n - 1))
-        .otherwise(token)
-    )
+    plain_s = ~token.endswith("ss") & ~token.endswith("us") & ~token.endswith("is")
+    suffixed = F.when(token.endswith("ies"), F.concat(F.substring(token, 1, n - 3), F.lit("y"))) \
+                .when(es_plural, F.substring(token, 1, n - 2)) \
+                .when(token.endswith("men"), F.concat(F.substring(token, 1, n - 3), F.lit("man"))) \
+                .when(token.endswith("s") & plain_s, F.substring(token, 1, n - 1)) \
+                .otherwise(token)
+    # Cheap suffix test first; the alphabetic test (deleting a-z leaves
+    # nothing) runs once, and only on candidates.
+    candidate = (token.endswith("s") | token.endswith("men")) & (n > 3)
+    rules = F.when(candidate & (F.translate(token, _LOWER, "") == ""), suffixed).otherwise(token)
     if not exceptions:
         return rules
     table = F.create_map(*[x for kv in exceptions.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
@@ -173,14 +173,14 @@ def clean_tokens(text, stop_words=None, symbols: bool = True, lemmas: bool = Tru
     """
     toks = tokenize(text)
     stops = stop_words if stop_words is not None else STOP_WORDS
-    toks = F.filter(
-        toks,
-        lambda t: (F.instr(F.lit(PUNCTUATION), t) == 0)
-        & is_ascii(t)
-        & ~t.isin(*stops),
-    )
-    if symbols:
-        toks = drop_symbols(toks)
+
+    def keep(t):
+        cond = (F.instr(F.lit(PUNCTUATION), t) == 0) & is_ascii(t) & ~t.isin(*stops)
+        if symbols:  # T6 in the same pass; the pattern only runs on 1-char tokens
+            cond = cond & ((F.length(t) != 1) | ~t.rlike(SYMBOL_PATTERN))
+        return cond
+
+    toks = F.filter(toks, keep)
     if lemmas:
         toks = lemmatize(toks)
     return toks
