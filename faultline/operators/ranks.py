@@ -72,12 +72,17 @@ def midranks(df: DataFrame, keys: list[str], value: str, out: str = "rank",
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
                  buckets: int = DEFAULT_RANGE_BUCKETS) -> DataFrame:
     """Exact median per key without buffering a group in one task.
+    NULLs are ignored; a key with no value is absent."""
+    return median_from_histogram(histogram(df, keys, value), keys, value, out, buckets)
 
-    The value histogram is ranked (``rank_histogram``); each distinct value
-    covers positions [rank - (c-1)/2, rank + (c-1)/2]. The median is the mean
-    of the values at positions floor((n+1)/2) and ceil((n+1)/2). NULLs are
-    ignored; a key with no value is absent."""
-    hist = histogram(df, keys, value)
+
+def median_from_histogram(hist: DataFrame, keys: list[str], value: str, out: str = "median",
+                          buckets: int = DEFAULT_RANGE_BUCKETS) -> DataFrame:
+    """Exact median from a value histogram (keys, value, _cnt), NULL values
+    excluded. The histogram is ranked (``rank_histogram``); each distinct
+    value covers positions [rank - (c-1)/2, rank + (c-1)/2]; the median is
+    the mean of the values at positions floor((n+1)/2) and ceil((n+1)/2)."""
+    hist = hist.where(F.col(value).isNotNull())
     ranked = rank_histogram(hist, keys, value, "_rank", buckets)
     sizes = hist.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
     half = (F.col("_cnt") - 1).cast("double") / 2.0

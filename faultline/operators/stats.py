@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from faultline.functions.stats import chi2_upper_col, corr_p_value_udf, nan_to_null
 from faultline.session import materialize
-from faultline.operators.ranks import (DEFAULT_RANGE_BUCKETS, exact_median, histogram, midranks,
-                                      rank_histogram)
+from faultline.operators.ranks import (DEFAULT_RANGE_BUCKETS, histogram, median_from_histogram,
+                                      midranks, rank_histogram)
 
 
 def to_long(wide: DataFrame, unit, names: list[str], name_col: str = "name",
@@ -159,9 +159,12 @@ def medians_all_present(df: DataFrame, group: str, cols: list[str],
     group holding a third of all rows is never buffered in one task; the
     NULL rule comes from a per-(group, column) count."""
     long = to_long(df, group, cols, "_name", "_value")
-    med = exact_median(long, [group, "_name"], "_value", "_median", buckets)
-    complete = long.groupBy(group, "_name").agg(
-        (F.count("_value") == F.count(F.lit(1))).alias("_complete"))
+    # One histogram, NULL values included: it feeds both the NULL rule and the
+    # ranks, so the input is aggregated once (the exchange is reused).
+    hist = long.groupBy(group, "_name", "_value").agg(F.count(F.lit(1)).alias("_cnt"))
+    med = median_from_histogram(hist, [group, "_name"], "_value", "_median", buckets)
+    complete = hist.groupBy(group, "_name").agg(
+        (F.sum(F.when(F.col("_value").isNull(), F.col("_cnt")).otherwise(F.lit(0))) == 0).alias("_complete"))
     cell = complete.join(med, [group, "_name"], "left") \
                    .select(group, "_name", F.when(F.col("_complete"), F.col("_median")).alias("_m"))
     return cell.groupBy(group).pivot("_name", cols).agg(F.first("_m"))
