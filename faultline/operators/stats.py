@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.stats import chi2_upper_col, corr_p_value_udf, nan_to_null
+from faultline.functions.stats import chi2_upper_jvm, corr_p_value_col
 from faultline.session import materialize
 from faultline.operators.ranks import (DEFAULT_RANGE_BUCKETS, histogram, median_from_histogram,
                                       midranks, rank_histogram)
@@ -114,8 +114,8 @@ def spearman_pairwise(wide: DataFrame, unit: str, rows: list[str], cols: list[st
 
 
 def with_p_values(corr: DataFrame) -> DataFrame:
-    """ST2: two-sided p for each (rho, n) row (pandas UDF on aggregated rows)."""
-    return corr.withColumn("p_value", nan_to_null(corr_p_value_udf(F.col("rho"), F.col("n").cast("double"))))
+    """ST2: two-sided p for each (rho, n) row (JVM expression on aggregated rows)."""
+    return corr.withColumn("p_value", corr_p_value_col("rho", "n"))
 
 
 def kruskal_wallis(long: DataFrame, name: str, group: str, value: str,
@@ -147,7 +147,7 @@ def kruskal_wallis(long: DataFrame, name: str, group: str, value: str,
     out = (stats.join(ties, name, "inner")
                 .withColumn("h", F.try_divide(h_raw, F.when(denom != 0, denom)))
                 .withColumn("df", (F.col("_k") - 1).cast("int")))
-    out = out.withColumn("p_value", F.when(F.col("df") > 0, chi2_upper_col(F.col("h"), F.col("df"))))
+    out = out.withColumn("p_value", F.when(F.col("df") > 0, chi2_upper_jvm("h", "df")))
     return out.select(name, "h", "df", "p_value", "n")
 
 

@@ -73,10 +73,27 @@ def test_p_values_known():
     assert math.isnan(ST.corr_p_value(0.5, 4))
 
 
-def test_even_df_jvm_closed_form_matches(spark):
-    df = spark.createDataFrame([(7.3, 4), (2.0, 2), (11.0, 6), (3.0, 3)], "x double, df int")
-    for r in df.select("x", "df", ST.chi2_upper_col("x", "df").alias("p")).collect():
-        assert r.p == pytest.approx(ST.chi2_upper(r.x, r.df), rel=1e-10)
+def test_jvm_tails_match_reference(spark):
+    df = spark.createDataFrame([(7.3, 4), (2.0, 2), (11.0, 6), (3.0, 3), (11.97838, 7), (0.0, 3), (250.0, 9)],
+                               "x double, df int")
+    for r in df.select("x", "df", ST.chi2_upper_jvm("x", "df").alias("p")).collect():
+        assert r.p == pytest.approx(ST.chi2_upper(r.x, r.df), abs=1e-12)
+    cases = [(0.573236854039622, 15), (0.0, 15), (-0.3, 150), (0.999, 40), (0.01, 15000000), (1.0, 10),
+             (0.5, 4), (None, 20)]
+    df = spark.createDataFrame(cases, "r double, n long")
+    for r in df.select("r", "n", ST.corr_p_value_col("r", "n").alias("p")).collect():
+        if r.r is None or r.n < 5:
+            assert r.p is None
+        else:
+            assert r.p == pytest.approx(ST.corr_p_value(r.r, r.n), abs=1e-11)
+
+
+def test_lgamma(spark):
+    from pyspark.sql import functions as F
+    xs = [0.5, 1.0, 2.5, 10.0, 7.5e6]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(ST.lgamma_col("x").alias("l")).collect()
+    for x, r in zip(xs, got):
+        assert r.l == pytest.approx(math.lgamma(x), rel=1e-12, abs=1e-12)
 
 
 def test_kruskal_wallis_hand_computed(spark):
