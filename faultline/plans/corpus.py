@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import html as H
 from faultline.functions import urls as U
-from faultline.functions.text import (ISSUE_TITLE_PREFIX, clean_tokens, first_line, is_fix_title)
+from faultline.functions.text import ISSUE_TITLE_PREFIX, clean_tokens, is_fix_title
 from faultline.operators import records as R
 from faultline.operators.links import two_hop
 from faultline.sources.tables import pinned, spread, table
