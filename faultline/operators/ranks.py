@@ -25,6 +25,17 @@ from pyspark.sql import functions as F
 DEFAULT_RANGE_BUCKETS = None
 
 
+def _one_range_exchange(x: DataFrame) -> DataFrame:
+    """The per-range counts and the in-range numbering must see the same
+    range bounds. Both read one range exchange: Spark reuses the identical
+    exchange (asserted in tests/test_plans.py). If exchange reuse is switched
+    off, the partitioned rows are checkpointed once instead."""
+    if x.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
+        from faultline.session import materialize
+        return materialize(x)
+    return x
+
+
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, _cnt) for non-NULL values; partial aggregation runs
     before the shuffle, so a hot value costs one row per map task."""
@@ -44,8 +55,8 @@ def rank_histogram(hist: DataFrame, keys: list[str], value: str, out: str = "ran
     number of range partitions (default: ``spark.sql.shuffle.partitions``,
     which is sized to the cluster)."""
     n = buckets or int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    x = hist.repartitionByRange(n, *[F.col(k) for k in keys], F.col(value)) \
-            .withColumn("_part", F.spark_partition_id())
+    x = _one_range_exchange(hist.repartitionByRange(n, *[F.col(k) for k in keys], F.col(value))
+                                .withColumn("_part", F.spark_partition_id()))
     per_part = x.groupBy(*keys, "_part").agg(F.sum("_cnt").alias("_ptot"))
     w_off = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("_off", F.coalesce(F.sum("_ptot").over(w_off), F.lit(0))).drop("_ptot")
@@ -125,7 +136,7 @@ def global_positions(df: DataFrame, order: list[Column], out: str = "position",
     window numbers the rows. ``order`` must be a total order (end it with a
     unique column)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    x = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    x = _one_range_exchange(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     counts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range partition: the offsets table is bounded by ``n``.

@@ -43,3 +43,24 @@ def test_partial_aggregation_before_shuffle(spark):
 def test_heavy_cleaning_evaluated_once(spark):
     plan = _plan(queries()["train_set"](spark, SF_SMALL))
     assert plan.count("regexp_extract_all") == 2   # message and description, once each
+
+
+@pytest.mark.parametrize("name", ["midranks", "project_order"])
+def test_range_exchange_is_shared(spark, name):
+    """Per-range counts and in-range positions read ONE range exchange, so
+    they agree on the sampled bounds."""
+    df = queries()[name](spark, SF_SMALL)
+    df.collect()
+    final = _plan(df).split("Initial Plan")[0]
+    assert "ReusedExchange" in final and "rangepartitioning" in final
+
+
+def test_ranks_consistent_without_exchange_reuse(spark):
+    from faultline.operators.ranks import midranks
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.createDataFrame([(i, "k", float(i % 37)) for i in range(2000)], "id long, name string, value double")
+        ranks = sorted(r["rank"] for r in midranks(df, ["name"], "value", buckets=5).collect())
+        assert abs(sum(ranks) - 2000 * 2001 / 2) < 1e-6
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
