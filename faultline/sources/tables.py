@@ -22,7 +22,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     one task per core. A large scan already has more splits than cores and
     is returned unchanged; a scan of a few unsplittable files is
     round-robin repartitioned (deterministic on retry: rows are sorted before
-    the round robin). Project the needed columns first."""
+    the round robin). Apply it directly on a projected scan: reading the
+    split count of a scan only lists files, while on a plan with shuffles it
+    would run them."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
