@@ -1,3 +1,4 @@
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -96,3 +97,21 @@ def test_document_dedup_stream_equals_batch(spark, scratch):
     streamed = spark.read.parquet(out_dir)
     assert streamed.count() == docs.select("text").distinct().count()
     assert streamed.select("text").distinct().count() == streamed.count()
+
+
+def test_streaming_new_file_with_seen_key(spark, scratch):
+    import shutil
+    src = os.path.join(scratch, "incoming")
+    shutil.copytree(RECORDS, src)
+    out_dir = os.path.join(scratch, "out")
+    ckpt = os.path.join(scratch, "ckpt2")
+    ingest(spark, src, out_dir, name="t2", checkpoint=ckpt)
+    with open(os.path.join(src, "output-0000001_again.json"), "w") as f:   # re-delivered key
+        f.write(open(os.path.join(RECORDS, "output-0000001_acme_widgets.json")).read())
+    rec = json.loads(open(os.path.join(RECORDS, "output-0000001_acme_widgets.json")).read())
+    rec["commit_index"] = "0000009"
+    with open(os.path.join(src, "output-0000009_acme_widgets.json"), "w") as f:  # new key
+        f.write(json.dumps(rec))
+    ingest(spark, src, out_dir, name="t2", checkpoint=ckpt)
+    keys = sorted(r.commit_index for r in spark.read.parquet(out_dir).collect())
+    assert keys == ["0000001", "0000002", "0000003", "0000009"]
