@@ -7,7 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from faultline.plans.registry import oracle_sql, queries
 from faultline.sources.tables import TABLES
 
 from conftest import SF_SMALL
