@@ -1,0 +1,27 @@
+"""DuckDB SQL for the queries that SQL can express, written from the rules, not from the Spark code."""
+
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s
+      FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3) x),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM g) y WHERE c > 1),
+cov AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS p FROM again, (VALUES (0), (1), (2)) v(k)) z GROUP BY r),
+ln AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup
+       FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM w) q
+       WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+             CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
+      FROM w LEFT JOIN cov USING (r) LEFT JOIN ln USING (r)),
+f AS (SELECT *, n_words < 50 AS b0, 100 * n_repeat_words > 50 * n_words AS b1, 10 * n_symbols > 3 * n_words AS b2,
+             2 * n_dup_lines > n_lines AS b3, word_chars < 2 * n_words AS b4, word_chars > 15 * n_words AS b5 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
+       CAST(b0::INT + 2 * b1::INT + 4 * b2::INT + 8 * b3::INT + 16 * b4::INT + 32 * b5::INT AS BIGINT) AS fail_bits,
+       b0 OR b1 AS base_failed, NOT (b0 OR b1 OR b2 OR b3 OR b4 OR b5) AS kept, 'v1' AS policy
+FROM f
+"""
