@@ -3,13 +3,18 @@ parameters, to its whole table and derives the digest columns from its output.""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import quality
+from faultline.llm import packing, quality
 from faultline.llm.common import documents
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.evaluate(documents(spark, sf_dir).select("doc_id", "text"))
     return quality.apply_policy(ledger.drop("text"), quality.STRICT)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
