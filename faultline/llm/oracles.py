@@ -25,3 +25,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
        b0 OR b1 AS base_failed, NOT (b0 OR b1 OR b2 OR b3 OR b4 OR b5) AS kept, 'v1' AS policy
 FROM f
 """
+
+OP8 = r"""
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, low),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item,
+             regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark, low),
+p AS (SELECT DISTINCT item, list_slice(ws, i, i + 9) AS g
+      FROM (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0) x),
+n AS (SELECT DISTINCT len(g) AS k FROM p),
+w AS (SELECT r, i, k, list_slice(ws, i, i + k - 1) AS g
+      FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, n WHERE len(ws) >= k) x),
+h AS (SELECT w.r, w.i, w.k, p.item FROM w JOIN p ON w.g = p.g),
+c AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS q FROM (SELECT DISTINCT r, i, k FROM h) y) z GROUP BY r),
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM h WHERE item IS NOT NULL GROUP BY r)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+"""

@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.OP1}
+    return {"op1_quality_rules": oracles.OP1, "op8_benchmark_decontamination": oracles.OP8}
