@@ -1,0 +1,140 @@
+"""Secret scans (DataFrame functions only).
+
+Three fixed kinds (credential assignments, access keys, hex strings) and, beside
+them, sliding-window Shannon entropy for each character class: over a candidate
+string one symbol enters and one leaves the window a step, so the sum of
+c * log2(c) changes by four table lookups. A window is a hit if its entropy
+reaches the class's threshold; the hits of a candidate merge to one span.
+Candidates that the allow-list knows, and spans inside those of a fixed kind,
+are suppressed. Sums are whole numbers (millionths of a bit), so the result does
+not depend on the order of additions.
+
+Spans are code points from 0, the end exclusive. Defined results: a null or
+empty text has no spans. Repeated rows each get their row. Columns of the input
+with the names of result columns are replaced.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"[0-9a-f]{16,}"
+FIXED = ["assign", "access", "hex"]
+
+
+@dataclass(frozen=True)
+class CharacterClass:
+    """Candidates are maximal runs of ``symbols`` with at least ``window`` of them."""
+
+    name: str
+    symbols: str
+    window: int
+    bits: float  # least entropy of a window
+
+    @property
+    def pattern(self) -> str:
+        return "[" + self.symbols.replace("-", r"\-") + "]{%d,}" % self.window
+
+
+_UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_DIGITS = "0123456789"
+CLASSES = [
+    CharacterClass("entropy_key", _UP + _DIGITS, 20, 3.5),
+    CharacterClass("entropy_hex", _DIGITS + "ABCDEFabcdef", 32, 3.2),
+    CharacterClass("entropy_base64", _UP + _UP.lower() + _DIGITS + "+/=_-", 24, 4.0),
+]
+#: Candidates that are no secrets: without a digit or without a letter, identifiers
+#: with dashes in the form of a UUID, paths of plain words, and documented samples.
+ALLOWED = [
+    r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
+    r"^/?([a-z]+/)+[a-z0-9_-]*$", r"EXAMPLE",
+]
+
+
+def _placed(text: Column, pattern: str) -> Column:
+    """(start, match) of each match, leftmost and non-overlapping: the text
+    between matches tells where they are."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("all"))
+
+    def step(done, pair):
+        at = done["at"] + F.length(pair["gap"])
+        return F.struct((at + F.length(pair["match"])).alias("at"),
+                        F.concat(done["all"], F.array(F.struct(at.alias("start"), pair["match"].alias("match")))).alias("all"))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda x: x["all"])).otherwise(start["all"])
+
+
+def _span(start: Column, end: Column, rank: int, name: str) -> Column:
+    return F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"), F.lit(name).alias("kind"))
+
+
+def _fixed(text: Column, name: str, pattern: str) -> Column:
+    placed = _placed(text, pattern)
+    if name == "assign":
+        placed = F.filter(placed, lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 12)
+    return F.transform(placed, lambda x: _span(x["start"], x["start"] + F.length(x["match"]), FIXED.index(name), name))
+
+
+def _weight(c: int) -> int:
+    return round(1e6 * c * math.log2(c)) if c > 1 else 0
+
+
+def _windows(candidate: Column, kind: CharacterClass) -> Column:
+    """(first, last): where the windows of high entropy begin and end in a candidate, or nulls."""
+    w = kind.window
+    table = F.array(*[F.lit(_weight(c)).cast("long") for c in range(w + 2)])
+    # Entropy is log2(w) - sum / w: it reaches the threshold if the sum is at most this.
+    most = math.floor(1e6 * w * (math.log2(w) - kind.bits))
+    code = lambda at: F.instr(F.lit(kind.symbols), F.substring(candidate, at, F.lit(1))) - 1
+    start = F.struct(F.array_repeat(F.lit(0), len(kind.symbols)).alias("counts"), F.lit(0).cast("long").alias("sum"),
+                     F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def step(s, i):  # i: code points taken, from 1
+        gone = F.when(i > w, code(i - w))
+        removed = F.when(i > w, F.get(s["counts"], gone))
+        after = F.when(i > w, F.transform(s["counts"], lambda c, k: c - (k == gone).cast("int"))).otherwise(s["counts"])
+        base = s["sum"] - F.coalesce(F.get(table, removed) - F.get(table, removed - 1), F.lit(0).cast("long"))
+        new = code(i)
+        had = F.get(after, new)
+        total = base + F.get(table, had + 1) - F.get(table, had)
+        hit = (i >= w) & (total <= most)
+        return F.struct(F.transform(after, lambda c, k: c + (k == new).cast("int")).alias("counts"), total.alias("sum"),
+                        F.coalesce(s["first"], F.when(hit, i - w)).alias("first"), F.when(hit, i).otherwise(s["last"]).alias("last"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step,
+                       lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+
+def _entropy(text: Column, rank: int, kind: CharacterClass) -> Column:
+    allowed = lambda m: F.greatest(*[m.rlike(p) for p in ALLOWED])
+    candidates = F.filter(_placed(text, kind.pattern), lambda x: ~allowed(x["match"]))
+    hits = F.transform(candidates, lambda x: F.struct(x["start"].alias("start"), _windows(x["match"], kind).alias("w")))
+    return F.transform(F.filter(hits, lambda x: x["w"]["first"].isNotNull()),
+                       lambda x: _span(x["start"] + x["w"]["first"], x["start"] + x["w"]["last"], rank, kind.name))
+
+
+RESULTS = ["base", "added"]
+
+
+def scan(docs: DataFrame, text: str = "text", classes: list[CharacterClass] = CLASSES) -> DataFrame:
+    """The columns of ``docs`` with ``base`` and ``added``: arrays of (start, rank, end, kind) in order."""
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS])
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    kinds = zip(FIXED, (ASSIGN, ACCESS, HEX))
+    out = out.withColumn("base", F.sort_array(F.concat(*[_fixed(t, n, p) for n, p in kinds])))
+    spans = [_entropy(t, len(FIXED) + i, k) for i, k in enumerate(classes)]
+    base = F.col("base")
+    added = F.filter(F.concat(*spans), lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
+    return out.withColumn("added", F.sort_array(added))
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
