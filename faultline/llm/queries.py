@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontam, packing, quality, secrets, simhash
+from faultline.llm import decontam, packing, quality, secrets, simhash, suffix
 from faultline.llm.common import documents
 
 
@@ -37,3 +37,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[number(k) for k in secrets.FIXED], F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
                         secrets.joined(F.sort_array(F.concat("base", "added"))).alias("spans"))
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes(documents(spark, sf_dir).select("doc_id", "text")).drop("spans")
