@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontam, packing, quality, secrets, simhash, suffix
+from faultline.llm import decontam, doubling, packing, quality, secrets, simhash, suffix
 from faultline.llm.common import documents
 
 
@@ -41,3 +41,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_bytes(documents(spark, sf_dir).select("doc_id", "text")).drop("spans")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.repeated_words(documents(spark, sf_dir).select("doc_id", "text"))
