@@ -1,7 +1,75 @@
-"""The training-data pipeline."""
-STAGES = []
+"""The training-data pipeline: quality rules, line dedup, SimHash near-duplicates,
+benchmark decontamination, best-fit packing.
+
+Each stage is a function (spark, docs, sf_dir) that returns a DataFrame; ``run``
+writes each stage's rows to the shared folder and rereads them as the next one's
+docs. All stages but the last return the columns of ``documents``. Null or empty
+texts fail the quality rules; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from faultline.llm import decontam, linededup, packing, quality, simhash
+from faultline.llm.common import documents, stage
+
+
+def _has_words(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    ledger = quality.evaluate(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"))
+    return quality.apply_policy(ledger, quality.STRICT).where("kept").select("doc.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines go, and documents that have no words left."""
+    return _has_words(linededup.dedup_lines(docs))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one whose doc_id names the group.
+    Rows with that doc_id in the group are one document each if their texts are
+    equal; of others with that doc_id the one with the least text hash stays."""
+    member = simhash.near_duplicates(docs.select("doc_id", "text"))
+    kept = member.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    # Rows that share a doc_id are few: only they are ranked.
+    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return stays.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that have no words left go."""
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return _has_words(decontam.remove_spans(decontam.find(docs, benchmark)))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece, with its sequence and offset."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Token ids and links of fingerprints are beyond SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

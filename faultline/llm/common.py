@@ -134,6 +134,12 @@ def word_spans(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray) -> tu
 
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, 9, 10, 11, 12, 13]] = False
+#: Bytes with A-Z in lower case, and the bytes of words of letters, digits and all that is not ASCII.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[97:123] = True
+ALNUM[128:] = True
 
 
 def gram_hashes(items: np.ndarray, k: int, which: int = 0) -> np.ndarray:

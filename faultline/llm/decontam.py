@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import blocks, span_hashes, stage, text_bytes, word_spans
+from faultline.llm.common import ALNUM, FOLD, blocks, span_hashes, stage, text_bytes, word_spans
 from faultline.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -34,20 +34,14 @@ BLOCKS_A_JOB = 4
 
 RESULTS = {"n_words": "long", "n_hit": "long", "items": "array<string>", "span_starts": "array<long>", "span_ends": "array<long>"}
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_IS_WORD = np.zeros(256, bool)
-_IS_WORD[48:58] = _IS_WORD[97:123] = True
-_IS_WORD[128:] = True
-
 
 class Phrases:
     """A block of the benchmark: its vocabulary, and its windows by length."""
 
     def __init__(self, ids: list, texts: list[str], window: int):
         offsets, data = text_bytes(pa.array(texts, pa.large_string()))
-        data = _FOLD[data]
-        starts, ends, first = word_spans(offsets, data, _IS_WORD)
+        data = FOLD[data]
+        starts, ends, first = word_spans(offsets, data, ALNUM)
         self.vocabulary, symbol = np.unique(span_hashes(data, starts, ends), return_inverse=True)
         symbol = symbol.astype(np.int64) + 1
         grams: dict[tuple, set] = {}
@@ -66,8 +60,8 @@ class Phrases:
 
     def hits(self, offsets: np.ndarray, data: np.ndarray):
         """Of the documents of a shard: word bounds, flags of hit words, and (document, item) pairs."""
-        data = _FOLD[data]
-        starts, ends, first = word_spans(offsets, data, _IS_WORD)
+        data = FOLD[data]
+        starts, ends, first = word_spans(offsets, data, ALNUM)
         hit, none = np.zeros(len(starts), bool), (np.zeros(0, np.int64), np.zeros(0, np.int64))
         if not self.by_length or not len(starts):
             return starts, ends, first, hit, none

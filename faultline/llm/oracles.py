@@ -44,3 +44,62 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
+
+OP2 = r"""
+WITH p AS (SELECT page_id, url, md5(html) AS digest, DATE '2024-01-01' + CAST(page_id % 1000 AS INT) AS day FROM pages),
+rec AS (
+  SELECT page_id * 3 AS record_id, url, day - 1 AS d, 'revisit' AS kind, digest AS etag, NULL AS lm,
+         digest AS h_etag, NULL AS h_ct, NULL AS h_cc, NULL AS h_date FROM p
+  UNION ALL SELECT page_id * 3 + 1, url, day, 'response', digest, CAST(day AS VARCHAR), digest, 'text/html', 'max-age=60', CAST(day AS VARCHAR) FROM p
+  UNION ALL SELECT page_id * 3 + 2, url || CASE WHEN contains(url, '?') OR contains(url, '#') THEN '' ELSE '?utm_source=x' END, day + 1, 'revisit',
+         CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN digest || '0' ELSE 'W/' || digest END, CAST(day AS VARCHAR),
+         NULL, 'text/plain', 'max-age=120', CAST(day + 1 AS VARCHAR) FROM p),
+part AS (SELECT *, regexp_extract(url, '^(?i:https?)://([^/?#:]+)', 1) AS host, regexp_extract(url, '^(?i:https?)://[^/?#]+([^?#]*)', 1) AS path,
+                list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
+                                      lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)'))) AS q FROM rec),
+c AS (SELECT *, regexp_replace(lower(host), '^www\.', '') || regexp_replace(path, '/+$', '')
+             || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM part),
+m AS (SELECT v.record_id, v.canonical, v.etag, v.lm, v.h_cc, v.h_date, v.h_etag, r.record_id AS rid, r.d AS rd, r.etag AS retag, r.lm AS rlm,
+             r.h_etag AS rh_etag, r.h_ct AS rh_ct, r.h_cc AS rh_cc, r.h_date AS rh_date,
+             row_number() OVER (PARTITION BY v.record_id ORDER BY r.d DESC NULLS LAST, r.record_id DESC) AS k
+      FROM c v LEFT JOIN c r ON r.kind = 'response' AND r.canonical = v.canonical AND r.d <= v.d WHERE v.kind = 'revisit'),
+s AS (SELECT *, CASE WHEN rid IS NULL THEN 'unmatched'
+                     WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(retag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+                     WHEN lm IS NOT NULL THEN CASE WHEN lm = rlm THEN 'resolved' ELSE 'mismatch' END ELSE 'resolved' END AS status
+      FROM m WHERE k = 1)
+SELECT record_id, canonical, status, CASE WHEN status = 'resolved' THEN rid END AS refers_to,
+       CASE WHEN status = 'resolved' THEN strftime(rd, '%Y-%m-%d') END AS refers_to_date,
+       CASE WHEN status = 'resolved' THEN 'cache-control=' || coalesce(h_cc, rh_cc) || ';content-type=' || rh_ct || ';date=' || coalesce(h_date, rh_date)
+            || ';etag=' || coalesce(h_etag, rh_etag) END AS headers
+FROM s
+"""
+
+
+def _op6() -> str:
+    """Windows of 13 words, then of twice as many while any is repeated (13 * 2 ** 11 words at most here)."""
+    ctes, levels = [], 12
+    for k in range(1, levels):
+        n = 13 << (k - 1)
+        ctes.append(f"""
+r{k} AS MATERIALIZED (SELECT t, i, h FROM (SELECT t, i, h, min(t) OVER (PARTITION BY h) AS a, max(t) OVER (PARTITION BY h) AS b FROM w{k}) x WHERE a <> b),
+w{k + 1} AS (SELECT x.t, x.i, md5(x.h || y.h) AS h FROM r{k} x JOIN r{k} y ON x.t = y.t AND y.i = x.i + {n})""")
+    lengths = " UNION ALL ".join(f"SELECT DISTINCT t, {13 << (k - 1)} AS n FROM r{k}" for k in range(1, levels))
+    return r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+u AS MATERIALIZED (SELECT min(doc_id) AS t, text, any_value(ws) AS ws FROM d GROUP BY text),
+w1 AS MATERIALIZED (SELECT t, i, md5(array_to_string(list_slice(ws, i, i + 12), ' ')) AS h
+                    FROM (SELECT t, ws, unnest(range(1, len(ws) - 11)) AS i FROM u WHERE len(ws) >= 13) x),""" + ",".join(ctes) + f""",
+long AS (SELECT t, max(n) AS longest FROM ({lengths}) z GROUP BY t),
+late AS (SELECT t, i FROM (SELECT t, i, min(t) OVER (PARTITION BY h) AS a FROM w1) x WHERE a < t),
+gone AS (SELECT t, list(DISTINCT q) AS g FROM (SELECT t, unnest(range(i, i + 13)) AS q FROM late) y GROUP BY t),
+cut AS (SELECT u.t, u.text, u.ws, g, longest FROM u LEFT JOIN gone USING (t) LEFT JOIN long USING (t)),
+one AS (SELECT t, text, len(ws) AS n, coalesce(len(g), 0) AS r, coalesce(longest, 0) AS longest, sha256(array_to_string(
+               CASE WHEN g IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(g, i)), lambda i: ws[i]) END, ' ')) AS s
+        FROM cut)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_words, CAST(CASE WHEN d.doc_id > t AND n >= 13 THEN n ELSE r END AS BIGINT) AS n_removed,
+       CASE WHEN d.doc_id > t AND n >= 13 THEN sha256('') ELSE s END AS kept_sha256, CAST(longest AS BIGINT) AS longest_level
+FROM d JOIN one USING (text)
+"""
+
+
+OP6 = _op6()

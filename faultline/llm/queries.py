@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontam, doubling, packing, quality, secrets, simhash, suffix
+from faultline.llm import decontam, doubling, license, linededup, packing, quality, secrets, simhash, suffix, warc
 from faultline.llm.common import documents
 
 
@@ -45,3 +45,42 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.repeated_words(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures derived from ``pages``: each page is a full response, an hour a
+    page id after the first; a day later a revisit of the same URL by another
+    spelling, with the page's validator (every fifth: a changed one, every
+    seventh: a date alone); and a revisit two hours before the response."""
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", "url", F.md5("html").alias("digest"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 1000).cast("int"))
+    header = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+    text = day.cast("string")
+
+    def capture(step: int, kind: str, date, url, etag, modified, headers):
+        return F.struct((F.col("page_id") * 3 + step).alias("record_id"), url.alias("url"), date.cast("timestamp").alias("date"),
+                        F.lit(kind).alias("kind"), etag.alias("etag"), modified.alias("last_modified"), headers.alias("headers"))
+    url, digest, none = F.col("url"), F.col("digest"), F.lit(None).cast("string")
+    seventh, fifth = F.col("page_id") % 7 == 0, F.col("page_id") % 5 == 0
+    rows = F.array(
+        capture(0, "revisit", F.date_sub(day, 1), url, digest, none, header("etag", digest)),
+        capture(1, "response", day, url, digest, text, header("etag", digest, "content-type", "text/html", "cache-control", "max-age=60", "date", text)),
+        capture(2, "revisit", F.date_add(day, 1), F.concat(url, F.when(url.contains("?") | url.contains("#"), "").otherwise("?utm_source=x")),
+                F.when(~seventh, F.when(fifth, F.concat(digest, F.lit("0"))).otherwise(F.concat(F.lit("W/"), digest))), text,
+                header("cache-control", "max-age=120", "content-type", "text/plain", "date", F.date_add(day, 1).cast("string"))))
+    return pages.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.resolve(page_captures(spark, sf_dir))
+    fields = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return done.select("record_id", "canonical", "status", "refers_to", F.date_format("refers_to_date", "yyyy-MM-dd").alias("refers_to_date"),
+                       F.when(F.col("headers").isNotNull(), F.array_join(fields, ";")).alias("headers"))
