@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import SPACES
+from faultline.sources.tables import pinned
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
@@ -88,7 +89,8 @@ def evaluate(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.drop("__z", "__q")
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)),
                F.lit(0)).cast("long")
-    return out.withColumn("fail_bits", bits)
+    # Pinned: a filter on the ledger must not be pushed below it, where it would repeat every measurement.
+    return out.withColumn("fail_bits", pinned(bits))
 
 
 def apply_policy(ledger: DataFrame, policy: Policy) -> DataFrame:
