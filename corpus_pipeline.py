@@ -48,7 +48,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that have no words left go."""
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return _has_words(decontam.remove_spans(decontam.find(docs, benchmark)))
+    others = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__doc")
+    cut = decontam.remove_spans(decontam.find(docs.select("text", others), benchmark))
+    return _has_words(cut).select(*[F.col("text") if c == "text" else F.col(f"__doc.`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ are cut). Pieces are dealt evenly, by a hash of a written row number, to
 partitions of about ``PIECES`` pieces, whatever the size of the table. Each
 partition is packed best-fit decreasing, and dual feasible functions give a
 lower bound of its bins: a partition whose bins equal the bound is certified.
-The rest exchange: the bins that are not full of up to ``EXCHANGE`` partitions
-are pooled, packed anew, and the new packing is taken if it has fewer bins.
-Rounds end when no partition has a gap or a round saves nothing.
+The rest exchange: the documents of about ``EXCHANGE`` partitions with gaps are
+pooled and packed anew, and the new packing is taken if it has fewer bins. Rounds
+end when the bins reach the bound of the whole table, when no gap is left, or
+after ``ROUNDS``.
 
 Defined results: a null or empty text is a document of the end token alone.
 Repeated rows are packed as separate documents. Ties in length go by row
@@ -41,8 +42,8 @@ PIECE_SCHEMA = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 # ---------------------------------------------------------------- tokens
 
 class WordCache:
-    """Token ids by white-space separated word. The vocabulary's normalizer and
-    splitter never look past white space, so a text's ids are its words' ids in
+    """Token ids by word between ASCII white space. The vocabulary's normalizer
+    and splitter never look past white space, so a text's ids are its words' ids in
     order. Words of Latin letters go straight to the library's BPE model, all
     others through the whole tokenizer."""
 
@@ -55,7 +56,7 @@ class WordCache:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.bytes = byte_letters()
 
@@ -79,14 +80,14 @@ class WordCache:
             end = self.heads[tail] = self.whole(tail)
         return ids + end
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: bytes) -> bytes:
         words, known = text.split(), self.words
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
             for w in set(words):
                 if w not in known:
-                    known[w] = self.learn(w)
+                    known[w] = self.learn(w.decode())
             out = b"".join([known[w] for w in words])
             if len(known) > WORDS:
                 known.clear()
@@ -118,7 +119,7 @@ def piece_batches(path: str, end_id: int, capacity: int):
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                ids = cache.encode(text.as_py() or "") + end
+                ids = cache.encode(text.as_py() or b"") + end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k: k + 4 * capacity]
                     row.append(i)
@@ -135,7 +136,7 @@ def piece_batches(path: str, end_id: int, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
         piece_batches(tokenizer, end_id, capacity), PIECE_SCHEMA.format(kind))
 
 
@@ -165,12 +166,16 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best bound of dual feasible functions: with x as a share of the bin,
-    the identity, the step functions u_k(x) = x if (k + 1) x is whole, else
-    floor((k + 1) x) / k, and the cuts U_e(x) = 0 below e, 1 above 1 - e, else x."""
-    if len(lengths) == 0:
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The best bound of dual feasible functions, from the pieces of each length:
+    with x as a share of the bin, the identity, the step functions u_k(x) = x if
+    (k + 1) x is whole, else floor((k + 1) x) / k, and the cuts U_e(x) = 0 below e,
+    1 above 1 - e, else x."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     sizes = np.arange(capacity + 1, dtype=np.int64)
     up = lambda total, unit: -(-int(total) // unit)
     best = up((count * sizes).sum(), capacity)
@@ -184,64 +189,73 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return max(best, int((big + -(-middle // capacity)).max()))
 
 
-PACKED = "pid long, length long, part long, sequence long, place long, n_bins long, bound long"
+PACKED = "pid long, length long, part long, sequence long, place long, n_bins long, bound long, volume long"
+
+
+def _certified(frame: pd.DataFrame, part: int, capacity: int) -> pd.DataFrame:
+    lengths = frame["length"].to_numpy()
+    return frame.assign(part=part, n_bins=frame["sequence"].nunique(), bound=lower_bound(lengths, capacity),
+                        volume=-(-int(lengths.sum()) // capacity))[[x.split()[0] for x in PACKED.split(", ")]]
 
 
 def _pack(capacity: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame):
         frame = frame.sort_values("pid")
-        lengths = frame["length"].to_numpy()
-        bins, offsets = best_fit(lengths, capacity)
-        part = int(key[0])
-        return pd.DataFrame({"pid": frame["pid"], "length": lengths, "part": part, "sequence": (part << 24) + bins,
-                             "place": offsets, "n_bins": int(bins.max()) + 1, "bound": lower_bound(lengths, capacity)})
+        bins, offsets = best_fit(frame["length"].to_numpy(), capacity)
+        return _certified(frame.assign(sequence=(int(key[0]) << 24) + bins, place=offsets), int(key[0]), capacity)
     return run
 
 
 def _exchange(capacity: int, turn: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """The documents of some partitions packed anew, all of them or those of bins
+    that are not full, whichever gives fewer bins; the old packing stays if neither does."""
+    def run(key, frame):
         frame = frame.sort_values("pid").reset_index(drop=True)
-        filled = frame.groupby("sequence")["length"].transform("sum")
-        loose = (filled < capacity).to_numpy()
-        pool = frame.loc[loose]
-        bins, offsets = best_fit(pool["length"].to_numpy(), capacity)
-        old, new = pool["sequence"].nunique(), int(bins.max(initial=-1)) + 1
-        if new < old:
-            frame.loc[loose, "sequence"] = (turn << 56) + (int(key[0]) << 24) + bins
-            frame.loc[loose, "place"] = offsets
-        frame["part"] = int(key[0])
-        frame["n_bins"] = frame["sequence"].nunique()
-        frame["bound"] = lower_bound(frame["length"].to_numpy(), capacity)
-        return frame[["pid", "length", "part", "sequence", "place", "n_bins", "bound"]]
+        loose = (frame.groupby("sequence")["length"].transform("sum") < capacity).to_numpy()
+        best, old = None, frame["sequence"].nunique()
+        for pool in (loose, np.ones(len(frame), bool)):
+            bins, offsets = best_fit(frame.loc[pool, "length"].to_numpy(), capacity)
+            n = old - frame.loc[pool, "sequence"].nunique() + int(bins.max(initial=-1)) + 1
+            if n < (best[0] if best else old):
+                best = n, pool, bins, offsets
+        if best:
+            _, pool, bins, offsets = best
+            frame.loc[pool, "sequence"] = (turn << 56) + (int(key[0]) << 24) + bins
+            frame.loc[pool, "place"] = offsets
+        return _certified(frame, int(key[0]), capacity)
     return run
 
 
 def pack(table: DataFrame, capacity: int = CAPACITY, size: int = PIECES) -> DataFrame:
-    """(pid, sequence, place) of each (pid, length) row: bins of at most ``capacity``."""
+    """(pid, sequence, place) of each (pid, length) row: bins of at most ``capacity``.
+
+    The bound of the whole table, from its count of each length, ends the rounds
+    once it is reached. A partition has a gap if its bins exceed its own bound or
+    the volume of its pieces."""
     spark = table.sparkSession
-    parts = max(1, -(-table.count() // size))
+    count = np.zeros(capacity + 1, np.int64)
+    for r in table.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
+        count[r["length"]] = r["n"]
+    parts, bound = max(1, -(-int(count.sum()) // size)), bound_of_counts(count, capacity)
     dealt = table.select("pid", "length", F.pmod(F.xxhash64("pid"), F.lit(parts)).alias("deal"))
-    now = staged_path(dealt.groupBy("deal").applyInPandas(_pack(capacity), PACKED))
-    done: list[str] = []
+    paths = [staged_path(dealt.groupBy("deal").applyInPandas(_pack(capacity), PACKED))]
+    gap = (F.col("n") > F.col("b")) | (F.col("n") > F.col("v"))
     for turn in range(1, ROUNDS + 1):
-        packed = spark.read.schema(PACKED).parquet(now)
-        ends = packed.groupBy("part").agg(F.max("n_bins").alias("n"), F.max("bound").alias("b"))
-        open_parts, open_bins = ends.where("n > b").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if open_parts < 2:
-            break
-        # The gaps that are left meet in groups of a bounded number of partitions, other ones in each round.
-        groups = max(1, -(-open_parts // EXCHANGE))
-        members = ends.where("n > b").select("part", F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(groups)).alias("deal"))
-        pooled = packed.join(members, "part").groupBy("deal").applyInPandas(_exchange(capacity, turn), PACKED)
-        closed = staged_path(packed.join(members, "part", "left_anti"))
-        done.append(closed)
-        after = staged_path(pooled)
-        unstage(spark, now)
-        now = after
-        new_bins = spark.read.schema(PACKED).parquet(now).groupBy("part").agg(F.max("n_bins").alias("n")).agg(F.sum("n")).first()[0]
-        if new_bins >= open_bins:
+        now = spark.read.schema(PACKED).parquet(*paths)
+        ends = now.groupBy("part").agg(F.max("n_bins").alias("n"), F.max("bound").alias("b"), F.max("volume").alias("v"))
+        bins, gaps = ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(gap.cast("long")), F.lit(0))).first()
+        if bins <= bound or gaps < 2:
             break
-    return spark.read.schema(PACKED).parquet(now, *done).select("pid", "sequence", "place")
+        # Partitions with gaps meet in groups of a bounded number, other ones in each round.
+        groups = max(1, -(-gaps // EXCHANGE))
+        members = ends.where(gap).select("part", F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(groups)).alias("deal"))
+        shift = parts * turn  # a partition's number is used once
+        met = now.join(members, "part").withColumn("deal", F.col("deal") + shift).groupBy("deal").applyInPandas(_exchange(capacity, turn), PACKED)
+        after = [staged_path(now.join(members, "part", "left_anti")), staged_path(met)]
+        for path in paths:
+            unstage(spark, path)
+        paths = after
+    return spark.read.schema(PACKED).parquet(*paths).select("pid", "sequence", "place")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
