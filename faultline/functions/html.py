@@ -1,14 +1,12 @@
-"""HTML extraction Column functions.
+"""HTML extraction Column functions (P6, P7, P10, P11), all in the JVM.
 
-Flat tags are handled with regular expressions (JVM side, codegen friendly).
-Nested tags of the same name need a real parser: ``element_text_batches``
-runs the standard-library ``html.parser`` inside ``mapInPandas``.
+An element ends at the closing tag that matches its opening one: the open and
+close tags of that name are counted in order (``until_close``), so text inside
+nested tags is kept.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +22,23 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _character(digits: Column) -> Column:
+    """The character of a numeric reference's digits ('8217' or 'x2019'); U+FFFD if there is none."""
+    code = F.when(F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(F.substring(digits, 1, 8))
+    code = code.try_cast("long")
+    good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    point = F.when(digits.isNull(), F.lit(None)).when(good, code).otherwise(F.lit(0xFFFD))
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
 def unescape(text) -> Column:
-    out = _col(text)
+    """Numeric references, then the named entities; '&amp;' goes last."""
+    c = _col(text)
+    pattern = "&#([0-9]{1,8}|[xX][0-9a-fA-F]{1,8});"
+    found = F.regexp_extract_all(c, F.lit(pattern), 1)
+    decoded = F.array_join(F.transform(F.split(c, pattern, -1), lambda gap, i: F.concat(
+        gap, F.coalesce(_character(F.get(found, i)), F.lit("")))), "")
+    out = F.when(F.instr(c, "&#") > 0, decoded).otherwise(c)
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out
@@ -46,11 +59,46 @@ def title_before(html, separator: str = "·") -> Column:
                   F.trim(F.substring_index(title, separator, 1))).otherwise(F.lit(""))
 
 
+def until_close(rest, tag: str) -> Column:
+    """What stands before the closing ``tag`` that matches an opening one just
+    before ``rest``; all of ``rest`` if the element is not closed."""
+    r = _col(rest)
+    pattern = f"(?i)</?{tag}(?=[\\s/>])[^>]*>"
+    tags = F.regexp_extract_all(r, F.lit(pattern), 0)
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
+
+    def step(s, x):
+        before = s["at"] + F.length(x["gap"])
+        depth = s["depth"] + F.when(F.startswith(x["tag"], F.lit("</")), -1).when(F.endswith(x["tag"], F.lit("/>")), 0).otherwise(1)
+        return F.struct(depth.cast("int").alias("depth"), (before + F.length(x["tag"])).cast("int").alias("at"),
+                        F.coalesce(s["end"], F.when(depth == 0, before)).cast("int").alias("end"))
+    pairs = F.zip_with(F.slice(F.split(r, pattern, -1), 1, F.size(tags)), tags,
+                       lambda g, t: F.struct(g.alias("gap"), t.alias("tag")))
+    end = F.aggregate(pairs, start, step, lambda s: s["end"])
+    return F.substring(r, F.lit(1), F.coalesce(end, F.length(r)))
+
+
+def first_element(html, open_tag: str, tag: str) -> Column:
+    """Inner HTML of the first element whose opening tag matches the pattern, '' if there is none."""
+    return until_close(F.regexp_extract(_col(html), f"(?s){open_tag}(.*)$", 1), tag)
+
+
+def all_elements(html, open_tag: str, tag: str) -> Column:
+    """Inner HTML of each element whose opening tag matches the pattern; an
+    element ends at the next such opening tag at the latest."""
+    parts = F.split(_col(html), open_tag, -1)
+    return F.transform(F.slice(parts, 2, F.size(parts)), lambda p: until_close(p, tag))
+
+
+def class_tag(tag: str, css_class: str | None = None) -> str:
+    """Pattern of an opening tag that has the class among others, like a CSS class selector."""
+    attrs = f'[^>]*class="(?:[^"]* )?{css_class}(?: [^"]*)?"[^>]*' if css_class else "(?:\\s[^>]*)?"
+    return f"<{tag}{attrs}>"
+
+
 def element_html(html, tag: str, css_class: str | None = None) -> Column:
-    """Inner HTML of the first <tag> (with the given class), flat tags only."""
-    # class attribute holding the class among others, like a CSS class selector
-    attrs = f'[^>]*class="(?:[^"]* )?{css_class}(?: [^"]*)?"[^>]*' if css_class else "[^>]*"
-    return F.regexp_extract(_col(html), f"(?s)<{tag}{attrs}>(.*?)</{tag}>", 1)
+    """Inner HTML of the first <tag> (with the given class)."""
+    return first_element(html, class_tag(tag, css_class), tag)
 
 
 def element_text(html, tag: str, css_class: str | None = None) -> Column:
@@ -58,10 +106,10 @@ def element_text(html, tag: str, css_class: str | None = None) -> Column:
     return strip_tags(element_html(html, tag, css_class))
 
 
-def paragraphs(fragment) -> Column:
+def paragraphs(fragment, open_tag: str = "<p[^>]*>") -> Column:
     """P11 parts: text of each <p> in a fragment. A paragraph ends at the next
     <p>, at </p>, or at the end of the fragment. Empty ones are dropped."""
-    pieces = F.split(_col(fragment), "<p[^>]*>")
+    pieces = F.split(_col(fragment), open_tag)
     body = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
     texts = F.transform(body, lambda p: strip_tags(F.substring_index(p, "</p>", 1)))
     return F.filter(texts, lambda t: t != "")
@@ -77,60 +125,3 @@ def tag_texts(html, tag: str = "a") -> Column:
     return F.array_sort(F.array_distinct(F.transform(
         F.regexp_extract_all(_col(html), F.lit(f"<{tag}[^>]*>([^<]*)</{tag}>"), 1),
         lambda t: F.trim(unescape(t)))))
-
-
-class _FirstElementText(HTMLParser):
-    """Text of the first element with a tag and class; handles nesting."""
-
-    def __init__(self, tag: str, css_class: str | None):
-        super().__init__(convert_charrefs=True)
-        self.tag, self.css_class = tag, css_class
-        self.depth = 0
-        self.parts: list[str] = []
-        self.done = False
-
-    def handle_starttag(self, tag, attrs):
-        if self.done:
-            return
-        if self.depth:
-            if tag == self.tag:
-                self.depth += 1
-            return
-        if tag == self.tag:
-            classes = (dict(attrs).get("class") or "").split()
-            if self.css_class is None or self.css_class in classes:
-                self.depth = 1
-
-    def handle_endtag(self, tag):
-        if self.depth and tag == self.tag:
-            self.depth -= 1
-            if self.depth == 0:
-                self.done = True
-
-    def handle_data(self, data):
-        if self.depth and not self.done:
-            self.parts.append(data)
-
-
-def first_element_text(html: str | None, tag: str, css_class: str | None) -> str | None:
-    if html is None:
-        return None
-    p = _FirstElementText(tag, css_class)
-    p.feed(html)
-    p.close()
-    if not p.parts and not p.done:
-        return None
-    return " ".join(" ".join(p.parts).split())
-
-
-def element_text_batches(tag: str, css_class: str | None, html_col: str = "html",
-                         out_col: str = "element_text"):
-    """mapInPandas function for nested tags: adds ``out_col`` and drops the
-    wide html column so it never reaches a shuffle."""
-
-    def run(batches):
-        for pdf in batches:
-            pdf[out_col] = [first_element_text(h, tag, css_class) for h in pdf[html_col]]
-            yield pdf.drop(columns=[html_col])
-
-    return run

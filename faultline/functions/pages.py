@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.html import element_html, paragraphs, strip_tags, title_before, unescape
+from faultline.functions.html import (all_elements, class_tag, element_html, first_element, paragraphs, strip_tags, title_before,
+                                      unescape)
 from faultline.functions.text import clean_tokens, is_bot_comment
 
 # ---------------------------------------------------------------------------
@@ -27,6 +28,10 @@ ISSUE_TITLE_TESTID = "issue-title"
 ISSUE_AUTHOR_TESTID = "issue-body-header-author"
 ISSUE_BODY_TESTID = "markdown-body"
 ISSUE_LABEL_CLASS_PATTERN = "TokenBase__StyledTokenBase"
+ISSUE_LABEL_TEXT_CLASS = "prc-Text-Text-0ima0"
+PR_TABLE_CLASS = "d-block user-select-contain"
+PR_TABLE_ATTR = "data-paste-markdown-skip"
+PR_PARAGRAPH_ATTR = 'dir="auto"'
 SECURITY_TITLE_CLASS = "gh-header-title"
 SECURITY_BODY_CLASS = "markdown-body comment-body p-0"
 # Bot posts: both phrases of a pair in the first paragraph.
@@ -38,11 +43,11 @@ BOT_PHRASES = [
 
 COMMIT_JSON_SCHEMA = ("payload struct<diffEntryData: array<struct<path: string>>, "
                       "commit: struct<parents: array<string>>>")
-ISSUE_JSON_SCHEMA = (
-    "payload struct<preloadedQueries: array<struct<result: struct<data: struct<repository: struct<"
-    "issue: struct<frontTimelineItems: struct<edges: array<struct<node: struct<"
-    "__typename: string, author: struct<login: string>, body: string>>>>>>>>>>>"
-)
+_ISSUE_NODE = "struct<__typename: string, author: struct<login: string>, body: string>"
+ISSUE_NODES = f"array<{_ISSUE_NODE}>"
+ISSUE_QUERIES = ("array<struct<result: struct<data: struct<repository: struct<issue: struct<frontTimelineItems: struct<"
+                 f"edges: array<struct<node: {_ISSUE_NODE}>>>>>>>>>")
+ISSUE_JSON_SCHEMA = f"payload struct<preloadedQueries: {ISSUE_QUERIES}>"
 
 
 def _col(c) -> Column:
@@ -50,12 +55,18 @@ def _col(c) -> Column:
 
 
 def _attr_element(html: Column, tag: str, attr: str, value: str) -> Column:
-    return F.regexp_extract(html, f'(?s)<{tag}[^>]*{attr}="{value}"[^>]*>(.*?)</{tag}>', 1)
+    return first_element(html, f'<{tag}[^>]*{attr}="{value}"[^>]*>', tag)
 
 
-def embedded_json(html) -> Column:
-    """The JSON text of the embedded-data script (P8/P9), '' when absent."""
-    return F.regexp_extract(_col(html), f"(?s)<script[^>]*{EMBEDDED_DATA_ATTR}[^>]*>(.*?)</script>", 1)
+def embedded_json(html, schema: str) -> Column:
+    """The parsed embedded-data scripts, all of them; bad JSON is a null element."""
+    texts = F.regexp_extract_all(_col(html), F.lit(f"(?s)<script[^>]*{EMBEDDED_DATA_ATTR}[^>]*>(.*?)</script>"), 1)
+    return F.transform(texts, lambda t: F.from_json(t, schema))
+
+
+def _gathered(parsed: Column, lists, kind: str) -> Column:
+    """The lists that the scripts hold, one after the other."""
+    return F.flatten(F.transform(parsed, lambda d: F.coalesce(lists(d), F.array().cast(kind))))
 
 
 def _lines_text(fragment: Column) -> Column:
@@ -68,17 +79,17 @@ def _lines_text(fragment: Column) -> Column:
 def commit_page(html) -> Column:
     """P6 + P7 + P8 + P12: commit part of a record."""
     h = _col(html)
-    data = F.from_json(embedded_json(h), COMMIT_JSON_SCHEMA)
-    files = F.coalesce(F.transform(data["payload"]["diffEntryData"], lambda e: e["path"]),
-                       F.array().cast("array<string>"))
-    desc = F.regexp_extract(h, f'(?s)<span[^>]*class="[^"]*{COMMIT_DESCRIPTION_CLASS}[^"]*"[^>]*>(.*?)</span>', 1)
+    data = embedded_json(h, COMMIT_JSON_SCHEMA)
+    files = _gathered(data, lambda d: F.transform(d["payload"]["diffEntryData"], lambda e: e["path"]), "array<string>")
+    parents = _gathered(data, lambda d: d["payload"]["commit"]["parents"], "array<string>")
+    desc = first_element(h, f'<span[^>]*class="[^"]*{COMMIT_DESCRIPTION_CLASS}[^"]*"[^>]*>', "span")
     return F.struct(
         clean_tokens(title_before(h, "·")).alias("commit_message"),
         clean_tokens(_lines_text(desc)).alias("description"),
         F.size(files).cast("int").alias("changed_files_count"),
         files.alias("changed_files"),
         F.array().cast("array<struct<before:string,after:string>>").alias("changed_files_content"),
-        F.coalesce(F.get(data["payload"]["commit"]["parents"], 0), F.lit("")).alias("parent"))
+        F.coalesce(F.get(parents, 0), F.lit("")).alias("parent"))
 
 
 def commit_page_valid(part) -> Column:
@@ -95,13 +106,15 @@ def pr_page(html) -> Column:
     h = _col(html)
     title = strip_tags(element_html(h, "h1", PR_TITLE_CLASS))
     body_html = element_html(h, "div", PR_BODY_CLASS)
-    author = strip_tags(F.regexp_extract(h, f'(?s)<a[^>]*class="(?:[^"]* )?{PR_AUTHOR_CLASS}(?: [^"]*)?"[^>]*>(.*?)</a>', 1))
+    author = strip_tags(element_html(h, "a", PR_AUTHOR_CLASS))
     first = F.when(body_html != "", F.array(F.struct(
         F.lit("pr_description").alias("type"),
         clean_tokens(strip_tags(body_html)).alias("content"),
         F.when(author != "", author).alias("author"))))
-    cells = F.regexp_extract_all(h, F.lit(f'(?s)<td[^>]*class="{PR_COMMENT_CELL_CLASS}"[^>]*>(.*?)</td>'), 1)
-    paras = F.transform(cells, lambda c: paragraphs(c))
+    # Discussion tables, the first comment cell of each, and its paragraphs of text.
+    tables = all_elements(h, f'<table(?=[^>]*class="{PR_TABLE_CLASS}")(?=[^>]*{PR_TABLE_ATTR})[^>]*>', "table")
+    cells = F.transform(tables, lambda t: first_element(t, f'<td[^>]*class="{PR_COMMENT_CELL_CLASS}"[^>]*>', "td"))
+    paras = F.transform(cells, lambda c: paragraphs(c, f"<p(?=[^>]*{PR_PARAGRAPH_ATTR})[^>]*>"))
     kept = F.filter(paras, lambda p: (F.size(p) > 0) & ~is_bot_comment(F.get(p, 0), BOT_PHRASES))
     rest = F.transform(kept, lambda p, i: F.struct(
         (i + 2).cast("int").alias("discussion_number"),
@@ -130,20 +143,17 @@ def issue_page(html) -> Column:
     nodes with a body, author login or 'Unknown', not the issue author)."""
     h = _col(html)
     title = strip_tags(_attr_element(h, "bdi", "data-testid", ISSUE_TITLE_TESTID))
-    label_spans = F.regexp_extract_all(
-        h, F.lit(f'(?s)<span[^>]*class="[^"]*{ISSUE_LABEL_CLASS_PATTERN}[^"]*"[^>]*>.*?'
-                 f'<span[^>]*>([^<]*)</span>'), 1)
-    labels = F.array_sort(F.array_distinct(F.filter(F.transform(label_spans, lambda t: F.trim(unescape(t))),
-                                                    lambda t: t != "")))
+    spans = all_elements(h, f'<span[^>]*class="[^"]*{ISSUE_LABEL_CLASS_PATTERN}[^"]*"[^>]*>', "span")
+    label_spans = F.transform(spans, lambda x: strip_tags(first_element(x, class_tag("span", ISSUE_LABEL_TEXT_CLASS), "span")))
+    labels = F.array_sort(F.array_distinct(F.filter(label_spans, lambda t: t != "")))
     main_author = strip_tags(_attr_element(h, "a", "data-testid", ISSUE_AUTHOR_TESTID))
     main_author = F.when(main_author != "", main_author)
     body = _attr_element(h, "div", "data-testid", ISSUE_BODY_TESTID)
     main = F.when(body != "", F.array(F.struct(main_author.alias("author"),
                                                clean_tokens(_lines_text(body)).alias("content"))))
-    data = F.from_json(embedded_json(h), ISSUE_JSON_SCHEMA)
-    edges = F.get(data["payload"]["preloadedQueries"], 0)["result"]["data"]["repository"]["issue"][
-        "frontTimelineItems"]["edges"]
-    nodes = F.transform(F.coalesce(edges, F.array()), lambda e: e["node"])
+    queries = _gathered(embedded_json(h, ISSUE_JSON_SCHEMA), lambda d: d["payload"]["preloadedQueries"], ISSUE_QUERIES)
+    nodes = F.flatten(F.transform(queries, lambda x: F.coalesce(F.transform(
+        x["result"]["data"]["repository"]["issue"]["frontTimelineItems"]["edges"], lambda e: e["node"]), F.array().cast(ISSUE_NODES))))
     wanted = F.filter(nodes, lambda n: (n["__typename"] == "IssueComment")
                       & (F.coalesce(n["body"], F.lit("")) != "")
                       & ~F.coalesce(n["author"]["login"], F.lit("Unknown")).eqNullSafe(main_author))
@@ -164,6 +174,6 @@ def security_page(html) -> Column:
     """Security advisory part of a record (title and body)."""
     h = _col(html)
     title = element_html(h, "h1", SECURITY_TITLE_CLASS)
-    body = F.regexp_extract(h, f'(?s)<div[^>]*class="{SECURITY_BODY_CLASS}"[^>]*>(.*?)</div>', 1)
+    body = first_element(h, f'<div[^>]*class="{SECURITY_BODY_CLASS}"[^>]*>', "div")
     return F.struct(F.when(title != "", clean_tokens(strip_tags(title))).alias("title"),
                     F.when(body != "", clean_tokens(_lines_text(body))).alias("content"))

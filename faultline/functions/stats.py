@@ -134,8 +134,12 @@ _LANCZOS_G = 7.0
 _LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,
             -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6,
             1.5056327351493116e-7]
-_CF_STEPS = 300
-_SERIES_STEPS = 3000
+
+
+def _steps(size: str) -> str:
+    """Steps after which series and fractions of these tails have converged:
+    both need a multiple of the square root of the larger parameter."""
+    return f"sequence(1, CAST(200 + 12 * sqrt({size}) AS INT))"
 
 
 def _d(v: float) -> str:
@@ -174,7 +178,7 @@ def _beta_cf_sql(a: str, b: str, x: str) -> str:
     new_cd = (f"element_at(transform(array({coef}), k -> named_struct("
               f"'c', {_clamp_sql('1D + k / acc.c')}, 'd', 1D / {_clamp_sql('1D + k * acc.d')})), 1)")
     step = f"element_at(transform(array({new_cd}), w -> named_struct('c', w.c, 'd', w.d, 'h', acc.h * w.d * w.c)), 1)"
-    return (f"aggregate(sequence(1, {2 * _CF_STEPS}), named_struct('c', 1D, 'd', {d0}, 'h', {d0}), "
+    return (f"aggregate({_steps(f"greatest({a}, {b})")}, named_struct('c', 1D, 'd', {d0}, 'h', {d0}), "
             f"(acc, j) -> {step}, acc -> acc.h)")
 
 
@@ -218,13 +222,13 @@ def chi2_upper_jvm(x: str, df: str) -> Column:
     a, ys = f"({dc} / 2D)", f"greatest({xc} / 2D, 1e-300)"
     prefix = f"exp(-{ys} + {a} * ln({ys}) - {_lgamma_sql(a)})"
     step_term = f"acc.term * {ys} / ({a} + CAST(k AS DOUBLE))"
-    series = (f"aggregate(sequence(1, {_SERIES_STEPS}), named_struct('term', 1D / {a}, 'total', 1D / {a}), "
+    series = (f"aggregate({_steps(a)}, named_struct('term', 1D / {a}, 'total', 1D / {a}), "
               f"(acc, k) -> named_struct('term', {step_term}, 'total', acc.total + {step_term}), acc -> acc.total)")
     b0 = f"({ys} + 1D - {a})"
     an = f"(-CAST(i AS DOUBLE) * (CAST(i AS DOUBLE) - {a}))"
     d = f"(1D / {_clamp_sql(f'{an} * acc.d + acc.b + 2D')})"
     c = _clamp_sql(f"acc.b + 2D + {an} / acc.c")
-    fraction = (f"aggregate(sequence(1, {_CF_STEPS}), named_struct('c', {_d(1.0 / _TINY)}, "
+    fraction = (f"aggregate({_steps(a)}, named_struct('c', {_d(1.0 / _TINY)}, "
                 f"'d', 1D / {_clamp_sql(b0)}, 'h', 1D / {_clamp_sql(b0)}, 'b', {b0}), "
                 f"(acc, i) -> named_struct('c', {c}, 'd', {d}, 'h', acc.h * {d} * {c}, 'b', acc.b + 2D), "
                 f"acc -> acc.h)")

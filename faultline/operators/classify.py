@@ -18,53 +18,48 @@ from faultline.operators.ranks import positions
 
 # Training profile defaults (head only): iterations and L2 strength.
 MAX_ITER = 100
-TEXT_MAX_ITER = 50
-TEXT_FEATURES = 1 << 16
+TEXT_FEATURES = 1 << 18  # Spark ML's own default
 REG_PARAM = 0.01
-PAIR_ITERATIONS = 2
+TEXT_TOL = 1e-4  # the text head stops when the loss changes by less than this share
+PAIR_ITERATIONS = 10
 
 
-def contrastive_pairs(df: DataFrame, id_col: str, label_col: str, iterations: int = PAIR_ITERATIONS,
-                      buckets: int = 64) -> DataFrame:
+def contrastive_pairs(df: DataFrame, id_col: str, label_col: str, iterations: int = PAIR_ITERATIONS) -> DataFrame:
     """M4: for each example and each j in 1..iterations, one same-label
     partner (target 1) and one other-label partner (target 0).
 
-    Examples are numbered per label in the order (id mod buckets, id) with
-    bucketed offsets, so no label is sorted in one task. Partners are found
-    by an equi-join on (label, position): the same label at position
-    (p + j) mod n, and label number (l + j) mod L at position p mod n'.
-    Output size is 2 * iterations * rows; no pair enumeration."""
-    base = df.select(id_col, label_col)
-    pos = positions(base, [label_col], [id_col], "pos",
-                    bucket_expr=F.pmod(F.col(id_col), F.lit(buckets)))
-    sizes = base.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    Examples are numbered per label in order of id (``positions``). With n
+    examples of the label and L labels, the same-label partner is at position
+    (p + 1 + (j - 1) mod (n - 1)) mod n, so never the example itself; the
+    other label is number (l + 1 + (j - 1) mod (L - 1)) mod L, so never its own,
+    and the partner there at (p + j - 1) mod n', so partners of a rare label are
+    taken in turn. Partners come by an equi-join on (label, position). A label
+    of one example has no positives, one label alone no negatives."""
+    pos = positions(df.select(id_col, label_col), [label_col], [id_col], "pos")
+    sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
     # One row per class: bounded by the number of classes.
     classes = sizes.withColumn("ord", F.row_number().over(Window.orderBy(label_col)) - 1) \
                    .withColumn("n_classes", F.count(F.lit(1)).over(Window.partitionBy()))
     a = pos.join(classes, label_col, "inner").select(
         F.col(id_col).alias("a_id"), F.col(label_col).alias("a_label"), "pos", "n", "ord", "n_classes",
-        F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("j"))
-    target_pos = a.where(F.col("n") > 1).select(
-        "a_id", "j", F.lit(1).alias("target"), F.col("a_label").alias("b_label"),
-        F.pmod(F.col("pos") + F.col("j"), F.col("n")).alias("b_pos"))
-    neg_ord = a.where((F.col("n_classes") > 1) & (F.pmod(F.col("j"), F.col("n_classes")) != 0)).select(
-        "a_id", "j", "pos", F.pmod(F.col("ord") + F.col("j"), F.col("n_classes")).alias("b_ord"))
-    target_neg = neg_ord.join(classes.select(F.col("ord").alias("b_ord"), F.col(label_col).alias("b_label"),
-                                             F.col("n").alias("b_n")), "b_ord", "inner") \
-                        .select("a_id", "j", F.lit(0).alias("target"), "b_label",
-                                F.pmod(F.col("pos"), F.col("b_n")).alias("b_pos"))
-    partners = pos.select(F.col(label_col).alias("b_label"), F.col("pos").alias("b_pos"),
-                          F.col(id_col).alias("b_id"))
-    return (target_pos.unionByName(target_neg)
-                      .join(partners, ["b_label", "b_pos"], "inner")
-                      .select("a_id", "b_id", "target", "j"))
+        F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("k"))
+    same = a.where(F.col("n") > 1).select(
+        "a_id", "k", F.lit(1).alias("target"), F.col("a_label").alias("b_label"),
+        F.pmod(F.col("pos") + 1 + F.col("k") % (F.col("n") - 1), F.col("n")).alias("b_pos"))
+    other = a.where(F.col("n_classes") > 1).select(
+        "a_id", "k", "pos", F.pmod(F.col("ord") + 1 + F.col("k") % (F.col("n_classes") - 1), F.col("n_classes")).alias("b_ord"))
+    other = other.join(classes.select(F.col("ord").alias("b_ord"), F.col(label_col).alias("b_label"), F.col("n").alias("b_n")), "b_ord") \
+                 .select("a_id", "k", F.lit(0).alias("target"), "b_label", F.pmod(F.col("pos") + F.col("k"), F.col("b_n")).alias("b_pos"))
+    partners = pos.select(F.col(label_col).alias("b_label"), F.col("pos").alias("b_pos"), F.col(id_col).alias("b_id"))
+    return (same.unionByName(other).join(partners, ["b_label", "b_pos"], "inner")
+                .select("a_id", "b_id", "target", (F.col("k") + 1).alias("j")))
 
 
 def embedding_classifier(label_col: str = "label", features_col: str = "features",
-                         max_iter: int = MAX_ITER, reg_param: float = REG_PARAM) -> LogisticRegression:
+                         max_iter: int = MAX_ITER, reg_param: float = REG_PARAM, tol: float = 1e-6) -> LogisticRegression:
     """M3 head: multinomial logistic regression."""
     return LogisticRegression(featuresCol=features_col, labelCol=label_col, family="multinomial",
-                              maxIter=max_iter, regParam=reg_param)
+                              maxIter=max_iter, regParam=reg_param, tol=tol)
 
 
 def with_features(df: DataFrame, embedding_col: str = "embedding") -> DataFrame:
@@ -72,13 +67,13 @@ def with_features(df: DataFrame, embedding_col: str = "embedding") -> DataFrame:
 
 
 def text_pipeline(text_col: str = "text", label_col: str = "_label", num_features: int = TEXT_FEATURES,
-                  max_iter: int = TEXT_MAX_ITER) -> Pipeline:
+                  max_iter: int = MAX_ITER) -> Pipeline:
     """M3 alternative for raw text: whitespace tokens -> hashed counts ->
     IDF -> multinomial logistic regression on an indexed label column."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\s+")
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="features")
-    return Pipeline(stages=[tok, tf, idf, embedding_classifier(label_col, max_iter=max_iter)])
+    return Pipeline(stages=[tok, tf, idf, embedding_classifier(label_col, max_iter=max_iter, tol=TEXT_TOL)])
 
 
 def fit_text_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",

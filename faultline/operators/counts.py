@@ -31,9 +31,13 @@ def count_matrix(df: DataFrame, unit: str, label: str, values: list[str],
 
 def pivot_wide(long: DataFrame, keys: list[str], name: str, value: str, values: list[str],
                fill=0) -> DataFrame:
-    """R2: long -> wide on an explicit value list; absent cells filled."""
-    wide = long.groupBy(*keys).pivot(name, values).agg(F.first(value))
-    return wide.fillna(fill, subset=values) if fill is not None else wide
+    """R2: long -> wide on an explicit value list. Absent cells are filled; a
+    cell that is there with a NULL value stays NULL."""
+    here = [F.col(name) == F.lit(v) for v in values]
+    cells = [F.first(F.when(c, F.col(value)), ignorenulls=True) for c in here]
+    if fill is not None:
+        cells = [F.when(F.count_if(c) == 0, F.lit(fill)).otherwise(x) for c, x in zip(here, cells)]
+    return long.groupBy(*keys).agg(*[x.alias(v) for x, v in zip(cells, values)])
 
 
 def unpivot_long(wide: DataFrame, ids: list[str], cols: list[str], name: str, value: str) -> DataFrame:

@@ -16,10 +16,9 @@ def two_hop(edges: DataFrame, nodes: DataFrame, second_hop_filter=None) -> DataF
     original followed only issue and security links from PR pages).
     Returns (page_id, dst, hop).
     """
-    mid = nodes.select(F.col("url").alias("mid"))
     e1 = edges.select(F.col("src"), F.col("dst").alias("mid"))
     e2 = edges.select(F.col("src").alias("mid"), F.col("dst"))
-    hop2 = e1.join(mid, "mid", "left_semi").join(e2, "mid", "inner").select("src", "dst")
+    hop2 = e1.join(e2, "mid", "inner").select("src", "dst")
     if second_hop_filter is not None:
         hop2 = hop2.where(second_hop_filter(F.col("dst")))
     hop2 = hop2.where(F.col("dst") != F.col("src"))
@@ -28,8 +27,3 @@ def two_hop(edges: DataFrame, nodes: DataFrame, second_hop_filter=None) -> DataF
     best = both.groupBy("src", "dst").agg(F.min("hop").alias("hop"))
     return (best.join(nodes.select("page_id", F.col("url").alias("src")), "src", "inner")
                 .select("page_id", "dst", "hop"))
-
-
-def sorted_unique_links(links_col) -> F.Column:
-    """Sorted distinct URLs of a page."""
-    return F.array_sort(F.array_distinct(links_col))

@@ -8,10 +8,9 @@ puts all rows of a key into one task. The helpers here avoid that:
   row), range-partitions it on (key, value) with sampled bounds, ranks inside
   each range and adds the row counts of the ranges before it. A value is one
   histogram row, so ties never straddle a range and average ranks are exact.
-* ``positions`` numbers rows 0..n-1 per key in a given order by hashing rows
-  into buckets first: offsets come from the small (key, bucket) count table.
-* ``global_positions`` numbers all rows in a total order after a range
-  repartition (balanced by sampling), using per-partition offsets.
+* ``positions`` numbers rows 0..n-1 per key in a total order, and
+  ``global_positions`` all rows: a range repartition (balanced by sampling,
+  written once), with offsets from the small (key, range) count table.
 * ``first_by`` keeps the first row per key with ``min_by`` (partial
   aggregation, no per-key sort).
 """
@@ -23,17 +22,17 @@ from pyspark.sql import functions as F
 
 # Number of range partitions for ranking; None -> spark.sql.shuffle.partitions.
 DEFAULT_RANGE_BUCKETS = None
+# Most rows of the offsets table that ``global_positions`` broadcasts (about 20 MB).
+MAX_BROADCAST_RANGES = 1_000_000
 
 
-def _one_range_exchange(x: DataFrame) -> DataFrame:
+def _fixed_ranges(x: DataFrame) -> DataFrame:
     """The per-range counts and the in-range numbering must see the same
-    range bounds. Both read one range exchange: Spark reuses the identical
-    exchange (asserted in tests/test_plans.py). If exchange reuse is switched
-    off, the partitioned rows are checkpointed once instead."""
-    if x.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
-        from faultline.session import materialize
-        return materialize(x)
-    return x
+    ranges. Two scans of one range repartition need not: Catalyst prunes their
+    columns apart and each samples its own bounds. So the partitioned rows are
+    written once to the checkpoint folder and both read that copy."""
+    from faultline.session import materialize
+    return materialize(x)
 
 
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -55,7 +54,7 @@ def rank_histogram(hist: DataFrame, keys: list[str], value: str, out: str = "ran
     number of range partitions (default: ``spark.sql.shuffle.partitions``,
     which is sized to the cluster)."""
     n = buckets or int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    x = _one_range_exchange(hist.repartitionByRange(n, *[F.col(k) for k in keys], F.col(value))
+    x = _fixed_ranges(hist.repartitionByRange(n, *[F.col(k) for k in keys], F.col(value))
                                 .withColumn("_part", F.spark_partition_id()))
     per_part = x.groupBy(*keys, "_part").agg(F.sum("_cnt").alias("_ptot"))
     w_off = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,24 +106,21 @@ def median_from_histogram(hist: DataFrame, keys: list[str], value: str, out: str
          / 2.0).alias(out))
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos",
-              buckets: int = 64, bucket_expr: Column | None = None) -> DataFrame:
-    """0-based position per ``keys`` in the order (bucket, *order).
+def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos", partitions: int | None = None) -> DataFrame:
+    """0-based position per ``keys`` in ``order`` (a total order within a key).
 
-    ``bucket_expr`` defaults to ``pmod(xxhash64(order...), buckets)``; the
-    order inside a key is then deterministic but hash-shuffled. Pass
-    ``F.lit(0)`` for a plain order (only for small keys).
-    """
-    b = bucket_expr if bucket_expr is not None else F.pmod(F.xxhash64(*order), F.lit(buckets))
-    x = df.withColumn("_b", b)
-    counts = x.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    Rows are range-partitioned on (keys, order), so a key of any size is spread
+    over as many ranges as it fills."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    x = _fixed_ranges(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    counts = x.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    w_off = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")
-    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    w = Window.partitionBy(*keys, "_part").orderBy(*order)
     return (x.withColumn("_rn", F.row_number().over(w))
-             .join(offsets, keys + ["_b"], "inner")
+             .join(offsets, keys + ["_part"], "inner")
              .withColumn(out, F.col("_off") + F.col("_rn") - 1)
-             .drop("_b", "_rn", "_off"))
+             .drop("_part", "_rn", "_off"))
 
 
 def global_positions(df: DataFrame, order: list[Column], out: str = "position",
@@ -136,10 +132,12 @@ def global_positions(df: DataFrame, order: list[Column], out: str = "position",
     window numbers the rows. ``order`` must be a total order (end it with a
     unique column)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    x = _one_range_exchange(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    x = _fixed_ranges(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     counts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range partition: the offsets table is bounded by ``n``.
+    # One row per range partition: the offsets table is bounded by ``n``, which is checked.
+    if n > MAX_BROADCAST_RANGES:
+        raise ValueError(f"{n} ranges: at most {MAX_BROADCAST_RANGES}")
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")
     w = Window.partitionBy("_part").orderBy(*order)
     return (x.withColumn("_rn", F.row_number().over(w))

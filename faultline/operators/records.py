@@ -115,40 +115,66 @@ def assemble_records(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
     ``pages`` is (url, html) of every landed page. Hop 1 takes the wanted
     links of the commit page; pull-request pages add their issue and security
     links (hop 2). Each linked page is joined by URL (many-to-one), extracted
-    by its kind, quarantined when extraction failed (K9), and the parts are
-    grouped back per commit in URL order. A commit without parts of a kind
-    gets NULL for that list. The wide html column never reaches the grouping
-    shuffles: only extracted structs do."""
+    by its kind, and the valid parts are grouped back per commit in URL order.
+    A commit page whose extraction failed gives a record with a NULL commit; a
+    commit without parts of a kind gets NULL for that list. ``failed_pages`` has
+    the pages that failed (K9). Each landed page is extracted once, before the
+    joins: html never reaches a shuffle."""
     from faultline.functions import pages as PG
-    from faultline.functions.urls import ISSUE_ONLY_KINDS, hrefs, is_wanted_link, url_groups
+    from faultline.functions.urls import url_groups
+
+    parts = linked_parts(commit_pages, pages).where("valid")
+
+    def grouped(kind: str, name: str) -> DataFrame:
+        x = parts.where(F.col("kind") == kind).select("commit_url", F.struct(F.col("url").alias("u"), F.col(kind).alias("p")).alias("e"))
+        return x.groupBy("commit_url").agg(F.sort_array(F.collect_list("e")).alias("_l")) \
+                .select("commit_url", F.transform("_l", lambda e: e["p"]).alias(name))
 
-    pages = pages.select("url", "html")
-    c = commit_pages.select("commit_url", "html")
-    links1 = c.select("commit_url", F.explode(F.filter(hrefs("html"), lambda u: is_wanted_link(
-        u, F.col("commit_url")))).alias("url")).distinct()
-    pr_pages = links1.where(F.col("url").contains("/pull/")).join(pages, "url", "inner")
-    links2 = pr_pages.select("commit_url", F.explode(F.filter(hrefs("html"), lambda u: is_wanted_link(
-        u, F.col("url"), kinds=ISSUE_ONLY_KINDS))).alias("url"))
-    others = links1.where(~F.col("url").contains("/pull/")).unionByName(links2).distinct()
-    issue_urls = others.where(F.col("url").contains("/issues/"))
-    security_urls = others.where(~F.col("url").contains("/issues/") & F.col("url").contains("/security/"))
-
-    def parts(df: DataFrame, extract, valid, name: str) -> DataFrame:
-        x = df.select("commit_url", "url", extract(F.col("html")).alias("_part"))
-        if valid is not None:
-            x = x.where(valid(F.col("_part")))
-        return (x.groupBy("commit_url")
-                 .agg(F.sort_array(F.collect_list(F.struct(F.col("url").alias("u"),
-                                                           F.col("_part").alias("p")))).alias("_l"))
-                 .select("commit_url", F.transform("_l", lambda e: e["p"]).alias(name)))
-
-    prs = parts(pr_pages, PG.pr_page, PG.pr_page_valid, "pull_requests")
-    issues = parts(issue_urls.join(pages, "url", "inner"), PG.issue_page, PG.issue_page_valid, "issues")
-    security = parts(security_urls.join(pages, "url", "inner"), PG.security_page, None, "security")
     _, _, sha7 = url_groups("commit_url")
-    commits = (c.select(sha7.alias("commit_index"), "commit_url", PG.commit_page("html").alias("commit"))
-                .where(PG.commit_page_valid(F.col("commit"))))
-    return (commits.join(prs, "commit_url", "left")
-                   .join(issues, "commit_url", "left")
-                   .join(security, "commit_url", "left")
+    part = PG.commit_page("html")
+    commits = commit_pages.select(sha7.alias("commit_index"), "commit_url", part.alias("commit")) \
+                          .withColumn("commit", F.when(PG.commit_page_valid(F.col("commit")), F.col("commit")))
+    return (commits.join(grouped("pull", "pull_requests"), "commit_url", "left")
+                   .join(grouped("issue", "issues"), "commit_url", "left")
+                   .join(grouped("security", "security"), "commit_url", "left")
                    .select("commit_index", "commit_url", "commit", "pull_requests", "issues", "security"))
+
+
+def page_kind(url) -> Column:
+    """pull, issue or security, by the URL; NULL for others."""
+    u = F.col(url) if isinstance(url, str) else url
+    return F.when(u.contains("/pull/"), "pull").when(u.contains("/issues/"), "issue").when(u.contains("/security/"), "security")
+
+
+def linked_parts(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
+    """J6 + U1: (commit_url, url, kind, hop, valid, pull, issue, security) of the
+    landed pages that a commit page links to, and of the issue and security
+    pages that its pull-request pages link to; the smallest hop counts."""
+    from faultline.functions import pages as PG
+    from faultline.functions.urls import ISSUE_ONLY_KINDS, hrefs, is_wanted_link
+
+    c = commit_pages.select("commit_url", "html")
+    hop1 = c.select("commit_url", F.explode(F.array_distinct(F.filter(
+        hrefs("html"), lambda u: is_wanted_link(u, F.col("commit_url"))))).alias("url"))
+    kind = page_kind("url")
+    extracted = pages.select(
+        "url", kind.alias("kind"), F.when(kind == "pull", PG.pr_page("html")).alias("pull"),
+        F.when(kind == "issue", PG.issue_page("html")).alias("issue"), F.when(kind == "security", PG.security_page("html")).alias("security"),
+        F.when(kind == "pull", F.array_distinct(F.filter(hrefs("html"), lambda u: is_wanted_link(
+            u, F.col("url"), kinds=ISSUE_ONLY_KINDS)))).alias("more")).where("kind IS NOT NULL")
+    extracted = extracted.withColumn("valid", F.when(F.col("kind") == "pull", PG.pr_page_valid(F.col("pull")))
+                                     .when(F.col("kind") == "issue", PG.issue_page_valid(F.col("issue"))).otherwise(F.lit(True)))
+    hop2 = hop1.join(extracted.where("kind = 'pull'").select("url", "more"), "url").select("commit_url", F.explode("more").alias("url"))
+    hops = hop1.withColumn("hop", F.lit(1)).unionByName(hop2.where(~F.col("url").contains("/pull/")).withColumn("hop", F.lit(2)))
+    return hops.groupBy("commit_url", "url").agg(F.min("hop").alias("hop")).join(extracted.drop("more"), "url")
+
+
+def failed_pages(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
+    """K9: (url, kind, html) of the landed pages whose extraction failed."""
+    from faultline.functions import pages as PG
+
+    kind = page_kind("url")
+    good = F.when(kind == "pull", PG.pr_page_valid(PG.pr_page("html"))).when(kind == "issue", PG.issue_page_valid(PG.issue_page("html")))
+    linked = pages.select("url", kind.alias("kind"), "html", good.alias("good")).where(~F.col("good")).drop("good")
+    commits = commit_pages.where(~PG.commit_page_valid(PG.commit_page("html")))
+    return linked.unionByName(commits.select(F.col("commit_url").alias("url"), F.lit("commit").alias("kind"), "html"))

@@ -33,14 +33,19 @@ def accuracy(verified: DataFrame) -> DataFrame:
 
 
 def category_summary(pred: DataFrame, cat: str, index: str) -> DataFrame:
-    """Per category the count and the index range. The index list itself
-    stays in long form ((category, index) rows, written sorted by the sink)
-    so no category is collected into one row."""
+    """Per category the count and the index range. The complete list of
+    indices is ``category_pairs``, in long form, so no category is collected
+    into one row."""
     return pred.groupBy(cat).agg(F.count(F.lit(1)).alias("n"),
                                  F.min(index).alias("first_index"),
                                  F.max(index).alias("last_index"))
 
 
+def category_pairs(pred: DataFrame, cat: str, index: str) -> DataFrame:
+    """The indices of each category, one row each."""
+    return pred.select(F.col(cat).alias("category"), F.col(index).alias("index"))
+
+
 def coverage(tasks: DataFrame, labelled: DataFrame, key: str, cat: str) -> DataFrame:
     """A7 + A8: total tasks, with and without a label, distinct categories.
     ``labelled`` holds one row per labelled key (left-semi side)."""
@@ -69,9 +74,10 @@ def category_by_repo(pred: DataFrame, lookup: DataFrame, key: str, cat: str, rep
 
 def set_membership(left: DataFrame, right: DataFrame, key: str,
                    names=("both", "left_only", "right_only")) -> DataFrame:
-    """Intersection and both differences of two key sets."""
-    a = left.select(key)
-    b = right.select(key)
-    return (a.intersect(b).withColumn("membership", F.lit(names[0]))
-             .unionByName(a.subtract(b).withColumn("membership", F.lit(names[1])))
-             .unionByName(b.subtract(a).withColumn("membership", F.lit(names[2]))))
+    """Intersection and both differences of two key sets: one union with
+    flags, one aggregation by key."""
+    both = left.select(key, F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(
+        right.select(key, F.lit(False).alias("l"), F.lit(True).alias("r")))
+    sides = both.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    name = F.when(F.col("l") & F.col("r"), names[0]).when(F.col("l"), names[1]).otherwise(names[2])
+    return sides.select(key, name.alias("membership"))

@@ -76,18 +76,16 @@ def _nation_dim(spark, sf_dir):
 
 def key_normalize_join(spark, sf_dir):
     """Facts left-joined to the dimension on the normalized key.
-    The nation dimension is fixed at 25 rows for every scale factor, so it is
-    broadcast."""
+    No hint: the size of the dimension decides at run time."""
     facts = _supplier_nations(spark, sf_dir).withColumn("nation_key", normalize_key("nation_raw"))
-    return facts.join(F.broadcast(_nation_dim(spark, sf_dir)), "nation_key", "left")
+    return facts.join(_nation_dim(spark, sf_dir), "nation_key", "left")
 
 
 def unmatched_keys(spark, sf_dir):
-    """Distinct fact names with no match in a reduced dimension
-    (nations of regions 0-3)."""
-    facts = _supplier_nations(spark, sf_dir).withColumn("nation_key", normalize_key("nation_raw"))
-    dim = _nation_dim(spark, sf_dir).where(F.col("n_regionkey") < 4)
-    return facts.join(F.broadcast(dim), "nation_key", "left_anti").select("nation_raw").distinct()
+    """Distinct names of customers without any event."""
+    names = table(spark, sf_dir, "customer").select("c_name", F.col("c_custkey").alias("user_id"))
+    seen = table(spark, sf_dir, "events").select("user_id")
+    return names.join(seen, "user_id", "left_anti").select(F.col("c_name").alias("name")).distinct()
 
 
 def project_order(spark, sf_dir):

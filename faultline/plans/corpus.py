@@ -8,6 +8,8 @@ commit listing and the embedded JSON column.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,12 +130,11 @@ def role_filter(spark, sf_dir):
 
 def before_after_pairs(spark, sf_dir):
     """Each changed item (turn >= 1) with the content before (turn-1)
-    and after (turn), as two left joins to the content table."""
+    and after (turn): the row has the one, a left join the other."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    items = conv.where(F.col("turn") >= 1).select("conv_id", "turn")
+    items = conv.where(F.col("turn") >= 1).withColumnRenamed("text", "after")
     before = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    after = conv.select("conv_id", "turn", F.col("text").alias("after"))
-    return items.join(before, ["conv_id", "turn"], "left").join(after, ["conv_id", "turn"], "left")
+    return items.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "before", "after")
 
 
 def event_props_json(spark, sf_dir):
@@ -148,7 +149,7 @@ def time_window_limit(spark, sf_dir, since: str = WINDOW_SINCE, until: str = WIN
     """Events inside [since, until], newest first, first ``cap`` per
     user. ``row_number() <= cap`` lets Spark apply the group limit before the
     shuffle, so a hot user ships at most ``cap`` rows per map task."""
-    if since > until:
+    if datetime.fromisoformat(str(since)) > datetime.fromisoformat(str(until)):
         raise ValueError("invalid window: since is after until")
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     ev = ev.where(F.col("ts").between(F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")))
@@ -205,12 +206,13 @@ def page_quarantine(spark, sf_dir):
 
 
 def page_block_text(spark, sf_dir):
-    """P7 (nested-tag path): text of the first ``div.ad`` block by a real
-    HTML parser in ``mapInPandas``; the wide html column is dropped inside
-    the task, so only (page_id, text) leaves it."""
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return pages.mapInPandas(H.element_text_batches("div", "ad", "html", "ad_text"),
-                             "page_id long, ad_text string")
+    """P7 (nested tags): text of the first ``div.ad`` block, which holds another
+    block, a table and numeric references, on a view made of the page's columns."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    view = F.concat(F.lit('<div class="x">no</div><div id="a" class="big ad"><div><b>page</b> '), F.col("page_id").cast("string"),
+                    F.lit(" at "), F.col("url"), F.lit("</div><table><tr><td><div>first</div></td><td>second</td></tr></table><div/>"
+                                                       "&#8217;</div-x> <div>end</div></div><div class=\"ad\">after</div>"))
+    return pages.select("page_id", H.element_text(view, "div", "ad").alias("block_text"))
 
 
 def two_hop_links(spark, sf_dir):

@@ -101,12 +101,43 @@ def contrastive_pairs(spark, sf_dir):
     return M.contrastive_pairs(emb, "vec_id", "label")
 
 
-def classify_embeddings(spark, sf_dir):
-    """Fit the head on the labelled embeddings, predict all."""
+def _cross_predictions(spark, sf_dir) -> DataFrame:
+    """Two folds by vec_id; each is predicted by a head that is
+    fitted on the other, so every row is predicted and none by its own label."""
     emb = M.with_features(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
-    model = M.embedding_classifier("label").fit(emb)
-    out = M.predictions(model.transform(emb))
-    return out.select("vec_id", "label", "predicted", "confidence")
+    emb = emb.withColumn("fold", F.pmod("vec_id", F.lit(2)))
+    out = None
+    for fold in (0, 1):
+        model = M.embedding_classifier("label").fit(emb.where(F.col("fold") != fold))
+        part = M.predictions(model.transform(emb.where(F.col("fold") == fold)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def classify_embeddings(spark, sf_dir):
+    """Class, confidence and class probabilities of every row."""
+    out = _cross_predictions(spark, sf_dir)
+    return out.select("vec_id", "label", "predicted", "confidence", F.to_json("class_probs").alias("class_probs"))
+
+
+def classify_checks(spark, sf_dir):
+    """A12 A13 on all predictions: rows, rows whose probabilities sum to 1,
+    whose predicted class has the largest, and whose confidence is that one."""
+    p = _cross_predictions(spark, sf_dir).withColumn("p", F.map_values("class_probs"))
+    top = F.array_max("p")
+    return p.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("n_sum_one"),
+                 F.count_if(F.element_at("class_probs", F.col("predicted").cast("string")) == top).alias("n_argmax"),
+                 F.count_if(F.col("confidence") == F.bround(top, 3)).alias("n_maximum"))
+
+
+def prediction_accuracy(spark, sf_dir):
+    """A10 M7: correct, wrong and accuracy of the stand-in rule."""
+    return V.accuracy(verify_predictions(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+def task_category_pairs(spark, sf_dir):
+    """Every (category, index) of the predictions."""
+    return V.category_pairs(_predicted(spark, sf_dir), "predicted", "doc_id")
 
 
 def classify_tasks(spark, sf_dir):
@@ -118,4 +149,4 @@ def classify_tasks(spark, sf_dir):
     out = M.predictions(model.transform(predict_set(spark, sf_dir)), class_labels=classes)
     names = F.array(*[F.lit(c) for c in classes])
     return out.select("doc_id", F.element_at(names, F.col("predicted") + 1).alias("predicted_label"),
-                      "confidence")
+                      "confidence", F.to_json("class_probs").alias("class_probs"))

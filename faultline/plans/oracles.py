@@ -154,9 +154,8 @@ def analysis_oracles() -> dict[str, str]:
     o["key_normalize_join"] = (_with(f=facts, d=dim) +
                                "SELECT f.nation_key, f.s_suppkey, f.nation_raw, d.n_name, d.n_regionkey "
                                "FROM f LEFT JOIN d USING (nation_key)")
-    o["unmatched_keys"] = (_with(f=facts, d=dim) +
-                           "SELECT DISTINCT nation_raw FROM f WHERE nation_key NOT IN "
-                           "(SELECT nation_key FROM d WHERE n_regionkey < 4)")
+    o["unmatched_keys"] = ("SELECT DISTINCT c_name AS name FROM customer WHERE NOT EXISTS "
+                           "(SELECT 1 FROM events WHERE events.user_id = customer.c_custkey)")
     lvl = " ".join(f"WHEN {q(d)} THEN {i + 1}" for i, d in enumerate(DOMAIN_ORDER))
     o["project_order"] = (_with(p=PROJECTS) + f"""
 SELECT project, domain, loc, CAST(domain_level AS BIGINT) AS domain_level,
@@ -176,7 +175,7 @@ FROM (SELECT project, domain, loc, CASE domain {lvl} END AS domain_level FROM p
     o["domain_medians"] = _medians(MERGED, CATEGORIES + ["stars"])
     o["domain_zscores"] = ZSCORES
     o["domain_matrix"] = (_with(z=ZSCORES) + "SELECT domain, " + ", ".join(
-        f"coalesce(max(z) FILTER (WHERE category = {q(t)}), 0.0) AS {t}" for t in TYPE_ORDER)
+        f"CASE WHEN count(*) FILTER (WHERE category = {q(t)}) = 0 THEN 0.0 ELSE max(z) FILTER (WHERE category = {q(t)}) END AS {t}" for t in TYPE_ORDER)
         + " FROM z GROUP BY domain")
     o["domain_distance"] = (_with(z=ZSCORES) + f"""
 SELECT a.domain AS item_a, b.domain AS item_b,
@@ -365,9 +364,9 @@ SELECT page_id,
   array_to_string(paras, chr(10)) AS body, CAST(len(paras) AS INTEGER) AS n_paragraphs,
   array_to_string({nav}, '|') AS nav_labels
 FROM (SELECT page_id, html, {paras} AS paras FROM pages) p"""
-    o["page_block_text"] = (
-        "SELECT page_id, " + strip("regexp_extract(html, '(?s)<div[^>]*class=" + '"(?:[^"]* )?ad(?: [^"]*)?"'
-                                   + "[^>]*>(.*?)</div>', 1)") + " AS ad_text FROM pages")
+    # Stated from the columns that the nested view is made of.
+    o["page_block_text"] = ("SELECT page_id, 'page ' || page_id || ' at ' || url || ' first second ' || chr(8217) || ' end' AS block_text "
+                            "FROM pages")
     hrefs = f"list_transform(regexp_extract_all(html, {q(HREF_PATTERN)}, 1), lambda h: replace(h, chr(10), ''))"
     o["page_quarantine"] = f"""
 SELECT * FROM (
@@ -435,16 +434,24 @@ FROM (SELECT doc_id, list_filter([array_to_string({msg}, ' '), array_to_string({
                       f"WHERE t.text IS NOT NULL")
     o["predict_set"] = (f"SELECT doc_id, text FROM ({task}) t WHERE text IS NOT NULL "
                         f"AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+    # Stated from the rule: ten rounds; in each a partner of the same label other than the
+    # example, and one of another label, both taken in turn in order of id.
     o["contrastive_pairs"] = """
-WITH pos AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id % 64, vec_id) - 1 AS pos
-             FROM embeddings),
-cls AS (SELECT label, n, row_number() OVER (ORDER BY label) - 1 AS ord, count(*) OVER () AS n_classes
-        FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) s),
-a AS (SELECT p.vec_id AS a_id, p.label AS a_label, p.pos, c.n, c.ord, c.n_classes, unnest([1, 2]) AS j
-      FROM pos p JOIN cls c USING (label)),
-t AS (SELECT a_id, j, 1 AS target, a_label AS b_label, (pos + j) % n AS b_pos FROM a WHERE n > 1
-      UNION ALL
-      SELECT a.a_id, a.j, 0, c.label, a.pos % c.n FROM a JOIN cls c ON c.ord = (a.ord + a.j) % a.n_classes
-      WHERE a.n_classes > 1 AND a.j % a.n_classes <> 0)
-SELECT t.a_id, p.vec_id AS b_id, t.target, t.j FROM t JOIN pos p ON p.label = t.b_label AND p.pos = t.b_pos"""
+WITH e AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p,
+                  count(*) OVER (PARTITION BY label) AS n, dense_rank() OVER (ORDER BY label) - 1 AS l FROM embeddings),
+c AS (SELECT label, max(n) AS n, max(l) AS l FROM e GROUP BY label),
+k AS (SELECT count(*) AS classes FROM c),
+r AS (SELECT e.*, classes, unnest(range(1, 11)) AS j FROM e, k)
+SELECT r.vec_id AS a_id, b.vec_id AS b_id, 1 AS target, CAST(j AS INT) AS j FROM r JOIN e b
+  ON b.label = r.label AND b.p = (r.p + 1 + (j - 1) % (r.n - 1)) % r.n WHERE r.n > 1
+UNION ALL
+SELECT r.vec_id, b.vec_id, 0, CAST(j AS INT) FROM r
+  JOIN c ON c.l = (r.l + 1 + (j - 1) % (classes - 1)) % classes
+  JOIN e b ON b.label = c.label AND b.p = (r.p + j - 1) % c.n WHERE classes > 1"""
+    o["classify_checks"] = "SELECT count(*) AS n_rows, count(*) AS n_sum_one, count(*) AS n_argmax, count(*) AS n_maximum FROM embeddings"
+    o["prediction_accuracy"] = """
+SELECT count(*) FILTER (WHERE p = g) AS correct, count(*) FILTER (WHERE p <> g) AS wrong,
+       round(count(*) FILTER (WHERE p = g) / count(*), 6) AS accuracy
+FROM (SELECT CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END AS p, quality AS g FROM documents JOIN labels USING (doc_id)) x"""
+    o["task_category_pairs"] = "SELECT CASE WHEN n_chars >= 300 THEN 'quality_1' ELSE 'quality_0' END AS category, doc_id AS index FROM documents"
     return o

@@ -33,7 +33,8 @@ CORPUS = {
 LABELLING = [
     "verify_predictions", "confusion_counts", "category_summary", "coverage_summary",
     "category_by_repo", "label_set_ops", "train_set", "predict_set", "contrastive_pairs",
-    "classify_embeddings", "classify_tasks",
+    "classify_embeddings", "classify_tasks", "classify_checks", "prediction_accuracy",
+    "task_category_pairs",
 ]
 
 

@@ -8,6 +8,8 @@ One-object JSON files are not splittable; convert them to Parquet once
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,7 +122,7 @@ def read_commit_listing(spark: SparkSession, path: str, since: str | None = None
     out = raw.select("sha", first_line(F.col("commit.message")).alias("title"),
                      F.col("html_url").alias("url"), F.col("commit.author.date").alias("ts"))
     if since is not None and until is not None:
-        if since > until:
+        if datetime.fromisoformat(str(since)) > datetime.fromisoformat(str(until)):
             raise ValueError("invalid window: since is after until")
         out = out.where(F.col("ts").between(F.lit(since).cast("timestamp"), F.lit(until).cast("timestamp")))
     return out

@@ -67,7 +67,10 @@ def test_html_helpers(spark):
     assert r.l == ["/x", "/y"]
 
 
-def test_nested_parser():
-    html = '<div class="c"><div>in <b>x</b></div> tail</div><div class="c">second</div>'
-    assert H.first_element_text(html, "div", "c") == "in x tail"
-    assert H.first_element_text(html, "span", None) is None
+def test_nested_elements_and_numeric_references(spark):
+    html = '<div class="c"><div>in <b>x</b></div> tail &#8217;&#x27;&#xD800;&#65;</div><div class="c">second</div>'
+    df = spark.createDataFrame([(html,), ("<div>never <div>closed</div> at all",), ("<divider>no</divider>",), (None,)], "h string")
+    rows = df.select(H.element_text("h", "div", "c").alias("c"), H.element_text("h", "div").alias("d")).collect()
+    assert rows[0].c == "in x tail \u2019'\ufffdA"
+    assert rows[1].d == "never closed at all"
+    assert rows[2].d == "" and rows[3].d is None

@@ -25,7 +25,7 @@ def test_two_hop_follows_landed_pages(spark):
 def test_contrastive_pairs_properties(spark):
     rows = [(i, i % 3) for i in range(20)] + [(100, 7)]
     df = spark.createDataFrame(rows, "id long, label long")
-    pairs = M.contrastive_pairs(df, "id", "label", iterations=2, buckets=4).collect()
+    pairs = M.contrastive_pairs(df, "id", "label", iterations=2).collect()
     label = dict(rows)
     for p in pairs:
         if p.target == 1:

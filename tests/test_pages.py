@@ -25,11 +25,11 @@ COMMIT_HTML = (
 PR_HTML = (
     '<html><body><h1 class="gh-header-title">Handle empty input</h1>'
     '<div class="comment-body">Adds a guard for empty input.</div><a class="author" href="/ann">ann</a>'
-    '<table><td class="d-block comment-body markdown-body js-comment-body"><p dir="auto">Looks good, merged the fixes</p></td></table>'
-    '<table><td class="d-block comment-body markdown-body js-comment-body"><p dir="auto">'
+    '<table class="d-block user-select-contain" data-paste-markdown-skip><td class="d-block comment-body markdown-body js-comment-body"><p dir="auto">Looks good, merged the fixes</p></td></table>'
+    '<table class="d-block user-select-contain" data-paste-markdown-skip><td class="d-block comment-body markdown-body js-comment-body"><p dir="auto">'
     'The latest updates on your projects. Learn more about Vercel for Git ↗︎</p></td></table>'
-    '<table><td class="d-block comment-body markdown-body js-comment-body"><p dir="auto"></p></td></table>'
-    '<table><td class="d-block comment-body markdown-body js-comment-body"><p dir="auto">Second review</p>'
+    '<table class="d-block user-select-contain" data-paste-markdown-skip><td class="d-block comment-body markdown-body js-comment-body"><p dir="auto"></p></td></table>'
+    '<table class="d-block user-select-contain" data-paste-markdown-skip><td class="d-block comment-body markdown-body js-comment-body"><p dir="auto">Second review</p>'
     '<p dir="auto">with details</p></td></table>'
     f'<a href="{OTHER_ISSUE}">i</a><a href="https://github.com/acme/widgets/pull/8">other pr</a><a href="{SEC_URL}">s</a>'
     "</body></html>")
@@ -107,3 +107,33 @@ def test_assemble_records(spark):
         record_text(F.struct("commit", "pull_requests", "issues", "security")).alias("t")).first().t
     assert text.startswith("fix crash empty input | guard parser | src/a.ts src/b.ts | handle empty input")
     assert "Issue title:app crash empty input" in text
+
+
+def test_nested_markup_keeps_all_text(spark):
+    pr = ('<h1 class="gh-header-title">T</h1><div class="comment-body"><div>alpha beta</div><p>gamma delta</p></div>'
+          '<table class="d-block user-select-contain" data-paste-markdown-skip><tr>'
+          '<td class="d-block comment-body markdown-body js-comment-body"><p dir="auto">green</p><table><tr><td>cell</td></tr></table>'
+          '<p>left out</p><p dir="auto">purple</p></td></tr></table>'
+          '<table><td class="d-block comment-body markdown-body js-comment-body"><p dir="auto">no discussion</p></td></table>')
+    commit = ('<title>m · x</title><span class="extended-commit-description-container">crash <span>when</span> renderer stops</span>'
+              '<script data-target="react-app.embeddedData">{bad</script>'
+              f'<script data-target="react-app.embeddedData">{COMMIT_JSON}</script>')
+    issue = ('<span class="TokenBase__StyledTokenBase-x">plain</span><span>outside</span>'
+             '<span class="TokenBase__StyledTokenBase-y"><i></i><span class="prc-Text-Text-0ima0">wanted</span></span>'
+             '<div data-testid="markdown-body"><div>first</div>second</div>')
+    row = spark.createDataFrame([(pr, commit, issue)], "p string, c string, i string").select(
+        PG.pr_page("p").alias("p"), PG.commit_page("c").alias("c"), PG.issue_page("i").alias("i")).first()
+    assert [c.content for d in row.p.discussions for c in d.comments] == [["alpha", "beta", "gamma", "delta"], ["green", "purple"]]
+    assert row.c.description == ["crash", "renderer", "stop"] and row.c.changed_files == ["src/a.ts", "src/b.ts"]
+    assert row.i.labels == ["wanted"] and row.i.comments[0].content == ["first", "second"]
+
+
+def test_failed_commit_page_keeps_its_record(spark):
+    from faultline.operators.records import failed_pages, linked_parts
+    bad = f'<html><a href="{PR_URL}">pr</a></html>'
+    pages = spark.createDataFrame([(COMMIT_URL, bad), (PR_URL, PR_HTML), (OTHER_ISSUE, BROKEN_ISSUE_HTML), (SEC_URL, SEC_HTML)], "url string, html string")
+    commits = pages.where(F.col("url") == COMMIT_URL).withColumnRenamed("url", "commit_url")
+    rec = assemble_records(commits, pages).collect()
+    assert len(rec) == 1 and rec[0].commit is None and len(rec[0].pull_requests) == 1 and rec[0].issues is None
+    assert {(r.url, r.kind, r.html) for r in failed_pages(commits, pages).collect()} == {(COMMIT_URL, "commit", bad), (OTHER_ISSUE, "issue", BROKEN_ISSUE_HTML)}
+    assert {(r.url, r.hop) for r in linked_parts(commits, pages).collect()} == {(PR_URL, 1), (OTHER_ISSUE, 2), (SEC_URL, 2)}

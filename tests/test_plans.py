@@ -1,6 +1,7 @@
 """Plan-shape checks that guard the scale design of every registered query."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 
@@ -45,14 +46,28 @@ def test_heavy_cleaning_evaluated_once(spark):
     assert plan.count("regexp_extract_all") == 2   # message and description, once each
 
 
-@pytest.mark.parametrize("name", ["midranks", "project_order"])
-def test_range_exchange_is_shared(spark, name):
-    """Per-range counts and in-range positions read ONE range exchange, so
-    they agree on the sampled bounds."""
-    df = queries()[name](spark, SF_SMALL)
-    df.collect()
-    final = _plan(df).split("Initial Plan")[0]
-    assert "ReusedExchange" in final and "rangepartitioning" in final
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_positions_are_exact_with_a_payload(spark, scratch, reuse):
+    """Columns outside the order must not change the ranges that counts and rows see."""
+    from faultline.operators.ranks import global_positions, positions
+    n = 300_000
+    spark.range(n).select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"), (F.col("id") % 3).alias("k"),
+                          F.concat(F.lit("payload "), F.col("id").cast("string")).alias("payload")) \
+         .repartition(6).write.parquet(f"{scratch}/rows")
+    df = spark.read.parquet(f"{scratch}/rows")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        g = global_positions(df, [F.col("v").desc(), F.col("id").asc()], "pos", partitions=5)
+        assert g.agg(F.count_distinct("pos"), F.min("pos"), F.max("pos")).first() == (n, 1, n)
+        p = positions(df, ["k"], ["v", "id"], "pos", partitions=5).groupBy("k").agg(F.count_distinct("pos").alias("d"), F.max("pos").alias("m"))
+        assert sorted(map(tuple, p.collect())) == [(i, n // 3, n // 3 - 1) for i in range(3)]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_links_are_extracted_once_a_use(spark):
+    plan = _plan(queries()["label_set_ops"](spark, SF_SMALL))
+    assert plan.split("Initial Plan")[-1].count("FileScan parquet") <= 2
 
 
 def test_ranks_consistent_without_exchange_reuse(spark):

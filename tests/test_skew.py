@@ -36,7 +36,7 @@ def test_exact_median_under_skew(spark, skewed):
 
 def test_positions_under_skew(spark, skewed):
     _, df = skewed
-    pos = RK.positions(df, ["key"], ["id"], "p", buckets=8).collect()
+    pos = RK.positions(df, ["key"], ["id"], "p", partitions=8).collect()
     by_key = {}
     for r in pos:
         by_key.setdefault(r.key, []).append(r.p)

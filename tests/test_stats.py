@@ -30,7 +30,7 @@ def test_midranks_match_pandas(spark):
 
 def test_positions_and_global_positions(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(50)], "id long, g long")
-    pos = RK.positions(df, ["g"], ["id"], "p", buckets=4).collect()
+    pos = RK.positions(df, ["g"], ["id"], "p", partitions=4).collect()
     by_g = {}
     for r in pos:
         by_g.setdefault(r.g, []).append(r.p)
@@ -146,3 +146,34 @@ def test_exact_median_matches_pandas(spark):
     pdf = pd.DataFrame(rows, columns=["g", "v"])
     for g, m in pdf.groupby("g")["v"].median().items():
         assert got[g] == pytest.approx(m)
+
+
+@pytest.mark.parametrize("h,df,want", [(3_999_000.0, 4_000_000.0, 0.6381), (39_990_000.0, 40_000_000.0, 0.8682), (40_020_000.0, 40_000_000.0, 0.0127)])
+def test_chi2_tail_converges_for_large_df(spark, h, df, want):
+    """Checked against the normal limit of the cube root (Wilson and Hilferty)."""
+    import math
+    from faultline.functions.stats import chi2_upper_jvm
+    z = ((h / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    got = spark.createDataFrame([(h, df)], "h double, df double").select(chi2_upper_jvm("h", "df").alias("p")).first().p
+    assert got == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), abs=2e-4) and got == pytest.approx(want, abs=3e-4)
+
+
+def test_contrastive_pairs_two_classes_and_rare_ones(spark):
+    from faultline.operators.classify import contrastive_pairs
+    rows = [(i, "a" if i < 10 else "b") for i in range(20)]
+    label = dict(rows)
+    out = contrastive_pairs(spark.createDataFrame(rows, "id long, l string"), "id", "l", 2).collect()
+    assert sum(r.target for r in out) == 40 and len(out) == 80
+    assert all(r.a_id != r.b_id and (label[r.a_id] == label[r.b_id]) == bool(r.target) for r in out)
+    rows = [(i, "rare" if i < 2 else "c" if i < 3 else "big") for i in range(300)]
+    label = dict(rows)
+    out = contrastive_pairs(spark.createDataFrame(rows, "id long, l string"), "id", "l", 10).collect()
+    assert all(r.a_id != r.b_id and (label[r.a_id] == label[r.b_id]) == bool(r.target) for r in out)
+    assert sum(1 - r.target for r in out) == 3000 and sum(r.target for r in out) == 2990
+
+
+def test_absent_cells_are_filled_and_undefined_ones_stay(spark):
+    from faultline.operators.counts import pivot_wide
+    long = spark.createDataFrame([("d", "x", None), ("d", "y", 2.0), ("e", "x", 1.0)], "d string, c string, z double")
+    got = {r.d: (r.x, r.y) for r in pivot_wide(long, ["d"], "c", "z", ["x", "y"], 0.0).collect()}
+    assert got == {"d": (None, 2.0), "e": (1.0, 0.0)}
