@@ -22,8 +22,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _character(digits: Column) -> Column:
     """The character of a numeric reference's digits ('8217' or 'x2019'); U+FFFD if there is none."""
+    return once(digits, _decoded)
+
+
+def _decoded(digits: Column) -> Column:
     code = F.when(F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(F.substring(digits, 1, 8))
     code = code.try_cast("long")
     good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
@@ -33,11 +42,13 @@ def _character(digits: Column) -> Column:
 
 def unescape(text) -> Column:
     """Numeric references, then the named entities; '&amp;' goes last."""
-    c = _col(text)
+    return once(_col(text), _unescaped)
+
+
+def _unescaped(c: Column) -> Column:
     pattern = "&#([0-9]{1,8}|[xX][0-9a-fA-F]{1,8});"
-    found = F.regexp_extract_all(c, F.lit(pattern), 1)
     decoded = F.array_join(F.transform(F.split(c, pattern, -1), lambda gap, i: F.concat(
-        gap, F.coalesce(_character(F.get(found, i)), F.lit("")))), "")
+        gap, F.coalesce(_character(F.get(F.regexp_extract_all(c, F.lit(pattern), 1), i)), F.lit("")))), "")
     out = F.when(F.instr(c, "&#") > 0, decoded).otherwise(c)
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
@@ -62,7 +73,10 @@ def title_before(html, separator: str = "·") -> Column:
 def until_close(rest, tag: str) -> Column:
     """What stands before the closing ``tag`` that matches an opening one just
     before ``rest``; all of ``rest`` if the element is not closed."""
-    r = _col(rest)
+    return once(_col(rest), lambda r: _closed(r, tag))
+
+
+def _closed(r: Column, tag: str) -> Column:
     pattern = f"(?i)</?{tag}(?=[\\s/>])[^>]*>"
     tags = F.regexp_extract_all(r, F.lit(pattern), 0)
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import ISSUE_TITLE_PREFIX, SEGMENT_SEPARATOR, is_bot_comment
+from faultline.sources.tables import pinned
 
 
 def segment(tokens: Column, keep_empty: Column | bool, prefix: str | None = None) -> Column:
@@ -122,8 +123,9 @@ def assemble_records(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
     joins: html never reaches a shuffle."""
     from faultline.functions import pages as PG
     from faultline.functions.urls import url_groups
+    from faultline.session import materialize
 
-    parts = linked_parts(commit_pages, pages).where("valid")
+    parts = materialize(linked_parts(commit_pages, pages).where("valid"))
 
     def grouped(kind: str, name: str) -> DataFrame:
         x = parts.where(F.col("kind") == kind).select("commit_url", F.struct(F.col("url").alias("u"), F.col(kind).alias("p")).alias("e"))
@@ -131,8 +133,7 @@ def assemble_records(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
                 .select("commit_url", F.transform("_l", lambda e: e["p"]).alias(name))
 
     _, _, sha7 = url_groups("commit_url")
-    part = PG.commit_page("html")
-    commits = commit_pages.select(sha7.alias("commit_index"), "commit_url", part.alias("commit")) \
+    commits = commit_pages.select(sha7.alias("commit_index"), "commit_url", pinned(PG.commit_page("html")).alias("commit")) \
                           .withColumn("commit", F.when(PG.commit_page_valid(F.col("commit")), F.col("commit")))
     return (commits.join(grouped("pull", "pull_requests"), "commit_url", "left")
                    .join(grouped("issue", "issues"), "commit_url", "left")
@@ -157,16 +158,18 @@ def linked_parts(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
     hop1 = c.select("commit_url", F.explode(F.array_distinct(F.filter(
         hrefs("html"), lambda u: is_wanted_link(u, F.col("commit_url"))))).alias("url"))
     kind = page_kind("url")
+    more = pages.where(kind == "pull").select("url", F.explode(F.array_distinct(F.filter(
+        hrefs("html"), lambda u: is_wanted_link(u, F.col("url"), kinds=ISSUE_ONLY_KINDS)))).alias("to")).where(~F.col("to").contains("/pull/"))
+    hop2 = hop1.join(more, "url").select("commit_url", F.col("to").alias("url"))
+    hops = hop1.withColumn("hop", F.lit(1)).unionByName(hop2.withColumn("hop", F.lit(2)))
+    # Pinned: the tests of validity must not repeat the extraction.
     extracted = pages.select(
-        "url", kind.alias("kind"), F.when(kind == "pull", PG.pr_page("html")).alias("pull"),
-        F.when(kind == "issue", PG.issue_page("html")).alias("issue"), F.when(kind == "security", PG.security_page("html")).alias("security"),
-        F.when(kind == "pull", F.array_distinct(F.filter(hrefs("html"), lambda u: is_wanted_link(
-            u, F.col("url"), kinds=ISSUE_ONLY_KINDS)))).alias("more")).where("kind IS NOT NULL")
-    extracted = extracted.withColumn("valid", F.when(F.col("kind") == "pull", PG.pr_page_valid(F.col("pull")))
-                                     .when(F.col("kind") == "issue", PG.issue_page_valid(F.col("issue"))).otherwise(F.lit(True)))
-    hop2 = hop1.join(extracted.where("kind = 'pull'").select("url", "more"), "url").select("commit_url", F.explode("more").alias("url"))
-    hops = hop1.withColumn("hop", F.lit(1)).unionByName(hop2.where(~F.col("url").contains("/pull/")).withColumn("hop", F.lit(2)))
-    return hops.groupBy("commit_url", "url").agg(F.min("hop").alias("hop")).join(extracted.drop("more"), "url")
+        "url", kind.alias("kind"), pinned(F.when(kind == "pull", PG.pr_page("html"))).alias("pull"),
+        pinned(F.when(kind == "issue", PG.issue_page("html"))).alias("issue"),
+        pinned(F.when(kind == "security", PG.security_page("html"))).alias("security"))
+    valid = F.when(F.col("kind") == "pull", PG.pr_page_valid(F.col("pull"))) \
+             .when(F.col("kind") == "issue", PG.issue_page_valid(F.col("issue"))).otherwise(F.lit(True))
+    return hops.groupBy("commit_url", "url").agg(F.min("hop").alias("hop")).join(extracted.where("kind IS NOT NULL").withColumn("valid", valid), "url")
 
 
 def failed_pages(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
@@ -174,7 +177,9 @@ def failed_pages(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
     from faultline.functions import pages as PG
 
     kind = page_kind("url")
-    good = F.when(kind == "pull", PG.pr_page_valid(PG.pr_page("html"))).when(kind == "issue", PG.issue_page_valid(PG.issue_page("html")))
-    linked = pages.select("url", kind.alias("kind"), "html", good.alias("good")).where(~F.col("good")).drop("good")
-    commits = commit_pages.where(~PG.commit_page_valid(PG.commit_page("html")))
-    return linked.unionByName(commits.select(F.col("commit_url").alias("url"), F.lit("commit").alias("kind"), "html"))
+    linked = pages.select("url", kind.alias("kind"), "html", pinned(F.when(kind == "pull", PG.pr_page("html"))).alias("pull"),
+                          pinned(F.when(kind == "issue", PG.issue_page("html"))).alias("issue"))
+    bad = F.when(F.col("kind") == "pull", ~PG.pr_page_valid(F.col("pull"))).when(F.col("kind") == "issue", ~PG.issue_page_valid(F.col("issue")))
+    commits = commit_pages.select(F.col("commit_url").alias("url"), F.lit("commit").alias("kind"), "html", pinned(PG.commit_page("html")).alias("part"))
+    return linked.where(bad).select("url", "kind", "html").unionByName(
+        commits.where(~PG.commit_page_valid(F.col("part"))).select("url", "kind", "html"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.plans import analysis, corpus, labelling
+from faultline.plans import analysis, collected, corpus, labelling
 
 ANALYSIS = [
     "project_matrix", "type_counts", "label_recode", "matrix_long", "matrix_summary", "type_share",
@@ -27,6 +27,8 @@ CORPUS = {
     "page_title": corpus.page_title, "page_main_text": corpus.page_main_text,
     "page_quarantine": corpus.page_quarantine, "two_hop_links": corpus.two_hop_links,
     "url_parts": corpus.url_parts, "page_block_text": corpus.page_block_text,
+    "collected_links": collected.collected_links, "collected_records": collected.collected_records,
+    "page_quarantine_kinds": collected.page_quarantine_kinds,
 }
 
 
@@ -53,4 +55,5 @@ def oracle_sql() -> dict[str, str]:
     out = dict(analysis_oracles())
     out.update(corpus_oracles())
     out.update(labelling_oracles())
+    out.update(collected.oracles())
     return out

@@ -84,6 +84,13 @@ def read_prediction_summary(spark: SparkSession, path: str) -> DataFrame:
     return cats.select("category", F.explode("entry.indices").alias("index"))
 
 
+def read_summary_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S4 for what ``sinks.write_prediction_summary`` writes: (category, index)
+    rows and (category, count) rows."""
+    return (spark.read.schema("category string, index string").json(f"{path}/categories"),
+            spark.read.schema("category string, count long").json(f"{path}/counts"))
+
+
 def read_repository_list(spark: SparkSession, path: str) -> DataFrame:
     """(position, repository) keeping list order."""
     raw = _json(spark, REPOSITORY_SCHEMA).json(path)

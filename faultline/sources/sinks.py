@@ -17,31 +17,33 @@ def write_commit_records(records: DataFrame, path: str, fmt: str = "parquet", mo
     for c in ("pull_requests", "issues", "security"):
         if c in records.columns:
             out = out.withColumn(c, F.when(F.size(c) > 0, F.col(c)))
-    out = out.withColumn("repo", F.concat_ws("_", owner, repo))
+    # Ranges of (repo, commit): a repository's rows are together, and a large one is in several tasks.
+    out = out.withColumn("repo", F.concat_ws("_", owner, repo)).repartitionByRange("repo", "commit_index")
     out.write.mode(mode).partitionBy("repo").format(fmt).save(path)
 
 
 def write_url_list(accepted: DataFrame, path: str, repo_col: str = "repo", url_col: str = "url") -> None:
-    """K2: accepted commit URLs as one object per repository. The listing
-    is capped per repository upstream (O5), so each list is bounded. No
-    access token is written."""
-    (accepted.groupBy(repo_col).agg(F.sort_array(F.collect_list(url_col)).alias("urls"))
+    """K2: accepted commit URLs in long form, a (repository, url) row each,
+    sorted by repository and URL. No access token is written."""
+    (accepted.select(repo_col, url_col).repartitionByRange(repo_col, url_col).sortWithinPartitions(repo_col, url_col)
              .write.mode("overwrite").json(path))
 
 
 def write_prediction_summary(pred: DataFrame, path: str, key: str, cat: str) -> None:
-    """K3: the ``{summary, categories}`` export, written distributed: the
-    summary as one JSON row and the (category, index) pairs as JSON lines
-    partitioned by category, sorted by index inside each file."""
+    """K3: the ``{summary, categories}`` export in long form, written
+    distributed: the summary as one JSON row, the count of each category, and
+    the (category, index) pairs as JSON lines sorted by category and index. A
+    large category is in several tasks. ``readers.read_summary_rows`` reads it."""
     summary = pred.agg(F.count(F.lit(1)).alias("total_tasks"),
                        F.count_if(F.col(cat).isNotNull()).alias("tasks_with_predictions"),
                        F.count_if(F.col(cat).isNull()).alias("tasks_without_predictions"),
                        F.count_distinct(cat).alias("total_categories"))
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
-    (pred.where(F.col(cat).isNotNull() & F.col(key).isNotNull())
-         .select(F.col(cat).alias("category"), F.col(key).cast("string").alias("index"))
-         .repartition("category").sortWithinPartitions("category", "index")
-         .write.mode("overwrite").partitionBy("category").json(f"{path}/categories"))
+    pairs = (pred.where(F.col(cat).isNotNull() & F.col(key).isNotNull())
+                 .select(F.col(cat).alias("category"), F.col(key).cast("string").alias("index")))
+    pairs.groupBy("category").agg(F.count(F.lit(1)).alias("count")).write.mode("overwrite").json(f"{path}/counts")
+    (pairs.repartitionByRange("category", "index").sortWithinPartitions("category", "index")
+          .write.mode("overwrite").json(f"{path}/categories"))
 
 
 def write_verification(verified: DataFrame, path: str, gold_col: str = "gold", key: str = "index") -> None:

@@ -47,6 +47,9 @@ def test_sinks(spark, scratch):
     cats = spark.read.json(os.path.join(scratch, "summary", "categories"))
     assert sorted((r["category"], r["index"]) for r in cats.collect()) == [("Logic Error", "d4"), ("UI Bug", "a1"),
                                                                       ("UI Bug", "b2")]
+    rows, counts = RD.read_summary_rows(spark, os.path.join(scratch, "summary"))
+    assert sorted(map(tuple, rows.collect())) == [("Logic Error", "d4"), ("UI Bug", "a1"), ("UI Bug", "b2")]
+    assert sorted(map(tuple, counts.collect())) == [("Logic Error", 1), ("UI Bug", 2)]
     ver = spark.createDataFrame([("a1", "UI Bug", "UI Bug", True), ("b2", "API Misuse", "UI Bug", False)],
                                 "index string, gold string, predicted string, is_correct boolean")
     K.write_verification(ver, os.path.join(scratch, "ver"))
@@ -68,7 +71,7 @@ def test_sinks(spark, scratch):
     assert [r.value for r in K.format_rows(long.orderBy("r", "c"), ["r", "c", "v"]).collect()][0] == "a & x & 1.0"
     urls = spark.createDataFrame([("o_r", "u2"), ("o_r", "u1")], "repo string, url string")
     K.write_url_list(urls, os.path.join(scratch, "urls"))
-    assert spark.read.json(os.path.join(scratch, "urls")).first().urls == ["u1", "u2"]
+    assert sorted((r.repo, r.url) for r in spark.read.json(os.path.join(scratch, "urls")).collect()) == [("o_r", "u1"), ("o_r", "u2")]
 
 
 def test_csv_and_listing_readers(spark, scratch):
