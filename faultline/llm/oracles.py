@@ -103,3 +103,40 @@ FROM d JOIN one USING (text)
 
 
 OP6 = _op6()
+
+_ALLOWED = ["^[^0-9]*$", "^[^A-Za-z]*$", "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
+            "^/?([a-z]+/)+[a-z0-9_-]*$", "EXAMPLE"]
+
+OP9 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k(kind, rank, pat, w, bits) AS (VALUES
+  ('assign', 0, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0, 0.0),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 0.0), ('hex', 2, '[0-9a-f]+', 0, 0.0),
+  ('entropy_key', 3, '[A-Z0-9]{20,}', 20, 3.5), ('entropy_hex', 4, '[0-9A-Fa-f]{32,}', 32, 3.2),
+  ('entropy_base64', 5, '[A-Za-z0-9+/=_-]{24,}', 24, 4.0)),
+f AS (SELECT r, kind, rank, w, bits, regexp_extract_all(t, pat) AS m, string_split_regex(t, pat) AS g FROM d, k WHERE regexp_matches(t, pat)),
+s AS (SELECT r, kind, rank, w, bits, m[i] AS m,
+             list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x)))
+             + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS a
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f) x),
+base AS (SELECT r, kind, rank, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS b FROM s
+         WHERE kind = 'access' AND length(m) >= 18 OR kind = 'hex' AND length(m) >= 16
+            OR kind = 'assign' AND length(regexp_extract(m, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 12),
+c AS (SELECT row_number() OVER () AS n, * FROM s WHERE w > 0 AND NOT (""" + " OR ".join(f"regexp_matches(m, '{p}')" for p in _ALLOWED) + r""")),
+win AS (SELECT n, p, w, bits, unnest(regexp_extract_all(substr(m, p, w), '.')) AS ch
+        FROM (SELECT *, unnest(range(1, length(m) - w + 2)) AS p FROM c) x),
+cnt AS (SELECT n, p, w, bits, ch, count(*) AS q FROM win GROUP BY ALL),
+hot AS (SELECT n, p, w FROM cnt GROUP BY n, p, w, bits
+        HAVING sum(CAST(round(1e6 * q * log2(q)) AS BIGINT)) <= floor(1e6 * w * (log2(w) - bits))),
+ext AS (SELECT c.r, c.kind, c.rank, CAST(c.a + min(p) - 1 AS BIGINT) AS a, CAST(c.a + max(p) - 1 + max(hot.w) AS BIGINT) AS b
+        FROM hot JOIN c USING (n) GROUP BY c.r, c.kind, c.rank, c.a, c.n),
+added AS (SELECT * FROM ext WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = ext.r AND base.a <= ext.a AND ext.b <= base.b)),
+every AS (SELECT *, TRUE AS fixed FROM base UNION ALL SELECT *, FALSE FROM added),
+j AS (SELECT r, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans,
+             string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (WHERE fixed) AS base,
+             count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+             count(*) FILTER (WHERE kind = 'hex') AS n_hex FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (r)
+"""
