@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.common import (NOT_SPACE, blocks, gram_hashes, mixed, span_hashes, stage, staged_path, text_bytes, text_id, unstage,
                                   window_minima, word_spans)
-from faultline.llm.exchange import ANSWER, by_text, shared_items, starts_of
+from faultline.llm.exchange import ANSWER, shared_items, starts_of
 
 WINDOW, GRAM = 13, 6
 LAST = (1 << 63) - 1
@@ -149,13 +149,13 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key:
     whole = stage(texts.mapInArrow(_whole, f"row {kind}, id binary, place long, n_words long, sha256 string"))
     copies = whole.groupBy("id").agg(F.min("place").alias("least"))
     short = F.substring("id", 1, 8)
-    answers = by_text(shared_items(texts.select(short.alias("short"), "text"), _gram_items(window, gram), 8))
+    answers = shared_items(texts.select(short.alias("short"), "text"), _gram_items(window, gram), 8)
     standing = copies.select(short.alias("text_key"), "id", "least").join(answers, "text_key")
     key24 = F.concat("t.id", F.unhex(F.lpad(F.hex("least"), 16, "0")))
     asked = stage(texts.alias("t").join(standing.alias("s"), (F.col("t.id") == F.col("s.id")) & (F.col("t.place") == F.col("s.least")))
                   .select("t.id", key24.alias("text_key"), "t.text", F.transform("s.answers", lambda x: F.struct(x["hashes"].alias("hashes"))).alias("answers")))
     listed = f"text_key binary, answers array<struct<{', '.join(x.replace(' ', ':') for x in ANSWER.split(', ')[1:])}>>"
-    now = staged_path(by_text(shared_items(asked, _window_items(window, gram), 24, places=True)))
+    now = staged_path(shared_items(asked, _window_items(window, gram), 24, places=True))
     level = spark.read.schema(listed).parquet(now)
     one_text = asked.select("id", "text").join(level.select(F.substring("text_key", 1, 16).alias("id"), "answers"), "id")
     cut = stage(one_text.mapInArrow(_cut(window), "id binary, n_removed long, cut_sha256 string")
@@ -163,7 +163,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key:
     lengths, length = [], window
     while not level.isEmpty():
         lengths.append(stage(level.select(F.substring("text_key", 1, 16).alias("id"), F.lit(length).cast("long").alias("length"))))
-        after = staged_path(by_text(shared_items(level, _twice_as_long(length), 24, places=True)))
+        after = staged_path(shared_items(level, _twice_as_long(length), 24, places=True))
         unstage(spark, now)
         now, length = after, 2 * length
         level = spark.read.schema(listed).parquet(now)

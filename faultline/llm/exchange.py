@@ -3,8 +3,8 @@
 Every task dedupes the items of its own texts first. Of the texts of a task
 that hold an item, one (the least in order) asks; the others are answered on the
 spot, so an item of a third of all texts is one request a task. Requests travel
-as packed arrays, dealt by the item's hash; answers return as packed arrays by
-text. An item is shared if at least two texts hold it (or, on demand, one text
+as packed arrays, dealt by the item's hash; answers travel as packed arrays,
+dealt by text, and are put together there. An item is shared if at least two texts hold it (or, on demand, one text
 twice), and a text is later if a smaller one in order holds the item too.
 """
 
@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 #: Items that a task gathers before it sends them.
 FLUSH = 2_000_000
+#: Texts of a batch of answers.
+TEXTS = 5000
 
 _WIRE = "bucket int, asks boolean, texts binary, counts binary, hashes binary, places binary, flags binary"
+_RETURN = "home int, texts binary, counts binary, hashes binary, places binary, flags binary"
 ANSWER = "text_key binary, hashes binary, places binary, later binary"
 
 
@@ -92,33 +95,23 @@ def _settled(keys, h, t, p, twice: bool, places: bool):
     return h, t, p, r == lead, several, first, size
 
 
-def _batches(keys, t, h, p, flag, asks: bool, bucket: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Wire rows: for requests one row a bucket, for answers one row a text."""
-    if not len(h):
-        return
-    if asks:
-        at = np.lexsort((t, bucket))
-        bucket, t, h, p, flag = bucket[at], t[at], h[at], p[at], flag[at]
-        pair = starts_of(bucket.astype(np.int64) * (len(keys) + 1) + t)
-        per_text = np.diff(np.concatenate([pair, [len(h)]])).astype(np.uint32)
-        row = starts_of(bucket)
-        items = np.diff(np.concatenate([row, [len(h)]]))
-        texts = np.diff(np.searchsorted(pair, np.concatenate([row, [len(h)]])))
-        names = bucket[row]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int32()), pa.array(np.ones(len(row), bool)), packed(keys[t[pair]], texts), packed(per_text, texts),
-             packed(h, items), packed(p, items), packed(flag.astype(np.uint8), items)],
-            names=["bucket", "asks", "texts", "counts", "hashes", "places", "flags"])
-    else:
-        at = np.argsort(t, kind="stable")
-        t, h, p, flag = t[at], h[at], p[at], flag[at]
-        row = starts_of(t)
-        items = np.diff(np.concatenate([row, [len(h)]]))
-        one = np.ones(len(row), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[t[row]], pa.int32()), pa.array(np.zeros(len(row), bool)), packed(keys[t[row]], one),
-             packed(items.astype(np.uint32), one), packed(h, items), packed(p, items), packed(flag.astype(np.uint8), items)],
-            names=["bucket", "asks", "texts", "counts", "hashes", "places", "flags"])
+def _rows(keys, t, h, p, flag, bucket) -> dict[str, pa.Array]:
+    """Packed columns, one row a bucket: texts with their numbers of items, and the items."""
+    at = np.lexsort((t, bucket))
+    bucket, t, h, flag = bucket[at], t[at], h[at], flag[at]
+    pair = starts_of(bucket.astype(np.int64) * (len(keys) + 1) + t)
+    per_text = np.diff(np.concatenate([pair, [len(h)]])).astype(np.uint32)
+    row = starts_of(bucket)
+    items = np.diff(np.concatenate([row, [len(h)]]))
+    texts = np.diff(np.searchsorted(pair, np.concatenate([row, [len(h)]])))
+    return {"bucket": pa.array(bucket[row], pa.int32()), "texts": packed(keys[t[pair]], texts), "counts": packed(per_text, texts),
+            "hashes": packed(h, items), "places": packed(p[at], items) if p is not None else pa.array([b""] * len(row), pa.binary()),
+            "flags": packed(flag.astype(np.uint8), items)}
+
+
+def _home(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the answers of each text are put together."""
+    return (np.ascontiguousarray(keys[:, :8]).view("<u8")[:, 0] % np.uint64(buckets)).astype(np.int32)
 
 
 def _send(items: Callable, buckets: int, twice: bool, places: bool):
@@ -128,17 +121,13 @@ def _send(items: Callable, buckets: int, twice: bool, places: bool):
         keys, h, t, p = gathered.arrays()
         h, t, p, lead, several, _, _ = _settled(keys, h, t, p, twice, places)
         order = order_of(keys)
-        no_place = np.zeros(0, np.uint32)
-        bucket = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-        ask = lead
         first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), np.arange(len(h)), 0))
         later = order[t] > order[t[first]]
-        yield from _batches(keys, t[ask], h[ask], p[ask] if places else no_place, several[ask], True, bucket[ask]) if places \
-            else _without_places(keys, t[ask], h[ask], several[ask], True, bucket[ask])
-        rest = ~lead
-        home = (np.arange(len(keys)) % buckets).astype(np.int32)
-        yield from _batches(keys, t[rest], h[rest], p[rest], later[rest], False, home) if places \
-            else _without_places(keys, t[rest], h[rest], later[rest], False, home)
+        bucket = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+        for mine, flag, to, asks in ((lead, several, bucket, True), (~lead, later, _home(keys, buckets)[t], False)):
+            if mine.any():
+                rows = _rows(keys, t[mine], h[mine], p[mine] if places else None, flag[mine], to[mine])
+                yield pa.RecordBatch.from_pydict({"bucket": rows.pop("bucket"), "asks": pa.array([asks] * len(rows["texts"])), **rows})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = Gathered()
@@ -152,12 +141,6 @@ def _send(items: Callable, buckets: int, twice: bool, places: bool):
     return run
 
 
-def _without_places(keys, t, h, flag, asks, bucket) -> Iterator[pa.RecordBatch]:
-    for b in _batches(keys, t, h, np.zeros(len(h), np.uint8), flag, asks, bucket):
-        empty = pa.array([b""] * b.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([*b.columns[:5], empty, b.column(6)], names=b.schema.names)
-
-
 def _column(batch: pa.RecordBatch, name: str, kind) -> np.ndarray:
     """All rows of a packed column, one after the other."""
     c = batch.column(name)
@@ -166,60 +149,75 @@ def _column(batch: pa.RecordBatch, name: str, kind) -> np.ndarray:
     return np.frombuffer(raw.tobytes(), kind)
 
 
-def _answer(width: int, places: bool):
+def _gathered(batches: list[pa.RecordBatch], width: int, places: bool):
+    """(keys, text of each item, hashes, places, flags) of packed rows."""
+    column = lambda name, kind: np.concatenate([_column(b, name, kind) for b in batches])
+    keys, counts = column("texts", np.uint8).reshape(-1, width), column("counts", np.uint32)
+    return keys, np.repeat(np.arange(len(keys)), counts), column("hashes", np.uint64), column("places", np.uint32) if places else None, column("flags", np.uint8)
+
+
+def _answer(width: int, places: bool, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = []
-        names = ["text_key", "hashes", "places", "later"]
+        asked, names = [], ["home", "texts", "counts", "hashes", "places", "flags"]
         for batch in batches:
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
             known = batch.filter(pa.array(~asks))
             if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(n) for n in ("texts", "hashes", "places", "flags")], names=names)
+                yield pa.RecordBatch.from_arrays([known.column(n) for n in ("bucket", *names[1:])], names=names)
             batch = batch.filter(pa.array(asks))
             if batch.num_rows:
-                asked.append((_column(batch, "texts", np.uint8).reshape(-1, width), _column(batch, "counts", np.uint32),
-                              _column(batch, "hashes", np.uint64), _column(batch, "places", np.uint32), _column(batch, "flags", np.uint8)))
+                asked.append(batch)
         if not asked:
             return
-        keys, counts, h, p, several = (np.concatenate([x[i] for x in asked]) for i in range(5))
+        keys, t, h, p, several = _gathered(asked, width, places)
         del asked
-        t = np.repeat(np.arange(len(keys)), counts)
         order, whole = order_of(keys), np.ascontiguousarray(keys).view(f"V{width}")[:, 0]
         _, same = np.unique(whole, return_inverse=True)
         at = np.lexsort((order[t], h))
         hs, ts = h[at], t[at]
         first = starts_of(hs)
         size = np.diff(np.concatenate([first, [len(hs)]]))
-        least = np.repeat(order[ts[first]], size)
         other = np.logical_or.reduceat((same[ts] != np.repeat(same[ts[first]], size)) | (several[at] > 0), first)
-        shared, later = np.zeros(len(h), bool), np.zeros(len(h), np.uint8)
+        shared, later = np.zeros(len(h), bool), np.zeros(len(h), bool)
         shared[at] = np.repeat(other, size)
-        later[at] = order[ts] > least
-        t, h, later = t[shared], h[shared], later[shared]
-        p = p[shared] if places else np.zeros(len(h), np.uint8)
-        row = starts_of(t)  # requests came text by text
-        for a in range(0, len(row), 100_000):
-            r = row[a: a + 100_001]
-            stop = r[100_000] if len(r) > 100_000 else len(t)
-            r = r[:100_000]
-            items = np.diff(np.concatenate([r, [stop]]))
-            s = slice(r[0], stop)
+        later[at] = order[ts] > np.repeat(order[ts[first]], size)
+        if shared.any():
+            rows = _rows(keys, t[shared], h[shared], p[shared] if places else None, later[shared], _home(keys, buckets)[t[shared]])
+            yield pa.RecordBatch.from_arrays([rows[n] for n in ("bucket", *names[1:])], names=names)
+    return run
+
+
+def _together(width: int, places: bool):
+    """One row a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        keys, t, h, p, later = _gathered(batches, width, places)
+        del batches
+        whole, same = np.unique(np.ascontiguousarray(keys).view(f"V{width}")[:, 0], return_inverse=True)
+        keys = whole.view(np.uint8).reshape(-1, width)
+        at = np.argsort(same[t], kind="stable")
+        t, h, later, p = same[t][at], h[at], later[at], p[at] if places else None
+        row = np.append(starts_of(t), len(t))
+        for a in range(0, len(row) - 1, TEXTS):
+            r = row[a: a + TEXTS + 1]
+            s, items = slice(r[0], r[-1]), np.diff(r)
             yield pa.RecordBatch.from_arrays(
-                [packed(keys[t[r]], np.ones(len(r), np.int64)), packed(h[s], items),
-                 packed(p[s], items) if places else pa.array([b""] * len(r), pa.binary()), packed(later[s], items)], names=names)
+                [packed(keys[t[r[:-1]]], np.ones(len(items), np.int64)), packed(h[s], items),
+                 packed(p[s], items) if places else pa.array([b""] * len(items), pa.binary()), packed(later[s], items)],
+                names=["text_key", "hashes", "places", "later"])
     return run
 
 
 def shared_items(texts: DataFrame, items: Callable, width: int, twice: bool = False, places: bool = False) -> DataFrame:
-    """(text_key, hashes, places, later): shared items by text, several rows a text.
+    """(text_key, answers): for each text with shared items an array of packed
+    (hashes, places, later).
 
     ``items(batch)`` yields (keys, hashes, text numbers, places) for parts of an
-    Arrow batch of ``texts``; keys have ``width`` bytes."""
+    Arrow batch of ``texts``; keys have ``width`` bytes, the first eight of them spread evenly."""
     buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wire = texts.mapInArrow(_send(items, buckets, twice, places), _WIRE)
-    return wire.repartition(buckets, "bucket").mapInArrow(_answer(width, places), ANSWER)
-
-
-def by_text(answers: DataFrame) -> DataFrame:
-    """One row a text: lists of the packed arrays."""
-    return answers.groupBy("text_key").agg(F.collect_list(F.struct("hashes", "places", "later")).alias("answers"))
+    asked = texts.mapInArrow(_send(items, buckets, twice, places), _WIRE).repartition(buckets, "bucket")
+    returned = asked.mapInArrow(_answer(width, places, buckets), _RETURN).repartition(buckets, "home")
+    answers = returned.mapInArrow(_together(width, places), ANSWER)
+    return answers.select("text_key", F.array(F.struct("hashes", "places", "later")).alias("answers"))

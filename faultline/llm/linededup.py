@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import blocks, span_hashes, stage, text_bytes, text_id, window_minima
-from faultline.llm.exchange import by_text, shared_items, starts_of
+from faultline.llm.exchange import shared_items, starts_of
 
 RUN = 3
 LAST = (1 << 63) - 1
@@ -145,9 +145,9 @@ def later_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id") -> tuple[D
                         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     rows = stage(texts.mapInArrow(_lines, f"row {kind}, text_key binary, n_lines long, sha256 string, lines binary"))
     lined = rows.where(F.col("n_lines") >= run).select("text_key", "lines").dropDuplicates(["text_key"])
-    answers = by_text(shared_items(lined, _fingerprint_items(run), 24, twice=True))
+    answers = shared_items(lined, _fingerprint_items(run), 24, twice=True)
     asked = stage(lined.join(answers.select("text_key", F.transform("answers", lambda x: F.struct(x["hashes"].alias("hashes"))).alias("answers")), "text_key"))
-    found = by_text(shared_items(asked, _window_items(run), 24, places=True)).withColumnRenamed("answers", "found")
+    found = shared_items(asked, _window_items(run), 24, places=True).withColumnRenamed("answers", "found")
     gone = asked.join(found, "text_key", "left").mapInArrow(_gone(run), "text_key binary, gone array<long>")
     return rows.select("row", "text_key", "n_lines", "sha256"), stage(gone.where(F.size("gone") > 0))
 

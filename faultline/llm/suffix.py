@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import blocks, mixed, stage, text_bytes, text_id, window_minima
-from faultline.llm.exchange import by_text, shared_items, starts_of
+from faultline.llm.exchange import shared_items, starts_of
 
 LENGTH, GRAM = 400, 32
 #: Bytes that a task sorts together, and of a bucket before it is sliced.
@@ -350,7 +350,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", b
     copies = whole.groupBy("id").agg(F.count("*").alias("copies"), F.min("row").alias("least"))
     long = texts.where(F.octet_length("text") >= length)
     short = F.substring("id", 1, 8)
-    answers = by_text(shared_items(long.select(short.alias("short"), "text"), _anchor_items(length), 8, twice=True))
+    answers = shared_items(long.select(short.alias("short"), "text"), _anchor_items(length), 8, twice=True)
     standing = copies.select(short.alias("text_key"), "id", "least").join(answers, "text_key")
     asked = stage(long.alias("t").join(standing.alias("s"), (F.col("t.id") == F.col("s.id")) & F.col("t.row").eqNullSafe(F.col("s.least")))
                   .select("t.id", "t.text", F.transform("s.answers", lambda x: F.struct(x["hashes"].alias("hashes"))).alias("answers")))
