@@ -164,7 +164,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut_texts(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """(text_key, kept_text) of documents that lose lines."""
     texts = docs.select(document_key(key).alias("text_key"), F.col("text").cast("string").alias("text"))
-    return texts.join(gone, "text_key").mapInArrow(_kept, "text_key binary, kept_text string").dropDuplicates(["text_key"])
+    # Merge join at every size: the line numbers grow with the texts, so they are never broadcast.
+    return texts.join(gone.hint("merge"), "text_key").mapInArrow(_kept, "text_key binary, kept_text string").dropDuplicates(["text_key"])
 
 
 def dedup_report(docs: DataFrame, run: int = RUN, key: str = "doc_id") -> DataFrame:
@@ -181,7 +182,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id") -> DataFra
     """``docs`` with later repeats cut from the texts (all columns and rows stay)."""
     _, gone = later_lines(docs, run, key)
     gone = gone.select(F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
-    joined = docs.withColumn("__key", document_key(key)).join(gone, "__key", "left")
+    joined = docs.withColumn("__key", document_key(key)).join(gone.hint("merge"), "__key", "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     # Both lists are in order; a line stays if its number is not among those that go.
     keep = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col("__gone"))
