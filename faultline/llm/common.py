@@ -24,6 +24,10 @@ BLOCK_BYTES = 1 << 20
 
 # ------------------------------------------------------------ staged tables
 
+#: Spark's setting to remove an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a table that later steps reread to the folder named by
     ``spark.checkpoint.dir`` and continue from the written copy: lineage is cut
@@ -32,8 +36,19 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def staged_path(df: DataFrame) -> str:
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """The shuffle files behind the written table go at once: nothing reads them
+    again, and else they stay until the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return path
 
 
