@@ -34,15 +34,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose doc_id names the group.
-    Rows with that doc_id in the group are one document each if their texts are
-    equal; of others with that doc_id the one with the least text hash stays."""
+    """One document of each group stays: the one whose doc_id names the group. Of
+    rows with that doc_id the one with the least text key stays, once. Which rows
+    stay is settled on keys; the texts move once."""
     member = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = member.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    # Rows that share a doc_id are few: only they are ranked.
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return stays.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    named = member.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    keyed = docs.withColumn("__key", linededup.document_key("doc_id"))
+    least = (keyed.select("doc_id", "__key").join(named, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+             .groupBy("doc_id").agg(F.min("__key").alias("__key")).select("__key"))
+    # Merge join at every size, and the window on its key: one exchange of the texts.
+    one = W.partitionBy("__key").orderBy("__key")
+    stays = keyed.join(least.hint("merge"), "__key", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
