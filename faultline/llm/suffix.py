@@ -38,7 +38,9 @@ from faultline.llm.exchange import shared_items, starts_of
 
 LENGTH, GRAM = 400, 32
 #: Bytes that a task sorts together, and of a bucket before it is sliced.
-RUN_BYTES, BUCKET_BYTES = 2 << 20, 32 << 20
+RUN_BYTES, BUCKET_BYTES = 1 << 20, 32 << 20
+#: Bytes of bucket rows that a task gathers to find equal ones.
+GATHER_BYTES = 12 << 20
 SLICES = 8
 
 _COVER, _PERIOD = (0, 1, 3), 7
@@ -94,8 +96,21 @@ SEGMENT = "bucket long, id binary, start long, anchor int, several boolean, byte
 
 def _segments(length: int):
     """Texts with their shared anchors to one row a (text, anchor): the bytes of
-    all strings that have the anchor. Equal rows of a batch become one, which is marked."""
+    all strings that have the anchor. Equal rows that a task gathers become one,
+    which is marked; of the others only the merged spans go on, dealt by text: their
+    bytes are empty, and the anchor is minus the span's length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, seen, known, size = [], {}, {}, 0
+
+        def flush():
+            rows = [(r[3], r[0], r[1], r[2], r[4], r[5]) for r in gathered]
+            rows += [(int.from_bytes(i[:8], "little", signed=True), i, a, a - b, True, b"") for i, spans in known.items() for a, b in merged(spans)]
+            for at in range(0, len(rows), 10_000):
+                some = list(zip(*rows[at: at + 10_000]))
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(some, kinds)],
+                                                 names=["bucket", "id", "start", "anchor", "several", "bytes"])
+
         for batch in batches:
             offsets, data = text_bytes(batch.column("text"))
             ids, answers = batch.column("id"), batch.column("answers")
@@ -111,27 +126,24 @@ def _segments(length: int):
                 lo, hi, place, text = lo[chosen], hi[chosen], place[chosen], text[chosen]
                 names = [x.as_py() for x in ids.slice(a, b - a)]
                 body = raw.tobytes()
-                seen: dict[bytes, list] = {}
                 rows = []
                 for p, x, y, t, g in zip(place.tolist(), lo.tolist(), hi.tolist(), text.tolist(), grams[place].view(np.int64).tolist()):
                     part = body[x: y + length]
                     start = x - int(off[t])
-                    if part in seen and seen[part][2] == p - x:
-                        first = seen[part]
+                    first = seen.get(part)
+                    if first and first[2] == p - x:
                         if (first[0], first[1]) != (names[t], start):
                             first[4] = True
-                            rows.append([g, names[t], start, -1, True, part[:0], y + length - x])
+                            known.setdefault(names[t], []).append({"start": start, "end": start + len(part)})
                         continue
-                    row = seen[part] = [names[t], start, p - x, g, False]
-                    rows.append([g, names[t], start, p - x, row, part, 0])
-                if rows:
-                    flag = [r[4] if isinstance(r[4], bool) else r[4][4] for r in rows]
-                    # A row that repeats one of the same batch is settled: its length replaces the anchor's place.
-                    where = [r[3] if r[3] >= 0 else -r[6] for r in rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
-                         pa.array([r[2] for r in rows], pa.int64()), pa.array(where, pa.int32()), pa.array(flag, pa.bool_()),
-                         pa.array([r[5] for r in rows], pa.binary())], names=["bucket", "id", "start", "anchor", "several", "bytes"])
+                    row = seen[part] = [names[t], start, p - x, g, False, part]
+                    rows.append(row)
+                gathered += rows
+                size += sum(len(r[5]) for r in rows)
+                if size >= GATHER_BYTES:
+                    yield from flush()
+                    gathered, seen, known, size = [], {}, {}, 0
+        yield from flush()
     return run
 
 
@@ -171,6 +183,8 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int) -> np.nda
         rank, have = ranks(rank, second), have + step
     first, last = ranks_wide(np.concatenate([head[starts], head[starts + length - 8]])).reshape(2, -1)
     ends = ranks(first, last)
+    if reach < length - 8:  # up to six bytes are between the sample's reach and the last eight
+        ends = ranks(ends, ranks_wide(head[starts + length - 14]))
     for shift in range(_PERIOD):
         mine = np.flatnonzero(in_cover[starts + shift])
         key = (ends[mine].astype(np.uint64) << np.uint64(32)) | rank[number[starts[mine] + shift]].astype(np.uint64)
