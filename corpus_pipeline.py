@@ -34,16 +34,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose doc_id names the group. Of
-    rows with that doc_id the one with the least text key stays, once. Which rows
-    stay is settled on keys; the texts move once."""
-    member = simhash.near_duplicates(docs.select("doc_id", "text"))
-    named = member.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    """One document of each group stays: the one with the least doc_id (a null after
+    all others), of those the one with the least text key, once. Groups go by that
+    pair as their name, so groups without ids and groups that share an id stay
+    apart. Which rows stay is settled on keys; the texts move once."""
     keyed = docs.withColumn("__key", linededup.document_key("doc_id"))
-    least = (keyed.select("doc_id", "__key").join(named, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-             .groupBy("doc_id").agg(F.min("__key").alias("__key")).select("__key"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
+    member = simhash.near_duplicates(keyed.select(place.alias("doc_id"), "text"))
+    least = member.select(F.col("component_id.key").alias("__key")).distinct()
     # Merge join at every size, and the window on its key: one exchange of the texts.
-    one = W.partitionBy("__key").orderBy("__key")
+    one = W.partitionBy("__key").orderBy(F.col("doc_id").asc_nulls_last())
     stays = keyed.join(least.hint("merge"), "__key", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
     return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -96,6 +96,17 @@ def test_pipeline_against_brute_force(spark):
     whole(packed, 2048)
 
 
+def test_groups_without_ids_and_with_one_id_stay_apart(spark):
+    """Three texts without an id, two more with one id, copies of some, and an edit
+    of a text that has a named document."""
+    text = lambda i: " ".join(f"group{i} word{i * 1000 + j}" for j in range(200))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (5, text(5)), (6, text(5)),
+            (9, text(6)), (None, text(6)), (4, text(6))]
+    got = C.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SMALL)
+    want = [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (4, text(6))]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_stages_on_edges(spark, edges, nothing):
     for name, step in C.STAGES[:-1]:
         assert step(spark, nothing, SMALL).columns == nothing.columns and step(spark, nothing, SMALL).count() == 0
