@@ -2,7 +2,9 @@
 
 Every task dedupes the items of its own texts first. Of the texts of a task
 that hold an item, one (the least in order) asks; the others are answered on the
-spot, so an item of a third of all texts is one request a task. Requests travel
+spot, so an item of a third of all texts is one request a task. Where the order is
+wanted (``places``), texts of the least one's order ask too: whether they are later
+depends on the texts of other tasks, as it does for the least. Requests travel
 as packed arrays, dealt by the item's hash; answers travel as packed arrays,
 dealt by text, and are put together there. An item is shared if at least two texts hold it (or, on demand, one text
 twice), and a text is later if a smaller one in order holds the item too.
@@ -123,8 +125,9 @@ def _send(items: Callable, buckets: int, twice: bool, places: bool):
         order = order_of(keys)
         first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), np.arange(len(h)), 0))
         later = order[t] > order[t[first]]
+        asking = lead | ~later if places else lead
         bucket = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-        for mine, flag, to, asks in ((lead, several, bucket, True), (~lead, later, _home(keys, buckets)[t], False)):
+        for mine, flag, to, asks in ((asking, several, bucket, True), (~asking, later, _home(keys, buckets)[t], False)):
             if mine.any():
                 rows = _rows(keys, t[mine], h[mine], p[mine] if places else None, flag[mine], to[mine])
                 yield pa.RecordBatch.from_pydict({"bucket": rows.pop("bucket"), "asks": pa.array([asks] * len(rows["texts"])), **rows})
@@ -212,7 +215,7 @@ def _together(width: int, places: bool):
 
 def shared_items(texts: DataFrame, items: Callable, width: int, twice: bool = False, places: bool = False) -> DataFrame:
     """(text_key, answers): for each text with shared items an array of packed
-    (hashes, places, later).
+    (hashes, places, later); ``later`` holds only with ``places``.
 
     ``items(batch)`` yields (keys, hashes, text numbers, places) for parts of an
     Arrow batch of ``texts``; keys have ``width`` bytes, the first eight of them spread evenly."""

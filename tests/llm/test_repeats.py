@@ -194,6 +194,24 @@ def test_lines_empty(nothing):
     assert linededup.dedup_report(nothing).count() == 0 and linededup.dedup_lines(nothing).count() == 0
 
 
+def tied_rows():
+    """Null ids and one id on many texts, all with a passage that a smaller id has
+    too; and a passage that only texts without ids share."""
+    shared, tied = [f"line {i} of some shared words" for i in range(6)], [f"tied line {i} of some words" for i in range(6)]
+    text = lambda i, lines: "\n".join([f"head {i}", *lines, f"tail {i}"])
+    return [(3, text("a", shared)), *[(None, text(i, shared)) for i in range(30)], *[(7, text(f"r{i}", shared)) for i in range(30)],
+            *[(None, text(f"t{i}", tied)) for i in range(9)]]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_texts_of_equal_order_in_one_task(spark, parts):
+    rows = tied_rows()
+    first, rest = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows[:1], rows[1:]))
+    docs = first.coalesce(1).union(rest.coalesce(parts))
+    assert multiset(words_got(doubling.repeated_words(docs, 13))) == multiset(words_brute(rows, 13))
+    assert multiset(lines_got(linededup.dedup_report(docs))) == multiset(lines_brute(rows, 3))
+
+
 def test_a_hot_passage_asks_once_a_task(spark):
     """Half of all documents hold one passage: one row a task asks for it."""
     from faultline.llm.exchange import _WIRE, _send
