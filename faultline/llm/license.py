@@ -1,19 +1,23 @@
-"""License notices by patience alignment with templates.
+"""License notices by alignment with templates.
 
-Of a text and a template, words that are unique to both are anchors; the longest
-increasing subsequence of their places is kept, and the gaps between anchors are
-aligned in the same way, after equal words at their ends. Coverage is the share
-of template words that are aligned.
+Coverage is the share of template words that are aligned, in order, with words of
+a stretch of text; density is the share of the stretch's words that are aligned.
+A notice is a stretch that reaches both thresholds. The alignment is exact: for
+each word at which a stretch may end and each number of aligned words, the latest
+word at which it can begin is kept, so insertions anywhere in a notice, up to the
+density, do not hide it. (``patience``, on words unique to both, is its lower bound.)
 
 A text is aligned only where it can reach the least coverage: it must hold
 enough of the template's words (coverage cannot exceed the share of template
 places whose word occurs), and, near a match, one of its rarest words. The rarest
-words are taken until their places are too many to be all missed, so no match
-is lost; each of their occurrences gives a stretch to align.
+words are taken until their places are too many to be all missed; a notice spans
+at most the template's length divided by the density, so that many words on either
+side of each occurrence are aligned, and no match is lost.
 
 Words are letters and digits in lower case. Defined results: a null or empty
-text has no notices. Repeated rows each get their rows. Of several stretches
-the one with most aligned words counts, then the densest, then the first.
+text has no notices. Repeated rows each get their rows. A text gets a row for each
+of its disjoint notices: of those that overlap the one with most aligned words
+counts, then the densest, then the first; what is left beside it is aligned again.
 """
 
 from __future__ import annotations
@@ -55,6 +59,28 @@ TEMPLATES = {
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program "
         "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
         "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    "bsd-conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies."),
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "boost-1.0-header": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "http://www.boost.org/LICENSE_1_0.txt)"),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely"),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means."),
 }
 
 
@@ -128,38 +154,74 @@ class Scanner:
         size = self.weight.sum(axis=1)
         possible = (counts > 0).astype(np.int64) @ self.weight.T >= self.coverage * size
         for d, t in zip(*np.nonzero(possible)):
-            best = self.align(symbol[first[d]: first[d + 1]], int(t), counts[d])
-            if best:
-                yield int(d), self.names[t], *best
+            for notice in self.align(symbol[first[d]: first[d + 1]], int(t), counts[d]):
+                yield int(d), self.names[t], *notice
 
-    def align(self, text: np.ndarray, t: int, counts: np.ndarray):
+    def align(self, text: np.ndarray, t: int, counts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(aligned words, template words, first word, end word) of disjoint notices, in order."""
         template = self.words[t]
         m = len(template)
         places: dict[int, list[int]] = {}
         for q, w in enumerate(template):
             places.setdefault(w, []).append(q)
-        spare, slack = m - self.coverage * m, -(-m // 4)
-        stretches: set[tuple[int, int]] = set()
+        # A notice of at most m aligned words spans at most m / density words.
+        spare, reach = m - self.coverage * m, int(m / self.density)
+        near = np.zeros(len(text) + 1, np.int64)
         missed = 0
         for w in sorted(places, key=lambda x: (counts[x], x)):
             if missed > spare:
                 break
             missed += len(places[w])
             if counts[w]:
-                for x in np.flatnonzero(text == w).tolist():
-                    stretches |= {(max(0, x - q - slack), min(len(text), x - q + m + slack)) for q in places[w]}
-        best = None
-        for lo, hi in sorted(stretches):
-            pairs = patience(text[lo:hi].tolist(), template)
-            if not pairs or len(pairs) < self.coverage * m:
-                continue
-            a, b = lo + pairs[0][0], lo + pairs[-1][0] + 1
-            if len(pairs) < self.density * (b - a):
-                continue
-            rank = (-len(pairs), b - a, a)
-            if best is None or rank < best[0]:
-                best = rank, (len(pairs), m, a, b)
-        return best and best[1]
+                x = np.flatnonzero(text == w)
+                np.add.at(near, np.maximum(0, x - reach), 1)
+                np.add.at(near, np.minimum(len(text), x + reach + 1), -1)
+        inside = np.concatenate([[False], np.cumsum(near[:-1]) > 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        out, todo = [], [(int(lo), int(hi)) for lo, hi in zip(edges[::2], edges[1::2])]
+        while todo:
+            lo, hi = todo.pop()
+            found = self.best(text[lo:hi], places, m, reach)
+            if found:
+                n, a, b, first = found
+                out.append((n, m, lo + a, lo + b))
+                todo.append((lo + b, hi))
+                if a > first:  # before it, only what ends at ``first`` or later is a notice
+                    todo.append((lo + max(0, first - reach), lo + a))
+        return sorted(out, key=lambda x: x[2])
+
+    def best(self, text: np.ndarray, places: dict[int, list[int]], m: int, reach: int) -> tuple[int, int, int, int] | None:
+        """(aligned words, first word, end word, end of the first) of the best notice
+        that is whole within ``reach`` words after the first one's end.
+
+        latest[q, n] is the last word at which an alignment of n words with the
+        template's first q places can begin, all up to the word that is read."""
+        if len(text) < self.coverage * m:
+            return None
+        latest = np.full((m + 1, m + 1), -1, np.int64)
+        need = np.arange(m + 1)
+        enough = need >= self.coverage * m
+        enough[0] = False
+        best, first = None, len(text)
+        at = np.flatnonzero(np.isin(text, list(places)))
+        for x, w in zip(at.tolist(), text[at].tolist()):
+            if x > first + reach:
+                break
+            for q in reversed(places[w]):  # the rows read are those before this word
+                new = latest[q, :-1].copy()
+                new[0] = x
+                below = latest[q + 1:, 1:]
+                if (new > below[0]).any():
+                    np.maximum(below, new, out=below)
+            start = latest[m]
+            good = np.flatnonzero(enough & (start >= 0) & (need >= self.density * (x + 1 - start)))
+            if len(good):
+                n = int(good[-1])
+                first = min(first, x + 1)
+                rank = (-n, x + 1 - int(start[n]), int(start[n]))
+                if best is None or rank < best:
+                    best = rank
+        return best and (-best[0], best[2], best[2] + best[1], first)
 
 
 def _scan(templates: dict[str, str], coverage: float, density: float):

@@ -120,3 +120,44 @@ def test_scan(spark):
 def test_scan_edges(edges, nothing):
     assert L.scan(nothing).count() == 0
     assert L.scan(edges).count() == 0 and len(EDGES) > 0
+
+
+def notices(text, templates=None):
+    scanner = L.Scanner(templates or L.TEMPLATES, 0.8, 0.6)
+    data = text.encode()
+    return [x[1:] for x in scanner.block(L.np.array([0, len(data)]), L.np.frombuffer(data, L.np.uint8))]
+
+
+@pytest.mark.parametrize("name", sorted(L.TEMPLATES))
+@pytest.mark.parametrize("part", [0.25, 0.5, 0.75])
+def test_a_gapped_notice_is_found_as_by_plain_alignment(name, part):
+    words = "".join(c.lower() if c.isalnum() else " " for c in L.TEMPLATES[name]).split()
+    gap, at = int(len(words) / 0.6) - len(words), max(1, int(part * len(words)))
+    text = ["before"] * 300 + words[:at] + [f"gap{i}" for i in range(gap)] + words[at:] + ["after"] * 300
+    pairs = L.patience(text, words)
+    assert len(pairs) == len(words)
+    got = [x for x in notices(" ".join(text)) if x[0] == name]
+    assert got == [(name, len(words), len(words), pairs[0][0], pairs[-1][0] + 1)]
+
+
+def test_each_disjoint_notice_of_a_text():
+    mit = L.TEMPLATES["mit"]
+    got = [x for x in notices(" ".join(["one", mit, "two three", mit + " " + mit, "word " * 500, mit])) if x[0] == "mit"]
+    m = got[0][2]
+    assert [x[3] for x in got] == [1, m + 3, 2 * m + 3, 3 * m + 503] and all(x[1] == m for x in got)
+    assert len(notices("All rights reserved. " * 50)) == 50
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_notices_against_all_stretches(seed):
+    """A text has a notice where, and only where, some stretch reaches both thresholds."""
+    import random
+    r = random.Random(seed)
+    template = [f"t{r.randrange(6)}" for _ in range(8)]
+    text = [f"t{r.randrange(6)}" if r.random() < 0.8 else "x" for _ in range(60)]
+    reaches = lambda a, b: (n := lcs(text[a:b], template)) >= 0.8 * 8 and n >= 0.6 * (b - a)
+    whole = {(a, b) for a in range(60) for b in range(a + 1, min(61, a + 14)) if reaches(a, b)}
+    got = [(a, b, n) for _, n, _, a, b in notices(" ".join(text), {"t": " ".join(template)})]
+    assert all((a, b) in whole and n == lcs(text[a:b], template) for a, b, n in got)
+    assert all(b <= c for (_, b, _), (c, _, _) in zip(got, got[1:]))
+    assert all(any(a < d and c < b for c, d, _ in got) for a, b in whole)
