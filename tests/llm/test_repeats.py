@@ -181,6 +181,43 @@ def test_lines_random(spark, run):
     assert multiset(lines_got(linededup.dedup_report(frame(spark, rows), run))) == multiset(lines_brute(rows, run))
 
 
+def passages_brute(rows, run, words):
+    """Later repeats of runs of ``run`` lines, and of shorter ones with enough words."""
+    texts = [(LAST if k is None else k, t.split("\n") if t else []) for k, t in rows]
+
+    def units(lines):
+        for k in range(1, run + 1):
+            for i in range(len(lines) - k + 1):
+                if k == run or sum(len(x.encode().split()) for x in lines[i:i + k]) >= words:
+                    yield i, tuple(lines[i:i + k])
+    first = {}
+    for k, lines in texts:
+        for _, g in units(lines):
+            first[g] = min(first.get(g, LAST), k)
+    out = []
+    for (key, _), (k, lines) in zip(rows, texts):
+        gone, seen = set(), set()
+        for i, g in units(lines):
+            if first[g] < k or g in seen:
+                gone |= set(range(i, i + len(g)))
+            seen.add(g)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out.append((key, len(lines), sorted(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def test_passages_of_one_or_two_lines_between_unshared_lines(spark):
+    long, half = " ".join(f"lang{i}" for i in range(60)), [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    own = lambda i: f"own line {i}"
+    rows = [(1, f"{own(1)}\n{long}\n{own(2)}"), (2, f"{own(3)}\n{long}\n{own(4)}"), (3, long), (4, "\n".join([own(5), *half])),
+            (5, "\n".join([*half, own(6)])), (6, f"{half[0]}\n{own(7)}\n{half[1]}"), (7, f"{own(8)}\nx {long}\n{own(9)}\nx {long}"), (None, f"{long}\n{own(10)}")]
+    rows += [(i, "\n".join(x)) for i, x in zip(range(20, 60), np.random.default_rng(4).choice([long, *half, "s", "t", "u v", own(11)], (40, 5)).tolist())]
+    got = lines_got(linededup.dedup_report(frame(spark, rows), words=50))
+    assert multiset(got) == multiset(passages_brute(rows, 3, 50))
+    gone = {k: g for k, _, g, _ in got}
+    assert [gone[k] for k in (1, 2, 3, 4, 5, 6, 7, None)] == [[], [1], [0], [], [0, 1], [], [3], [0]]
+
+
 def test_dedup_lines_keeps_all_columns_and_rows(edges):
     out = linededup.dedup_lines(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
