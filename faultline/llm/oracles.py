@@ -140,3 +140,27 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN j USING (r)
 """
+
+OP12 = r"""
+WITH RECURSIVE t8 AS (SELECT list(list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS t
+                      FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i) x),
+d AS (SELECT row_number() OVER () AS r, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+') AS ws FROM documents),
+runs AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(ws) AS w FROM d) x WHERE length(w) >= 5 GROUP BY id, w),
+bytes AS (SELECT w, n, flatten(list_transform(string_split(id || ':' || w, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)]
+            ELSE [CAST(192 + unicode(ch) // 64 AS BIGINT), CAST(128 + unicode(ch) % 64 AS BIGINT)] END)) AS b FROM runs),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[CAST(xor(c, x) % 256 AS INT) + 1], c // 256))) AS h FROM bytes, t8),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM h),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) x),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+         UNION SELECT w.word, l.word, l.n FROM words w JOIN less l ON w.word = l.short
+         UNION SELECT l.word, w.word, w.n FROM words w JOIN less l ON w.word = l.short),
+best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near,
+                row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM near),
+forms AS (SELECT w.word, w.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form,
+                 CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word AND b.k = 1),
+walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN ends USING (word)
+"""

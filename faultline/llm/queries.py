@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontam, doubling, license, linededup, packing, quality, secrets, simhash, suffix, warc
+from faultline.llm import bpe, decontam, doubling, license, linededup, packing, quality, secrets, simhash, spelling, suffix, warc, whitening
 from faultline.llm.common import documents
 
 
@@ -84,3 +84,18 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return done.select("record_id", "canonical", "status", "refers_to", F.date_format("refers_to_date", "yyyy-MM-dd").alias("refers_to_date"),
                        F.when(F.col("headers").isNotNull(), F.array_join(fields, ";")).alias("headers"))
+
+
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
+    decoded = bpe.decode(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))

@@ -15,4 +15,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": oracles.OP1, "op2_warc_revisits": oracles.OP2, "op6_substring_dedup": oracles.OP6,
-            "op8_benchmark_decontamination": oracles.OP8, "op9_secret_scan": oracles.OP9}
+            "op8_benchmark_decontamination": oracles.OP8, "op9_secret_scan": oracles.OP9,
+            "op12_spelling_variants": oracles.OP12}
