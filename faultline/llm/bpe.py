@@ -4,9 +4,9 @@ The BPE encoding of a prefix ends in one last token, and what is left before
 that token is again the encoding of a prefix. So a prefix's state is its last
 token alone, and it follows from the states of shorter prefixes: of the tokens
 that end the prefix, exactly one forms a pair with the last token before it that
-the merges would leave apart. The distinct new words of a block are inserted into
-a trie; a depth-first walk keeps the last tokens of the path, so a prefix that
-many words share is encoded once, and a word is read off at its end.
+the merges would leave apart. The distinct new words of a block form a trie, held as
+its words in order (its depth-first order). The walk keeps the last tokens of the
+path, so a prefix that words share is encoded once, and a word is read off at its end.
 
 Tokens are spelled in symbols: a byte's letter, and another symbol for a letter
 that ends a word. Normalizing and splitting words are the library's. Tasks hold
@@ -15,8 +15,8 @@ nothing is shuffled and a task that runs again gives the same rows.
 
 Defined results: a null or empty text has no tokens and decodes to an empty text.
 Repeated rows are encoded each. Special tokens written in a text are that token,
-as in the library. Words beyond ``LONG`` symbols go through the same steps along
-one path, outside the trie. An empty table gives no rows.
+as in the library. Words beyond ``LONG`` letters are not remembered. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm.common import blocks, text_bytes
+from faultline.llm.packing import byte_letters
 
-#: Bytes of text whose words are looked at together, words of one trie, words and pairs that a worker remembers.
-BLOCK, TRIE, WORDS, PAIRS = 4 << 20, 1 << 15, 400_000, 1_000_000
-#: Symbols of the longest word that is put into a trie.
+#: Bytes of text whose words are looked at together; what stands between white space, words, and pairs of tokens that a worker remembers.
+BLOCK, KNOWN, WORDS, PAIRS = 4 << 20, 250_000, 400_000, 250_000
+#: Letters of the longest word that is remembered.
 LONG = 256
+#: Marks that may follow a plain word of Latin letters.
+MARKS = ".,!?;:"
+LATIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]*)")
 #: A letter that ends a word is the symbol this far above it.
 ENDS = 0x1000
 
@@ -71,7 +75,47 @@ class Merges:
         #: Tokens that their own spelling is encoded to, by spelling.
         self.token = {s: i for i, s in enumerate(spelled) if s is not None and whole[i]}
         self.length = [len(s or "") for s in spelled]
-        self.longest = max(self.length, default=1)
+        self._suffixes()
+
+    def _suffixes(self) -> None:
+        """An automaton over the tokens' spellings: ``longest[state]`` is the longest token
+        that ends what was read, ``shorter[t]`` the next shorter one that ends t."""
+        self.go: list[dict[str, int]] = [{}]
+        self.longest, self.fall, self.shorter = [-1], [0], [-1] * self.size
+        for spelling, t in self.token.items():
+            state = 0
+            for s in spelling:
+                below = self.go[state].get(s)
+                if below is None:
+                    below = self.go[state][s] = len(self.go)
+                    self.go.append({})
+                    self.longest.append(-1)
+                    self.fall.append(0)
+                state = below
+            self.longest[state] = t
+        level = list(self.go[0].values())
+        while level:
+            deeper = []
+            for state in level:
+                back = self.longest[self.fall[state]]
+                if self.longest[state] < 0:
+                    self.longest[state] = back
+                else:
+                    self.shorter[self.longest[state]] = back
+                for s, below in self.go[state].items():
+                    self.fall[below] = self.step(self.fall[state], s)
+                    deeper.append(below)
+            level = deeper
+
+    def step(self, state: int, s: str) -> int:
+        go = self.go
+        while True:
+            after = go[state].get(s)
+            if after is not None:
+                return after
+            if not state:
+                return 0
+            state = self.fall[state]
 
     def _apart(self, u: int, v: int, limit: float = float("inf")) -> bool:
         """Whether no merge joins the end of u to the start of v before ``limit``.
@@ -100,65 +144,46 @@ class Merges:
             known = self.pairs[key] = self._apart(u, v)
         return known
 
-    def last(self, tail: str, lasts: list[int], depth: int) -> int:
-        """The last token of the prefix of ``depth`` symbols that ends in ``tail``
-        (as many symbols as a token can have), given those of all shorter prefixes."""
-        token = self.token
-        for n in range(len(tail), 0, -1):
-            t = token.get(tail[-n:])
-            if t is not None and (n == depth or self.apart(lasts[depth - n], t)):
-                return t
-        raise ValueError(f"the vocabulary has no token for {tail[-1]!r}")
-
-    def read(self, t: int, lasts: list[int], depth: int) -> list[int]:
-        """The tokens of the prefix of ``depth`` symbols whose last token is t."""
-        out = [t]
-        depth -= self.length[t]
-        while depth:
-            t = lasts[depth]
-            out.append(t)
-            depth -= self.length[t]
-        out.reverse()
-        return out
-
-    def along(self, word: str) -> list[int]:
-        """A single word, along its own path."""
-        lasts, t = [0], 0
-        for depth in range(1, len(word) + 1):
-            t = self.last(word[max(0, depth - self.longest): depth], lasts, depth)
-            lasts.append(t)
-        return self.read(t, lasts, len(word)) if word else []
-
-    def encode(self, words: list[str]) -> dict[str, list[int]]:
-        """The tokens of distinct words of symbols (their last symbol is one that ends a word)."""
-        root: dict = {}
+    def encode(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """The tokens of distinct words of symbols, in order of the words: the trie in its
+        depth-first order. A word keeps of the path before it the prefix that both share,
+        with the last tokens and the states of the automaton, and goes on from there."""
+        go, step, longest, shorter = self.go, self.step, self.longest, self.shorter
+        length, size, pairs, apart = self.length, self.size, self.pairs, self.apart
+        lasts, states, before = [0], [0], ""
         for word in words:
-            node = root
-            for s in word[:-1]:
-                below = node.get(s)
-                if below is None:
-                    below = node[s] = {}
-                node = below
-            node[word[-1]] = word  # ends are symbols of their own: a leaf
-        found: dict[str, list[int]] = {}
-        lasts, tails, walk = [0], [""], [iter(root.items())]
-        while walk:
-            depth = len(walk)
-            for s, below in walk[-1]:
-                tail = (tails[-1] + s)[-self.longest:]
-                t = self.last(tail, lasts, depth)
-                if isinstance(below, str):
-                    found[below] = self.read(t, lasts, depth)
-                    continue
+            shared = 0
+            for x, y in zip(word, before):
+                if x != y:
+                    break
+                shared += 1
+            del lasts[shared + 1:], states[shared + 1:]
+            depth, state, before = shared, states[shared], word
+            for s in word[shared:] if shared else word:
+                depth += 1
+                after = go[state].get(s)
+                state = step(state, s) if after is None else after
+                t = longest[state]
+                while t >= 0:  # the one that the last token before it leaves apart
+                    n = length[t]
+                    if n == depth:
+                        break
+                    u = lasts[depth - n]
+                    free = pairs.get(u * size + t)
+                    if free or (free is None and apart(u, t)):
+                        break
+                    t = shorter[t]
+                else:
+                    raise ValueError(f"the vocabulary has no token for {s!r}")
                 lasts.append(t)
-                tails.append(tail)
-                walk.append(iter(below.items()))
-                break
-            else:
-                walk.pop()
-                lasts.pop()
-                tails.pop()
-        return found
+                states.append(state)
+            out = []
+            while depth:  # back from the word's end
+                t = lasts[depth]
+                out.append(t)
+                depth -= length[t]
+            out.reverse()
+            yield word, out
 
 
 class Vocabulary:
@@ -175,15 +200,32 @@ class Vocabulary:
             raise ValueError("only byte-level BPE with a word end and without white space")
         merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         self.merges = Merges(model["vocab"], merges, self.suffix)
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {k: special[k] for k in sorted(special, key=len, reverse=True)}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.names = [""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            self.names[i] = name
-        self.joint = self.tokenizer.decoder
+        #: Ids by what stands between white space, and by word of byte letters.
         self.known: dict[bytes, bytes] = {}
+        self.heads = self._special_ids()
+        # Plain words skip the library if it treats all their letters and marks as expected.
+        self.letters = byte_letters()
+        alphabet = "".join(c for c in map(chr, range(65, 256)) if LATIN.fullmatch(c))
+        probes = [alphabet, *alphabet, *(f"{a}{b}" for a in "aZéÉ" for b in "." + MARKS), *(f"a{x}{y}" for x in MARKS for y in MARKS)]
+        self.plain = all(self._plain(w) == self.split(w) for w in probes)
+
+    def _special_ids(self) -> dict[str, bytes]:
+        return {k: self.packed[i] for k, i in self.special.items()}
+
+    def _plain(self, word: str) -> list[str] | None:
+        """Latin letters and the marks after them, without the library."""
+        found = LATIN.fullmatch(word)
+        if found is None:
+            return None
+        head, tail = found.groups()
+        head = head.lower()
+        if not head.isascii():
+            head = "".join(map(self.letters.__getitem__, head.encode()))
+        return [head, tail] if tail else [head]
 
     def split(self, word: str) -> list[str]:
         """The words of byte letters that the library's normalizer and splitter make."""
@@ -191,45 +233,57 @@ class Vocabulary:
             word = self.tokenizer.normalizer.normalize_str(word)
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)]
 
-    def parts(self, word: str) -> list[int | str]:
-        """Special tokens as ids, and words of symbols."""
-        out: list[int | str] = []
-        for i, x in enumerate(self.marks.split(word) if self.marks else [word]):
-            if i % 2:
-                out.append(self.special[x])
-            elif x:
-                out += [p[:-1] + chr(ord(p[-1]) + ENDS) for p in self.split(x) if p]
-        return out
+    def parts(self, word: str) -> list[str]:
+        """Words of byte letters, and special tokens as they are written."""
+        if self.plain and (found := self._plain(word)):
+            return found
+        if self.marks is None or not self.marks.search(word):
+            return self.split(word)
+        return [p for i, x in enumerate(self.marks.split(word)) for p in ([x] if i % 2 else self.split(x))]
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode words that are not known yet."""
-        if len(self.known) > WORDS:
-            self.known.clear()
+        """Encode what stands between white space and is not known yet. The normalizer
+        and the splitter never look past ASCII white space."""
+        if len(self.known) > KNOWN:
+            self.known = {}
+        if len(self.heads) > WORDS:
+            self.heads = self._special_ids()
         new = [w for w in words if w not in self.known]
         parts = [self.parts(w.decode()) for w in new]
-        distinct = sorted({p for x in parts for p in x if isinstance(p, str)})
-        short = [p for p in distinct if len(p) <= LONG]
-        tokens = {p: self.merges.along(p) for p in distinct if len(p) > LONG}
-        for i in range(0, len(short), TRIE):
-            tokens |= self.merges.encode(short[i: i + TRIE])
+        heads = self.heads
+        symbols = {p[:-1] + chr(ord(p[-1]) + ENDS): p for x in parts for p in x if p not in heads}
+        for s, ids in self.merges.encode(sorted(symbols)):
+            heads[symbols[s]] = b"".join(map(self.packed.__getitem__, ids))
         for w, x in zip(new, parts):
-            ids = [t for p in x for t in (tokens[p] if isinstance(p, str) else (p,))]
-            self.known[w] = np.array(ids, "<u4").tobytes()
+            self.known[w] = heads[x[0]] if len(x) == 1 else b"".join([heads[p] for p in x])
+        for p in [p for p in symbols.values() if len(p) > LONG]:
+            del heads[p]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [t.split() for t in texts]
         self.learn(set().union(*split))
-        known = self.known
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for w in [w for w in known if len(w) > LONG]:
-            del known[w]
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in [w for w in self.known if len(w) > LONG]:
+            del self.known[w]
         return out
 
+
+class Names:
+    """The tokens' names by id, as the library decodes them."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        tokenizer = Tokenizer.from_file(path)
+        names = tokenizer.get_vocab(with_added_tokens=True)
+        self.names = [""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            self.names[i] = name
+        self.decoder = tokenizer.decoder
+
     def decode(self, ids: bytes) -> str:
-        names = self.names
-        words = [names[i] for i in np.frombuffer(ids, "<u4").tolist()]
-        return " ".join(words) if self.joint is None else self.joint.decode(words)
+        words = map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist())
+        return " ".join(words) if self.decoder is None else self.decoder.decode(list(words))
 
 
 @lru_cache(maxsize=2)
@@ -237,11 +291,18 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+@lru_cache(maxsize=2)
+def names(path: str) -> Names:
+    return Names(path)
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """All columns but the text, with ``n_tokens`` long and ``ids`` binary (unsigned
-    32-bit integers, the lowest byte first) at the end. ``path`` names the vocabulary
-    file on every executor. Columns of these names are replaced."""
-    others = [c for c in docs.columns if c.lower() not in (text.lower(), "n_tokens", "ids")]
+    32-bit integers, the lowest byte first) at the end, and what ``decode`` makes of them
+    if ``decoded``. ``path`` names the vocabulary file on every executor. Columns of
+    these names are replaced."""
+    added = ["n_tokens", "ids", "decoded"][:3 if decoded else 2]
+    others = [c for c in docs.columns if c.lower() not in (text.lower(), *added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -250,13 +311,15 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             data = raw.tobytes()
             for first, last in blocks(offsets, BLOCK):
                 ids = v.encode([data[offsets[i]: offsets[i + 1]] for i in range(first, last)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("__row").slice(first, last - first), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["__row", "n_tokens", "ids"])
+                out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    out.append(pa.array(map(names(path).decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column("__row").slice(first, last - first), *out], names=["__row", *added])
 
     packed = docs.select(_row(others), F.col(f"`{text}`").cast("string").cast("binary").alias("__text"))
-    schema = T.StructType([packed.schema["__row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return packed.mapInArrow(run, schema).select(*[F.col(f"__row.`{c}`") for c in others], "n_tokens", "ids")
+    schema = T.StructType([packed.schema["__row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()),
+                           T.StructField("decoded", T.StringType())][:1 + len(added)])
+    return packed.mapInArrow(run, schema).select(*[F.col(f"__row.`{c}`") for c in others], *added)
 
 
 def decode(table: DataFrame, path: str) -> DataFrame:
@@ -265,9 +328,9 @@ def decode(table: DataFrame, path: str) -> DataFrame:
     others = [c for c in table.columns if c.lower() not in ("ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        known = names(path)
         for batch in batches:
-            texts = [None if x is None else v.decode(x) for x in batch.column("ids").to_pylist()]
+            texts = [None if x is None else known.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], names=["__row", "decoded"])
 
     packed = table.select(_row(others), "ids")

@@ -88,9 +88,8 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
-    decoded = bpe.decode(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

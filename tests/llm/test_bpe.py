@@ -22,7 +22,7 @@ def both(text):
 def mine(text):
     v = B.vocabulary(PATH)
     ids = v.encode([text.encode()])[0]
-    return np.frombuffer(ids, "<u4").tolist(), v.decode(ids)
+    return np.frombuffer(ids, "<u4").tolist(), B.names(PATH).decode(ids)
 
 
 ODD = ["It's we'll don't 'sharp 's", "ΣΑΣ Οδυσσεύς", "İstanbul ﬁne ſharp Kelvin", "a b c\x1cd", "<|endoftext|>x <|startoftext|>y<|endoftext|>", "café ÀÉÎ ñ ẞ",
@@ -41,14 +41,19 @@ def test_any_text(text):
 
 
 def test_a_shared_prefix_is_encoded_once(monkeypatch):
-    merges, steps = B.vocabulary(PATH).merges, []
-    last = B.Merges.last
-    monkeypatch.setattr(B.Merges, "last", lambda self, tail, lasts, depth: steps.append(tail) or last(self, tail, lasts, depth))
-    end = lambda w: w[:-1] + chr(ord(w[-1]) + B.ENDS)
-    words = [end(w) for w in ("translate", "translated", "translation", "transfer")]
-    found = merges.encode(words)
-    assert len(steps) == len({w[:i] for w in words for i in range(1, len(w) + 1)})
-    assert found == {w: merges.along(w) for w in words}
+    merges, end = B.vocabulary(PATH).merges, lambda w: w[:-1] + chr(ord(w[-1]) + B.ENDS)
+    words = sorted(map(end, ("translate", "translated", "translation", "transfer")))
+    alone = {w: list(merges.encode([w]))[0][1] for w in words}
+
+    class Count(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            Count.reads += 1
+            return list.__getitem__(self, i)
+    monkeypatch.setattr(merges, "longest", Count(merges.longest))
+    assert dict(merges.encode(words)) == alone
+    assert Count.reads == len({w[:i] for w in words for i in range(1, len(w) + 1)})
 
 
 def test_merges_whose_parts_meet_again():
@@ -56,7 +61,7 @@ def test_merges_whose_parts_meet_again():
     vocab = {t: i for i, t in enumerate(["a", "b", "c", "a|", "b|", "c|", "aa", "bc", "ab", "abc", "aaa|", "aa|"])}
     m = B.Merges(vocab, [("a", "a"), ("b", "c"), ("a", "b"), ("ab", "c"), ("aa", "a|"), ("a", "a|")], "|")
     assert "abc" not in m.token
-    read = lambda w: [next(k for k, v in vocab.items() if v == t) for t in m.along(w[:-1] + chr(ord(w[-1]) + B.ENDS))]
+    read = lambda w: [next(k for k, v in vocab.items() if v == t) for t in dict(m.encode([w[:-1] + chr(ord(w[-1]) + B.ENDS)])).popitem()[1]]
     assert read("aaa") == ["aaa|"] and read("aaaa") == ["aa", "aa|"] and read("abcc") == ["a", "bc", "c|"] and read("ab") == ["a", "b|"]
 
 
@@ -67,15 +72,17 @@ def test_other_kinds_of_vocabulary_are_refused():
 
 def test_known_words_are_bounded(monkeypatch):
     monkeypatch.setattr(B, "WORDS", 5)
+    monkeypatch.setattr(B, "KNOWN", 5)
     v = B.Vocabulary(PATH)
     for text in ("one two three four five six", "seven eight one", "two " + "x" * 999):
         assert np.frombuffer(v.encode([text.encode()])[0], "<u4").tolist() == both(text)[0]
-    assert len(v.known) < 12 and not any(len(w) > B.LONG for w in v.known)
+    assert len(v.known) < 12 and len(v.heads) < 14 and not any(len(w) > B.LONG for w in [*v.known, *v.heads])
 
 
 def test_edges(edges):
     clash = edges.withColumn("ids", F.lit(1)).withColumn("decoded", F.lit(2)).withColumn("a.b", F.lit(3))
     rows = B.decode(B.encode(clash, PATH), PATH).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, B.encode(clash, PATH, decoded=True).drop("ids").collect()))
     assert set(rows[0].asDict()) == {"doc_id", "N_WORDS", "fail_bits", "items", "a.b", "n_tokens", "decoded"}
     want = [(k, len(both(t or "")[0]), both(t or "")[1]) for k, t in EDGES]
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_tokens, r.decoded)) for r in rows)
