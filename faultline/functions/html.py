@@ -1,12 +1,18 @@
 """HTML extraction Column functions (P6, P7, P10, P11), all in the JVM.
 
-An element ends at the closing tag that matches its opening one: the open and
-close tags of that name are counted in order (``until_close``), so text inside
-nested tags is kept.
+A page is cut into tokens by one pattern (``TOKEN``): comments, declarations,
+script and style elements with their raw text, tags whose quoted attribute values
+may hold ``>``, and text. An automaton runs over the tags as one ``aggregate``
+(``spans``): a stack of open elements by name, from which an end tag takes all up to
+its own start, void elements that never open, and the standard's implied ends
+(a paragraph ends at the next block, a list item at the next item). Runs of equal
+names are one entry of the stack, so a page that never closes its tags costs no more.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,118 +21,324 @@ ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
     ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
 ]
-TAG_PATTERN = "<[^>]*>"
-
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+# ---------------------------------------------------------------------------
+# Fixed values of the HTML standard: elements without an end tag, elements whose text
+# is not markup, and which open elements a start tag ends unless one of the stops is
+# opened after them.
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
+RAW = "script|style"
+PLAIN = "title|textarea"
+BLOCKS = ("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+          "header hgroup hr li dd dt main menu nav ol p pre search section summary table ul").split()
+ENDS = {**{b: ["p"] for b in BLOCKS}, "li": ["p", "li"], "dd": ["p", "dd", "dt"], "dt": ["p", "dd", "dt"], "tr": ["td", "th", "tr"],
+        "td": ["td", "th"], "th": ["td", "th"], "tbody": ["td", "th", "tr", "thead", "tbody"], "tfoot": ["td", "th", "tr", "thead", "tbody"],
+        "option": ["option"], "optgroup": ["option", "optgroup"]}
+STOPS = {**{b: ["table", "td", "th", "caption", "button", "object", "template"] for b in BLOCKS},
+         "li": ["ul", "ol", "menu", "table", "td", "th", "button", "object", "template"],
+         **{x: ["dl", "table", "td", "th", "button", "object", "template"] for x in ("dd", "dt")},
+         **{x: ["table", "template"] for x in ("tr", "td", "th", "tbody", "tfoot")}, "option": ["select", "datalist"], "optgroup": ["select"]}
+# ---------------------------------------------------------------------------
+# Attributes up to the end of a tag: a quote opens a value only after '='. Every
+# repetition is possessive, so no tag is too long for the pattern.
+_ATTRS = r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
+TAG_PATTERN = rf"</?[a-zA-Z]{_ATTRS}>"
+TOKEN = (rf"(?si)<!--.*?(?:-->|\z)|<({RAW}|{PLAIN})(?=[\s/>]){_ATTRS}>.*?(?=</\1[\s/>]|\z)|<[!?][^>]*+>|</?[a-z]{_ATTRS}>"
+         r"|(?:[^<]++|<(?![a-z/!?]))++|<")
+_NAME = r"^</?([a-zA-Z][^\s/>]*)"
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
+
+
+_numbers = count()
 
 
 def once(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
+    """``use(value)`` of any column, with the value computed once."""
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _character(digits: Column) -> Column:
-    """The character of a numeric reference's digits ('8217' or 'x2019'); U+FFFD if there is none."""
-    return once(digits, _decoded)
+def _text(html) -> str:
+    """SQL text of a column's name or of a result of this module."""
+    if isinstance(html, str):
+        return "`" + html.replace("`", "``").replace(".", "`.`") + "`"
+    made = vars(html).get("_sql")
+    if made is None:
+        raise TypeError("give a column's name or a result of functions.html")
+    return made
 
 
-def _decoded(digits: Column) -> Column:
-    code = F.when(F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(F.substring(digits, 1, 8))
-    code = code.try_cast("long")
-    good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    point = F.when(digits.isNull(), F.lit(None)).when(good, code).otherwise(F.lit(0xFFFD))
-    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+def _column(sql: str) -> Column:
+    column = F.expr(sql)
+    column._sql = sql
+    return column
 
 
-def unescape(text) -> Column:
+def _lit(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _fn(body) -> str:
+    """A lambda function of one argument, whose name is used once."""
+    x = f"v{next(_numbers)}"
+    return f"{x} -> {body(x)}"
+
+
+def _let(value: str, body) -> str:
+    """``body(value)`` with the value computed once, however often it is used."""
+    return f"get(transform(array({value}), {_fn(body)}), 0)"
+
+
+def _replace(text: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({text}, {_lit(pattern)}, {_lit(by)})"
+
+
+def _unescape(text: str) -> str:
     """Numeric references, then the named entities; '&amp;' goes last."""
-    return once(_col(text), _unescaped)
+    pattern = _lit("&#([0-9]{1,8}|[xX][0-9a-fA-F]{1,8});")
 
+    def character(d):
+        code = f"try_cast(CASE WHEN lower(left({d}, 1)) = 'x' THEN conv(substr({d}, 2, 8), 16, 10) ELSE substr({d}, 1, 8) END AS BIGINT)"
+        return _let(code, lambda c: f"decode(unhex(lpad(hex(CASE WHEN {c} BETWEEN 1 AND 55295 OR {c} BETWEEN 57344 AND 1114111 THEN {c} "
+                                    "ELSE 65533 END), 8, '0')), 'UTF-32')")
 
-def _unescaped(c: Column) -> Column:
-    pattern = "&#([0-9]{1,8}|[xX][0-9a-fA-F]{1,8});"
-    decoded = F.array_join(F.transform(F.split(c, pattern, -1), lambda gap, i: F.concat(
-        gap, F.coalesce(_character(F.get(F.regexp_extract_all(c, F.lit(pattern), 1), i)), F.lit("")))), "")
-    out = F.when(F.instr(c, "&#") > 0, decoded).otherwise(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    def all_of(c):
+        gaps = _let(f"regexp_extract_all({c}, {pattern}, 1)", lambda digits: (
+            f"array_join(zip_with(split({c}, {pattern}, -1), transform({digits}, {_fn(character)}), (gap, sign) -> concat(gap, coalesce(sign, ''))), '')"))
+        out = f"CASE WHEN instr({c}, '&#') > 0 THEN {gaps} ELSE {c} END"
+        for entity, sign in ENTITIES:
+            out = f"replace({out}, {_lit(entity)}, {_lit(sign)})"
+        return out
+    return _let(text, lambda c: f"CASE WHEN instr({c}, '&') > 0 THEN {all_of(c)} ELSE {c} END")
 
 
-def strip_tags(fragment) -> Column:
-    """Inner text: tags replaced by a space (text nodes never fuse), entities
-    decoded, whitespace runs collapsed, trimmed."""
-    no_tags = F.regexp_replace(_col(fragment), TAG_PATTERN, " ")
-    return F.trim(F.regexp_replace(unescape(no_tags), "[\\t\\n\\x0B\\f\\r ]+", " "))
+def unescape(text) -> Column:
+    """Text with its character references decoded."""
+    return _column(_unescape(_text(text)))
 
 
-def title_before(html, separator: str = "·") -> Column:
-    """<title> text; if it contains the separator, the trimmed part before
-    the first separator, else ''."""
-    title = unescape(F.regexp_extract(_col(html), "(?s)<title>(.*?)</title>", 1))
-    return F.when(F.instr(title, F.lit(separator)) > 0,
-                  F.trim(F.substring_index(title, separator, 1))).otherwise(F.lit(""))
+# ------------------------------------------------------------------ tokens
+
+def _tokens(html: str) -> str:
+    return f"regexp_extract_all({html}, {_lit(TOKEN)}, 0)"
+
+
+def tokens(html) -> Column:
+    """The page's tokens in order; joined they are the page again."""
+    return _column(_tokens(_text(html)))
+
+
+def _key_pattern(key: str) -> str:
+    """A start tag up to an attribute's name, past all other attributes."""
+    return rf"(?si)^<[^\s/>]++(?:[\s/]++(?!{key}[\s=/>])[^\s=>/]++(?:\s*+=\s*+{_VALUE})?+)*+[\s/]++{key}"
+
+
+def _attribute(token: str, key: str) -> str:
+    pattern = _key_pattern(key) + rf"\s*+=\s*+({_VALUE})"
+    return _unescape(_replace(f"regexp_extract({token}, {_lit(pattern)}, 1)", "^[\"']|[\"']$"))
+
+
+def _has_attribute(token: str, key: str) -> str:
+    return f"{token} RLIKE {_lit(_key_pattern(key) + '[\\s=/>]')}"
+
+
+def attribute(token, key: str) -> Column:
+    """The value of an attribute of a start tag, '' if it has none."""
+    return _column(_attribute(_text(token), key))
+
+
+def has_attribute(token, key: str) -> Column:
+    return _column(_has_attribute(_text(token), key))
+
+
+def start_tag(tag: str, css_class: str | None = None, class_pattern: str | None = None, **attrs):
+    """A test of tokens: start tags of that name that have the class among others (a
+    class of several words: these in a row), a class that matches a pattern, and
+    attributes of given values (True: of any; ``data_x`` stands for ``data-x``)."""
+    def test(token: str) -> str:
+        # AND stops at the first test that fails: the name.
+        ok = [f"{token} RLIKE {_lit(rf'(?i)^<{tag}[\s/>]')}"]
+        if css_class is not None:
+            words = _replace(_attribute(token, "class"), "[ \\t\\n\\f\\r]+", " ")
+            ok.append(f"instr(concat(' ', {words}, ' '), {_lit(f' {css_class} ')}) > 0")
+        if class_pattern is not None:
+            ok.append(f"{_attribute(token, 'class')} RLIKE {_lit(class_pattern)}")
+        for key, value in attrs.items():
+            key = key.replace("_", "-")
+            ok.append(_has_attribute(token, key) if value is True else f"{_attribute(token, key)} = {_lit(value)}")
+        return "(" + " AND ".join(ok) + ")"
+    return test
+
+
+_STACK, _OPEN, _SPANS = "array<struct<name:string,base:int>>", "array<struct<at:int,depth:int>>", "array<struct<first:int,last:int>>"
+
+
+def _listed(names) -> str:
+    return "array(" + ", ".join(f"'{x}'" for x in names) + ")"
+
+
+def _table(rules: dict) -> str:
+    return "map(" + ", ".join(f"'{k}', {_listed(v)}" for k, v in rules.items()) + ")"
 
 
-def until_close(rest, tag: str) -> Column:
-    """What stands before the closing ``tag`` that matches an opening one just
-    before ``rest``; all of ``rest`` if the element is not closed."""
-    return once(_col(rest), lambda r: _closed(r, tag))
+def _marks(parts: str, wanted) -> str:
+    """The tags among the tokens: place, name, and what the automaton asks of them."""
+    rule = lambda rules, n: f"CASE WHEN array_contains({_listed(ENDS)}, {n}) THEN try_element_at({_table(rules)}, {n}) END"
+    mark = _let(f"lower(regexp_extract(t, {_lit(_NAME)}, 1))", lambda n: (
+        f"CASE WHEN {n} != '' THEN named_struct('at', i, 'name', {n}, 'closing', startswith(t, '</'), "
+        f"'empty', array_contains({_listed(VOID)}, {n}) OR endswith(t, '/>'), "
+        f"'ends', {rule(ENDS, n)}, 'stops', {rule(STOPS, n)}, 'wanted', {wanted('t')}) END"))
+    return f"filter(transform({parts}, (t, i) -> {mark}), m -> m IS NOT NULL)"
 
 
-def _closed(r: Column, tag: str) -> Column:
-    pattern = f"(?i)</?{tag}(?=[\\s/>])[^>]*>"
-    tags = F.regexp_extract_all(r, F.lit(pattern), 0)
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
+def _taken() -> str:
+    """Place in the stack (1: the top) of the element that tag m ends, 0: none."""
+    within = lambda names, some: f"transform({names}, {_fn(lambda x: f'array_contains({some}, {x})')})"
 
-    def step(s, x):
-        before = s["at"] + F.length(x["gap"])
-        depth = s["depth"] + F.when(F.startswith(x["tag"], F.lit("</")), -1).when(F.endswith(x["tag"], F.lit("/>")), 0).otherwise(1)
-        return F.struct(depth.cast("int").alias("depth"), (before + F.length(x["tag"])).cast("int").alias("at"),
-                        F.coalesce(s["end"], F.when(depth == 0, before)).cast("int").alias("end"))
-    pairs = F.zip_with(F.slice(F.split(r, pattern, -1), 1, F.size(tags)), tags,
-                       lambda g, t: F.struct(g.alias("gap"), t.alias("tag")))
-    end = F.aggregate(pairs, start, step, lambda s: s["end"])
-    return F.substring(r, F.lit(1), F.coalesce(end, F.length(r)))
+    def implied(names):
+        # The lowest one above the first stop: an item ends with the paragraph in it.
+        above = _let(f"int(array_position({within(names, 'm.stops')}, true))", lambda k: (
+            f"slice({names}, 1, CASE WHEN {k} > 0 THEN {k} - 1 ELSE size({names}) END)"))
+        return _let(above, lambda a: _let(f"reverse({within(a, 'm.ends')})", lambda x: _let(
+            f"int(array_position({x}, true))", lambda k: f"CASE WHEN {k} > 0 THEN size({x}) + 1 - {k} ELSE 0 END")))
+    return (f"CASE WHEN m.closing THEN int(array_position(s.stack.name, m.name)) "
+            f"WHEN m.ends IS NOT NULL THEN {_let('s.stack.name', implied)} ELSE 0 END")
 
 
-def first_element(html, open_tag: str, tag: str) -> Column:
-    """Inner HTML of the first element whose opening tag matches the pattern, '' if there is none."""
-    return until_close(F.regexp_extract(_col(html), f"(?s){open_tag}(.*)$", 1), tag)
+def _popped(i: str) -> str:
+    """Depth and stack once the element at place i has ended."""
+    depth = f"CASE WHEN {i} = 0 THEN s.depth ELSE coalesce(get(s.stack, {i} - 2).base, s.depth) - 1 END"
+    return _let(depth, lambda d: (
+        f"named_struct('depth', {d}, 'stack', CASE WHEN {i} = 0 THEN s.stack "
+        f"ELSE slice(s.stack, CASE WHEN {d} > get(s.stack, {i} - 1).base THEN {i} ELSE {i} + 1 END, size(s.stack)) END)"))
 
 
-def all_elements(html, open_tag: str, tag: str) -> Column:
-    """Inner HTML of each element whose opening tag matches the pattern; an
-    element ends at the next such opening tag at the latest."""
-    parts = F.split(_col(html), open_tag, -1)
-    return F.transform(F.slice(parts, 2, F.size(parts)), lambda p: until_close(p, tag))
+def _opened(p: str) -> str:
+    """The state after tag m, p being depth and stack after what it ends."""
+    opens, ended = "NOT m.closing AND NOT m.empty", f"get(s.open, 0).depth > {p}.depth"
+    done = (f"CASE WHEN {ended} THEN concat(s.done, transform(filter(s.open, o -> o.depth > {p}.depth), "
+            "o -> named_struct('first', o.at, 'last', m.at))) ELSE s.done END")
+    still = f"CASE WHEN {ended} THEN filter(s.open, o -> o.depth <= {p}.depth) ELSE s.open END"
+    stack = (f"CASE WHEN {opens} AND NOT coalesce(get({p}.stack, 0).name = m.name, false) "
+             f"THEN concat(array(named_struct('name', m.name, 'base', {p}.depth)), {p}.stack) ELSE {p}.stack END")
+    new = f"CASE WHEN {opens} AND m.wanted THEN concat(array(named_struct('at', m.at, 'depth', {p}.depth + 1)), {still}) ELSE {still} END"
+    found = (f"CASE WHEN NOT m.closing AND m.empty AND m.wanted THEN concat({done}, array(named_struct('first', m.at, 'last', m.at + 1))) "
+             f"ELSE {done} END")
+    return (f"named_struct('depth', CASE WHEN {opens} THEN {p}.depth + 1 ELSE {p}.depth END, 'stack', CAST({stack} AS {_STACK}), "
+            f"'open', CAST({new} AS {_OPEN}), 'done', CAST({found} AS {_SPANS}))")
 
 
-def class_tag(tag: str, css_class: str | None = None) -> str:
-    """Pattern of an opening tag that has the class among others, like a CSS class selector."""
-    attrs = f'[^>]*class="(?:[^"]* )?{css_class}(?: [^"]*)?"[^>]*' if css_class else "(?:\\s[^>]*)?"
-    return f"<{tag}{attrs}>"
+def _spans(parts: str, wanted) -> str:
+    """(first, last) token numbers of the elements whose start tag passes the test, in
+    order of their start: the start tag, and the first token that is not inside."""
+    step = _let(_taken(), lambda i: _let(_popped(i), _opened))
+    none = f"named_struct('depth', 0, 'stack', CAST(array() AS {_STACK}), 'open', CAST(array() AS {_OPEN}), 'done', CAST(array() AS {_SPANS}))"
+    return (f"array_sort(aggregate({_marks(parts, wanted)}, {none}, (s, m) -> {step}, "
+            f"s -> concat(s.done, transform(s.open, o -> named_struct('first', o.at, 'last', size({parts}))))))")
+
+
+def _texts(parts: str) -> str:
+    """Text nodes of tokens, entities decoded: no tags, comments, scripts or styles."""
+    kept = f"filter({parts}, t -> NOT t RLIKE {_lit('^<(?:[a-zA-Z!?]|/[a-zA-Z])')} OR t RLIKE {_lit(rf'(?i)^<(?:{PLAIN})[\s/>]')})"
+    return f"transform({kept}, {_fn(lambda t: _unescape(_replace(t, rf'(?si)^<(?:{PLAIN})(?=[\s/>]){_ATTRS}>')))})"
+
+
+def _joined(parts: str) -> str:
+    """Text nodes with a space between (they never fuse), white space collapsed, trimmed."""
+    return f"trim({_replace(f'array_join({_texts(parts)}, {_lit(' ')})', '[\\t\\n\\x0B\\f\\r ]+', ' ')})"
+
+
+def _inside(parts: str, span: str) -> str:
+    """The tokens of an element; its start tag counts only for the text it may hold."""
+    return f"slice({parts}, {span}.first + 1, {span}.last - {span}.first)"
+
+
+def _element_text(parts: str, span: str) -> str:
+    return _joined(_inside(parts, span))
+
+
+def _markup(parts: str, span: str) -> str:
+    """Inner HTML: what the start tag's token holds beyond the tag, and the tokens inside."""
+    own = _replace(f"get({parts}, {span}.first)", f"(?s)^{TAG_PATTERN}")
+    return f"concat({own}, array_join(slice({parts}, {span}.first + 2, greatest({span}.last - {span}.first - 1, 0)), ''))"
+
+
+def _first(html: str, wanted, made) -> str:
+    return _let(_tokens(html), lambda parts: _let(f"get({_spans(parts, wanted)}, 0)", lambda span: (
+        f"CASE WHEN {span} IS NOT NULL THEN {made(parts, span)} WHEN {parts} IS NOT NULL THEN '' END")))
+
+
+def _every(html: str, wanted, made) -> str:
+    return _let(_tokens(html), lambda parts: f"transform({_spans(parts, wanted)}, {_fn(lambda span: made(parts, span))})")
+
+
+# --------------------------------------------------------------- functions
+
+def strip_tags(fragment) -> Column:
+    """The text of a fragment, on one line."""
+    return _column(_let(_tokens(_text(fragment)), _joined))
+
+
+def lines(fragment) -> Column:
+    """The text nodes of a fragment that are not blank, one a line, without white space
+    of any script at either end."""
+    stripped = f"transform({_texts(_tokens(_text(fragment)))}, {_fn(lambda t: _replace(t, '(?U)^\\s+|\\s+$'))})"
+    return _column(f"array_join(filter({stripped}, t -> t != ''), '\\n')")
+
+
+def title_before(html, separator: str = "·") -> Column:
+    """<title> text; if it contains the separator, the trimmed part before
+    the first separator, else ''."""
+    return _column(_let(_first(_text(html), start_tag("title"), _element_text), lambda t: (
+        f"CASE WHEN instr({t}, {_lit(separator)}) > 0 THEN trim(substring_index({t}, {_lit(separator)}, 1)) ELSE '' END")))
+
+
+def first_element(html, wanted) -> Column:
+    """Inner HTML of the first element whose start tag passes the test, '' if there is none."""
+    return _column(_first(_text(html), wanted, _markup))
+
+
+def all_elements(html, wanted) -> Column:
+    """Inner HTML of each element whose start tag passes the test, nested ones too, by their start."""
+    return _column(_every(_text(html), wanted, _markup))
 
 
 def element_html(html, tag: str, css_class: str | None = None) -> Column:
     """Inner HTML of the first <tag> (with the given class)."""
-    return first_element(html, class_tag(tag, css_class), tag)
+    return first_element(html, start_tag(tag, css_class))
 
 
-def element_text(html, tag: str, css_class: str | None = None) -> Column:
+def element_text(html, tag: str, css_class: str | None = None, **attrs) -> Column:
     """Text of the first element with a tag and class, stripped."""
-    return strip_tags(element_html(html, tag, css_class))
+    return _column(_first(_text(html), start_tag(tag, css_class, **attrs), _element_text))
+
+
+def element_texts(html, wanted) -> Column:
+    """Text of each element whose start tag passes the test, by their start."""
+    return _column(_every(_text(html), wanted, _element_text))
+
+
+def each(fragments, use) -> Column:
+    """An array of this module's results with ``use`` (functions of this module) applied to each."""
+    def body(x):
+        column = F.lit(None)
+        column._sql = x
+        return _text(use(column))
+    return _column(f"transform({_text(fragments)}, {_fn(body)})")
 
 
-def paragraphs(fragment, open_tag: str = "<p[^>]*>") -> Column:
-    """P11 parts: text of each <p> in a fragment. A paragraph ends at the next
-    <p>, at </p>, or at the end of the fragment. Empty ones are dropped."""
-    pieces = F.split(_col(fragment), open_tag)
-    body = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    texts = F.transform(body, lambda p: strip_tags(F.substring_index(p, "</p>", 1)))
-    return F.filter(texts, lambda t: t != "")
+def chosen(markup, test, use) -> Column:
+    """``use`` (a function of this module) of a result that passes a test, else NULL."""
+    def body(x):
+        column = F.lit(None)
+        column._sql = x
+        return f"CASE WHEN {test(x)} THEN {_text(use(column))} END"
+    return _column(_let(_text(markup), body))
+
+
+def paragraphs(fragment, wanted=start_tag("p")) -> Column:
+    """P11 parts: text of each <p> in a fragment. A paragraph ends at its end tag, at
+    the next block, or with the element it stands in. Empty ones are dropped."""
+    return _column(f"filter({_text(element_texts(fragment, wanted))}, t -> t != '')")
 
 
 def comment_text(fragment) -> Column:
@@ -136,6 +348,9 @@ def comment_text(fragment) -> Column:
 
 def tag_texts(html, tag: str = "a") -> Column:
     """P10: distinct inner texts of an inline tag, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(
-        F.regexp_extract_all(_col(html), F.lit(f"<{tag}[^>]*>([^<]*)</{tag}>"), 1),
-        lambda t: F.trim(unescape(t)))))
+    return F.array_sort(F.array_distinct(element_texts(html, start_tag(tag))))
+
+
+def scripts(html, wanted) -> Column:
+    """Raw text of the script elements whose start tag passes the test."""
+    return _column(f"transform(filter({_tokens(_text(html))}, {_fn(wanted)}), {_fn(lambda t: _replace(t, f'(?s)^{TAG_PATTERN}'))})")

@@ -3,8 +3,8 @@
 
 Each returns a struct shaped like the matching part of the commit record
 (``readers.COMMIT_RECORD_SCHEMA``) with token bags already cleaned. Embedded
-JSON is parsed with ``from_json`` and a fixed schema: bad or missing JSON
-gives NULL and therefore no files or timeline comments, never an error.
+JSON is read as VARIANT by path: bad or missing JSON, and keys that are added,
+missing or of another type, leave the other fields as they are.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.html import (all_elements, class_tag, element_html, first_element, paragraphs, strip_tags, title_before,
-                                      unescape)
+from faultline.functions.html import (all_elements, chosen, each, element_html, element_text, first_element, lines, paragraphs, scripts,
+                                      start_tag, strip_tags, title_before)
 from faultline.functions.text import clean_tokens, is_bot_comment
 
 # ---------------------------------------------------------------------------
 # Markup the extractors look for on each page kind.
 COMMIT_DESCRIPTION_CLASS = "extended-commit-description-container"
-EMBEDDED_DATA_ATTR = 'data-target="react-app.embeddedData"'
+EMBEDDED_DATA_TARGET = "react-app.embeddedData"
+EMBEDDED_DATA_ATTR = f'data-target="{EMBEDDED_DATA_TARGET}"'
 PR_TITLE_CLASS = "gh-header-title"
 PR_BODY_CLASS = "comment-body"
 PR_AUTHOR_CLASS = "author"
@@ -31,7 +32,7 @@ ISSUE_LABEL_CLASS_PATTERN = "TokenBase__StyledTokenBase"
 ISSUE_LABEL_TEXT_CLASS = "prc-Text-Text-0ima0"
 PR_TABLE_CLASS = "d-block user-select-contain"
 PR_TABLE_ATTR = "data-paste-markdown-skip"
-PR_PARAGRAPH_ATTR = 'dir="auto"'
+PR_PARAGRAPH_DIR = "auto"
 SECURITY_TITLE_CLASS = "gh-header-title"
 SECURITY_BODY_CLASS = "markdown-body comment-body p-0"
 # Bot posts: both phrases of a pair in the first paragraph.
@@ -41,55 +42,46 @@ BOT_PHRASES = [
 ]
 # ---------------------------------------------------------------------------
 
-COMMIT_JSON_SCHEMA = ("payload struct<diffEntryData: array<struct<path: string>>, "
-                      "commit: struct<parents: array<string>>>")
-_ISSUE_NODE = "struct<__typename: string, author: struct<login: string>, body: string>"
-ISSUE_NODES = f"array<{_ISSUE_NODE}>"
-ISSUE_QUERIES = ("array<struct<result: struct<data: struct<repository: struct<issue: struct<frontTimelineItems: struct<"
-                 f"edges: array<struct<node: {_ISSUE_NODE}>>>>>>>>>")
-ISSUE_JSON_SCHEMA = f"payload struct<preloadedQueries: {ISSUE_QUERIES}>"
+# Paths into the embedded JSON of commit pages, and of issue pages (the first preloaded query only).
+COMMIT_FILES = "$.payload.diffEntryData"
+COMMIT_PARENTS = "$.payload.commit.parents"
+ISSUE_TIMELINE = "$.payload.preloadedQueries[0].result.data.repository.issue.frontTimelineItems.edges"
+COMMENTS = "array<struct<author:string,content:array<string>>>"
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _attr_element(html: Column, tag: str, attr: str, value: str) -> Column:
-    return first_element(html, f'<{tag}[^>]*{attr}="{value}"[^>]*>', tag)
+def embedded_json(html) -> Column:
+    """The embedded-data scripts as VARIANT values; bad JSON is a null element."""
+    return F.transform(scripts(html, start_tag("script", data_target=EMBEDDED_DATA_TARGET)), F.try_parse_json)
 
 
-def embedded_json(html, schema: str) -> Column:
-    """The parsed embedded-data scripts, all of them; bad JSON is a null element."""
-    texts = F.regexp_extract_all(_col(html), F.lit(f"(?s)<script[^>]*{EMBEDDED_DATA_ATTR}[^>]*>(.*?)</script>"), 1)
-    return F.transform(texts, lambda t: F.from_json(t, schema))
+def variant_items(values: Column, path: str) -> Column:
+    """The items of the array at a path of each value, one after the other, as
+    VARIANT. A missing or retyped key, or no JSON, gives none; other keys do not matter."""
+    items = F.transform(values, lambda v: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>")))
+    return F.flatten(items)
 
 
-def _gathered(parsed: Column, lists, kind: str) -> Column:
-    """The lists that the scripts hold, one after the other."""
-    return F.flatten(F.transform(parsed, lambda d: F.coalesce(lists(d), F.array().cast(kind))))
-
-
-def _lines_text(fragment: Column) -> Column:
-    """get_text(separator='\\n', strip=True): text nodes, one per line."""
-    nodes = F.split(F.regexp_replace(fragment, "<[^>]*>", "\u0000"), "\u0000")
-    texts = F.filter(F.transform(nodes, lambda t: F.trim(unescape(t))), lambda t: t != "")
-    return F.array_join(texts, "\n")
+def variant_text(value: Column, path: str) -> Column:
+    """The string at a path of a VARIANT; NULL for values of other types."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(value, path, "string"))
 
 
 def commit_page(html) -> Column:
     """P6 + P7 + P8 + P12: commit part of a record."""
-    h = _col(html)
-    data = embedded_json(h, COMMIT_JSON_SCHEMA)
-    files = _gathered(data, lambda d: F.transform(d["payload"]["diffEntryData"], lambda e: e["path"]), "array<string>")
-    parents = _gathered(data, lambda d: d["payload"]["commit"]["parents"], "array<string>")
-    desc = first_element(h, f'<span[^>]*class="[^"]*{COMMIT_DESCRIPTION_CLASS}[^"]*"[^>]*>', "span")
+    data = embedded_json(html)
+    files = F.transform(variant_items(data, COMMIT_FILES), lambda e: variant_text(e, "$.path"))
     return F.struct(
-        clean_tokens(title_before(h, "·")).alias("commit_message"),
-        clean_tokens(_lines_text(desc)).alias("description"),
+        clean_tokens(title_before(html, "·")).alias("commit_message"),
+        clean_tokens(lines(first_element(html, start_tag("span", class_pattern=COMMIT_DESCRIPTION_CLASS)))).alias("description"),
         F.size(files).cast("int").alias("changed_files_count"),
         files.alias("changed_files"),
         F.array().cast("array<struct<before:string,after:string>>").alias("changed_files_content"),
-        F.coalesce(F.get(parents, 0), F.lit("")).alias("parent"))
+        F.coalesce(variant_text(F.get(variant_items(data, COMMIT_PARENTS), 0), "$"), F.lit("")).alias("parent"))
 
 
 def commit_page_valid(part) -> Column:
@@ -98,36 +90,31 @@ def commit_page_valid(part) -> Column:
     return (F.size(p["commit_message"]) > 0) | (F.size(p["changed_files"]) > 0)
 
 
+def _text_of(markup: Column, use=strip_tags) -> Column:
+    """The text of an element's inner HTML; NULL if there is none."""
+    return chosen(markup, lambda x: f"{x} != ''", use)
+
+
 def pr_page(html) -> Column:
     """P7 + P11 + P13 + F4 + W5 + P12: pull-request part of a record.
     The description is discussion 1 (with type and author); every comment
     cell with a non-empty paragraph whose first paragraph is not a bot post
     becomes the next discussion."""
-    h = _col(html)
-    title = strip_tags(element_html(h, "h1", PR_TITLE_CLASS))
-    body_html = element_html(h, "div", PR_BODY_CLASS)
-    author = strip_tags(element_html(h, "a", PR_AUTHOR_CLASS))
-    first = F.when(body_html != "", F.array(F.struct(
-        F.lit("pr_description").alias("type"),
-        clean_tokens(strip_tags(body_html)).alias("content"),
-        F.when(author != "", author).alias("author"))))
+    tables = all_elements(html, start_tag("table", PR_TABLE_CLASS, **{PR_TABLE_ATTR: True}))
     # Discussion tables, the first comment cell of each, and its paragraphs of text.
-    tables = all_elements(h, f'<table(?=[^>]*class="{PR_TABLE_CLASS}")(?=[^>]*{PR_TABLE_ATTR})[^>]*>', "table")
-    cells = F.transform(tables, lambda t: first_element(t, f'<td[^>]*class="{PR_COMMENT_CELL_CLASS}"[^>]*>', "td"))
-    paras = F.transform(cells, lambda c: paragraphs(c, f"<p(?=[^>]*{PR_PARAGRAPH_ATTR})[^>]*>"))
+    paras = each(tables, lambda t: paragraphs(first_element(t, start_tag("td", PR_COMMENT_CELL_CLASS)), start_tag("p", dir=PR_PARAGRAPH_DIR)))
+    body = element_html(html, "div", PR_BODY_CLASS)
+    author = F.nullif(element_text(html, "a", PR_AUTHOR_CLASS), F.lit(""))
+    first = F.filter(F.array(F.struct(F.lit("pr_description").alias("type"), clean_tokens(_text_of(body)).alias("content"), author.alias("author"))),
+                     lambda c: c["content"].isNotNull())
     kept = F.filter(paras, lambda p: (F.size(p) > 0) & ~is_bot_comment(F.get(p, 0), BOT_PHRASES))
     rest = F.transform(kept, lambda p, i: F.struct(
         (i + 2).cast("int").alias("discussion_number"),
         F.array(F.struct(F.lit(None).cast("string").alias("type"),
                          clean_tokens(F.array_join(p, "\n")).alias("content"),
                          F.lit(None).cast("string").alias("author"))).alias("comments")))
-    discussions = F.concat(
-        F.when(first.isNotNull(), F.array(F.struct(F.lit(1).alias("discussion_number"),
-                                                   first.alias("comments"))))
-         .otherwise(F.array().cast("array<struct<discussion_number:int,"
-                                   "comments:array<struct<type:string,content:array<string>,author:string>>>>")),
-        rest)
-    return F.struct(clean_tokens(title).alias("pr_title"),
+    discussions = F.concat(F.transform(first, lambda c: F.struct(F.lit(1).alias("discussion_number"), F.array(c).alias("comments"))), rest)
+    return F.struct(clean_tokens(element_text(html, "h1", PR_TITLE_CLASS)).alias("pr_title"),
                     F.size(discussions).cast("int").alias("total_discussions"),
                     discussions.alias("discussions"))
 
@@ -141,28 +128,20 @@ def issue_page(html) -> Column:
     """P7 + P9 + P10 + F13: issue part of a record. Labels are distinct and
     sorted; timeline comments come from the embedded JSON (IssueComment
     nodes with a body, author login or 'Unknown', not the issue author)."""
-    h = _col(html)
-    title = strip_tags(_attr_element(h, "bdi", "data-testid", ISSUE_TITLE_TESTID))
-    spans = all_elements(h, f'<span[^>]*class="[^"]*{ISSUE_LABEL_CLASS_PATTERN}[^"]*"[^>]*>', "span")
-    label_spans = F.transform(spans, lambda x: strip_tags(first_element(x, class_tag("span", ISSUE_LABEL_TEXT_CLASS), "span")))
-    labels = F.array_sort(F.array_distinct(F.filter(label_spans, lambda t: t != "")))
-    main_author = strip_tags(_attr_element(h, "a", "data-testid", ISSUE_AUTHOR_TESTID))
-    main_author = F.when(main_author != "", main_author)
-    body = _attr_element(h, "div", "data-testid", ISSUE_BODY_TESTID)
-    main = F.when(body != "", F.array(F.struct(main_author.alias("author"),
-                                               clean_tokens(_lines_text(body)).alias("content"))))
-    queries = _gathered(embedded_json(h, ISSUE_JSON_SCHEMA), lambda d: d["payload"]["preloadedQueries"], ISSUE_QUERIES)
-    nodes = F.flatten(F.transform(queries, lambda x: F.coalesce(F.transform(
-        x["result"]["data"]["repository"]["issue"]["frontTimelineItems"]["edges"], lambda e: e["node"]), F.array().cast(ISSUE_NODES))))
-    wanted = F.filter(nodes, lambda n: (n["__typename"] == "IssueComment")
-                      & (F.coalesce(n["body"], F.lit("")) != "")
-                      & ~F.coalesce(n["author"]["login"], F.lit("Unknown")).eqNullSafe(main_author))
-    timeline = F.transform(wanted, lambda n: F.struct(
-        F.coalesce(n["author"]["login"], F.lit("Unknown")).alias("author"),
-        clean_tokens(n["body"]).alias("content")))
-    comments = F.concat(F.coalesce(main, F.array().cast(
-        "array<struct<author:string,content:array<string>>>")), timeline)
-    return F.struct(clean_tokens(title).alias("title"), labels.alias("labels"), comments.alias("comments"))
+    spans = all_elements(html, start_tag("span", class_pattern=ISSUE_LABEL_CLASS_PATTERN))
+    labels = each(spans, lambda x: element_text(x, "span", ISSUE_LABEL_TEXT_CLASS))
+    body = first_element(html, start_tag("div", data_testid=ISSUE_BODY_TESTID))
+    author = F.nullif(element_text(html, "a", data_testid=ISSUE_AUTHOR_TESTID), F.lit(""))
+    main = F.filter(F.array(F.struct(author.alias("author"), clean_tokens(_text_of(body, lines)).alias("content"))), lambda c: c["content"].isNotNull())
+    get = lambda e, path: variant_text(e, f"$.node.{path}")
+    nodes = F.transform(variant_items(embedded_json(html), ISSUE_TIMELINE), lambda e: F.struct(
+        get(e, "__typename").alias("kind"), F.coalesce(get(e, "author.login"), F.lit("Unknown")).alias("author"),
+        F.coalesce(get(e, "body"), F.lit("")).alias("body")))
+    wanted = F.filter(nodes, lambda n: (n["kind"] == "IssueComment") & (n["body"] != "") & ~n["author"].eqNullSafe(author))
+    timeline = F.transform(wanted, lambda n: F.struct(n["author"].alias("author"), clean_tokens(n["body"]).alias("content")))
+    return F.struct(clean_tokens(element_text(html, "bdi", data_testid=ISSUE_TITLE_TESTID)).alias("title"),
+                    F.array_sort(F.array_distinct(F.filter(labels, lambda t: t != ""))).alias("labels"),
+                    F.concat(main.cast(COMMENTS), timeline).alias("comments"))
 
 
 def issue_page_valid(part) -> Column:
@@ -172,8 +151,5 @@ def issue_page_valid(part) -> Column:
 
 def security_page(html) -> Column:
     """Security advisory part of a record (title and body)."""
-    h = _col(html)
-    title = element_html(h, "h1", SECURITY_TITLE_CLASS)
-    body = first_element(h, f'<div[^>]*class="{SECURITY_BODY_CLASS}"[^>]*>', "div")
-    return F.struct(F.when(title != "", clean_tokens(strip_tags(title))).alias("title"),
-                    F.when(body != "", clean_tokens(_lines_text(body))).alias("content"))
+    return F.struct(clean_tokens(_text_of(element_html(html, "h1", SECURITY_TITLE_CLASS))).alias("title"),
+                    clean_tokens(_text_of(first_element(html, start_tag("div", SECURITY_BODY_CLASS)), lines)).alias("content"))

@@ -7,6 +7,8 @@ structs, sorted inside the record).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,77 +111,91 @@ def other_author_comments(comments: DataFrame, key: str, author: str, issue_auth
     return c.join(issue_author, key, "left").where(~F.col(author).eqNullSafe(F.col("issue_author")))
 
 
-def assemble_records(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
-    """P15 + J6 + U1 + K1 rule: nested commit records from landed pages.
-
-    ``commit_pages`` is (commit_url, html) of the commits to collect;
-    ``pages`` is (url, html) of every landed page. Hop 1 takes the wanted
-    links of the commit page; pull-request pages add their issue and security
-    links (hop 2). Each linked page is joined by URL (many-to-one), extracted
-    by its kind, and the valid parts are grouped back per commit in URL order.
-    A commit page whose extraction failed gives a record with a NULL commit; a
-    commit without parts of a kind gets NULL for that list. ``failed_pages`` has
-    the pages that failed (K9). Each landed page is extracted once, before the
-    joins: html never reaches a shuffle."""
-    from faultline.functions import pages as PG
-    from faultline.functions.urls import url_groups
-    from faultline.session import materialize
-
-    parts = materialize(linked_parts(commit_pages, pages).where("valid"))
-
-    def grouped(kind: str, name: str) -> DataFrame:
-        x = parts.where(F.col("kind") == kind).select("commit_url", F.struct(F.col("url").alias("u"), F.col(kind).alias("p")).alias("e"))
-        return x.groupBy("commit_url").agg(F.sort_array(F.collect_list("e")).alias("_l")) \
-                .select("commit_url", F.transform("_l", lambda e: e["p"]).alias(name))
-
-    _, _, sha7 = url_groups("commit_url")
-    commits = commit_pages.select(sha7.alias("commit_index"), "commit_url", pinned(PG.commit_page("html")).alias("commit")) \
-                          .withColumn("commit", F.when(PG.commit_page_valid(F.col("commit")), F.col("commit")))
-    return (commits.join(grouped("pull", "pull_requests"), "commit_url", "left")
-                   .join(grouped("issue", "issues"), "commit_url", "left")
-                   .join(grouped("security", "security"), "commit_url", "left")
-                   .select("commit_index", "commit_url", "commit", "pull_requests", "issues", "security"))
-
-
 def page_kind(url) -> Column:
     """pull, issue or security, by the URL; NULL for others."""
     u = F.col(url) if isinstance(url, str) else url
     return F.when(u.contains("/pull/"), "pull").when(u.contains("/issues/"), "issue").when(u.contains("/security/"), "security")
 
 
-def linked_parts(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
-    """J6 + U1: (commit_url, url, kind, hop, valid, pull, issue, security) of the
-    landed pages that a commit page links to, and of the issue and security
-    pages that its pull-request pages link to; the smallest hop counts."""
+def extract_pages(commit_pages: DataFrame, pages: DataFrame) -> tuple[DataFrame, dict]:
+    """P6-P13 + K9: every landed page extracted once, in one pass to two outputs, and
+    the counts of that pass.
+
+    ``commit_pages`` is (commit_url, html) of the commits to collect; ``pages`` is
+    (url, html) of every landed page. Rows: url, kind, valid, the part of that kind,
+    the wanted links of commit and pull-request pages, and the html of pages that
+    failed (a NULL html fails too). The pass is written to the shared folder by
+    ``valid``, so good pages and the quarantine are read apart; its counts (pages,
+    good, failed) are observed while it is written. Pages of no kind are not kept."""
+    from pyspark.sql import Observation
+
     from faultline.functions import pages as PG
     from faultline.functions.urls import ISSUE_ONLY_KINDS, hrefs, is_wanted_link
-
-    c = commit_pages.select("commit_url", "html")
-    hop1 = c.select("commit_url", F.explode(F.array_distinct(F.filter(
-        hrefs("html"), lambda u: is_wanted_link(u, F.col("commit_url"))))).alias("url"))
-    kind = page_kind("url")
-    more = pages.where(kind == "pull").select("url", F.explode(F.array_distinct(F.filter(
-        hrefs("html"), lambda u: is_wanted_link(u, F.col("url"), kinds=ISSUE_ONLY_KINDS)))).alias("to")).where(~F.col("to").contains("/pull/"))
-    hop2 = hop1.join(more, "url").select("commit_url", F.col("to").alias("url"))
-    hops = hop1.withColumn("hop", F.lit(1)).unionByName(hop2.withColumn("hop", F.lit(2)))
+    from faultline.session import checkpoint_dir
+
+    spark = pages.sparkSession
+    every = commit_pages.select(F.col("commit_url").alias("url"), "html", F.lit("commit").alias("kind")).unionByName(
+        pages.select("url", "html", page_kind("url").alias("kind")).where("kind IS NOT NULL"))
+    kind = F.col("kind")
+    wanted = F.array_distinct(F.when(kind == "commit", F.filter(hrefs("html"), lambda u: is_wanted_link(u, F.col("url")))).when(
+        kind == "pull", F.filter(hrefs("html"), lambda u: is_wanted_link(u, F.col("url"), kinds=ISSUE_ONLY_KINDS) & ~u.contains("/pull/"))))
+    parts = {"commit": PG.commit_page("html"), "pull": PG.pr_page("html"), "issue": PG.issue_page("html"), "security": PG.security_page("html")}
     # Pinned: the tests of validity must not repeat the extraction.
-    extracted = pages.select(
-        "url", kind.alias("kind"), pinned(F.when(kind == "pull", PG.pr_page("html"))).alias("pull"),
-        pinned(F.when(kind == "issue", PG.issue_page("html"))).alias("issue"),
-        pinned(F.when(kind == "security", PG.security_page("html"))).alias("security"))
-    valid = F.when(F.col("kind") == "pull", PG.pr_page_valid(F.col("pull"))) \
-             .when(F.col("kind") == "issue", PG.issue_page_valid(F.col("issue"))).otherwise(F.lit(True))
-    return hops.groupBy("commit_url", "url").agg(F.min("hop").alias("hop")).join(extracted.where("kind IS NOT NULL").withColumn("valid", valid), "url")
+    found = every.select("url", "kind", "html", wanted.alias("links"), *[pinned(F.when(kind == k, x)).alias(k) for k, x in parts.items()])
+    valid = F.when(kind == "commit", PG.commit_page_valid(F.col("commit"))).when(kind == "pull", PG.pr_page_valid(F.col("pull"))) \
+             .when(kind == "issue", PG.issue_page_valid(F.col("issue"))).otherwise(F.col("html").isNotNull())
+    found = found.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumn("html", F.when(~F.col("valid"), F.col("html")))
+    seen = Observation()
+    found = found.observe(seen, F.count("*").alias("pages"), F.count_if("valid").alias("good"), F.count_if(~F.col("valid")).alias("failed"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    found.write.partitionBy("valid").parquet(path)
+    return spark.read.schema(found.schema).parquet(path), seen.get
+
+
+def page_hops(parts: DataFrame) -> DataFrame:
+    """J6 + U1: (commit_url, url, hop) of the links of each commit page, and of the
+    issue and security links of the pull-request pages it leads to; the smallest hop
+    counts. Keys alone are joined."""
+    hop1 = parts.where("kind = 'commit'").select(F.col("url").alias("commit_url"), F.explode("links").alias("url"))
+    more = parts.where("kind = 'pull'").select("url", F.explode("links").alias("to"))
+    hop2 = hop1.join(more, "url").select("commit_url", F.col("to").alias("url"))
+    return hop1.withColumn("hop", F.lit(1)).unionByName(hop2.withColumn("hop", F.lit(2))).groupBy("commit_url", "url").agg(F.min("hop").alias("hop"))
 
 
-def failed_pages(commit_pages: DataFrame, pages: DataFrame) -> DataFrame:
-    """K9: (url, kind, html) of the landed pages whose extraction failed."""
-    from faultline.functions import pages as PG
+def linked_parts(commit_pages: DataFrame, pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """J6 + U1: (commit_url, url, kind, hop, valid, pull, issue, security) of the
+    landed pages that a commit page links to, and of the issue and security
+    pages that its pull-request pages link to. ``parts``: what ``extract_pages`` made of them."""
+    parts = extract_pages(commit_pages, pages)[0] if parts is None else parts
+    landed = parts.where("kind != 'commit'").select("url", "kind", "valid", "pull", "issue", "security")
+    return page_hops(parts).join(landed, "url")
+
+
+def assemble_records(commit_pages: DataFrame, pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """P15 + J6 + U1 + K1 rule: nested commit records from landed pages.
+
+    Hop 1 takes the wanted links of the commit page; pull-request pages add their
+    issue and security links (hop 2). Links are joined as keys; the valid parts are
+    joined to them last, by URL (many-to-one), and grouped per commit in URL order.
+    A commit page whose extraction failed gives a record with a NULL commit; a
+    commit without parts of a kind gets NULL for that list. The failed pages
+    (K9) are those of ``failed_pages``. html never reaches a shuffle."""
+    from faultline.functions.urls import url_groups
+
+    parts = extract_pages(commit_pages, pages)[0] if parts is None else parts
+    linked = linked_parts(commit_pages, pages, parts).where("valid")
+    lists = {"pull": "pull_requests", "issue": "issues", "security": "security"}
+    # One grouping for all kinds: a list skips the NULLs of the other kinds.
+    item = {k: F.when(F.col("kind") == k, F.struct(F.col("url").alias("u"), F.col(k).alias("p"))) for k in lists}
+    grouped = linked.groupBy("commit_url").agg(*[F.sort_array(F.collect_list(x)).alias(k) for k, x in item.items()]).select(
+        "commit_url", *[empty_to_null(F.transform(k, lambda e: e["p"])).alias(name) for k, name in lists.items()])
+    _, _, sha7 = url_groups("commit_url")
+    commits = parts.where("kind = 'commit'").select(F.col("url").alias("commit_url"), F.when(F.col("valid"), F.col("commit")).alias("commit"))
+    return commits.join(grouped, "commit_url", "left").select(sha7.alias("commit_index"), "commit_url", "commit", "pull_requests", "issues", "security")
+
 
-    kind = page_kind("url")
-    linked = pages.select("url", kind.alias("kind"), "html", pinned(F.when(kind == "pull", PG.pr_page("html"))).alias("pull"),
-                          pinned(F.when(kind == "issue", PG.issue_page("html"))).alias("issue"))
-    bad = F.when(F.col("kind") == "pull", ~PG.pr_page_valid(F.col("pull"))).when(F.col("kind") == "issue", ~PG.issue_page_valid(F.col("issue")))
-    commits = commit_pages.select(F.col("commit_url").alias("url"), F.lit("commit").alias("kind"), "html", pinned(PG.commit_page("html")).alias("part"))
-    return linked.where(bad).select("url", "kind", "html").unionByName(
-        commits.where(~PG.commit_page_valid(F.col("part"))).select("url", "kind", "html"))
+def failed_pages(commit_pages: DataFrame, pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """K9: (url, kind, html) of the landed pages whose extraction failed: the
+    quarantine that the one pass has written."""
+    parts = extract_pages(commit_pages, pages)[0] if parts is None else parts
+    return parts.where("NOT valid").select("url", "kind", "html")

@@ -144,6 +144,14 @@ def event_props_json(spark, sf_dir):
     return ev.select("event_id", parsed["k"].alias("k"))
 
 
+def event_props_keys(spark, sf_dir):
+    """Every key of an embedded JSON object with its type and value, whatever
+    keys it has; bad JSON and other values give none."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    found = ev.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    return found.select("event_id", "key", F.schema_of_variant("value").alias("type"), F.try_variant_get("value", "$", "string").alias("value"))
+
+
 def time_window_limit(spark, sf_dir, since: str = WINDOW_SINCE, until: str = WINDOW_UNTIL,
                       cap: int = LISTING_CAP):
     """Events inside [since, until], newest first, first ``cap`` per
@@ -206,13 +214,15 @@ def page_quarantine(spark, sf_dir):
 
 
 def page_block_text(spark, sf_dir):
-    """P7 (nested tags): text of the first ``div.ad`` block, which holds another
-    block, a table and numeric references, on a view made of the page's columns."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    view = F.concat(F.lit('<div class="x">no</div><div id="a" class="big ad"><div><b>page</b> '), F.col("page_id").cast("string"),
-                    F.lit(" at "), F.col("url"), F.lit("</div><table><tr><td><div>first</div></td><td>second</td></tr></table><div/>"
-                                                       "&#8217;</div-x> <div>end</div></div><div class=\"ad\">after</div>"))
-    return pages.select("page_id", H.element_text(view, "div", "ad").alias("block_text"))
+    """P7 (nested tags): text of the first ``div.ad`` block of a page that wraps the whole
+    given page: nested blocks, a table, an end tag in a comment, in a script and in a
+    quoted attribute, a void element, a paragraph that is never closed and numeric references stand around it."""
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    view = F.concat(F.lit('<!-- <div class="ad">old</div> --><div class="x">no</div><div id="a" title="</div> a>b" class="big ad"><div><!-- </div> --><b>page</b> '
+                          '<script>if (a < b) s = "</div></div>";</script><p>first<div>'), F.col("html"),
+                    F.lit("</div></div><table><tr><td><div>second</div><td>third<br></table><div/>&#8217;</div-x> <div>end</div></div>"
+                          "<div class=\"ad\">after</div>"))
+    return pages.select("page_id", view.alias("view")).select("page_id", H.element_text("view", "div", "ad").alias("block_text"))
 
 
 def two_hop_links(spark, sf_dir):

@@ -263,7 +263,7 @@ def _clean_sql(text_expr: str) -> str:
 
 
 def corpus_oracles() -> dict[str, str]:
-    from faultline.functions.html import ENTITIES, TAG_PATTERN
+    from faultline.functions.html import ENTITIES
     from faultline.functions.text import ISSUE_TITLE_PREFIX, SEGMENT_SEPARATOR
     from faultline.functions.urls import HREF_PATTERN
     from faultline.plans import corpus as C
@@ -345,7 +345,7 @@ WHERE rn <= {C.LISTING_CAP}"""
         return x
 
     def strip(x):
-        no_tags = f"regexp_replace({x}, {q(TAG_PATTERN)}, ' ', 'g')"
+        no_tags = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
         return f"trim(regexp_replace({unesc(no_tags)}, '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g'))"
 
     title = unesc("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
@@ -364,9 +364,13 @@ SELECT page_id,
   array_to_string(paras, chr(10)) AS body, CAST(len(paras) AS INTEGER) AS n_paragraphs,
   array_to_string({nav}, '|') AS nav_labels
 FROM (SELECT page_id, html, {paras} AS paras FROM pages) p"""
-    # Stated from the columns that the nested view is made of.
-    o["page_block_text"] = ("SELECT page_id, 'page ' || page_id || ' at ' || url || ' first second ' || chr(8217) || ' end' AS block_text "
-                            "FROM pages")
+    # The whole given page without comments, scripts and styles, between the words of the blocks around it.
+    bare = "regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g')"
+    block = strip("'page first ' || " + bare + " || ' second third ' || chr(8217) || ' end'")
+    o["page_block_text"] = f"SELECT page_id, {block} AS block_text FROM pages"
+    o["event_props_keys"] = ("SELECT event_id, k AS key, CASE json_type(props, '$.' || k) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'BIGINT' THEN 'BIGINT' "
+                             "WHEN 'VARCHAR' THEN 'STRING' ELSE json_type(props, '$.' || k) END AS type, json_extract_string(props, '$.' || k) AS value "
+                             "FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE json_valid(props)) e")
     hrefs = f"list_transform(regexp_extract_all(html, {q(HREF_PATTERN)}, 1), lambda h: replace(h, chr(10), ''))"
     o["page_quarantine"] = f"""
 SELECT * FROM (

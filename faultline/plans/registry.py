@@ -28,7 +28,8 @@ CORPUS = {
     "page_quarantine": corpus.page_quarantine, "two_hop_links": corpus.two_hop_links,
     "url_parts": corpus.url_parts, "page_block_text": corpus.page_block_text,
     "collected_links": collected.collected_links, "collected_records": collected.collected_records,
-    "page_quarantine_kinds": collected.page_quarantine_kinds,
+    "page_quarantine_kinds": collected.page_quarantine_kinds, "page_kind_counts": collected.page_kind_counts,
+    "event_props_keys": corpus.event_props_keys,
 }
 
 

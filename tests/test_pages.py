@@ -137,3 +137,64 @@ def test_failed_commit_page_keeps_its_record(spark):
     assert len(rec) == 1 and rec[0].commit is None and len(rec[0].pull_requests) == 1 and rec[0].issues is None
     assert {(r.url, r.kind, r.html) for r in failed_pages(commits, pages).collect()} == {(COMMIT_URL, "commit", bad), (OTHER_ISSUE, "issue", BROKEN_ISSUE_HTML)}
     assert {(r.url, r.hop) for r in linked_parts(commits, pages).collect()} == {(PR_URL, 1), (OTHER_ISSUE, 2), (SEC_URL, 2)}
+
+
+def test_first_query_of_each_script_and_shapes_that_change(spark):
+    node = lambda who, body, **more: {"node": {"__typename": "IssueComment", "author": {"login": who}, "body": body} | more}
+    query = lambda *nodes: {"result": {"data": {"repository": {"issue": {"frontTimelineItems": {"edges": list(nodes)}}}}}}
+    script = lambda x: f'<script type="application/json" data-target="react-app.embeddedData">{json.dumps(x)}</script>'
+    html = [
+        # Two queries: the first counts, of each script.
+        script({"payload": {"preloadedQueries": [query(node("a", "alpha")), query(node("b", "beta"))]}})
+        + script({"payload": {"preloadedQueries": [query(node("c", "gamma"))]}}),
+        # Keys added, missing, of another type.
+        script({"payload": {"preloadedQueries": [query(node("a", "alpha", extra=[1, {"x": 2}]), {"node": {"__typename": "IssueComment", "body": "delta"}},
+                                                       {"node": {"__typename": "IssueComment", "author": "text", "body": "eta"}}, {"nodes": 1}, 7,
+                                                       {"node": {"__typename": "IssueComment", "author": {"login": "z"}, "body": ["list"]}})], "new": {}}}),
+        script({"payload": {"preloadedQueries": {"result": 1}}}), script({"payload": []}), script([]), script({"payload": {"preloadedQueries": []}}),
+    ]
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "i int, h string").select("i", PG.issue_page("h").alias("p")).collect()
+    got = {r.i: [(c.author, c.content) for c in r.p.comments] for r in rows}
+    assert got[0] == [("a", ["alpha"]), ("c", ["gamma"])]
+    assert got[1] == [("a", ["alpha"]), ("Unknown", ["delta"]), ("Unknown", ["eta"])]
+    assert all(got[i] == [] for i in range(2, 6))
+    commit = script({"payload": {"diffEntryData": [{"path": "a.ts", "n": 1}, {"file": "x"}, {"path": 5}], "commit": {"parents": "none"}}})
+    c = spark.createDataFrame([(commit,)], "h string").select(PG.commit_page("h").alias("c")).first().c
+    assert c.changed_files == ["a.ts", None, None] and c.parent == "" and c.changed_files_count == 3
+
+
+def test_comments_and_scripts_are_not_markup(spark):
+    pr = ('<!-- <h1 class="gh-header-title">old</h1> --><h1 class="gh-header-title" title="a>b">new title</h1><div class="comment-body">alpha<!-- </div> -->'
+          '<script>"</div>"</script><br>beta</div><table class="d-block user-select-contain" data-paste-markdown-skip="true"><tr><td '
+          'class="d-block comment-body markdown-body js-comment-body"><p dir="auto">green<p dir=\'auto\'>purple<p>none</td></tr></table>')
+    p = spark.createDataFrame([(pr,)], "h string").select(PG.pr_page("h").alias("p")).first().p
+    assert p.pr_title == ["new", "title"]
+    assert [c.content for d in p.discussions for c in d.comments] == [["alpha", "beta"], ["green", "purple"]]
+
+
+def test_each_page_is_extracted_once_to_two_outputs(spark):
+    from faultline.operators.records import extract_pages
+    pages = spark.createDataFrame([(PR_URL, PR_HTML), (ISSUE_URL, ISSUE_HTML), (OTHER_ISSUE, BROKEN_ISSUE_HTML), (SEC_URL, SEC_HTML), (SEC_URL + "2", None),
+                                   ("https://example.com/", "other")], "url string, html string")
+    commits = spark.createDataFrame([(COMMIT_URL, COMMIT_HTML), (COMMIT_URL + "9", None)], "commit_url string, html string")
+    parts, seen = extract_pages(commits, pages)
+    assert seen == {"pages": 7, "good": 4, "failed": 3}
+    assert {(r.url, r.html) for r in parts.where("NOT valid").collect()} == {(OTHER_ISSUE, BROKEN_ISSUE_HTML), (SEC_URL + "2", None), (COMMIT_URL + "9", None)}
+    assert parts.where("valid AND html IS NOT NULL").count() == 0
+    # The quarantine is a folder of its own.
+    assert all("valid=false" in f for f in parts.where("NOT valid").selectExpr("_metadata.file_path AS f").toPandas().f)
+
+
+def test_bad_record_files_are_put_aside(spark, scratch):
+    import os
+    from faultline.sources.readers import land_commit_records
+    src = os.path.join(scratch, "records")
+    os.makedirs(src)
+    for name, text in (("a.json", json.dumps({"commit_index": "abc1234", "commit_url": COMMIT_URL, "commit": {"commit_message": ["x"]}})),
+                       ("b.json", '{"commit_index": "bro'), ("c.json", "{}"), ("d.txt", "no")):
+        with open(os.path.join(src, name), "w") as f:
+            f.write(text)
+    good, bad, seen = land_commit_records(spark, src, os.path.join(scratch, "landed"))
+    assert seen == {"files": 3, "good": 1, "bad": 2}
+    assert [(r.commit_index, r.commit.commit_message) for r in good.collect()] == [("abc1234", ["x"])]
+    assert {(os.path.basename(r.file), (r.content or "")[:5]) for r in bad.collect()} == {("b.json", '{"com'), ("c.json", "")}
