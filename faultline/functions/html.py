@@ -173,16 +173,17 @@ _STACK, _OPEN, _SPANS = "array<struct<name:string,base:int>>", "array<struct<at:
 
 
 def _listed(names) -> str:
-    return "array(" + ", ".join(f"'{x}'" for x in names) + ")"
+    return f"split('{' '.join(names)}', ' ')"
 
 
 def _table(rules: dict) -> str:
-    return "map(" + ", ".join(f"'{k}', {_listed(v)}" for k, v in rules.items()) + ")"
+    """A map literal of words, from one string: few expressions to analyze, folded once."""
+    return "str_to_map('" + ";".join(f"{k}:{' '.join(v)}" for k, v in rules.items()) + "', ';', ':')"
 
 
 def _marks(parts: str, wanted) -> str:
     """The tags among the tokens: place, name, and what the automaton asks of them."""
-    rule = lambda rules, n: f"CASE WHEN array_contains({_listed(ENDS)}, {n}) THEN try_element_at({_table(rules)}, {n}) END"
+    rule = lambda rules, n: f"split(try_element_at({_table(rules)}, {n}), ' ')"
     mark = _let(f"lower(regexp_extract(t, {_lit(_NAME)}, 1))", lambda n: (
         f"CASE WHEN {n} != '' THEN named_struct('at', i, 'name', {n}, 'closing', startswith(t, '</'), "
         f"'empty', array_contains({_listed(VOID)}, {n}) OR endswith(t, '/>'), "
