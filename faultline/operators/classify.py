@@ -55,6 +55,77 @@ def contrastive_pairs(df: DataFrame, id_col: str, label_col: str, iterations: in
                 .select("a_id", "b_id", "target", (F.col("k") + 1).alias("j")))
 
 
+#: Classes whose sizes are held as one literal each; more are refused.
+MAX_CLASSES = 10_000
+
+
+def _search(sums: list[int], value):
+    """Number of running sums (0, ...) that are at most ``value``, less one: by halving."""
+    table = F.expr("array(" + ", ".join(f"{x}L" for x in sums) + ")")
+    halves = max(1, len(sums).bit_length())
+    span = F.struct(F.lit(0).alias("a"), F.lit(len(sums)).alias("b"))
+
+    def halve(s, _):
+        m = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        right = (s["b"] - s["a"] > 1) & (F.get(table, m) <= value)
+        return F.struct(F.when(right, m).otherwise(s["a"]).alias("a"), F.when(right | (s["b"] - s["a"] <= 1), s["b"]).otherwise(m).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(halves + 1)), span, halve, lambda s: s["a"])
+
+
+def oversampled_pairs(df: DataFrame, id_col: str, label_col: str, n_pairs: int | None = None) -> DataFrame:
+    """M4, second profile: as many same-label pairs (target 1) as other-label pairs
+    (target 0), (k, a_id, b_id, target) with k = 0, 1, ... of each target.
+
+    All pairs of a kind are numbered in a closed form: the rows stand in order of
+    (label, id); a same-label pair is its class and a place in the triangle of its
+    positions, an other-label pair its first row and a row of a later class. Pair k of a
+    target is number floor(k P / n) of its P pairs if n <= P, spread over all classes,
+    else k mod P, so the rarer kind is repeated evenly. ``n_pairs`` None: the larger
+    P, as the original does (it grows with the square of the rows); give a number for
+    large tables. Only the class sizes reach the driver; pairs are drawn by ``range`` and
+    joined to the rows by position, a unique key. No row is paired with itself; a kind
+    without any pair gives none. Rows without a label are left out."""
+    rows = df.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
+    sizes = rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).orderBy("_label").limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    n = [r["n"] for r in sizes]
+    starts, same, other = [0], [0], [0]
+    for x in n:
+        starts.append(starts[-1] + x)
+    for x, start in zip(n, starts):
+        same.append(same[-1] + x * (x - 1) // 2)
+        other.append(other[-1] + x * (starts[-1] - start - x))
+    wanted = max(same[-1], other[-1]) if n_pairs is None else n_pairs
+    spark = df.sparkSession
+    longs = lambda xs: F.expr("array(" + ", ".join(f"{x}L" for x in xs) + ")")
+
+    def drawn(sums, target):
+        total = sums[-1]
+        k = spark.range(wanted if total else 0).withColumnRenamed("id", "k")
+        # k P / n in whole numbers of any size.
+        number = F.expr(f"CAST(CAST(k AS DECIMAL(20,0)) * {total} div {max(wanted, 1)} AS BIGINT)") if wanted <= total else F.col("k") % max(total, 1)
+        x = k.withColumn("q", number).withColumn("c", _search(sums[:-1], F.col("q"))).withColumn("r", F.col("q") - F.get(longs(sums), F.col("c")))
+        first = F.get(longs(starts), F.col("c"))
+        if target:  # r = j (j - 1) / 2 + i with i < j
+            guess = F.floor((1 + F.sqrt(8.0 * F.col("r") + 1)) / 2).cast("long")
+            x = x.withColumn("j", guess).withColumn("j", F.when(F.expr("j * (j - 1) div 2 > r"), F.col("j") - 1)
+                                                    .when(F.expr("j * (j + 1) div 2 <= r"), F.col("j") + 1).otherwise(F.col("j")))
+            a, b = first + F.expr("r - j * (j - 1) div 2"), first + F.col("j")
+        else:
+            later = F.lit(starts[-1]) - F.get(longs(starts), F.col("c") + 1)
+            x = x.withColumn("_w", later)
+            a, b = first + F.expr("r div _w"), F.get(longs(starts), F.col("c") + 1) + F.expr("r % _w")
+        return x.select("k", F.lit(target).alias("target"), a.alias("a"), b.alias("b"))
+
+    from faultline.operators.ranks import global_positions
+    from faultline.session import materialize
+    place = materialize(global_positions(rows, [F.col("_label"), F.col("_id")], "_at").select("_id", (F.col("_at") - 1).alias("_at")))
+    pairs = drawn(same, 1).unionByName(drawn(other, 0))
+    return pairs.join(place.select(F.col("_at").alias("a"), F.col("_id").alias("a_id")), "a").join(
+        place.select(F.col("_at").alias("b"), F.col("_id").alias("b_id")), "b").select("k", "a_id", "b_id", "target")
+
+
 def embedding_classifier(label_col: str = "label", features_col: str = "features",
                          max_iter: int = MAX_ITER, reg_param: float = REG_PARAM, tol: float = 1e-6) -> LogisticRegression:
     """M3 head: multinomial logistic regression."""

@@ -81,3 +81,48 @@ def set_membership(left: DataFrame, right: DataFrame, key: str,
     sides = both.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
     name = F.when(F.col("l") & F.col("r"), names[0]).when(F.col("l"), names[1]).otherwise(names[2])
     return sides.select(key, name.alias("membership"))
+
+
+#: Score bins of ``score_histogram``; scores of one bin are ties.
+BINS = 1000
+
+
+def score_histogram(pred: DataFrame, classes: list[str], probs: str = "class_probs", gold: str = "gold", bins: int = BINS) -> DataFrame:
+    """M7: (class, bin, positives, negatives, chosen_positives, chosen_negatives, score):
+    of each class and bin of its probability the rows of that class and of others,
+    those of them that the class is predicted for (the largest probability, ties: the
+    first class in ``classes``), and the sum of the probabilities. Sums only, so
+    histograms of parts of the data add up; one row a class and bin at most. Rows
+    without a gold class or without probabilities do not count."""
+    names = F.array(*[F.lit(c) for c in classes])
+    rows = pred.where(F.col(gold).isNotNull() & F.col(probs).isNotNull()).select(F.col(gold).alias("_gold"), F.transform(
+        names, lambda c: F.coalesce(F.try_element_at(F.col(probs), c), F.lit(0.0))).alias("_p"))
+    each = rows.select("_gold", F.array_position("_p", F.array_max("_p")).alias("_top"), F.posexplode("_p").alias("_i", "p"))
+    is_class, chosen = F.col("_gold") == F.element_at(names, F.col("_i") + 1), F.col("_top") == F.col("_i") + 1
+    at = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
+    return each.groupBy(F.element_at(names, F.col("_i") + 1).alias("class"), at.alias("bin")).agg(
+        F.count_if(is_class).alias("positives"), F.count_if(~is_class).alias("negatives"),
+        F.count_if(is_class & chosen).alias("chosen_positives"), F.count_if(~is_class & chosen).alias("chosen_negatives"),
+        F.sum("p").alias("score"))
+
+
+def class_measures(histogram: DataFrame) -> DataFrame:
+    """M7: of each class rows, precision, recall, F1, the area under the ROC curve (rows
+    of one bin are ties and count half) and the expected calibration error (mean over the
+    rows of |share of positives - mean probability| of their bin), all from running sums
+    over at most ``BINS`` rows a class. A measure without rows to divide by is NULL."""
+    from pyspark.sql import Window
+    below = Window.partitionBy("class").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    x = histogram.withColumn("_below", F.coalesce(F.sum("negatives").over(below), F.lit(0)))
+    d = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    s = x.groupBy("class").agg(
+        F.sum(F.col("positives") + F.col("negatives")).alias("n"), F.sum("positives").alias("pos"), F.sum("negatives").alias("neg"),
+        F.sum("chosen_positives").alias("tp"), F.sum("chosen_negatives").alias("fp"),
+        F.sum(F.col("positives") * (2 * F.col("_below") + F.col("negatives"))).alias("_area"),
+        F.sum(F.abs(F.col("positives") - F.col("score"))).alias("_off"))
+    precision, recall = d(F.col("tp"), F.col("tp") + F.col("fp")), d(F.col("tp"), F.col("pos"))
+    return s.select("class", "n", F.col("pos").alias("n_class"), F.col("tp").alias("n_correct"), (F.col("tp") + F.col("fp")).alias("n_predicted"),
+                    F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
+                    F.round(d(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), 6).alias("f1"),
+                    F.round(d(F.col("_area"), 2 * F.col("pos") * F.col("neg")), 6).alias("roc_area"),
+                    F.round(d(F.col("_off"), F.col("n")), 6).alias("calibration_error"))

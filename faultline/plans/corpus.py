@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 
 from faultline.functions import html as H
 from faultline.functions import urls as U
-from faultline.functions.text import ISSUE_TITLE_PREFIX, clean_tokens, is_fix_title
+from faultline.functions.text import ISSUE_TITLE_PREFIX, LEMMA_EXCEPTIONS, clean_tokens, is_fix_title
 from faultline.operators import records as R
+from faultline.operators.lemmas import lemma_table, with_lemmas
 from faultline.operators.links import two_hop
+from faultline.session import materialize
 from faultline.sources.tables import pinned, spread, table
 
 # Wanted and excluded title words for the fix filter on the stand-in corpus.
 TITLE_WANTED = ["license"]
 TITLE_EXCLUDED = ["public"]
+# Occurrences that make a token a word of the stand-in lexicon.
+LEXICON_COUNT = 3
 # Bot phrase pairs (both phrases of a pair in the first paragraph -> bot).
 BOT_PHRASE_PAIRS = [("the", "and"), ("de", "la")]
 # Listing window and per-user cap.
@@ -52,6 +56,29 @@ def token_counts(spark, sf_dir):
                 .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _lexicon(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents' tokens, vocabulary with counts, lemma table): the lexicon is what the
+    corpus itself uses ``LEXICON_COUNT`` times or more."""
+    docs = materialize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", clean_tokens("text", lemmas=False).alias("toks")))
+    vocabulary = docs.select(F.explode("toks").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    lexicon = vocabulary.where(F.col("n") >= LEXICON_COUNT).select(F.col("token").alias("word"))
+    irregular = spark.createDataFrame(list(LEMMA_EXCEPTIONS.items()), "form string, lemma string")
+    return docs, vocabulary, lemma_table(vocabulary, lexicon, irregular)
+
+
+def lexicon_lemmas(spark, sf_dir):
+    """Each distinct token of the corpus, its lemma by the lexicon, and its count."""
+    _, vocabulary, lemmas = _lexicon(spark, sf_dir)
+    return vocabulary.join(lemmas, "token").select("token", "lemma", "n")
+
+
+def lexicon_tokens(spark, sf_dir):
+    """Whole documents cleaned, their tokens replaced by the lexicon's lemmas."""
+    docs, _, lemmas = _lexicon(spark, sf_dir)
+    out = with_lemmas(docs, "doc_id", "toks", materialize(lemmas))
+    return out.select("doc_id", F.coalesce(F.array_join("toks", " "), F.lit("")).alias("tokens"))
+
+
 def fix_title_filter(spark, sf_dir):
     """Every line of a document is a listing title; a title is kept
     when its cleaned lemmas hold a wanted word and no excluded one."""

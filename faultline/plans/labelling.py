@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import SEGMENT_SEPARATOR, clean_tokens
 from faultline.operators import classify as M
+from faultline.operators import projection as P
 from faultline.operators import verify as V
 from faultline.operators.ranks import first_by
 from faultline.sources.tables import pinned, spread, table
@@ -101,6 +102,24 @@ def contrastive_pairs(spark, sf_dir):
     return M.contrastive_pairs(emb, "vec_id", "label")
 
 
+#: Pairs of each target that ``oversampled_pairs`` draws for a row of the table.
+PAIRS_A_ROW = 10
+
+
+def oversampled_pairs(spark, sf_dir):
+    """M4, second profile: equal numbers of same- and other-label pairs over the embedding table."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return M.oversampled_pairs(emb, "vec_id", "label", PAIRS_A_ROW * emb.count())
+
+
+def class_measures(spark, sf_dir):
+    """M7: measures of each class of the gold labels, by the probability that a
+    document's length gives (half at ``PRED_MIN_CHARS``)."""
+    good = F.col("n_chars") / (F.col("n_chars") + F.lit(float(PRED_MIN_CHARS)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.create_map(F.lit("quality_0"), 1 - good, F.lit("quality_1"), good).alias("class_probs"))
+    return V.class_measures(V.score_histogram(docs.join(_gold(spark, sf_dir), "doc_id"), ["quality_0", "quality_1"]))
+
+
 def _cross_predictions(spark, sf_dir) -> DataFrame:
     """Two folds by vec_id; each is predicted by a head that is
     fitted on the other, so every row is predicted and none by its own label."""
@@ -123,13 +142,38 @@ def classify_embeddings(spark, sf_dir):
 def classify_checks(spark, sf_dir):
     """A12 A13 on all predictions: rows, rows whose probabilities sum to 1,
     whose predicted class has the largest, and whose confidence is that one."""
-    p = _cross_predictions(spark, sf_dir).withColumn("p", F.map_values("class_probs"))
+    return _consistent(_cross_predictions(spark, sf_dir))
+
+
+def _consistent(predictions: DataFrame) -> DataFrame:
+    p = predictions.withColumn("p", F.map_values("class_probs"))
     top = F.array_max("p")
     return p.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("n_sum_one"),
                  F.count_if(F.element_at("class_probs", F.col("predicted").cast("string")) == top).alias("n_argmax"),
                  F.count_if(F.col("confidence") == F.bround(top, 3)).alias("n_maximum"))
 
 
+#: Pairs of each target a row, and rounds, of the projection that the registered query fits.
+PROJECTION_PAIRS, PROJECTION_ROUNDS = 2, 5
+
+
+def projection_checks(spark, sf_dir):
+    """M3 M4: two folds by vec_id; each is predicted by a head on the projection that the
+    other fold's pairs have taught. Rows, rows that are consistent as in
+    ``classify_checks``, and folds whose loss fell in every round."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").withColumn("fold", F.pmod("vec_id", F.lit(2)))
+    out, falling = None, 0
+    for fold in (0, 1):
+        train = emb.where(F.col("fold") != fold)
+        pairs = P.pair_vectors(M.contrastive_pairs(train.select("vec_id", "label"), "vec_id", "label", PROJECTION_PAIRS), train, "vec_id", "embedding")
+        matrix, losses = P.fit_projection(pairs, PROJECTION_ROUNDS)
+        falling += len(losses) > 1 and all(b < a for a, b in zip(losses, losses[1:]))
+        model = M.embedding_classifier("label").fit(P.project(train, matrix))
+        part = M.predictions(model.transform(P.project(emb.where(F.col("fold") == fold), matrix)))
+        out = part if out is None else out.unionByName(part)
+    return _consistent(out).withColumn("n_falling", F.lit(falling).cast("long"))
+
+
 def prediction_accuracy(spark, sf_dir):
     """A10 M7: correct, wrong and accuracy of the stand-in rule."""
     return V.accuracy(verify_predictions(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))

@@ -244,7 +244,7 @@ FROM hh""")
 # ---------------------------------------------------------------------------
 # Corpus queries: the cleaning chain stated in DuckDB SQL from the same values.
 
-def _clean_sql(text_expr: str) -> str:
+def _clean_sql(text_expr: str, lemmas: bool = True) -> str:
     from faultline.functions.text import (LEMMA_EXCEPTIONS, PUNCTUATION, STOP_WORDS, SYMBOL_PATTERN,
                                           TOKEN_PATTERN, ASCII_ONLY_PATTERN)
     stops = "[" + ", ".join(q(w) for w in STOP_WORDS) + "]"
@@ -258,8 +258,8 @@ def _clean_sql(text_expr: str) -> str:
     lemma = f"coalesce(CASE t {exc} END, {rules})"
     keep = (f"NOT contains({q(PUNCTUATION)}, t) AND regexp_matches(t, {q(ASCII_ONLY_PATTERN)}) "
             f"AND NOT list_contains({stops}, t) AND NOT regexp_matches(t, {q(SYMBOL_PATTERN)})")
-    return (f"list_transform(list_filter(regexp_extract_all(lower({text_expr}), {q(TOKEN_PATTERN)}), "
-            f"lambda t: {keep}), lambda t: {lemma})")
+    kept = f"list_filter(regexp_extract_all(lower({text_expr}), {q(TOKEN_PATTERN)}), lambda t: {keep})"
+    return f"list_transform({kept}, lambda t: {lemma})" if lemmas else kept
 
 
 def corpus_oracles() -> dict[str, str]:
@@ -272,6 +272,24 @@ def corpus_oracles() -> dict[str, str]:
                          f"FROM (SELECT doc_id, {_clean_sql('text')} AS toks FROM documents) t")
     o["token_counts"] = (f"SELECT token, count(*) AS n FROM (SELECT unnest({_clean_sql('text')}) AS token "
                          f"FROM documents) t GROUP BY token")
+    from faultline.functions.text import LEMMA_EXCEPTIONS
+    from faultline.operators.lemmas import LEVELS, NOUN_RULES
+    rules = ", ".join(f"CASE WHEN word LIKE '%{a}' AND length(word) + {len(b)} > {len(a)} THEN left(word, length(word) - {len(a)}) || '{b}' END" for a, b in NOUN_RULES)
+    irregular = ", ".join(f"({q(a)}, {q(b)})" for a, b in LEMMA_EXCEPTIONS.items())
+    lemmas = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_clean_sql('text', False)} AS toks FROM documents),
+v AS (SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM w) x GROUP BY token),
+held AS (SELECT token AS word FROM v WHERE n >= {C.LEXICON_COUNT}),
+irr(form, lemma) AS (VALUES {irregular}),
+p AS (SELECT token, 0 AS step, token AS word FROM v
+      UNION ALL SELECT token, step + 1, unnest(list_filter([{rules}], lambda x: x IS NOT NULL)) FROM p WHERE step < {LEVELS} AND token NOT IN (SELECT form FROM irr)),
+c AS (SELECT token, greatest(step, 1) - 1 AS level, word FROM p UNION ALL SELECT form, 0, lemma FROM irr WHERE form IN (SELECT token FROM v)),
+lem AS (SELECT token, arg_min(word, (level, length(word))) AS lemma FROM c WHERE word IN (SELECT word FROM held) GROUP BY token)"""
+    o["lexicon_lemmas"] = lemmas + " SELECT v.token, coalesce(lemma, v.token) AS lemma, n FROM v LEFT JOIN lem USING (token)"
+    o["lexicon_tokens"] = lemmas + """,
+e AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS k FROM w)
+SELECT doc_id, coalesce(t.tokens, '') AS tokens FROM w LEFT JOIN
+  (SELECT doc_id, string_agg(coalesce(lemma, token), ' ' ORDER BY k) AS tokens FROM e LEFT JOIN lem USING (token) GROUP BY doc_id) t USING (doc_id)"""
     wanted = " OR ".join(f"list_contains(toks, {q(w)})" for w in C.TITLE_WANTED)
     excluded = "[" + ", ".join(q(w) for w in C.TITLE_EXCLUDED) + "]"
     o["fix_title_filter"] = f"""
@@ -458,4 +476,30 @@ SELECT count(*) FILTER (WHERE p = g) AS correct, count(*) FILTER (WHERE p <> g)
        round(count(*) FILTER (WHERE p = g) / count(*), 6) AS accuracy
 FROM (SELECT CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END AS p, quality AS g FROM documents JOIN labels USING (doc_id)) x"""
     o["task_category_pairs"] = "SELECT CASE WHEN n_chars >= 300 THEN 'quality_1' ELSE 'quality_0' END AS category, doc_id AS index FROM documents"
+    o["class_measures"] = f"""
+WITH p AS (SELECT g.gold, n_chars / (n_chars + {float(L.PRED_MIN_CHARS)}) AS good FROM documents JOIN
+           (SELECT doc_id, 'quality_' || CAST(quality AS VARCHAR) AS gold FROM labels WHERE quality IS NOT NULL) g USING (doc_id) WHERE n_chars IS NOT NULL),
+x AS (SELECT 'quality_0' AS class, gold = 'quality_0' AS y, 1 - good AS p, 1 - good >= good AS top FROM p
+      UNION ALL SELECT 'quality_1', gold = 'quality_1', good, good > 1 - good FROM p),
+b AS (SELECT class, least(CAST(floor(p * 1000) AS INT), 999) AS bin, y, p, top FROM x),
+auc AS (SELECT a.class, sum(CASE WHEN a.bin > n.bin THEN 1.0 WHEN a.bin = n.bin THEN 0.5 ELSE 0 END * a.k * n.k) / (sum(a.k * n.k)) AS area
+        FROM (SELECT class, bin, count(*) AS k FROM b WHERE y GROUP BY ALL) a JOIN (SELECT class, bin, count(*) AS k FROM b WHERE NOT y GROUP BY ALL) n USING (class)
+        GROUP BY a.class),
+cal AS (SELECT class, sum(off) AS off FROM (SELECT class, bin, abs(count(*) FILTER (WHERE y) - sum(p)) AS off FROM b GROUP BY class, bin) t GROUP BY class),
+s AS (SELECT class, count(*) AS n, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE y AND top) AS tp, count(*) FILTER (WHERE top) AS chosen FROM b GROUP BY class)
+SELECT class, n, pos AS n_class, tp AS n_correct, chosen AS n_predicted, round(tp / nullif(chosen, 0), 6) AS precision, round(tp / nullif(pos, 0), 6) AS recall,
+  round(2.0 * tp / nullif(chosen + pos, 0), 6)::DOUBLE AS f1, round(area, 6)::DOUBLE AS roc_area, round(off / n, 6) AS calibration_error
+FROM s JOIN auc USING (class) JOIN cal USING (class)"""
+    # All pairs listed in the order of their numbers, then the drawn ones picked.
+    o["oversampled_pairs"] = f"""
+WITH g AS (SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id) AS at FROM embeddings WHERE label IS NOT NULL),
+m AS (SELECT {L.PAIRS_A_ROW} * count(*) AS n FROM embeddings),
+same AS (SELECT row_number() OVER (ORDER BY a.label, b.at, a.at) - 1 AS q, a.vec_id AS a_id, b.vec_id AS b_id FROM g a JOIN g b ON a.label = b.label AND a.at < b.at),
+other AS (SELECT row_number() OVER (ORDER BY a.at, b.at) - 1 AS q, a.vec_id AS a_id, b.vec_id AS b_id FROM g a JOIN g b ON a.label < b.label),
+k AS (SELECT unnest(range(n)) AS k, n FROM m),
+t AS (SELECT (SELECT count(*) FROM same) AS p1, (SELECT count(*) FROM other) AS p0)
+SELECT k, a_id, b_id, 1 AS target FROM k, t JOIN same ON q = CASE WHEN n <= p1 THEN k * p1 // n ELSE k % p1 END
+UNION ALL SELECT k, a_id, b_id, 0 FROM k, t JOIN other ON q = CASE WHEN n <= p0 THEN k * p0 // n ELSE k % p0 END"""
+    o["projection_checks"] = ("SELECT count(*) AS n_rows, count(*) AS n_sum_one, count(*) AS n_argmax, count(*) AS n_maximum, CAST(2 AS BIGINT) AS n_falling "
+                              "FROM embeddings")
     return o

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.plans import analysis, collected, corpus, labelling
+from faultline.plans import analysis, collected, corpus, labelling, roundtrips
 
 ANALYSIS = [
     "project_matrix", "type_counts", "label_recode", "matrix_long", "matrix_summary", "type_share",
@@ -29,7 +29,7 @@ CORPUS = {
     "url_parts": corpus.url_parts, "page_block_text": corpus.page_block_text,
     "collected_links": collected.collected_links, "collected_records": collected.collected_records,
     "page_quarantine_kinds": collected.page_quarantine_kinds, "page_kind_counts": collected.page_kind_counts,
-    "event_props_keys": corpus.event_props_keys,
+    "event_props_keys": corpus.event_props_keys, "lexicon_lemmas": corpus.lexicon_lemmas, "lexicon_tokens": corpus.lexicon_tokens,
 }
 
 
@@ -37,7 +37,7 @@ LABELLING = [
     "verify_predictions", "confusion_counts", "category_summary", "coverage_summary",
     "category_by_repo", "label_set_ops", "train_set", "predict_set", "contrastive_pairs",
     "classify_embeddings", "classify_tasks", "classify_checks", "prediction_accuracy",
-    "task_category_pairs",
+    "task_category_pairs", "class_measures", "oversampled_pairs", "projection_checks",
 ]
 
 
@@ -48,6 +48,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out.update(CORPUS)
     for name in LABELLING:
         out[name] = getattr(labelling, name)
+    for name in roundtrips.QUERIES:
+        out[name] = getattr(roundtrips, name)
     return out
 
 
@@ -57,4 +59,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(corpus_oracles())
     out.update(labelling_oracles())
     out.update(collected.oracles())
+    out.update(roundtrips.oracles())
     return out

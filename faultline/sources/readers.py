@@ -125,9 +125,9 @@ def read_csv_table(spark: SparkSession, path: str, schema: str | None = None,
     return df
 
 
-def read_label_tasks(spark: SparkSession, path: str, project_id: int | None = None) -> DataFrame:
-    """Exported label tasks, optionally of one project."""
-    df = _json(spark, LABEL_TASK_SCHEMA).json(path)
+def read_label_tasks(spark: SparkSession, path: str, project_id: int | None = None, multi_line: bool = True) -> DataFrame:
+    """Exported label tasks, optionally of one project; ``multi_line`` False: a task a line."""
+    df = _json(spark, LABEL_TASK_SCHEMA, multi_line).json(path)
     return df.where(F.col("project") == project_id) if project_id is not None else df
 
 
@@ -138,10 +138,10 @@ def page_content(urls: DataFrame, pages: DataFrame, url_col: str = "url") -> Dat
 
 
 def read_commit_listing(spark: SparkSession, path: str, since: str | None = None,
-                        until: str | None = None) -> DataFrame:
-    """S9 + F2 (re-aimed): landed commit-listing JSON arrays ->
-    (sha, title, url, ts); optional inclusive time window."""
-    raw = spark.read.schema(LISTING_SCHEMA).option("multiLine", True).json(path)
+                        until: str | None = None, multi_line: bool = True) -> DataFrame:
+    """S9 + F2 (re-aimed): landed commit-listing JSON arrays (``multi_line`` False: a
+    commit a line) -> (sha, title, url, ts); optional inclusive time window."""
+    raw = spark.read.schema(LISTING_SCHEMA).option("multiLine", multi_line).json(path)
     out = raw.select("sha", first_line(F.col("commit.message")).alias("title"),
                      F.col("html_url").alias("url"), F.col("commit.author.date").alias("ts"))
     if since is not None and until is not None:

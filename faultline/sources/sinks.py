@@ -71,7 +71,8 @@ def write_prediction_report(pred: DataFrame, path: str, key: str = "id") -> None
 
 
 def append_predictions(pred: DataFrame, path: str, model_version: str) -> None:
-    """K7: append predictions under a model version (partition column)."""
+    """K7: append predictions under a model version (partition column). Plain append:
+    a job that runs again doubles its rows; ``manifest.write_predictions`` does not."""
     (pred.withColumn("model_version", F.lit(model_version))
          .write.mode("append").partitionBy("model_version").parquet(path))
 
