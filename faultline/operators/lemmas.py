@@ -60,14 +60,15 @@ def lemma_table(vocabulary: DataFrame, lexicon: DataFrame, irregular: DataFrame
 def with_lemmas(df: DataFrame, key: str, tokens: str, table: DataFrame) -> DataFrame:
     """(key, tokens) with each token replaced by its lemma in ``table`` (token, lemma).
     Only changed tokens are joined; they are broadcast if ``MAX_BROADCAST`` at most, else
-    the join shuffles. Order and repeats stay; a null or empty array stays."""
+    the join shuffles. Rows are dealt once by their number; a broadcast lookup and the
+    regrouping of a row's tokens stay in that partitioning, so texts move once. Order and
+    repeats stay; a null or empty array stays. ``df`` is a stored table: its rows get the
+    same numbers when a task runs again."""
     changed = table.where("token != lemma")
     n = changed.limit(MAX_BROADCAST + 1).count()
-    rows = df.select(F.col(key).alias("_key"), F.col(tokens).alias("_tokens"), F.monotonically_increasing_id().alias("_row"))
-    from faultline.session import materialize
-    rows = materialize(rows)  # row numbers that a lost task keeps
-    each = rows.select("_row", F.posexplode("_tokens").alias("_at", "token"))
+    rows = df.select(F.col(key).alias("_key"), F.col(tokens).alias("_tokens"), F.monotonically_increasing_id().alias("_row")).repartition("_row")
+    each = rows.select("_row", "_key", F.col("_tokens").isNull().alias("_none"), F.posexplode_outer("_tokens").alias("_at", "token"))
     mapped = each.join(F.broadcast(changed) if n <= MAX_BROADCAST else changed, "token", "left")
-    back = mapped.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("lemma", "token").alias("t")))).alias("l"))
-    out = F.when(F.col("l").isNotNull(), F.transform("l", lambda x: x["t"])).otherwise(F.col("_tokens"))
-    return rows.join(back, "_row", "left").select(F.col("_key").alias(key), out.alias(tokens))
+    item = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("lemma", "token").alias("t")))
+    back = mapped.groupBy("_row").agg(F.first("_key").alias("_key"), F.first("_none").alias("_none"), F.sort_array(F.collect_list(item)).alias("l"))
+    return back.select(F.col("_key").alias(key), F.when(~F.col("_none"), F.transform("l", lambda x: x["t"])).alias(tokens))

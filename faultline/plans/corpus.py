@@ -19,7 +19,7 @@ from faultline.functions.text import ISSUE_TITLE_PREFIX, LEMMA_EXCEPTIONS, clean
 from faultline.operators import records as R
 from faultline.operators.lemmas import lemma_table, with_lemmas
 from faultline.operators.links import two_hop
-from faultline.session import materialize
+from faultline.session import written
 from faultline.sources.tables import pinned, spread, table
 
 # Wanted and excluded title words for the fix filter on the stand-in corpus.
@@ -59,7 +59,7 @@ def token_counts(spark, sf_dir):
 def _lexicon(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents' tokens, vocabulary with counts, lemma table): the lexicon is what the
     corpus itself uses ``LEXICON_COUNT`` times or more."""
-    docs = materialize(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", clean_tokens("text", lemmas=False).alias("toks")))
+    docs = written(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", clean_tokens("text", lemmas=False).alias("toks")))
     vocabulary = docs.select(F.explode("toks").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     lexicon = vocabulary.where(F.col("n") >= LEXICON_COUNT).select(F.col("token").alias("word"))
     irregular = spark.createDataFrame(list(LEMMA_EXCEPTIONS.items()), "form string, lemma string")
@@ -75,7 +75,7 @@ def lexicon_lemmas(spark, sf_dir):
 def lexicon_tokens(spark, sf_dir):
     """Whole documents cleaned, their tokens replaced by the lexicon's lemmas."""
     docs, _, lemmas = _lexicon(spark, sf_dir)
-    out = with_lemmas(docs, "doc_id", "toks", materialize(lemmas))
+    out = with_lemmas(docs, "doc_id", "toks", written(lemmas))
     return out.select("doc_id", F.coalesce(F.array_join("toks", " "), F.lit("")).alias("tokens"))
 
 
