@@ -169,7 +169,7 @@ def start_tag(tag: str, css_class: str | None = None, class_pattern: str | None
     return test
 
 
-_STACK, _OPEN, _SPANS = "array<struct<name:string,base:int>>", "array<struct<at:int,depth:int>>", "array<struct<first:int,last:int>>"
+_STACK, _OPEN, _SPANS = "array<struct<name:string,base:int>>", "array<struct<at:int,depth:int,code:int>>", "array<struct<first:int,last:int,code:int>>"
 
 
 def _listed(names) -> str:
@@ -181,14 +181,16 @@ def _table(rules: dict) -> str:
     return "str_to_map('" + ";".join(f"{k}:{' '.join(v)}" for k, v in rules.items()) + "', ';', ':')"
 
 
-def _marks(parts: str, wanted) -> str:
-    """The tags among the tokens: place, name, and what the automaton asks of them."""
+def _marks(parts: str, tests) -> str:
+    """The tags among the tokens: place, name, and what the automaton asks of them
+    (``code``: the number of the first test that a start tag passes)."""
+    code = "CASE " + " ".join(f"WHEN {test('t')} THEN {k}" for k, test in enumerate(tests)) + " END"
     rule = lambda rules, n: f"split(try_element_at({_table(rules)}, {n}), ' ')"
     mark = _let(f"lower(regexp_extract(t, {_lit(_NAME)}, 1))", lambda n: (
         f"CASE WHEN {n} != '' THEN named_struct('at', i, 'name', {n}, 'closing', startswith(t, '</'), "
         f"'empty', array_contains({_listed(VOID)}, {n}) OR endswith(t, '/>'), "
-        f"'ends', {rule(ENDS, n)}, 'stops', {rule(STOPS, n)}, 'wanted', {wanted('t')}) END"))
-    return f"filter(transform({parts}, (t, i) -> {mark}), m -> m IS NOT NULL)"
+        f"'ends', {rule(ENDS, n)}, 'stops', {rule(STOPS, n)}, 'code', {code}) END"))
+    return f"filter(transform({parts}, (t, i) -> CASE WHEN startswith(t, '<') THEN {mark} END), m -> m IS NOT NULL)"
 
 
 def _taken() -> str:
@@ -217,24 +219,25 @@ def _opened(p: str) -> str:
     """The state after tag m, p being depth and stack after what it ends."""
     opens, ended = "NOT m.closing AND NOT m.empty", f"get(s.open, 0).depth > {p}.depth"
     done = (f"CASE WHEN {ended} THEN concat(s.done, transform(filter(s.open, o -> o.depth > {p}.depth), "
-            "o -> named_struct('first', o.at, 'last', m.at))) ELSE s.done END")
+            "o -> named_struct('first', o.at, 'last', m.at, 'code', o.code))) ELSE s.done END")
     still = f"CASE WHEN {ended} THEN filter(s.open, o -> o.depth <= {p}.depth) ELSE s.open END"
     stack = (f"CASE WHEN {opens} AND NOT coalesce(get({p}.stack, 0).name = m.name, false) "
              f"THEN concat(array(named_struct('name', m.name, 'base', {p}.depth)), {p}.stack) ELSE {p}.stack END")
-    new = f"CASE WHEN {opens} AND m.wanted THEN concat(array(named_struct('at', m.at, 'depth', {p}.depth + 1)), {still}) ELSE {still} END"
-    found = (f"CASE WHEN NOT m.closing AND m.empty AND m.wanted THEN concat({done}, array(named_struct('first', m.at, 'last', m.at + 1))) "
+    new = f"CASE WHEN {opens} AND m.code IS NOT NULL THEN concat(array(named_struct('at', m.at, 'depth', {p}.depth + 1, 'code', m.code)), {still}) ELSE {still} END"
+    found = (f"CASE WHEN NOT m.closing AND m.empty AND m.code IS NOT NULL "
+             f"THEN concat({done}, array(named_struct('first', m.at, 'last', m.at + 1, 'code', m.code))) "
              f"ELSE {done} END")
     return (f"named_struct('depth', CASE WHEN {opens} THEN {p}.depth + 1 ELSE {p}.depth END, 'stack', CAST({stack} AS {_STACK}), "
             f"'open', CAST({new} AS {_OPEN}), 'done', CAST({found} AS {_SPANS}))")
 
 
-def _spans(parts: str, wanted) -> str:
-    """(first, last) token numbers of the elements whose start tag passes the test, in
+def _spans(parts: str, *tests) -> str:
+    """(first, last, code) token numbers of the elements whose start tag passes a test, in
     order of their start: the start tag, and the first token that is not inside."""
     step = _let(_taken(), lambda i: _let(_popped(i), _opened))
     none = f"named_struct('depth', 0, 'stack', CAST(array() AS {_STACK}), 'open', CAST(array() AS {_OPEN}), 'done', CAST(array() AS {_SPANS}))"
-    return (f"array_sort(aggregate({_marks(parts, wanted)}, {none}, (s, m) -> {step}, "
-            f"s -> concat(s.done, transform(s.open, o -> named_struct('first', o.at, 'last', size({parts}))))))")
+    return (f"array_sort(aggregate({_marks(parts, tests)}, {none}, (s, m) -> {step}, "
+            f"s -> concat(s.done, transform(s.open, o -> named_struct('first', o.at, 'last', size({parts}), 'code', o.code)))))")
 
 
 def _texts(parts: str) -> str:
@@ -318,6 +321,19 @@ def element_texts(html, wanted) -> Column:
     return _column(_every(_text(html), wanted, _element_text))
 
 
+def all_texts(html, places=(), **tests) -> Column:
+    """One struct with an array (first, last, text) for each named test: the elements whose
+    start tag passes it and none of the tests before it, all found in one run of the
+    automaton. Names in ``places`` get no text."""
+    def fields(parts, found):
+        out = []
+        for k, name in enumerate(tests):
+            text = "''" if name in places else _element_text(parts, "e")
+            out.append(f"'{name}', transform(filter({found}, e -> e.code = {k}), e -> named_struct('first', e.first, 'last', e.last, 'text', {text}))")
+        return f"named_struct({', '.join(out)})"
+    return _column(_let(_tokens(_text(html)), lambda parts: _let(_spans(parts, *tests.values()), lambda found: fields(parts, found))))
+
+
 def each(fragments, use) -> Column:
     """An array of this module's results with ``use`` (functions of this module) applied to each."""
     def body(x):

@@ -214,17 +214,18 @@ def page_title(spark, sf_dir):
 
 def page_main_text(spark, sf_dir):
     """First ad block, heading, article paragraphs and nav
-    labels of each page (regular-expression forms)."""
+    labels of each page, from one run of the automaton."""
     pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
-    article = H.element_html("html", "article")
-    paras = H.paragraphs(article)
-    return pages.select(
-        "page_id",
-        H.element_text("html", "div", "ad").alias("ad_text"),
-        H.element_text("html", "h1").alias("heading"),
-        F.array_join(paras, "\n").alias("body"),
-        F.size(paras).alias("n_paragraphs"),
-        F.array_join(H.tag_texts("html", "a"), "|").alias("nav_labels"))
+    tag = H.start_tag
+    found = H.all_texts("html", ("article",), ad=tag("div", "ad"), article=tag("article"), heading=tag("h1"), p=tag("p"), a=tag("a"))
+    x = pages.select("page_id", pinned(found).alias("x"))
+    first = lambda name: F.when(F.col(f"x.{name}").isNotNull(), F.coalesce(F.get(F.col(f"x.{name}"), 0)["text"], F.lit("")))
+    article = F.get("x.article", 0)
+    paras = F.transform(F.filter("x.p", lambda p: (p["first"] > article["first"]) & (p["last"] <= article["last"]) & (p["text"] != "")), lambda p: p["text"])
+    return x.select(
+        "page_id", first("ad").alias("ad_text"), first("heading").alias("heading"),
+        F.array_join(paras, "\n").alias("body"), F.size(paras).alias("n_paragraphs"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("x.a", lambda a: a["text"]))), "|").alias("nav_labels"))
 
 
 def page_quarantine(spark, sf_dir):

@@ -91,3 +91,12 @@ def test_lines_and_scripts(spark):
 
 def test_title(spark):
     assert run(spark, '<svg></svg><title lang="en">A <b> &amp; B · C</title>', H.title_before("h")) == "A <b> & B"
+
+
+def test_many_elements_in_one_run(spark):
+    html = '<p>0<div class="ad">x<p>1</div><article><h1>H</h1><p>2<p class="ad">3</article><p>4'
+    x = run(spark, html, H.all_texts("h", ("article",), ad=H.start_tag("div", "ad"), article=H.start_tag("article"), p=H.start_tag("p")))
+    assert [r.text for r in x.ad] == ["x 1"] and [r.text for r in x.article] == [""] and [r.text for r in x.p] == ["0", "1", "2", "3", "4"]
+    inside = [r.text for r in x.p if x.article[0].first < r.first and r.last <= x.article[0].last]
+    assert inside == ["2", "3"]
+    assert run(spark, None, H.all_texts("h", p=H.start_tag("p"))).p is None
