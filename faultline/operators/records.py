@@ -125,10 +125,8 @@ def extract_pages(commit_pages: DataFrame, pages: DataFrame) -> tuple[DataFrame,
     (url, html) of every landed page. Rows: url, kind, valid, the part of that kind,
     the wanted links of commit and pull-request pages, and the html of pages that
     failed (a NULL html fails too). The pass is written to the shared folder by
-    ``valid``, so good pages and the quarantine are read apart; its counts (pages,
-    good, failed) are observed while it is written. Pages of no kind are not kept."""
-    from pyspark.sql import Observation
-
+    ``valid``, so good pages and the quarantine are read apart; the counts (pages,
+    good, failed) are those of the written files. Pages of no kind are not kept."""
     from faultline.functions import pages as PG
     from faultline.functions.urls import ISSUE_ONLY_KINDS, hrefs, is_wanted_link
     from faultline.session import checkpoint_dir
@@ -145,11 +143,13 @@ def extract_pages(commit_pages: DataFrame, pages: DataFrame) -> tuple[DataFrame,
     valid = F.when(kind == "commit", PG.commit_page_valid(F.col("commit"))).when(kind == "pull", PG.pr_page_valid(F.col("pull"))) \
              .when(kind == "issue", PG.issue_page_valid(F.col("issue"))).otherwise(F.col("html").isNotNull())
     found = found.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumn("html", F.when(~F.col("valid"), F.col("html")))
-    seen = Observation()
-    found = found.observe(seen, F.count("*").alias("pages"), F.count_if("valid").alias("good"), F.count_if(~F.col("valid")).alias("failed"))
     path = f"{checkpoint_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
     found.write.partitionBy("valid").parquet(path)
-    return spark.read.schema(found.schema).parquet(path), seen.get
+    parts = spark.read.schema(found.schema).parquet(path)
+    # From the files' footers. Not by Observation: once a session has used one, Spark 4.1
+    # cannot ship functions that hold the session (Spark ML's do) to tasks any more.
+    n = {r["valid"]: r["n"] for r in parts.groupBy("valid").agg(F.count("*").alias("n")).collect()}
+    return parts, {"pages": sum(n.values()), "good": n.get(True, 0), "failed": n.get(False, 0)}
 
 
 def page_hops(parts: DataFrame) -> DataFrame:

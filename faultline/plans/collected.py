@@ -83,8 +83,8 @@ def page_quarantine_kinds(spark, sf_dir):
 
 
 def page_kind_counts(spark, sf_dir):
-    """K9: of each kind the pages that one pass has landed, kept and put aside; the
-    counts observed in that pass stand beside their sums."""
+    """K9: of each kind the pages that one pass has landed, kept and put aside, and
+    the counts of the whole pass."""
     parts, seen = R.extract_pages(*landed(spark, sf_dir))
     return parts.groupBy("kind").agg(F.count("*").alias("n_pages"), F.count_if("valid").alias("n_good"), F.count_if(~F.col("valid")).alias("n_failed")) \
                 .select("*", *[F.lit(seen[k]).cast("long").alias(f"all_{k}") for k in ("pages", "good", "failed")])

@@ -66,17 +66,15 @@ def read_commit_records(spark: SparkSession, path: str, mode: str = "PERMISSIVE"
 def land_commit_records(spark: SparkSession, path: str, out: str) -> tuple[DataFrame, DataFrame, dict]:
     """S1 + K9: (records, bad files, counts) in one pass over ``*.json`` files. A file that is
     no JSON, or has no ``commit_index``, is bad: (file, content as read). The pass is
-    written to ``out`` by ``bad`` with the counts (files, good, bad) observed meanwhile."""
-    from pyspark.sql import Observation
+    written to ``out`` by ``bad``; the counts (files, good, bad) are those of what was written."""
     raw = _json(spark, f"{COMMIT_RECORD_SCHEMA}, _corrupt_record string").option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record").json(path).select("*", F.col("_metadata.file_path").alias("file"))
     raw = raw.withColumn("bad", F.col("_corrupt_record").isNotNull() | F.col("commit_index").isNull())
-    seen = Observation()
-    raw = raw.observe(seen, F.count("*").alias("files"), F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
     raw.write.mode("overwrite").partitionBy("bad").parquet(out)
     landed = spark.read.schema(raw.schema).parquet(out)
+    n = {r["bad"]: r["n"] for r in landed.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     return (landed.where("NOT bad").drop("bad", "file", "_corrupt_record"),
-            landed.where("bad").select("file", F.col("_corrupt_record").alias("content")), seen.get)
+            landed.where("bad").select("file", F.col("_corrupt_record").alias("content")), {"files": sum(n.values()), "good": n.get(False, 0), "bad": n.get(True, 0)})
 
 
 def read_crawl_job(spark: SparkSession, path: str) -> DataFrame:
