@@ -1,18 +1,23 @@
-"""License notices by alignment with templates.
+"""License notices by patience alignment with templates.
 
 Coverage is the share of template words that are aligned, in order, with words of
 a stretch of text; density is the share of the stretch's words that are aligned.
-A notice is a stretch that reaches both thresholds. The alignment is exact: for
-each word at which a stretch may end and each number of aligned words, the latest
-word at which it can begin is kept, so insertions anywhere in a notice, up to the
-density, do not hide it. (``patience``, on words unique to both, is its lower bound.)
-
-A text is aligned only where it can reach the least coverage: it must hold
-enough of the template's words (coverage cannot exceed the share of template
-places whose word occurs), and, near a match, one of its rarest words. The rarest
-words are taken until their places are too many to be all missed; a notice spans
-at most the template's length divided by the density, so that many words on either
-side of each occurrence are aligned, and no match is lost.
+A notice is a stretch that reaches both thresholds.
+
+A text is looked at only where it can reach the least coverage: in windows of the
+longest notice (the template's length divided by the density) that hold enough
+of the template's words, repeats counted. There each occurrence of one of the
+template's rarest words (taken until their places are too many to be all missed)
+is an anchor: the words on either side are aligned by patience with the template's
+words on that side. Words unique to both are anchors, of which the longest
+increasing subsequence counts; the gaps between them are aligned in the same way,
+and a gap without such words by the longest common subsequence of its few words.
+The best run of the aligned words that reaches both thresholds is a notice.
+
+An exact check follows: the aligned words of a notice are counted by its longest
+common subsequence with the template, and windows that still hold enough template
+words beside all notices are aligned exactly (``exact``), since words that are
+unique by chance can mislead the anchors. No notice is lost.
 
 Words are letters and digits in lower case. Defined results: a null or empty
 text has no notices. Repeated rows each get their rows. A text gets a row for each
@@ -25,6 +30,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -84,15 +90,17 @@ TEMPLATES = {
 }
 
 
-def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Aligned places (i, j) with a[i] == b[j], increasing in both."""
-    out, todo = [], [(0, len(a), 0, len(b))]
+def patience(a: list, b: list, open_left: bool = False, open_right: bool = False) -> list[tuple[int, int]]:
+    """Aligned places (i, j) with a[i] == b[j], increasing in both. At an open end
+    of ``a`` words beyond the alignment are expected: its words are aligned as far
+    from that end as they can be."""
+    out, todo = [], [(0, len(a), 0, len(b), open_left, open_right)]
     while todo:
-        i, m, j, n = todo.pop()
-        while i < m and j < n and a[i] == b[j]:
+        i, m, j, n, left, right = todo.pop()
+        while not left and i < m and j < n and a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        while i < m and j < n and a[m - 1] == b[n - 1]:
+        while not right and i < m and j < n and a[m - 1] == b[n - 1]:
             m, n = m - 1, n - 1
             out.append((m, n))
         if i == m or j == n:
@@ -100,17 +108,50 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[i:m]), Counter(b[j:n])
         place = {b[y]: y for y in range(j, n) if in_b[b[y]] == 1}
         pairs = [(x, place[a[x]]) for x in range(i, m) if in_a[a[x]] == 1 and a[x] in place]
-        last = (i - 1, j - 1)
         anchors = increasing(pairs)
+        if not anchors:
+            if not in_a.keys().isdisjoint(in_b):
+                out += [(i + x, j + y) for x, y in common(a[i:m], b[j:n], left)]
+            continue
+        last = (i - 1, j - 1)
         for x, y in anchors:
             out.append((x, y))
-            todo.append((last[0] + 1, x, last[1] + 1, y))
+            todo.append((last[0] + 1, x, last[1] + 1, y, left and last[0] < i, False))
             last = x, y
-        if anchors:
-            todo.append((last[0] + 1, m, last[1] + 1, n))
+        todo.append((last[0] + 1, m, last[1] + 1, n, False, right))
     return sorted(out)
 
 
+def table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """rows[i, j]: the longest common subsequence of the last i words of a and the last j words of b."""
+    rows = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+    back = b[::-1]
+    for i, x in enumerate(a[::-1], 1):
+        new = rows[i, 1:]
+        np.maximum(rows[i - 1, 1:], rows[i - 1, :-1] + (back == x), out=new)
+        np.maximum.accumulate(new, out=new)
+    return rows
+
+
+def common(a: list, b: list, late: bool = False) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, as early in ``a`` as it can be (or as late)."""
+    if late:
+        return [(len(a) - 1 - x, len(b) - 1 - y) for x, y in common(a[::-1], b[::-1])][::-1]
+    rows = table(np.array(a), np.array(b))
+    out, i, j = [], 0, 0
+    while rows[len(a) - i, len(b) - j]:
+        here = rows[len(a) - i, len(b) - j]
+        y = j
+        while rows[len(a) - i, len(b) - y - 1] == here:  # the last place of b from which as many follow
+            y += 1
+        k = next((k for k in range(j, y + 1) if b[k] == a[i]), None)
+        if k is not None and rows[len(a) - i - 1, len(b) - k - 1] == here - 1:
+            out.append((i, k))
+            j = k + 1
+        i += 1
+    return out
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence that increases in the second number too, by piles."""
     tops, top_at, before = [], [], []
@@ -129,6 +170,19 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def neighbours(words: list[tuple[int, int]], end: int) -> list[tuple[int, int, int, int]]:
+    """(place, word, place of the same word before, and after) of each (place, word)."""
+    last, after = {}, []
+    for x, w in reversed(words):
+        after.append(last.get(w, end))
+        last[w] = x
+    last, out = {}, []
+    for (x, w), later in zip(words, reversed(after)):
+        out.append((x, w, last.get(w, -1), later))
+        last[w] = x
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float, density: float):
         self.names, self.coverage, self.density = list(templates), coverage, density
@@ -166,31 +220,91 @@ class Scanner:
             places.setdefault(w, []).append(q)
         # A notice of at most m aligned words spans at most m / density words.
         spare, reach = m - self.coverage * m, int(m / self.density)
-        near = np.zeros(len(text) + 1, np.int64)
-        missed = 0
+        known = np.flatnonzero(np.isin(text, list(places)))
+        known = list(zip(known.tolist(), text[known].tolist()))
+        rare, missed = set(), 0
         for w in sorted(places, key=lambda x: (counts[x], x)):
             if missed > spare:
                 break
             missed += len(places[w])
-            if counts[w]:
-                x = np.flatnonzero(text == w)
-                np.add.at(near, np.maximum(0, x - reach), 1)
-                np.add.at(near, np.minimum(len(text), x + reach + 1), -1)
-        inside = np.concatenate([[False], np.cumsum(near[:-1]) > 0, [False]])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        out, todo = [], [(int(lo), int(hi)) for lo, hi in zip(edges[::2], edges[1::2])]
+            rare.add(w)
+        words, seen, out = text.tolist(), {}, []
+        anchors = neighbours([(x, w) for x, w in known if w in rare], len(words))
+        todo = self.stretches(known, places, m, reach)
         while todo:
             lo, hi = todo.pop()
-            found = self.best(text[lo:hi], places, m, reach)
+            inside = known[bisect_left(known, (lo,)): bisect_left(known, (hi,))]
+            found = self.anchored(words, anchors, places, template, reach, lo, hi, seen)
             if found:
-                n, a, b, first = found
-                out.append((n, m, lo + a, lo + b))
-                todo.append((lo + b, hi))
-                if a > first:  # before it, only what ends at ``first`` or later is a notice
-                    todo.append((lo + max(0, first - reach), lo + a))
+                n, a, b = found
+                if n < m:
+                    n = int(table(text[a:b], np.array(template))[-1, -1])
+                out.append((n, m, a, b))
+                todo += [(lo, a), (b, hi)]
+                continue
+            for lo, hi in self.stretches(inside, places, m, reach):
+                found = self.exact(text[lo:hi], places, m, reach)
+                if found:
+                    n, a, b, first = found
+                    out.append((n, m, lo + a, lo + b))
+                    todo.append((lo + b, hi))
+                    if a > first:  # before it, only what ends at ``first`` or later is a notice
+                        todo.append((lo + max(0, first - reach), lo + a))
         return sorted(out, key=lambda x: x[2])
 
-    def best(self, text: np.ndarray, places: dict[int, list[int]], m: int, reach: int) -> tuple[int, int, int, int] | None:
+    def stretches(self, known: list[tuple[int, int]], places: dict[int, list[int]], m: int, reach: int) -> list[tuple[int, int]]:
+        """Unions of the windows of ``reach`` words that hold enough of the template's words."""
+        out, held, first, total = [], Counter(), 0, 0
+        for x, w in known:
+            held[w] += 1
+            total += held[w] <= len(places[w])
+            while known[first][0] <= x - reach:
+                gone = known[first][1]
+                total -= held[gone] <= len(places[gone])
+                held[gone] -= 1
+                first += 1
+            if total >= self.coverage * m:
+                lo = known[first][0]
+                if out and lo <= out[-1][1]:
+                    out[-1] = out[-1][0], x + 1
+                else:
+                    out.append((lo, x + 1))
+        return out
+
+    def anchored(self, text: list[int], anchors: list[tuple[int, int, int, int]], places: dict[int, list[int]],
+                 template: list[int], reach: int, lo: int, hi: int, seen: dict) -> tuple[int, int, int] | None:
+        """(aligned words, first word, end word) of the best notice around an anchor,
+        of those within ``reach`` words after the first one's end."""
+        best, first = None, hi
+        for x, w, before, after in islice(anchors, bisect_left(anchors, (lo,)), None):
+            if x >= hi or x > first + reach:
+                break
+            l, r = max(lo, x - reach), min(hi, x + reach + 1)
+            if len(places[w]) == 1:  # aligned once: the next ones belong to other notices
+                l, r = max(l, before + 1), min(r, after)
+            for q in places[w]:
+                if (x, q, l, r) not in seen:
+                    xs = [l + i for i, _ in patience(text[l:x], template[:q], open_left=True)]
+                    xs += [x, *(x + 1 + i for i, _ in patience(text[x + 1: r], template[q + 1:], open_right=True))]
+                    seen[x, q, l, r] = self.run(xs, len(template))
+                rank = seen[x, q, l, r]
+                if rank:
+                    first = min(first, rank[1] + rank[2])
+                    best = rank if best is None else min(best, rank)
+        return best and (-best[0], best[2], best[2] + best[1])
+
+    def run(self, xs: list[int], m: int) -> tuple[int, int, int] | None:
+        """(-aligned words, length, first word) of the best run of aligned words that reaches both thresholds."""
+        at, n = np.array(xs), len(xs)
+        while n >= max(1, self.coverage * m):
+            spans = at[n - 1:] - at[: len(at) - n + 1] + 1
+            k = int(spans.argmin())
+            if n >= self.density * spans[k]:
+                return -n, int(spans[k]), int(at[k])
+            n -= 1
+        return None
+
+    def exact(self, text: np.ndarray, places: dict[int, list[int]], m: int, reach: int) -> tuple[int, int, int, int] | None:
         """(aligned words, first word, end word, end of the first) of the best notice
         that is whole within ``reach`` words after the first one's end.
 

@@ -161,3 +161,51 @@ def test_notices_against_all_stretches(seed):
     assert all((a, b) in whole and n == lcs(text[a:b], template) for a, b, n in got)
     assert all(b <= c for (_, b, _), (c, _, _) in zip(got, got[1:]))
     assert all(any(a < d and c < b for c, d, _ in got) for a, b in whole)
+
+
+def planted(seed):
+    """Prose of template words with damaged notices in it: words lost, put in and swapped."""
+    import random
+    r = random.Random(seed)
+    names = sorted(L.TEMPLATES)
+    common = " ".join(L.TEMPLATES.values()).lower().split()
+    text = []
+    for _ in range(6):
+        text += [r.choice(common) if r.random() < 0.3 else f"w{r.randrange(50)}" for _ in range(r.randrange(60))]
+        for w in L.TEMPLATES[r.choice(names)].split():
+            roll = r.random()
+            text += [] if roll < 0.06 else [w, r.choice(common)] if roll < 0.2 else [w]
+    return " ".join(text)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_patience_finds_what_exact_alignment_finds(seed, monkeypatch):
+    """Damaged notices among template words, as by exact alignment without anchors."""
+    text = planted(seed)
+    got = notices(text)
+    monkeypatch.setattr(L.Scanner, "anchored", lambda *a: None)
+    want = notices(text)
+    assert sum(x[1] for x in got) >= 0.98 * sum(x[1] for x in want)
+    for name, n, m, a, b in want:
+        assert any(x[0] == name and x[3] < b and a < x[4] for x in got)
+    for name, n, m, a, b in got:
+        assert n >= 0.8 * m and n >= 0.6 * (b - a)
+        assert any(x[0] == name and x[3] < b and a < x[4] for x in want)
+
+
+def test_a_text_of_many_notices_is_read_once():
+    import time
+    start = time.time()
+    assert len(notices("All rights reserved. " * 5000)) == 5000
+    assert time.time() - start < 20
+
+
+def test_license_query_against_exact_alignment(spark, monkeypatch):
+    """The registered query on whole sf0.001, and the exact alignment of every text."""
+    from faultline.llm.queries import op5_license_scan
+    sf = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in op5_license_scan(spark, sf).collect())
+    monkeypatch.setattr(L.Scanner, "anchored", lambda *a: None)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((d.doc_id, *n) for d in docs if d.text for n in notices(d.text))
+    assert got == want and got
