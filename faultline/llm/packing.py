@@ -7,8 +7,8 @@ partition is packed best-fit decreasing, and dual feasible functions give a
 lower bound of its bins: a partition whose bins equal the bound is certified.
 The rest exchange: the documents of about ``EXCHANGE`` partitions with gaps are
 pooled and packed anew, and the new packing is taken if it has fewer bins. Rounds
-end when the bins reach the bound of the whole table, when no gap is left, or
-after ``ROUNDS``.
+end when the bins reach the bound of the whole table, when no two gaps are left,
+or after a round that saves no bin. ``certificate`` states the gap that remains.
 
 Defined results: a null or empty text is a document of the end token alone.
 Repeated rows are packed as separate documents. Ties in length go by row
@@ -25,14 +25,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import stage, staged_path, unstage
 
 CAPACITY = 2048
 #: Pieces of a partition, and partitions that exchange in a round: together the most rows of one task.
-PIECES, EXCHANGE, ROUNDS = 8192, 4, 4
+PIECES, EXCHANGE = 8192, 4
+#: Rounds of exchange; None goes on until a round saves no bin (0 packs without exchange, to compare).
+ROUNDS: int | None = None
+#: Partitions with gaps that are numbered together, to deal them in groups of ``EXCHANGE``.
+SLOT = 4096
 #: Words whose ids a Python worker remembers before it starts over.
 WORDS = 1_000_000
 
@@ -206,7 +210,7 @@ def _pack(capacity: int):
     return run
 
 
-def _exchange(capacity: int, turn: int):
+def _exchange(capacity: int):
     """The documents of some partitions packed anew, all of them or those of bins
     that are not full, whichever gives fewer bins; the old packing stays if neither does."""
     def run(key, frame):
@@ -220,12 +224,30 @@ def _exchange(capacity: int, turn: int):
                 best = n, pool, bins, offsets
         if best:
             _, pool, bins, offsets = best
-            frame.loc[pool, "sequence"] = (turn << 56) + (int(key[0]) << 24) + bins
+            frame.loc[pool, "sequence"] = (int(key[0]) << 24) + bins
             frame.loc[pool, "place"] = offsets
         return _certified(frame, int(key[0]), capacity)
     return run
 
 
+def _groups(parts: DataFrame, n: int, turn: int) -> DataFrame:
+    """(part, deal): partitions dealt to groups of ``EXCHANGE``, other ones in each
+    round: by row number in the order of a hash, within slots of about ``SLOT``."""
+    slots = -(-n // SLOT)
+    order = F.xxhash64("part", F.lit(turn))
+    slotted = parts.select("part", F.pmod(F.xxhash64("part", F.lit(turn), F.lit("slot")), F.lit(slots)).alias("slot"), order.alias("order"))
+    number = F.row_number().over(Window.partitionBy("slot").orderBy("order", "part")) - 1
+    return slotted.select("part", (F.col("slot") + F.lit(slots) * F.floor(number / EXCHANGE)).cast("long").alias("deal"))
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences, lower bound) of packed pieces with their length and sequence_id."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most ``capacity`` rows
+        count[r["length"]] = r["n"]
+    return packed.select("sequence_id").distinct().count(), bound_of_counts(count, capacity)
+
+
 def pack(table: DataFrame, capacity: int = CAPACITY, size: int = PIECES) -> DataFrame:
     """(pid, sequence, place) of each (pid, length) row: bins of at most ``capacity``.
 
@@ -240,21 +262,20 @@ def pack(table: DataFrame, capacity: int = CAPACITY, size: int = PIECES) -> Data
     dealt = table.select("pid", "length", F.pmod(F.xxhash64("pid"), F.lit(parts)).alias("deal"))
     paths = [staged_path(dealt.groupBy("deal").applyInPandas(_pack(capacity), PACKED))]
     gap = (F.col("n") > F.col("b")) | (F.col("n") > F.col("v"))
-    for turn in range(1, ROUNDS + 1):
+    turn, before = 1, None
+    while ROUNDS is None or turn <= ROUNDS:
         now = spark.read.schema(PACKED).parquet(*paths)
         ends = now.groupBy("part").agg(F.max("n_bins").alias("n"), F.max("bound").alias("b"), F.max("volume").alias("v"))
         bins, gaps = ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(gap.cast("long")), F.lit(0))).first()
-        if bins <= bound or gaps < 2:
+        if bins <= bound or gaps < 2 or before is not None and bins >= before:
             break
-        # Partitions with gaps meet in groups of a bounded number, other ones in each round.
-        groups = max(1, -(-gaps // EXCHANGE))
-        members = ends.where(gap).select("part", F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(groups)).alias("deal"))
-        shift = parts * turn  # a partition's number is used once
-        met = now.join(members, "part").withColumn("deal", F.col("deal") + shift).groupBy("deal").applyInPandas(_exchange(capacity, turn), PACKED)
+        members = _groups(ends.where(gap).select("part"), gaps, turn)
+        shift = 2 * parts * turn  # a partition's number is used once
+        met = now.join(members, "part").withColumn("deal", F.col("deal") + shift).groupBy("deal").applyInPandas(_exchange(capacity), PACKED)
         after = [staged_path(now.join(members, "part", "left_anti")), staged_path(met)]
         for path in paths:
             unstage(spark, path)
-        paths = after
+        paths, before, turn = after, bins, turn + 1
     return spark.read.schema(PACKED).parquet(*paths).select("pid", "sequence", "place")
 
 
