@@ -69,6 +69,17 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+LAST = (1 << 63) - 1
+
+
+def key_order(key: str) -> Column:
+    """The order of a row's key as a long, a null after all others. Keys that are
+    no numbers are ordered by hash."""
+    name = F.col(f"`{key}`")
+    hashed = F.when(name.isNotNull(), F.shiftrightunsigned(F.xxhash64(name), 1))
+    return F.coalesce(name.try_cast("long"), hashed, F.lit(LAST))
+
+
 # -------------------------------------------------------- texts in a batch
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

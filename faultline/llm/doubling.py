@@ -14,8 +14,8 @@ their rows all but the one with the smallest key repeat it.
 
 Windows are told apart by 64 bits of hash. Defined results: a null text has no
 words; a text of fewer than ``window`` words keeps all. A null key counts as
-larger than any other and is never earlier than another null. Rows with equal
-key and text are one text.
+larger than any other and is never earlier than another null. Keys that are no
+numbers are ordered by hash. Rows with equal key and text are one text.
 """
 
 from __future__ import annotations
@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import (NOT_SPACE, blocks, gram_hashes, mixed, span_hashes, stage, staged_path, text_bytes, text_id, unstage,
+from faultline.llm.common import (NOT_SPACE, blocks, gram_hashes, key_order, mixed, span_hashes, stage, staged_path, text_bytes, text_id, unstage,
                                   window_minima, word_spans)
 from faultline.llm.exchange import ANSWER, shared_items, starts_of
 
 WINDOW, GRAM = 13, 6
-LAST = (1 << 63) - 1
 
 
 def _grams(offsets, data, window: int, gram: int):
@@ -143,8 +142,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key:
     has a repeated window (0: none)."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    place = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST))
-    texts = docs.select(F.col(f"`{key}`").alias("row"), text_id(F.col("text")).alias("id"), place.alias("place"),
+    texts = docs.select(F.col(f"`{key}`").alias("row"), text_id(F.col("text")).alias("id"), key_order(key).alias("place"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     whole = stage(texts.mapInArrow(_whole, f"row {kind}, id binary, place long, n_words long, sha256 string"))
     copies = whole.groupBy("id").agg(F.min("place").alias("least"))

@@ -30,18 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import NOT_SPACE, blocks, span_hashes, stage, text_bytes, text_id, window_minima, word_spans
+from faultline.llm.common import NOT_SPACE, blocks, key_order, span_hashes, stage, text_bytes, text_id, window_minima, word_spans
 from faultline.llm.exchange import shared_items, starts_of
 
 RUN = 3
-LAST = (1 << 63) - 1
 
 
 def document_key(key: str):
-    """24 bytes that name a row: its text's id and its key; the key's order comes
-    last, with a null after all others. Keys of other types are ordered by hash."""
-    place = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST))
-    return F.concat(text_id(F.col("text")), F.unhex(F.lpad(F.hex(place), 16, "0")))
+    """24 bytes that name a row: its text's id and its key; the key's order comes last."""
+    return F.concat(text_id(F.col("text")), F.unhex(F.lpad(F.hex(key_order(key)), 16, "0")))
 
 
 def _lines(weigh: bool):

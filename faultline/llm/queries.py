@@ -56,10 +56,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures derived from ``pages``: each page is a full response, an hour a
+    """Captures derived from ``pages``: each page is a full response, a day a
     page id after the first; a day later a revisit of the same URL by another
     spelling, with the page's validator (every fifth: a changed one, every
-    seventh: a date alone); and a revisit two hours before the response."""
+    seventh: a date alone); and a revisit a day before the response."""
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", "url", F.md5("html").alias("digest"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 1000).cast("int"))
     header = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])

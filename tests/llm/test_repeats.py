@@ -260,3 +260,16 @@ def test_a_hot_passage_asks_once_a_task(spark):
         for h in np.frombuffer(r.hashes, np.uint64):
             asked[int(h)] += 1
     assert max(asked.values()) <= 5
+
+
+def test_keys_of_text(spark):
+    """Keys that are no numbers have an order too: one document of each group of copies keeps its lines."""
+    lines = "\n".join(f"line {i} of some shared words" for i in range(20))
+    rows = [("doc-a", lines + "\nown a"), ("doc-b", lines + "\nown b"), ("", lines + "\nown c"), (None, lines + "\nown d"), ("x", "alone")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    gone = {r.doc_id: r.n_removed for r in linededup.dedup_report(docs).collect()}
+    assert sorted(gone[k] for k in ("doc-a", "doc-b", "")) == [0, 20, 20] and gone[None] == 20 and gone["x"] == 0
+    words = {r.doc_id: r.n_removed for r in doubling.repeated_words(docs).collect()}
+    assert sorted(words[k] > 100 for k in ("doc-a", "doc-b", "")) == [False, True, True] and words[None] > 100 and words["x"] == 0
+    numbers = spark.createDataFrame([("10", lines), ("9", lines)], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in linededup.dedup_report(numbers).collect()} == {"9": 0, "10": 20}
