@@ -34,6 +34,8 @@ from faultline.llm.common import NOT_SPACE, blocks, key_order, span_hashes, stag
 from faultline.llm.exchange import shared_items, starts_of
 
 RUN = 3
+#: Words of a passage of fewer lines that the registered query and the pipeline take too.
+WORDS = 50
 
 
 def document_key(key: str):

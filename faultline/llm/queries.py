@@ -48,7 +48,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_report(documents(spark, sf_dir).select("doc_id", "text"))
+    return linededup.dedup_report(documents(spark, sf_dir).select("doc_id", "text"), words=linededup.WORDS)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

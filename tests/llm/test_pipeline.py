@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline as C
+from faultline.llm import linededup
 from faultline.llm import quality as Q
 from faultline.llm import registry
 from tests.llm import test_decontam as decontam
@@ -24,7 +25,7 @@ def duck():
 
 def test_all_queries_are_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and set(registry.queries()) <= set(names) and set(registry.oracle_sql()) <= set(registry.queries())
 
 
@@ -49,6 +50,11 @@ def test_bytes_query(spark):
 
 def test_lines_query(spark):
     got = registry.queries()["op4_line_dedup"](spark, SMALL)
+    assert repeats.multiset(repeats.lines_got(got)) == repeats.multiset(repeats.passages_brute(documents(spark), 3, 50))
+
+
+def test_lines_of_the_table_by_runs_of_three(spark):
+    got = linededup.dedup_report(spark.read.parquet(f"{SMALL}/documents.parquet"))
     assert repeats.multiset(repeats.lines_got(got)) == repeats.multiset(repeats.lines_brute(documents(spark), 3))
 
 
@@ -70,7 +76,7 @@ def test_pipeline_against_brute_force(spark):
         n, chars, symbols, lines, again, of = quality.measures(text)
         return not (n < 50 or 2 * again > n or 10 * symbols > 3 * n or 2 * lines > of or chars < 2 * n or chars > 15 * n)
     rows = [(k, t) for k, t in rows if fine(t)]
-    gone = {k: set(g) for k, _, g, _ in repeats.lines_brute(rows, 3)}
+    gone = {k: set(g) for k, _, g, _ in repeats.passages_brute(rows, 3, 50)}
     rows = [(k, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k])) for k, t in rows]
     rows = [(k, t) for k, t in rows if t.split()]
     fps = [simhash.fingerprint(t) for _, t in rows]

@@ -26,10 +26,13 @@ def added(text):
     base, out = fixed(text), []
     for i, c in enumerate(S.CLASSES):
         for m in re.finditer(c.pattern, text):
-            if any(re.search(p, m[0]) for p in S.ALLOWED):
+            if any(re.search(p, m[0]) for p in S.KNOWN):
                 continue
             hits = [k for k in range(len(m[0]) - c.window + 1) if entropy(m[0][k:k + c.window]) >= c.bits - 1e-6]
             span = hits and (m.start() + hits[0], 3 + i, m.start() + hits[-1] + c.window, c.name)
+            got = span and text[span[0]:span[2]]
+            if hits and (any(re.search(p, got) for p in S.ALLOWED) or any(got in k for k in S.SAMPLES)):
+                continue
             if hits and not any(b[0] <= span[0] and span[2] <= b[2] for b in base):
                 out.append(span)
     return sorted(out)
@@ -69,6 +72,17 @@ def test_random(spark, seed):
     assert sum(len(added(t)) for _, t in rows) > 20
 
 
+def test_the_allow_list_is_for_the_found_span(spark):
+    """A random last segment of a path and a key beside a sample key are found; plain paths, samples and identifiers are not."""
+    token = "x7k2q9w4z1m8v3b6n5j0p2r7t4c9"
+    rows = [(1, f"hooks/services/{token}"), (2, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (3, f"EXAMPLE/{token.upper()}Qa"),
+            (4, "api/with/many/plain/words/quick/brown/fox/jumps/page12"), (5, "id 550e8400-e29b-41d4-a716-446655440000")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, rows)
+    spans = {r.doc_id: [dict(rows)[r.doc_id][x.start:x.end] for x in r.added] for r in S.scan(df).collect()}
+    assert token in spans[1][0] and any(token.upper() in x for x in spans[3]) and not spans[2] and not spans[4] and not spans[5]
+
+
 def test_empty(nothing):
     assert S.scan(nothing).count() == 0
 
