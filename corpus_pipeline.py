@@ -29,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go, and documents that have no words left."""
-    return _has_words(linededup.dedup_lines(docs))
+    """Later repeats of runs of lines go, and of shorter ones with ``linededup.WORDS`` words; documents that have no words left go too."""
+    return _has_words(linededup.dedup_lines(docs, words=linededup.WORDS))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
