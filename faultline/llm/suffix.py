@@ -12,8 +12,11 @@ doubling from 7 to 224 bytes and cover the rest of ``length`` in two overlapping
 strides. Equal neighbours over ``length`` bytes are repeats.
 
 A bucket larger than a task's bound goes back sliced by the distance of suffix
-and anchor, each slice keyed by the bytes that all its suffixes share, so only
-true copies meet again.
+and anchor, each slice keyed by the bytes that all its suffixes share. Slices that
+share these bytes but differ around them may still be too many for a task: those go
+back once more, one suffix to a slice, so only true copies meet. Before slices are
+sent, a task dedupes those it gathers, so a string held by any share of the texts is
+one row for each ``GATHER_BYTES`` of slices, not one a text.
 
 Texts that are wholly equal are looked at once: with ``length`` bytes or more
 each byte of a copy is in a string that starts in the other copy too.
@@ -41,6 +44,8 @@ LENGTH, GRAM = 400, 32
 RUN_BYTES, BUCKET_BYTES = 1 << 20, 32 << 20
 #: Bytes of bucket rows that a task gathers to find equal ones.
 GATHER_BYTES = 12 << 20
+#: Known spans that a task holds before it sends them.
+KNOWN_ROWS = 10_000
 SLICES = 8
 
 _COVER, _PERIOD = (0, 1, 3), 7
@@ -251,33 +256,68 @@ def found(ids: list, start, end) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), *none], names=_FOUND)
 
 
-def sliced(row: tuple, length: int) -> list[tuple]:
-    """A bucket row cut by the distance of string and anchor; a slice's bucket is
-    named by the bytes that all its strings share."""
+def sliced(row: tuple, length: int, step: int) -> list[tuple]:
+    """A bucket row cut by the distance of string and anchor, ``step`` distances to a
+    slice; a slice's bucket is named by the bytes that all its strings share."""
     id_, start, anchor, several, data, bucket = row
-    out, step = [], -(-(length - GRAM + 1) // SLICES)
-    for low in range(0, length - GRAM + 1, step):
+    out, nearest = [], max(0, anchor - (len(data) - length))
+    for low in range(nearest // step * step, min(anchor, length - GRAM) + 1, step):
         high = min(low + step - 1, length - GRAM)
         a, b = max(0, anchor - high), min(len(data) - length, anchor - low)  # starts of the slice's strings
-        if a > b:
-            continue
         core = data[anchor - low: anchor - high + length]
-        name = hashlib.blake2b(core + bytes([low // step]) + bucket.to_bytes(8, "little", signed=True), digest_size=8).digest()
+        name = hashlib.blake2b(core + (low // step).to_bytes(2, "little") + bucket.to_bytes(8, "little", signed=True), digest_size=8).digest()
         out.append((id_, start + a, anchor - a, several, data[a: b + length], int.from_bytes(name, "little", signed=True)))
     return out
 
 
-def _sort(length: int, bound: int | None):
-    """Rows in order of bucket to runs of repeated strings; buckets over ``bound`` bytes are sliced."""
+class Gather:
+    """Slices that a task is about to send. Of equal ones that it gathers one goes on,
+    marked; of the others the spans are known to be repeated."""
+
+    def __init__(self):
+        self.rows: dict[tuple, list] = {}
+        self.known: list[tuple] = []
+        self.size = 0
+
+    def add(self, row: tuple) -> None:
+        id_, start, anchor, several, data, bucket = row
+        first = self.rows.get((bucket, anchor, data))
+        if first is None:
+            self.rows[bucket, anchor, data] = list(row)
+            self.size += len(data)
+        elif (first[0], first[1]) == (id_, start):  # a row that came twice is one
+            first[3] |= several
+        else:
+            first[3] = True
+            self.known.append((id_, start, start + len(data)))
+
+    def full(self) -> bool:
+        return self.size >= GATHER_BYTES or len(self.known) >= KNOWN_ROWS
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.known:
+            yield found(*map(list, zip(*self.known)))
+        rows = list(self.rows.values())
+        for at in range(0, len(rows), 10_000):
+            ids, start, anchor, several, data, bucket = zip(*rows[at: at + 10_000])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array(start, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(bucket, pa.int64()),
+                 pa.array(anchor, pa.int32()), pa.array(several, pa.bool_()), pa.array(data, pa.binary())], names=_FOUND)
+        self.__init__()
+
+
+def _sort(length: int, bound: int | None, step: int = 1):
+    """Rows in order of bucket to runs of repeated strings; buckets over ``bound`` bytes
+    are sliced by ``step`` distances."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready, bucket, held, size, over = Run(), None, [], 0, False
+        ready, gather, bucket, held, size, over = Run(), Gather(), None, [], 0, False
 
         def slices(rows):
-            cut = [s for r in rows for s in sliced(r, length)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([s[0] for s in cut], pa.binary()), pa.array([s[1] for s in cut], pa.int64()), pa.nulls(len(cut), pa.int64()),
-                 pa.array([s[5] for s in cut], pa.int64()), pa.array([s[2] for s in cut], pa.int32()),
-                 pa.array([s[3] for s in cut], pa.bool_()), pa.array([s[4] for s in cut], pa.binary())], names=_FOUND)
+            for r in rows:
+                for cut in sliced(r, length, step):
+                    gather.add(cut)
+                if gather.full():
+                    yield from gather.flush()
 
         for batch in batches:
             known: list[tuple] = []
@@ -287,7 +327,7 @@ def _sort(length: int, bound: int | None):
                     continue
                 if b != bucket:
                     if over:
-                        yield slices(held)
+                        yield from slices(held)
                     elif len(held) > 1 or held and held[0][3]:
                         for r in held:
                             ready.add((r[0], r[1], r[2], r[3], r[4]))
@@ -299,15 +339,16 @@ def _sort(length: int, bound: int | None):
                 size += len(data)
                 if bound is not None and (size > bound or over):
                     over = True
-                    yield slices(held)
+                    yield from slices(held)
                     held = []
             if known:
                 yield found(*map(list, zip(*known)))
-        if over and held:
-            yield slices(held)
+        if over:
+            yield from slices(held)
         elif len(held) > 1 or held and held[0][3]:
             for r in held:
                 ready.add((r[0], r[1], r[2], r[3], r[4]))
+        yield from gather.flush()
         yield from ready.settle(length)
     return run
 
@@ -369,10 +410,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", b
     asked = stage(long.alias("t").join(standing.alias("s"), (F.col("t.id") == F.col("s.id")) & F.col("t.row").eqNullSafe(F.col("s.least")))
                   .select("t.id", "t.text", F.transform("s.answers", lambda x: F.struct(x["hashes"].alias("hashes"))).alias("answers")))
     ordered = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
-    first = stage(ordered(asked.mapInArrow(_segments(length), SEGMENT)).mapInArrow(_sort(length, bucket_bytes), FOUND))
-    slices = first.where("bytes IS NOT NULL").select("bucket", "id", "start", "anchor", "several", "bytes")
-    second = ordered(slices).mapInArrow(_sort(length, None), FOUND)
-    spans = (first.where("bytes IS NULL").select("id", "start", "end").union(second.select("id", "start", "end"))
+    first = stage(ordered(asked.mapInArrow(_segments(length), SEGMENT)).mapInArrow(_sort(length, bucket_bytes, -(-(length - GRAM + 1) // SLICES)), FOUND))
+    slices = lambda rows: rows.where("bytes IS NOT NULL").select("bucket", "id", "start", "anchor", "several", "bytes")
+    second = stage(ordered(slices(first)).mapInArrow(_sort(length, bucket_bytes), FOUND))
+    third = ordered(slices(second)).mapInArrow(_sort(length, None), FOUND)
+    ends = lambda rows: rows.where("bytes IS NULL").select("id", "start", "end")
+    spans = (ends(first).union(ends(second)).union(ends(third))
              .groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     one_text = asked.select("id", "text").join(spans, "id").mapInArrow(
         _cut, "id binary, n_removed long, n_spans long, sha256 string, spans array<struct<start:long,end:long>>")

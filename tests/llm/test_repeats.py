@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from faultline.llm import doubling, linededup, suffix
@@ -114,6 +115,36 @@ def test_bytes_one_hot_bucket_is_sliced(spark):
     assert multiset(bytes_got(suffix.repeated_bytes(frame(spark, rows), 128, bucket_bytes=2000))) == multiset(bytes_brute(rows, 128))
 
 
+@pytest.mark.parametrize("bucket", [2000, 20_000])
+def test_bytes_shared_core_in_changing_surroundings(spark, bucket):
+    """A third of the texts share a passage little longer than a string; what is around it differs in each."""
+    r = np.random.default_rng(9)
+    noise = lambda n: "".join(r.choice(list("abcdefgh"), n))
+    passage = noise(430)
+    rows = [(i, noise(int(r.integers(30, 500))) + (passage if i % 3 == 0 else "") + noise(int(r.integers(30, 500)))) for i in range(150)]
+    got = bytes_got(suffix.repeated_bytes(frame(spark, rows), 400, bucket_bytes=bucket))
+    assert multiset(got) == multiset(bytes_brute(rows, 400))
+    assert all(n >= 430 for k, _, n, _, _ in got if k % 3 == 0)
+
+
+def test_slices_of_a_hot_core_are_bounded():
+    """Slices of one bucket that share their core and differ around it: cut to single
+    strings, no bucket holds more than one row of a gather, and every repeat is found."""
+    r = np.random.default_rng(3)
+    core = r.integers(97, 123, 400).astype(np.uint8).tobytes()
+    rows = [(i.to_bytes(8, "little"), 0, 200, False, r.integers(97, 123, 20).astype(np.uint8).tobytes() + core + r.integers(97, 123, 20).astype(np.uint8).tobytes(), 1)
+            for i in range(600)]
+    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "start", "anchor", "several", "bytes", "bucket"])
+    out = [x for b in suffix._sort(400, 5000)(iter([batch])) for x in b.to_pylist()]
+    sent, known = [x for x in out if x["bytes"] is not None], [x for x in out if x["bytes"] is None]
+    per_bucket = Counter(x["bucket"] for x in sent)
+    assert max(per_bucket.values()) <= 2 and all(len(x["bytes"]) == 400 for x in sent)
+    whole = [x for x in sent if x["bytes"] == core]
+    assert len(whole) == 1 and whole[0]["several"]
+    assert sum((x["start"], x["end"]) == (20, 420) for x in known) == 599
+
+
 def test_bytes_empty(nothing):
     assert suffix.repeated_bytes(nothing).count() == 0
 
