@@ -100,3 +100,38 @@ def test_many_elements_in_one_run(spark):
     inside = [r.text for r in x.p if x.article[0].first < r.first and r.last <= x.article[0].last]
     assert inside == ["2", "3"]
     assert run(spark, None, H.all_texts("h", p=H.start_tag("p"))).p is None
+
+
+def test_parts_are_those_of_single_functions(spark):
+    rng = random.Random(7)
+    bits = ["<", "</", "<!--", "-->", '<p>', '<p dir="auto">', "</p>", '<div class="c">', "</div>", '<td class="x">', "</td>", "<table>", "</table>", "<script>",
+            "</script>", "<title>", "</title>", '<table><td class="x"><p dir="auto">a', "a", " · ", "\n", "&lt;", "&#65;", '<div title="open', '"', "<br>", "<li>"]
+    pages = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(1, 80)))) for i in range(300)] + [(300, None), (301, "")]
+    div, td, p = H.start_tag("div", "c"), H.start_tag("td", "x"), H.start_tag("p", dir="auto")
+    parts = H.parts(
+        "h", title=H.title(), text=H.first(div, H.inner(H.text_of)), code=H.script_texts(H.start_tag("script")),
+        paras=H.every(H.start_tag("table"), H.inside(td, H.inner(H.paragraphs_of(p)), "CAST(array() AS array<string>)")))
+    one = [H.title_before("h"), H.strip_tags(H.first_element("h", div)), H.scripts("h", H.start_tag("script")),
+           H.each(H.all_elements("h", H.start_tag("table")), lambda t: H.paragraphs(H.first_element(t, td), p))]
+    rows = spark.createDataFrame(pages, "i int, h string").select("h", parts.alias("x"), *[c.alias(f"c{k}") for k, c in enumerate(one)]).collect()
+    for r in rows:
+        assert (r.x.title, r.x.text, r.x.code, r.x.paras) == (r.c0, r.c1, r.c2, r.c3), r.h
+    assert sum(bool(r.c3 and any(r.c3)) for r in rows) > 5
+
+
+@pytest.mark.parametrize("n", [1, H.CHUNK // 3, H.CHUNK // 3 + 1, H.CHUNK])
+def test_elements_over_the_ends_of_runs(spark, n):
+    html = "<div><p>a</p>" * n + "<div class='c'>" + "<p>b</p>" * n + "</div>tail"
+    assert run(spark, html, F.size(H.element_texts("h", H.start_tag("div")))) == n + 1
+    assert run(spark, html, H.element_text("h", "div", "c")) == " ".join("b" * n)
+
+
+def test_time_of_a_page_with_many_elements_grows_with_it(spark):
+    import time
+    seconds = {}
+    for n in (3000, 24000):
+        df = spark.createDataFrame([("<p>x</p><b>y</b>" * n,)], "h string").localCheckpoint()
+        t = time.time()
+        assert df.select(F.size(H.element_texts("h", H.start_tag("p"))).alias("n")).first().n == n
+        seconds[n] = time.time() - t
+    assert seconds[24000] < 24 * max(seconds[3000], 0.5), seconds

@@ -198,3 +198,13 @@ def test_bad_record_files_are_put_aside(spark, scratch):
     assert seen == {"files": 3, "good": 1, "bad": 2}
     assert [(r.commit_index, r.commit.commit_message) for r in good.collect()] == [("abc1234", ["x"])]
     assert {(os.path.basename(r.file), (r.content or "")[:5]) for r in bad.collect()} == {("b.json", '{"com'), ("c.json", "")}
+
+
+def test_extraction_is_dealt_by_bytes_of_text(spark, scratch, monkeypatch):
+    from faultline.plans import collected
+    monkeypatch.setattr(collected, "TASK_BYTES", 1000)
+    rows = [(c, t, "user", "x" * 50) for c in range(200) for t in range(2)] + [(200, 0, "user", None), (None, 0, "user", "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{scratch}/conversations.parquet")
+    commits, pages = collected.landed(spark, scratch)
+    assert pages.rdd.getNumPartitions() == commits.rdd.getNumPartitions() == 21
+    assert commits.count() == 202
